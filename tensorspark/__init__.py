@@ -2,6 +2,7 @@
 
 from tensorspark.operators.cpals import CpOptions, CpResult, cpals
 from tensorspark.operators.mttkrp import mttkrp, mttkrp_all
+from tensorspark.sources.reader import read_tensor
 from tensorspark.tensor import SparseTensor
 
 __all__ = [
@@ -11,4 +12,5 @@ __all__ = [
     "cpals",
     "mttkrp",
     "mttkrp_all",
+    "read_tensor",
 ]

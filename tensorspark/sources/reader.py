@@ -1,3 +1,51 @@
 """Open a tensor by path."""
 
 from __future__ import annotations
+
+import os
+
+from pyspark.sql import SparkSession
+
+from tensorspark.sources.dnb import cache_is_fresh, read_dnb, write_dnb
+from tensorspark.sources.tns import read_tns
+from tensorspark.tensor import SparseTensor
+
+
+def read_tensor(
+    spark: SparkSession,
+    path: str,
+    format: str | None = None,
+    cache: bool = False,
+    chunk_nnz: int | None = None,
+) -> SparseTensor:
+    """Read ``.tns`` text, ``.dnb`` binary or a saved tensor folder.
+
+    With ``cache=True`` text is read through ``<path>.dnb``, a binary copy that is used
+    while it is fresh and written after a parse.
+    """
+    format = format or _guess(path)
+    if format == "dnb":
+        return read_dnb(spark, path, chunk_nnz)
+    if format == "saved":
+        return SparseTensor.load(spark, path)
+    if format != "tns":
+        raise ValueError(f"unknown tensor format {format!r}")
+    copy = path.rstrip("/") + ".dnb"
+    if cache and cache_is_fresh(path, copy):
+        try:
+            return read_dnb(spark, copy, chunk_nnz)
+        except ValueError as stale:
+            print(f"[io] ignoring unreadable cache {copy}: {stale}")
+    tensor = read_tns(spark, path)
+    if cache:
+        write_dnb(tensor, copy)
+    return tensor
+
+
+def _guess(path: str) -> str:
+    plain = path.rstrip("/")
+    if plain.endswith(".dnb"):
+        return "dnb"
+    if os.path.isdir(os.path.join(plain, "nonzeros")):
+        return "saved"
+    return "tns"

@@ -1 +1 @@
-
+"""Out-of-core passes: a tensor file visited in bounded chunks."""
