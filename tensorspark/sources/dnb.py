@@ -31,7 +31,8 @@ from tensorspark.tensor import MAX_MODES, SparseTensor, index_columns
 
 # Fixed values of the file format: magic, version, widths of values and indices, then the
 # number of modes, the nonzero count, eight mode sizes and seven reserved words.
-HEADER = struct.Struct("<4s4IQ8I7I")
+HEADER = "<4s4IQ8I7I"
+HEADER_BYTES = struct.calcsize(HEADER)
 MAGIC = b"DNB1"
 VERSION = 1
 WIDTH = 4
@@ -51,29 +52,29 @@ class DnbHeader:
     @classmethod
     def read(cls, path: str) -> DnbHeader:
         with open(path, "rb") as f:
-            raw = f.read(HEADER.size)
-        if len(raw) < HEADER.size:
+            raw = f.read(HEADER_BYTES)
+        if len(raw) < HEADER_BYTES:
             raise ValueError(f"{path}: shorter than a header")
-        magic, version, value_bytes, index_bytes, modes, nnz, *rest = HEADER.unpack(raw)
+        magic, version, value_bytes, index_bytes, modes, nnz, *rest = struct.unpack(HEADER, raw)
         if magic != MAGIC:
             raise ValueError(f"{path}: bad magic {magic!r}")
         if (version, value_bytes, index_bytes) != (VERSION, WIDTH, WIDTH):
             raise ValueError(f"{path}: unsupported version or widths")
         if not 1 <= modes <= MAX_MODES or nnz == 0:
             raise ValueError(f"{path}: {modes} modes and {nnz} nonzeros")
-        if os.path.getsize(path) < HEADER.size + nnz * WIDTH * (1 + modes):
+        if os.path.getsize(path) < HEADER_BYTES + nnz * WIDTH * (1 + modes):
             raise ValueError(f"{path}: truncated")
         return cls(modes, nnz, tuple(rest[:modes]))
 
     def pack(self) -> bytes:
         sizes = [*self.mode_sizes, *[0] * (MAX_MODES - self.num_modes)]
-        return HEADER.pack(
-            MAGIC, VERSION, WIDTH, WIDTH, self.num_modes, self.nnz, *sizes, *[0] * 7
+        return struct.pack(
+            HEADER, MAGIC, VERSION, WIDTH, WIDTH, self.num_modes, self.nnz, *sizes, *[0] * 7
         )
 
     def offset(self, column: int, first: int = 0) -> int:
         """Byte position of an entry; column 0 holds the values, 1 .. N the indices."""
-        return HEADER.size + WIDTH * (column * self.nnz + first)
+        return HEADER_BYTES + WIDTH * (column * self.nnz + first)
 
 
 def _local(path: str) -> str:

@@ -20,7 +20,8 @@ from tensorspark.functions.factors import factor_batch, factor_columns, factor_s
 
 # Fixed values of the binary format: magic, version, value width, rank, rows; then f32
 # entries row by row.
-HEADER = struct.Struct("<4s3IQ")
+HEADER = "<4s3IQ"
+HEADER_BYTES = struct.calcsize(HEADER)
 MAGIC = b"DYFM"
 VERSION = 1
 WIDTH = 4
@@ -44,14 +45,14 @@ def write_binary(
     factor: DataFrame | np.ndarray, path: str, rows: int, rank: int, prefix: str = "f"
 ) -> None:
     """Every row has a fixed position, so tasks write straight into the shared file."""
-    head = HEADER.pack(MAGIC, VERSION, WIDTH, rank, rows)
+    head = struct.pack(HEADER, MAGIC, VERSION, WIDTH, rank, rows)
     partial = f"{path}.{uuid.uuid4().hex}.partial"
     with open(partial, "wb") as f:
         f.write(head)
         if isinstance(factor, np.ndarray):
             factor.astype("<f4").tofile(f)
         else:
-            f.truncate(HEADER.size + rows * rank * WIDTH)
+            f.truncate(HEADER_BYTES + rows * rank * WIDTH)
     if isinstance(factor, DataFrame):
         names = factor_columns(rank, prefix)
 
@@ -64,7 +65,7 @@ def write_binary(
                     cuts = np.flatnonzero(np.diff(i) != 1) + 1
                     for rows_i, rows_v in zip(np.split(i, cuts), np.split(values, cuts)):
                         if len(rows_i):
-                            f.seek(HEADER.size + int(rows_i[0]) * rank * WIDTH)
+                            f.seek(HEADER_BYTES + int(rows_i[0]) * rank * WIDTH)
                             rows_v.tofile(f)
                             count += len(rows_i)
             yield pa.RecordBatch.from_arrays([pa.array([count], pa.int64())], names=["written"])
@@ -79,13 +80,13 @@ def write_binary(
 def read_header(path: str) -> tuple[int, int]:
     """``(rows, rank)``."""
     with open(path, "rb") as f:
-        raw = f.read(HEADER.size)
-    if len(raw) < HEADER.size:
+        raw = f.read(HEADER_BYTES)
+    if len(raw) < HEADER_BYTES:
         raise ValueError(f"{path}: shorter than a header")
-    magic, version, width, rank, rows = HEADER.unpack(raw)
+    magic, version, width, rank, rows = struct.unpack(HEADER, raw)
     if magic != MAGIC or version != VERSION or width != WIDTH:
         raise ValueError(f"{path}: not a factor file of version {VERSION}")
-    if os.path.getsize(path) != HEADER.size + rows * rank * WIDTH:
+    if os.path.getsize(path) != HEADER_BYTES + rows * rank * WIDTH:
         raise ValueError(f"{path}: wrong size for {rows} x {rank}")
     return rows, rank
 
@@ -100,7 +101,7 @@ def read_binary(spark: SparkSession, path: str) -> DataFrame:
                 for block in batch.column(0).to_pylist():
                     lo = block * _BLOCK_ROWS
                     n = min(_BLOCK_ROWS, rows - lo)
-                    f.seek(HEADER.size + lo * rank * WIDTH)
+                    f.seek(HEADER_BYTES + lo * rank * WIDTH)
                     values = np.fromfile(f, "<f4", n * rank).reshape(n, rank)
                     yield factor_batch(np.arange(lo, lo + n), values.astype(np.float64))
 
