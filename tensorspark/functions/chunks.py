@@ -20,7 +20,7 @@ INDEX_DTYPE = np.dtype("<u4")
 VALUE_DTYPE = np.dtype("<f8")
 
 # Bytes of one gathered product block: small enough to stay in a core's cache.
-_BLOCK_BYTES = 2 << 20
+_BLOCK_BYTES = 256 << 10
 # Largest per-task dense output a kernel keeps before it emits per chunk instead.
 _ACCUMULATOR_BYTES = 64 << 20
 _EMIT_ROWS = 1 << 15
@@ -100,46 +100,31 @@ def _segment_sums(keys: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.nd
 def mode_partials(
     idx: Sequence[np.ndarray],
     val: np.ndarray,
-    gather: Callable[[int, np.ndarray], np.ndarray],
+    tables: Sequence[np.ndarray | None],
     n: int,
     rank: int,
+    at: Sequence[np.ndarray] | None = None,
 ) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Mode-``n`` MTTKRP of one chunk as ``(row ids, sums)`` pieces, ids unique per piece.
 
-    ``gather(w, pos)`` returns the rows of factor ``w`` for the given index values.
+    ``at[w]`` gives the row of ``tables[w]`` for each nonzero; by default its index.
+    Nonzeros are visited in mode-``n`` order, so equal rows meet in one piece, and in
+    blocks whose products stay in cache and reuse two buffers.
     """
     order = np.argsort(idx[n])
-    step = max(1024, _BLOCK_BYTES // (8 * rank))
+    keys, scale = idx[n][order], val[order][:, None]
+    others = [
+        (tables[w], (at or idx)[w][order].astype(np.intp)) for w in range(len(idx)) if w != n
+    ]
+    step = max(256, _BLOCK_BYTES // (8 * rank))
+    product, rows = np.empty((step, rank)), np.empty((step, rank))
     for lo in range(0, len(val), step):
-        pick = order[lo : lo + step]
-        rows = np.repeat(val[pick][:, None], rank, axis=1)
-        for w in range(len(idx)):
-            if w != n:
-                rows *= gather(w, idx[w][pick])
-        yield _segment_sums(idx[n][pick], rows)
-
-
-def all_mode_partials(
-    idx: Sequence[np.ndarray],
-    val: np.ndarray,
-    gather: Callable[[int, np.ndarray], np.ndarray],
-    rank: int,
-) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Every mode in one pass; products over the other modes share running prefixes."""
-    num_modes = len(idx)
-    step = max(1024, _BLOCK_BYTES // (8 * rank))
-    for lo in range(0, len(val), step):
-        part = slice(lo, lo + step)
-        rows = [gather(w, idx[w][part]) for w in range(num_modes)]
-        after: list[np.ndarray | None] = [None] * num_modes
-        for w in range(num_modes - 1, 0, -1):
-            after[w - 1] = rows[w] if after[w] is None else rows[w] * after[w]
-        before = np.repeat(val[part][:, None], rank, axis=1)
-        for n in range(num_modes):
-            product = before if after[n] is None else before * after[n]
-            order = np.argsort(idx[n][part])
-            yield (n, *_segment_sums(idx[n][part][order], product[order]))
-            before = before * rows[n] if n + 1 < num_modes else before
+        hi = min(lo + step, len(val))
+        p, q = product[: hi - lo], rows[: hi - lo]
+        for k, (table, pos) in enumerate(others):
+            np.take(table, pos[lo:hi], axis=0, out=p if k == 0 else q, mode="clip")
+            p *= scale[lo:hi] if k == 0 else q
+        yield _segment_sums(keys[lo:hi], p)
 
 
 def partial_batch(mode: int, i: np.ndarray, sums: np.ndarray) -> pa.RecordBatch:
@@ -160,6 +145,21 @@ def partial_schema(rank: int) -> str:
     )
 
 
+def blob_batch(mode: int, i: np.ndarray, sums: np.ndarray) -> pa.RecordBatch:
+    """The same partial rows as two buffers, for sums that go straight to the driver."""
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array([mode], pa.int32()),
+            pa.array([i.astype(np.int64).tobytes()], pa.binary()),
+            pa.array([np.ascontiguousarray(sums).tobytes()], pa.binary()),
+        ],
+        names=["mode", "i", "y"],
+    )
+
+
+BLOB_SCHEMA = "mode int, i binary, y binary"
+
+
 class PartialSums:
     """Collects partial output rows of one task.
 
@@ -167,7 +167,14 @@ class PartialSums:
     once; a larger one is emitted piece by piece, so memory never grows with the mode.
     """
 
-    def __init__(self, mode_sizes: Sequence[int], rank: int, modes: Sequence[int]):
+    def __init__(
+        self,
+        mode_sizes: Sequence[int],
+        rank: int,
+        modes: Sequence[int],
+        emit: Callable[[int, np.ndarray, np.ndarray], pa.RecordBatch] = partial_batch,
+    ):
+        self._emit = emit
         self._sums: dict[int, np.ndarray] = {}
         self._touched: dict[int, np.ndarray] = {}
         budget = _ACCUMULATOR_BYTES
@@ -183,11 +190,11 @@ class PartialSums:
             self._sums[mode][i] += sums
             self._touched[mode][i] = True
         else:
-            yield partial_batch(mode, i, sums)
+            yield self._emit(mode, i, sums)
 
     def finish(self) -> Iterator[pa.RecordBatch]:
         for mode, sums in self._sums.items():
             i = np.flatnonzero(self._touched[mode])
             for lo in range(0, len(i), _EMIT_ROWS):
                 rows = i[lo : lo + _EMIT_ROWS]
-                yield partial_batch(mode, rows, sums[rows])
+                yield self._emit(mode, rows, sums[rows])

@@ -104,9 +104,7 @@ def matrix_of(table: pa.Table | pa.RecordBatch, columns: Sequence[str]) -> np.nd
     """Row-major matrix of the named double columns."""
     out = np.empty((table.num_rows, len(columns)))
     for k, c in enumerate(columns):
-        out[:, k] = table.column(c).to_numpy(zero_copy_only=False) if isinstance(
-            table, pa.RecordBatch
-        ) else table.column(c).to_numpy()
+        out[:, k] = table.column(c)
     return out
 
 

@@ -25,7 +25,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tensorspark.functions.chunks import (
-    all_mode_partials,
     chunk_schema,
     mode_partials,
     pack_chunks,
@@ -116,46 +115,27 @@ def _slices(blocked: BlockedTensor, factors: Sequence[DataFrame], modes: Sequenc
 
 def _cell_kernel(num_modes: int, modes: Sequence[int], rank: int):
     columns = factor_columns(rank)
-    single = len(modes) == 1
 
     def run(cell: pa.Table, rows: pa.Table) -> pa.Table:
         which = rows.column("w").to_numpy()
         ids = rows.column("i").to_numpy()
         values = matrix_of(rows, columns)
-        tables = {}
-        for w in range(num_modes):
-            at = np.flatnonzero(which == w)
-            at = at[np.argsort(ids[at])]
-            tables[w] = (ids[at], values[at])
-
-        def gather(w: int, pos: np.ndarray) -> np.ndarray:
-            keys, table = tables[w]
-            at = np.minimum(np.searchsorted(keys, pos), max(len(keys) - 1, 0))
-            if len(keys) == 0:
-                return np.zeros((len(pos), rank))
-            found = table.take(at, axis=0)
-            missing = keys[at] != pos
-            if missing.any():  # a row absent from a factor table is an exact zero
-                found[missing] = 0.0
-            return found
-
-        out = []
+        out = [partial_batch(modes[0], np.zeros(0, np.int64), np.zeros((0, rank)))]
         for row in range(cell.num_rows):
             idx, val = unpack(cell, row, num_modes)
-            idx = [a.astype(np.int64) for a in idx]
-            if single:
-                out += [
-                    partial_batch(modes[0], i, s)
-                    for i, s in mode_partials(idx, val, gather, modes[0], rank)
-                ]
-            else:
-                out += [
-                    partial_batch(mode, i, s)
-                    for mode, i, s in all_mode_partials(idx, val, gather, rank)
-                ]
-        if not out:
-            empty = np.zeros((0, rank))
-            out = [partial_batch(modes[0], np.zeros(0, np.int64), empty)]
+            tables, at = [], []
+            for w in range(num_modes):
+                pick = np.flatnonzero(which == w)
+                pick = pick[np.argsort(ids[pick])]
+                keys = ids[pick]
+                # A row absent from a factor is zero: it points to the extra last row.
+                tables.append(np.vstack([values[pick], np.zeros((1, rank))]))
+                pos = np.searchsorted(keys, idx[w])
+                hit = np.append(keys, -1)[pos] == idx[w]
+                at.append(np.where(hit, pos, len(keys)))
+            for n in modes:
+                for i, sums in mode_partials(idx, val, tables, n, rank, at):
+                    out.append(partial_batch(n, i, sums))
         return pa.Table.from_batches(out)
 
     return run

@@ -26,11 +26,13 @@ from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
 from tensorspark.functions.chunks import (
+    BLOB_SCHEMA,
     PartialSums,
-    all_mode_partials,
+    blob_batch,
     chunk_schema,
     mode_partials,
     pack_chunks,
+    partial_batch,
     partial_schema,
     unpack,
 )
@@ -263,35 +265,33 @@ def share_factors(
 
 
 def arrow_partials(
-    packed: PackedTensor, shared: Broadcast, modes: Sequence[int], rank: int
+    packed: PackedTensor,
+    shared: Broadcast,
+    modes: Sequence[int],
+    rank: int,
+    blobs: bool = False,
 ) -> DataFrame:
-    """Per-task partial sums ``[mode, i, y0 ..]`` for one mode or for all of them."""
+    """Per-task partial sums for one mode or for all of them.
+
+    Rows ``[mode, i, y0 ..]``, or with ``blobs=True`` whole pieces as ``[mode, i, y]``
+    buffers.
+    """
     sizes = packed.mode_sizes
     num_modes = len(sizes)
     modes = list(modes)
-    single = len(modes) == 1
-    if not single and modes != list(range(num_modes)):
-        raise ValueError("give one mode or all of them")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = shared.value
-
-        def gather(w: int, pos: np.ndarray) -> np.ndarray:
-            return tables[w].take(pos, axis=0)
-
-        out = PartialSums(sizes, rank, modes)
+        out = PartialSums(sizes, rank, modes, blob_batch if blobs else partial_batch)
         for batch in batches:
             for row in range(batch.num_rows):
                 idx, val = unpack(batch, row, num_modes)
-                if single:
-                    for i, sums in mode_partials(idx, val, gather, modes[0], rank):
-                        yield from out.add(modes[0], i, sums)
-                else:
-                    for mode, i, sums in all_mode_partials(idx, val, gather, rank):
-                        yield from out.add(mode, i, sums)
+                for n in modes:
+                    for i, sums in mode_partials(idx, val, tables, n, rank):
+                        yield from out.add(n, i, sums)
         yield from out.finish()
 
-    return packed.df.mapInArrow(run, partial_schema(rank))
+    return packed.df.mapInArrow(run, BLOB_SCHEMA if blobs else partial_schema(rank))
 
 
 def final_sums(partials: DataFrame, rank: int) -> DataFrame:

@@ -31,7 +31,7 @@ from tensorspark.operators.cpals import CpOptions, cpals
 from tensorspark.session import scratch_path
 from tensorspark.sources.dnb import read_dnb, write_dnb
 from tensorspark.sources.tns import format_lines, parse_lines
-from tensorspark.tensor import SparseTensor, combine_coordinates
+from tensorspark.tensor import SparseTensor, tensor_frame
 
 RANK = 4
 WORKERS = 8  # shard sizing in the layout statistics
@@ -57,9 +57,16 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def supply(spark: SparkSession, sf_dir: str, combine: bool = False, modes: int = 3) -> SparseTensor:
+def supply_frame(
+    spark: SparkSession, sf_dir: str, combine: bool = True, modes: int = 3
+) -> DataFrame:
     lineitem = _table(spark, sf_dir, "lineitem")
-    return SparseTensor.from_table(lineitem, SUPPLY_DIMS[:modes], "l_quantity", combine)
+    return tensor_frame(lineitem, SUPPLY_DIMS[:modes], "l_quantity", combine)
+
+
+def supply(spark: SparkSession, sf_dir: str, combine: bool = False, modes: int = 3) -> SparseTensor:
+    frame = supply_frame(spark, sf_dir, combine, modes)
+    return SparseTensor.from_frame(frame, distinct=combine, keep=combine)
 
 
 def supply5(spark: SparkSession, sf_dir: str) -> SparseTensor:
@@ -68,7 +75,7 @@ def supply5(spark: SparkSession, sf_dir: str) -> SparseTensor:
     return SparseTensor.from_table(lineitem, dims, "l_quantity", combine=False)
 
 
-def market(spark: SparkSession, sf_dir: str, combine: bool = False) -> SparseTensor:
+def market_frame(spark: SparkSession, sf_dir: str, combine: bool = True) -> DataFrame:
     """Lineitem joined with orders and customers; customers are joined to orders first,
     so the larger join carries only three narrow columns."""
     customers = _table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
@@ -82,12 +89,21 @@ def market(spark: SparkSession, sf_dir: str, combine: bool = False) -> SparseTen
         "l_orderkey", "l_returnflag", "l_linenumber", "l_quantity"
     )
     joined = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-    return SparseTensor.from_table(joined, MARKET_DIMS, "l_quantity", combine)
+    return tensor_frame(joined, MARKET_DIMS, "l_quantity", combine)
+
+
+def market(spark: SparkSession, sf_dir: str, combine: bool = False) -> SparseTensor:
+    frame = market_frame(spark, sf_dir, combine)
+    return SparseTensor.from_frame(frame, distinct=combine, keep=True)
+
+
+def activity_frame(spark: SparkSession, sf_dir: str, combine: bool = True) -> DataFrame:
+    return tensor_frame(_table(spark, sf_dir, "events"), ACTIVITY_DIMS, "1", combine)
 
 
 def activity(spark: SparkSession, sf_dir: str, combine: bool = False) -> SparseTensor:
-    events = _table(spark, sf_dir, "events")
-    return SparseTensor.from_table(events, ACTIVITY_DIMS, "1", combine)
+    frame = activity_frame(spark, sf_dir, combine)
+    return SparseTensor.from_frame(frame, distinct=combine, keep=combine)
 
 
 def _arrays(tensor: SparseTensor, rank: int) -> list[np.ndarray]:
@@ -106,19 +122,19 @@ def _supply_mttkrp(strategy: Callable, n: int, rank: int = RANK) -> Query:
 
 
 def tensor_build(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return supply(spark, sf_dir, combine=True).df
+    return supply_frame(spark, sf_dir)
 
 
 def events_tensor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return activity(spark, sf_dir, combine=True).df
+    return activity_frame(spark, sf_dir)
 
 
 def market_tensor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return market(spark, sf_dir, combine=True).df
+    return market_frame(spark, sf_dir)
 
 
 def coalesce_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return combine_coordinates(supply(spark, sf_dir, modes=2).df)
+    return supply_frame(spark, sf_dir, modes=2)
 
 
 def mode_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,14 +142,7 @@ def mode_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tensor_norm_sq(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lineitem = _table(spark, sf_dir, "lineitem")
-    nonzeros = combine_coordinates(
-        lineitem.select(
-            *[F.expr(d).cast("int").alias(f"i{n}") for n, d in enumerate(SUPPLY_DIMS)],
-            F.col("l_quantity").alias("val"),
-        )
-    )
-    return linalg.tensor_norm_sq(nonzeros)
+    return linalg.tensor_norm_sq(supply_frame(spark, sf_dir))
 
 
 def touched_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -434,8 +443,7 @@ def mttkrp_morton(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tns_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = supply(spark, sf_dir, combine=True)
-    return format_lines(t.df, t.num_modes)
+    return format_lines(supply_frame(spark, sf_dir), 3)
 
 
 def tns_parse(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,9 +7,11 @@ from collections.abc import Sequence
 from dataclasses import dataclass, replace
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from tensorspark.session import materialize
+
 MAX_MODES = 8
 MAX_MODE_SIZE = 2**32  # indices are unsigned 32-bit in the binary format
 
@@ -44,24 +46,32 @@ class SparseTensor:
         df: DataFrame,
         mode_sizes: Sequence[int] | None = None,
         distinct: bool = False,
+        keep: bool = False,
     ) -> SparseTensor:
         """Wrap a frame that already has columns ``i0 .. i{N-1}, val``.
 
-        One column-pruned aggregation finds the sizes, the count and the squared
-        norm and checks every index.
+        One aggregation finds the sizes, the count and the squared norm and checks every
+        index.  With ``keep=True`` the frame is written to the checkpoint folder in the
+        same pass; use it when the frame is costly to compute, such as a join.
         """
         num_modes = sum(1 for c in df.columns if c != "val")
         if not 1 <= num_modes <= MAX_MODES:
             raise ValueError(f"tensor needs 1 to {MAX_MODES} modes, got {num_modes}")
         idx = index_columns(num_modes)
         any_null = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in [*idx, "val"]])
-        row = df.agg(
+        measures = [
             F.count(F.lit(1)).alias("nnz"),
             F.coalesce(F.sum(F.col("val") * F.col("val")), F.lit(0.0)).alias("norm_sq"),
             F.count(F.when(any_null, 1)).alias("nulls"),
             *[F.max(c).cast("bigint").alias(f"max_{c}") for c in idx],
             *[F.min(c).cast("bigint").alias(f"min_{c}") for c in idx],
-        ).first()
+        ]
+        if keep:
+            seen = Observation()
+            df = materialize(df.observe(seen, *measures))
+            row = seen.get
+        else:
+            row = df.agg(*measures).first().asDict()
         if row["nnz"] == 0:
             raise ValueError("tensor has no nonzeros")
         if row["nulls"]:
@@ -83,19 +93,15 @@ class SparseTensor:
         value: Column | str,
         combine: bool = True,
         mode_sizes: Sequence[int] | None = None,
+        keep: bool | None = None,
     ) -> SparseTensor:
-        """Build a tensor from any table: one integer expression per mode and a measure.
+        """Build a tensor from any table (see :func:`tensor_frame`) and measure it.
 
-        ``combine=True`` sums the measure per coordinate.  MTTKRP is linear in the
-        values, so callers that only need it pass ``combine=False`` and save that shuffle.
+        A combined tensor is kept by default, so its GROUP BY runs once.
         """
-        df = table.select(
-            *[_as_column(d).cast("int").alias(c) for d, c in zip(dims, index_columns(len(dims)))],
-            _as_column(value).cast("double").alias("val"),
-        )
-        if combine:
-            df = combine_coordinates(df)
-        return cls.from_frame(df, mode_sizes, distinct=combine)
+        df = tensor_frame(table, dims, value, combine)
+        keep = combine if keep is None else keep
+        return cls.from_frame(df, mode_sizes, distinct=combine, keep=keep)
 
     # ---- simple views ------------------------------------------------------
 
@@ -123,7 +129,9 @@ class SparseTensor:
         """The tensor of :meth:`merged_frame`, measured again: merging changes the norm."""
         if self.distinct:
             return self
-        return SparseTensor.from_frame(self.merged_frame(), self.mode_sizes, distinct=True)
+        return SparseTensor.from_frame(
+            self.merged_frame(), self.mode_sizes, distinct=True, keep=True
+        )
 
     def with_frame(self, df: DataFrame) -> SparseTensor:
         return replace(self, df=df)
@@ -156,6 +164,21 @@ class SparseTensor:
         )
 
 
+def tensor_frame(
+    table: DataFrame, dims: Sequence[Column | str], value: Column | str, combine: bool = True
+) -> DataFrame:
+    """Nonzeros of a table: one integer expression per mode, and a measure.
+
+    ``combine=True`` sums the measure per coordinate.  MTTKRP is linear in the values, so
+    callers that only need it pass ``combine=False`` and save that shuffle.
+    """
+    df = table.select(
+        *[_as_column(d).cast("int").alias(c) for d, c in zip(dims, index_columns(len(dims)))],
+        _as_column(value).cast("double").alias("val"),
+    )
+    return combine_coordinates(df) if combine else df
+
+
 def combine_coordinates(df: DataFrame) -> DataFrame:
     """``GROUP BY`` all index columns, summing ``val``."""
     idx = [c for c in df.columns if c != "val"]
