@@ -109,7 +109,10 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -
         print("[main] --ooc needs --decompose cpals", file=sys.stderr)
         return 6
 
-    spark = spark or SparkSession.builder.appName("tensorspark").getOrCreate()
+    if spark is None:
+        # Superseded factors of earlier iterations are removed from the checkpoint folder.
+        clean = "spark.cleaner.referenceTracking.cleanCheckpoints"
+        spark = SparkSession.builder.appName("tensorspark").config(clean, "true").getOrCreate()
     t0 = time.perf_counter()
     try:
         tensor = read_tensor(

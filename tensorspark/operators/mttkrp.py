@@ -109,11 +109,11 @@ class PackedTensor:
 # ---- JVM strategies ----------------------------------------------------------
 
 
-def _factor_frame(tensor: SparseTensor, factor: Factor) -> DataFrame:
+def factor_frame(tensor: SparseTensor, factor: Factor) -> DataFrame:
     return factor if isinstance(factor, DataFrame) else from_dense(tensor.spark, factor)
 
 
-def _fits_broadcast(tensor: SparseTensor, w: int, rank: int, others: int) -> bool:
+def fits_broadcast(tensor: SparseTensor, w: int, rank: int, others: int) -> bool:
     return factor_bytes(tensor.mode_sizes[w], rank) <= BROADCAST_BYTES // max(1, others)
 
 
@@ -123,12 +123,12 @@ def mttkrp_long(tensor: SparseTensor, factors: Sequence[Factor], n: int, rank: i
     df = tensor.df
     product = F.col("val")
     for k, w in enumerate(others):
-        f = to_long(_factor_frame(tensor, factors[w]), rank).select(
+        f = to_long(factor_frame(tensor, factors[w]), rank).select(
             F.col("i").cast(df.schema[f"i{w}"].dataType).alias(f"i{w}"),
             F.col("r") if k == 0 else F.col("r").alias("r_join"),
             F.col("v").alias(f"v{w}"),
         )
-        if _fits_broadcast(tensor, w, rank, len(others)):
+        if fits_broadcast(tensor, w, rank, len(others)):
             f = F.broadcast(f)
         if k == 0:
             df = df.join(f, f"i{w}")
@@ -153,13 +153,13 @@ def mttkrp_wide(tensor: SparseTensor, factors: Sequence[Factor], n: int, rank: i
     Falls through to the salted shuffle join when a factor is too large to broadcast.
     """
     others = [w for w in range(tensor.num_modes) if w != n]
-    if not all(_fits_broadcast(tensor, w, rank, len(others)) for w in others):
+    if not all(fits_broadcast(tensor, w, rank, len(others)) for w in others):
         return mttkrp_shuffle(tensor, factors, n, rank)
     df = tensor.df
     products = [F.col("val")] * rank
     for w in others:
         names = [f"g{w}_{r}" for r in range(rank)]
-        f = _factor_frame(tensor, factors[w]).select(
+        f = factor_frame(tensor, factors[w]).select(
             F.col("i").cast(df.schema[f"i{w}"].dataType).alias(f"i{w}"),
             *[F.col(c).alias(g) for c, g in zip(factor_columns(rank), names)],
         )
@@ -189,6 +189,29 @@ def hot_indices(tensor: SparseTensor, modes: Sequence[int], shares: int) -> dict
     return {w: sorted(r["i"] for r in rows if r["w"] == w) for w in modes}
 
 
+def salted_join(
+    df: DataFrame, factor: DataFrame, w: int, rank: int, hot: list[int], how: str = "inner"
+) -> DataFrame:
+    """Sort-merge join of nonzeros with factor ``w``, whose columns become ``g0 ..``.
+
+    ``df`` carries a hash ``h`` of the (distinct) coordinates.  Rows with a hot index are
+    spread over salts by that hash, and the factor row is replicated once per salt.
+    """
+    width = parallelism(df.sparkSession)
+    f = factor.select(
+        F.col("i").cast(df.schema[f"i{w}"].dataType).alias(f"i{w}"),
+        *[F.col(c).alias(f"g{r}") for r, c in enumerate(factor_columns(rank))],
+    )
+    if not hot:
+        return df.join(f.hint("merge"), f"i{w}", how)
+    is_hot = F.col(f"i{w}").isin(hot)
+    every = F.sequence(F.lit(0), F.lit(width - 1))
+    f = f.withColumn("salt", F.explode(F.when(is_hot, every).otherwise(F.array(F.lit(0)))))
+    salt = F.when(is_hot, F.pmod("h", F.lit(width)).cast("int")).otherwise(F.lit(0))
+    joined = df.withColumn("salt", salt).join(f.hint("merge"), [f"i{w}", "salt"], how)
+    return joined.drop("salt")
+
+
 def mttkrp_shuffle(
     tensor: SparseTensor,
     factors: Sequence[Factor],
@@ -199,33 +222,14 @@ def mttkrp_shuffle(
     """Sort-merge joins with hot index values spread over salts.
 
     Repeated coordinates are merged first, so hashing the coordinates spreads any hot
-    value; the matching factor rows are replicated once per salt.
+    value.  After each join a row carries only the running products.
     """
-    width = parallelism(tensor.spark)
     others = [w for w in range(tensor.num_modes) if w != n]
-    hot_of = hot_indices(tensor, others, hot_shares or 2 * width)
+    hot = hot_indices(tensor, others, hot_shares or 2 * parallelism(tensor.spark))
     df = tensor.merged_frame().withColumn("h", F.xxhash64(*tensor.index_columns))
     products = ["val"] * rank
     for w in others:
-        hot = hot_of[w]
-        f = _factor_frame(tensor, factors[w]).select(
-            F.col("i").cast(df.schema[f"i{w}"].dataType).alias(f"i{w}"),
-            *[F.col(c).alias(f"g{r}") for r, c in enumerate(factor_columns(rank))],
-        )
-        keys = [f"i{w}"]
-        if hot:
-            salts = F.when(
-                F.col(f"i{w}").isin(hot), F.sequence(F.lit(0), F.lit(width - 1))
-            ).otherwise(F.array(F.lit(0)))
-            f = f.withColumn("salt", F.explode(salts))
-            df = df.withColumn(
-                "salt",
-                F.when(F.col(f"i{w}").isin(hot), F.pmod("h", F.lit(width)).cast("int")).otherwise(
-                    F.lit(0)
-                ),
-            )
-            keys.append("salt")
-        df = df.join(f.hint("merge"), keys)
+        df = salted_join(df, factor_frame(tensor, factors[w]), w, rank, hot[w])
         ahead = [f"i{m}" for m in range(tensor.num_modes) if m == n or m > w]
         df = df.select(
             *ahead, "h", *[(F.col(p) * F.col(f"g{r}")).alias(f"p{r}") for r, p in enumerate(products)]
@@ -343,7 +347,7 @@ def mttkrp(
     if strategy == "shuffle":
         return mttkrp_shuffle(tensor, factors, n, rank)
     if strategy == "blocked":
-        frames = [_factor_frame(tensor, f) for f in factors]
+        frames = [factor_frame(tensor, f) for f in factors]
         return mttkrp_blocked(BlockedTensor.build(tensor, rank), frames, n, rank)
     if strategy == "long":
         wide = mttkrp_long(tensor, factors, n, rank).groupBy("i")
@@ -368,7 +372,7 @@ def mttkrp_all(
     if strategy == "arrow":
         return mttkrp_all_arrow(tensor, factors, rank)
     if strategy == "blocked":
-        frames = [_factor_frame(tensor, f) for f in factors]
+        frames = [factor_frame(tensor, f) for f in factors]
         return mttkrp_all_blocked(BlockedTensor.build(tensor, rank), frames, rank)
     raise ValueError(f"no all-modes form of strategy {strategy!r}")
 

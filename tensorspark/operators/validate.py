@@ -10,10 +10,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tensorspark.functions import dense
-from tensorspark.functions.factors import factor_bytes, factor_columns
+from tensorspark.functions.factors import factor_columns
 from tensorspark.operators import linalg
-from tensorspark.operators.mttkrp import Factor, _factor_frame
-from tensorspark.plans.strategy import BROADCAST_BYTES
+from tensorspark.operators.mttkrp import (
+    Factor,
+    factor_frame,
+    fits_broadcast,
+    hot_indices,
+    mttkrp,
+    salted_join,
+)
+from tensorspark.session import parallelism
 from tensorspark.tensor import SparseTensor
 
 
@@ -54,25 +61,35 @@ def compare_factors(got: DataFrame, want: DataFrame, rank: int, prefix: str = "y
 def model_at_nonzeros(
     tensor: SparseTensor, factors: Sequence[Factor], lam: Sequence[float]
 ) -> DataFrame:
-    """The nonzeros with the model value at each: ``[i0 .., val, model]``.
+    """Value and model value per coordinate: ``[i0 .., val, model]``.
 
-    Factors are joined, broadcast only while small; a row absent from a factor is zero.
+    Repeated coordinates are summed.  Factors are broadcast while small and otherwise
+    joined by shuffle with hot indices salted; a row absent from a factor is zero.
     """
-    rank = len(lam)
-    df = tensor.df
+    rank, modes = len(lam), range(tensor.num_modes)
+    large = [w for w in modes if not fits_broadcast(tensor, w, rank, tensor.num_modes)]
+    hot = hot_indices(tensor, large, 2 * parallelism(tensor.spark)) if large else {}
+    df = tensor.merged_frame().withColumn("h", F.xxhash64(*tensor.index_columns))
     terms = [F.lit(float(v)) for v in lam]
-    for w in range(tensor.num_modes):
-        names = [f"g{w}_{r}" for r in range(rank)]
-        f = _factor_frame(tensor, factors[w]).select(
-            F.col("i").cast(df.schema[f"i{w}"].dataType).alias(f"i{w}"),
-            *[F.col(c).alias(g) for c, g in zip(factor_columns(rank), names)],
-        )
-        if factor_bytes(tensor.mode_sizes[w], rank) <= BROADCAST_BYTES // tensor.num_modes:
-            f = F.broadcast(f)
-        df = df.join(f, f"i{w}", "left")
-        terms = [t * F.coalesce(F.col(g), F.lit(0.0)) for t, g in zip(terms, names)]
-    model = reduce(lambda x, y: x + y, terms)
-    return df.select(*tensor.index_columns, "val", model.alias("model"))
+    for w in modes:
+        f = factor_frame(tensor, factors[w])
+        if w in hot:
+            df = salted_join(df, f, w, rank, hot[w], "left")
+        else:
+            rows = f.select(
+                F.col("i").cast(df.schema[f"i{w}"].dataType).alias(f"i{w}"),
+                *[F.col(c).alias(f"g{r}") for r, c in enumerate(factor_columns(rank))],
+            )
+            df = df.join(F.broadcast(rows), f"i{w}", "left")
+        grown = [
+            (t * F.coalesce(F.col(f"g{r}"), F.lit(0.0))).alias(f"p{r}")
+            for r, t in enumerate(terms)
+        ]
+        df = df.select(*tensor.index_columns, "val", "h", *grown)
+        terms = [F.col(f"p{r}") for r in range(rank)]
+    return df.select(
+        *tensor.index_columns, "val", reduce(lambda x, y: x + y, terms).alias("model")
+    )
 
 
 def exact_residual(
@@ -80,20 +97,21 @@ def exact_residual(
 ) -> DataFrame:
     """``[norm_sq, inner, model_sq, resid_sq]`` in float64, without forming the model.
 
-    ``inner`` sums over the nonzeros; ``model_sq`` needs only the Gram matrices.
+    ``inner`` is the weighted dot of one factor with its MTTKRP, which holds for any
+    factors; ``model_sq`` needs only the Gram matrices.
     """
     rank = len(lam)
-    grams = [linalg.gram(_factor_frame(tensor, f), rank) for f in factors]
+    frames = [factor_frame(tensor, f) for f in factors]
+    grams = [linalg.gram(f, rank) for f in frames]
     model_sq = dense.model_norm_sq(grams, np.asarray(lam, dtype=np.float64))
-    sums = model_at_nonzeros(tensor, factors, lam).agg(
-        F.sum(F.col("val") * F.col("val")).alias("norm_sq"),
-        F.sum(F.col("val") * F.col("model")).alias("inner"),
-    )
-    return sums.select(
-        "norm_sq",
-        "inner",
+    names = dict(zip(factor_columns(rank, "y"), factor_columns(rank)))
+    yhat = mttkrp(tensor, factors, 0, rank).withColumnsRenamed(names)
+    inner = F.coalesce(F.col("inner"), F.lit(0.0))
+    return linalg.weighted_col_dot(frames[0], yhat, lam, rank).select(
+        F.lit(tensor.norm_sq).alias("norm_sq"),
+        inner.alias("inner"),
         F.lit(model_sq).alias("model_sq"),
-        (F.col("norm_sq") - 2 * F.col("inner") + F.lit(model_sq)).alias("resid_sq"),
+        (F.lit(tensor.norm_sq) - 2 * inner + F.lit(model_sq)).alias("resid_sq"),
     )
 
 

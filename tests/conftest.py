@@ -9,11 +9,11 @@ from pyspark.sql import SparkSession
 sys.path.insert(0, os.path.join(os.path.dirname(os.path.abspath(__file__)), ".."))
 
 
-def make_session(cores: int = 8) -> SparkSession:
+def make_session(cores: int = 4) -> SparkSession:
     session = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName("tensorspark-tests")
-        .config("spark.sql.shuffle.partitions", "8")
+        .config("spark.sql.shuffle.partitions", "4")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "6g")

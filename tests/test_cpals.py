@@ -190,6 +190,19 @@ def test_distributed_algebra_equals_dense(spark):
     assert linalg.frob_norm_sq(fy, 4).first()[0] == pytest.approx((y * y).sum())
 
 
+def test_model_with_factors_above_the_broadcast_limit(spark, monkeypatch):
+    from tensorspark.operators import mttkrp as mt
+
+    rows = [(k % 3 and 1, k % 7, 1.0) for k in range(60)]
+    t = SparseTensor.from_frame(spark.createDataFrame(rows, "i0 int, i1 int, val double"))
+    factors = [from_dense(spark, f).where("i <> 2") for f in starts(t, 2, 0)]
+    small = sorted(map(tuple, validate.model_at_nonzeros(t, factors, [1.0, 2.0]).collect()))
+    monkeypatch.setattr(mt, "BROADCAST_BYTES", 0)
+    large = sorted(map(tuple, validate.model_at_nonzeros(t, factors, [1.0, 2.0]).collect()))
+    assert large == small and len(small) == 14
+    assert sum(r[2] for r in small) == 60.0
+
+
 def test_compare_factors(spark):
     a = np.array([[1.0, 2.0], [3.0, 4.0]])
     want = from_dense(spark, a)
