@@ -49,7 +49,7 @@ def default_cell_nnz(num_modes: int, rank: int) -> int:
 @dataclass(frozen=True)
 class BlockedTensor:
     cells: DataFrame  # [cell, n, i0 .. val]: chunk rows, hash-partitioned by cell
-    demand: tuple[DataFrame, ...]  # per mode [cell, i], hash-partitioned by i
+    demand: tuple[DataFrame, ...]  # per mode [cell, i], hash-partitioned and sorted by i
     mode_sizes: tuple[int, ...]
     parts: int
 
@@ -71,7 +71,9 @@ class BlockedTensor:
             packed.repartition(parts, "cell").sortWithinPartitions("cell")
         )
         demand = tuple(
-            materialize_partitioned(_demand(cells, n, num_modes).repartition(parts, "i"))
+            materialize_partitioned(
+                _demand(cells, n, num_modes).repartition(parts, "i").sortWithinPartitions("i")
+            )
             for n in range(num_modes)
         )
         return cls(cells, demand, tensor.mode_sizes, parts)

@@ -79,7 +79,8 @@ class PackedTensor:
         tasks = tensor.spark.sparkContext.defaultParallelism
         chunk_nnz = min(CHUNK_NNZ, max(1024, -(-tensor.nnz // (2 * tasks))))
         packed = cls.of(tensor, chunk_nnz)
-        if tensor.nnz <= CHUNK_NNZ * tasks * 4:
+        small = tensor.nnz <= CHUNK_NNZ * tasks * 4
+        if small or packed.df.rdd.getNumPartitions() < tasks:
             return cls(packed.df.repartition(tasks), packed.mode_sizes)
         return packed
 

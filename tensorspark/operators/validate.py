@@ -120,6 +120,12 @@ def true_fit(tensor: SparseTensor, factors: Sequence[Factor], lam: Sequence[floa
     return dense.residual_and_fit(row["norm_sq"], row["inner"], row["model_sq"])[1]
 
 
+def fits_agree(fit: float, reference: float) -> bool:
+    """Fixed tolerances: 1e-3 absolute, or one percent of the reference fit."""
+    change = abs(fit - reference)
+    return change < 1e-3 or change < 0.01 * max(abs(reference), 1e-6)
+
+
 def factor_similarity(truth: Sequence[DataFrame], found: Sequence[DataFrame], rank: int) -> float:
     """Mean absolute cosine of matched columns; 1.0 means equal up to order, sign, scale.
 

@@ -16,7 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import (
     DataSource,
     DataSourceArrowWriter,
@@ -270,17 +270,18 @@ def read_dnb(spark: SparkSession, path: str, chunk_nnz: int | None = None) -> Sp
     return SparseTensor.from_frame(reader.load(path), read_parts(path)[1])
 
 
-def write_dnb(tensor: SparseTensor, path: str, mode: str = "overwrite") -> None:
+def write_frame(df: DataFrame, num_modes: int, path: str, sizes: Sequence[int] | None) -> None:
+    """Write nonzero rows as a folder of part files; sizes may exceed the largest index."""
+    register(df.sparkSession)
+    writer = df.select(*index_columns(num_modes), "val").write.format("dnb").mode("overwrite")
+    if sizes:
+        writer = writer.option("mode_sizes", ",".join(map(str, sizes)))
+    writer.save(path)
+
+
+def write_dnb(tensor: SparseTensor, path: str) -> None:
     """Write a folder of part files in parallel; values become f32."""
-    register(tensor.spark)
-    columns = [*tensor.index_columns, "val"]
-    (
-        tensor.df.select(*columns)
-        .write.format("dnb")
-        .mode("append" if mode == "append" else "overwrite")
-        .option("mode_sizes", ",".join(map(str, tensor.mode_sizes)))
-        .save(path)
-    )
+    write_frame(tensor.df, tensor.num_modes, path, tensor.mode_sizes)
 
 
 def export_file(spark: SparkSession, folder: str, target: str) -> DnbHeader:

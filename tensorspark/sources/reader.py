@@ -6,8 +6,8 @@ import os
 
 from pyspark.sql import SparkSession
 
-from tensorspark.sources.dnb import cache_is_fresh, read_dnb, write_dnb
-from tensorspark.sources.tns import read_tns
+from tensorspark.sources.dnb import cache_is_fresh, read_dnb, write_frame
+from tensorspark.sources.tns import read_tns, tns_frame
 from tensorspark.tensor import SparseTensor
 
 
@@ -36,10 +36,15 @@ def read_tensor(
             return read_dnb(spark, copy, chunk_nnz)
         except ValueError as stale:
             print(f"[io] ignoring unreadable cache {copy}: {stale}")
-    tensor = read_tns(spark, path)
     if cache:
-        write_dnb(tensor, copy)
-    return tensor
+        # Go on from the copy: it is faster to re-read, and later runs see the same values.
+        nonzeros, num_modes, sizes = tns_frame(spark, path)
+        try:
+            write_frame(nonzeros, num_modes, copy, sizes)
+            return read_dnb(spark, copy, chunk_nnz)
+        except PermissionError as failed:
+            print(f"[io] cannot write {copy}: {failed}")
+    return read_tns(spark, path)
 
 
 def _guess(path: str) -> str:

@@ -79,8 +79,8 @@ def parse_lines(lines: DataFrame, num_modes: int) -> DataFrame:
     )
 
 
-def read_tns(spark: SparkSession, path: str) -> SparseTensor:
-    """Read text coordinates; splits are parsed in parallel."""
+def tns_frame(spark: SparkSession, path: str) -> tuple[DataFrame, int, list[int] | None]:
+    """Unmeasured nonzeros of a text tensor, its number of modes and its header sizes."""
     lines = _lines(spark, path)
     num_modes, sizes, header = _peek(lines)
     if not 1 <= num_modes <= MAX_MODES:
@@ -90,11 +90,16 @@ def read_tns(spark: SparkSession, path: str) -> SparseTensor:
     lines = lines.where(F.size("tok") >= 2)
     if sizes:
         lines = lines.where(~(F.col("at_start") & (F.col("line") == header[1])))
-    nonzeros = parse_lines(lines, num_modes)
-    tensor = SparseTensor.from_frame(nonzeros, sizes)
+    return parse_lines(lines, num_modes), num_modes, sizes
+
+
+def read_tns(spark: SparkSession, path: str) -> SparseTensor:
+    """Read text coordinates; splits are parsed in parallel, and only once."""
+    nonzeros, _, sizes = tns_frame(spark, path)
+    tensor = SparseTensor.from_frame(nonzeros, sizes, keep=True)
     if max(tensor.mode_sizes) < 2**31:
         narrow = [F.col(c).cast("int").alias(c) for c in tensor.index_columns]
-        tensor = tensor.with_frame(nonzeros.select(*narrow, "val"))
+        tensor = tensor.with_frame(tensor.df.select(*narrow, "val"))
     return tensor
 
 

@@ -83,3 +83,24 @@ def test_out_of_core(spark):
         spark, TINY, "--no-cache", "--ooc", "on", "--decompose", "cpals", "--rank", 1,
         "--cp-iters", 1, "--threads", 4,
     ) == 0
+
+
+def test_tools(spark, tmp_path, capsys):
+    from tensorspark.sources.reader import read_tensor
+    from tensorspark.tools import main as tool
+
+    text, binary, back, dump = (str(tmp_path / n) for n in ("t", "t.dnb", "b", "truth"))
+    sizes = ["5", "4", "3"]
+    assert tool(["generate", text, "--sizes", *sizes, "--rank", "2", "--truth", dump], spark) == 0
+    assert tool(["check", "--tensor", text, "--cp-dump", dump], spark) == 0
+    out = capsys.readouterr().out
+    assert float(out.split("fit = ")[1]) > 0.999
+    both = ["--tensor", text, "--cp-dump", dump, "--reference", dump]
+    assert tool(["compare", *both], spark) == 0
+    assert "factor similarity 1.0000" in capsys.readouterr().out
+    assert tool(["convert", text, binary], spark) == 0
+    assert tool(["convert", binary, back], spark) == 0
+    counts = [read_tensor(spark, p).nnz for p in (text, binary, back)]
+    assert counts == [60, 60, 60]
+    assert tool(["generate", str(tmp_path / "u"), "--sizes", "9", "9", "--nnz", "20"], spark) == 0
+    assert tool(["generate", str(tmp_path / "v"), "--sizes", "9", "9"], spark) == 1
