@@ -160,33 +160,86 @@ def _als_rank2() -> str:
   FROM y, g"""
 
 
-def _rank1_sweeps(sweeps: int) -> str:
-    """Rank-1 Gauss-Seidel sweeps on the market tensor as a chain of CTEs."""
-    ctes = [f"t AS ({_summed(MARKET, 4)})"]
+def _sweeps(sweeps: int, rank: int) -> list[str]:
+    """Gauss-Seidel sweeps on the market tensor, rank 1 or 2, as a chain of CTEs.
+
+    ``c{n}_{k}(i, v0[, v1])`` are the factors after sweep ``k`` and ``l{n}_{k}`` their norms;
+    the rank-2 system is solved with the explicit inverse.
+    """
+    ranks = range(rank)
+    ctes = [f"t AS MATERIALIZED ({_summed(MARKET, 4)})"]
     for n in range(4):
-        ctes.append(f"c{n}_0 AS (SELECT DISTINCT i{n} AS i, CAST(1 AS DOUBLE) AS v FROM t)")
-    fits = []
+        start = ", ".join(
+            f"CAST({'1' if rank == 1 else f'((i * {7 + 2 * n} + {(r + 1) * (13 + n)}) % 11) - 5'} "
+            f"AS DOUBLE) AS v{r}"
+            for r in ranks
+        )
+        ctes.append(
+            f"c{n}_0 AS MATERIALIZED (SELECT i, {start} FROM (SELECT DISTINCT i{n} AS i FROM t))"
+        )
     for k in range(1, sweeps + 1):
         for n in range(4):
             others = [(w, k if w < n else k - 1) for w in range(4) if w != n]
             joins = " ".join(f"JOIN c{w}_{p} ON c{w}_{p}.i = t.i{w}" for w, p in others)
-            product = " * ".join(["val", *[f"c{w}_{p}.v" for w, p in others]])
-            scale = " * ".join(f"(SELECT sum(v * v) FROM c{w}_{p})" for w, p in others)
+            sums = ", ".join(
+                f"sum({' * '.join(['val', *[f'c{w}_{p}.v{r}' for w, p in others]])}) AS y{r}"
+                for r in ranks
+            )
             ctes.append(
-                f"x{n}_{k} AS (SELECT i{n} AS i, sum({product}) / ({scale}) AS x "
-                f"FROM t {joins} GROUP BY i{n})"
+                f"y{n}_{k} AS MATERIALIZED (SELECT i{n} AS i, {sums} FROM t {joins} GROUP BY i{n})"
             )
-            ctes.append(f"l{n}_{k} AS (SELECT sqrt(sum(x * x)) AS lam FROM x{n}_{k})")
-            ctes.append(f"c{n}_{k} AS (SELECT i, x / lam AS v FROM x{n}_{k}, l{n}_{k})")
-        model = " * ".join(["lam", *[f"c{w}_{k}.v" for w in range(4)]])
-        joins = " ".join(f"JOIN c{w}_{k} ON c{w}_{k}.i = t.i{w}" for w in range(4))
-        ctes.append(
-            f"fit_{k} AS (SELECT CAST({k - 1} AS INTEGER) AS iter, "
-            f"round(1 - sqrt(greatest(0, sum(val * val) - 2 * sum(val * {model}) "
-            f"+ max(lam * lam))) / sqrt(sum(val * val)), 6) AS fit FROM t {joins}, l3_{k})"
+
+            def cell(r: int, s: int) -> str:
+                return " * ".join(f"(SELECT sum(v{r} * v{s}) FROM c{w}_{p})" for w, p in others)
+
+            if rank == 1:
+                ctes.append(f"g{n}_{k} AS MATERIALIZED (SELECT {cell(0, 0)} AS a)")
+                solved = "y0 / a AS x0"
+            else:
+                ctes.append(
+                    f"g{n}_{k} AS MATERIALIZED (SELECT {cell(0, 0)} AS a, {cell(0, 1)} AS b, "
+                    f"{cell(1, 1)} AS d)"
+                )
+                solved = (
+                    "(y0 * d - y1 * b) / (a * d - b * b) AS x0, "
+                    "(y1 * a - y0 * b) / (a * d - b * b) AS x1"
+                )
+            ctes.append(f"x{n}_{k} AS MATERIALIZED (SELECT i, {solved} FROM y{n}_{k}, g{n}_{k})")
+            norms = ", ".join(f"sqrt(sum(x{r} * x{r})) AS lam{r}" for r in ranks)
+            ctes.append(f"l{n}_{k} AS MATERIALIZED (SELECT {norms} FROM x{n}_{k})")
+            scaled = ", ".join(f"x{r} / lam{r} AS v{r}" for r in ranks)
+            ctes.append(
+                f"c{n}_{k} AS MATERIALIZED (SELECT i, {scaled} FROM x{n}_{k}, l{n}_{k})"
+            )
+    return ctes
+
+
+def _sweep_fits(sweeps: int, rank: int) -> str:
+    """The fit after each sweep; the model is evaluated on every cell, as the tensor is small."""
+    parts = []
+    for k in range(1, sweeps + 1):
+        model = " + ".join(
+            " * ".join([f"lam{r}", *[f"c{w}_{k}.v{r}" for w in range(4)]]) for r in range(rank)
         )
-        fits.append(f"SELECT iter, fit FROM fit_{k}")
-    return f"WITH {', '.join(ctes)} {' UNION ALL '.join(fits)}"
+        cells = f"c0_{k}, c1_{k}, c2_{k}, c3_{k}, l3_{k}"
+        on = " AND ".join(f"t.i{w} = c{w}_{k}.i" for w in range(4))
+        parts.append(
+            f"SELECT CAST({k - 1} AS INTEGER) AS iter, "
+            f"round(1 - sqrt(sum((coalesce(val, 0) - m) * (coalesce(val, 0) - m))) "
+            f"/ sqrt(sum(coalesce(val, 0) * coalesce(val, 0))), 6) AS fit "
+            f"FROM (SELECT val, {model} AS m FROM {cells.replace(', ', ' CROSS JOIN ')} "
+            f"LEFT JOIN t ON {on})"
+        )
+    return f"WITH {', '.join(_sweeps(sweeps, rank))} {' UNION ALL '.join(parts)}"
+
+
+def _sweep_factors(sweeps: int, rank: int) -> str:
+    cells = ", ".join(f"round(v{r}, 6) + 0.0 AS f{r}" for r in range(rank))
+    parts = [
+        f"SELECT CAST({n} AS INTEGER) AS mode, CAST(i AS BIGINT) AS i, {cells} FROM c{n}_{sweeps}"
+        for n in range(4)
+    ]
+    return f"WITH {', '.join(_sweeps(sweeps, rank))} {' UNION ALL '.join(parts)}"
 
 
 def _rank1_jacobi() -> str:
@@ -309,8 +362,10 @@ ORACLES: dict[str, str] = {
       SELECT i, round(y / ((SELECT sum(v * v) FROM f1) * (SELECT sum(v * v) FROM f2)), 6) + 0.0 AS f0
       FROM y""",
     "als_rank2_update": _als_rank2(),
-    "als_rank1_fit": _rank1_sweeps(2),
-    "als_rank1_fit_frames": _rank1_sweeps(2),
+    "als_rank1_fit": _sweep_fits(2, 1),
+    "als_rank1_fit_frames": _sweep_fits(2, 1),
+    "als_rank2_fit": _sweep_fits(2, 2),
+    "als_rank2_factors": _sweep_factors(2, 2),
     "jacobi_rank1_fit": _rank1_jacobi(),
     "model_at_nonzeros": _model_at(),
     "residual_exact": _residual(),

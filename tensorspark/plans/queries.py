@@ -13,6 +13,7 @@ compared by value.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -357,6 +358,26 @@ def als_rank1_fit_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _history(spark, t, opt)
 
 
+def _rank2(spark: SparkSession, sf_dir: str) -> tuple[SparseTensor, CpOptions]:
+    t = market(spark, sf_dir, combine=True)
+    return t, CpOptions(rank=2, max_iters=2, tol=0.0, ridge=0.0, init=_arrays(t, 2))
+
+
+def als_rank2_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _history(spark, *_rank2(spark, sf_dir))
+
+
+def als_rank2_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    frames = cpals(*_rank2(spark, sf_dir)).factor_frames(spark)
+    return reduce(
+        DataFrame.unionAll,
+        [
+            _rounded(f, factor_columns(2)).select(F.lit(n).alias("mode"), "i", *factor_columns(2))
+            for n, f in enumerate(frames)
+        ],
+    )
+
+
 def jacobi_rank1_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = market(spark, sf_dir, combine=True)
     opt = CpOptions(rank=1, max_iters=1, tol=0.0, init=_rank1_start(t), kernel="jacobi")
@@ -377,14 +398,13 @@ def cpals_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All factor rows of a fitted activity model, scaled columns and weights."""
     t = activity(spark, sf_dir, combine=True)
     result = cpals(t, CpOptions(rank=2, max_iters=3, tol=0.0))
-    frames = [
-        f.select(F.lit(n).alias("mode"), "i", *factor_columns(2))
-        for n, f in enumerate(result.factor_frames(spark))
-    ]
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionAll(f)
-    return out
+    return reduce(
+        DataFrame.unionAll,
+        [
+            f.select(F.lit(n).alias("mode"), "i", *factor_columns(2))
+            for n, f in enumerate(result.factor_frames(spark))
+        ],
+    )
 
 
 def factor_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -511,6 +531,8 @@ QUERIES: dict[str, Query] = {
     "als_rank2_update": als_rank2_update,
     "als_rank1_fit": als_rank1_fit,
     "als_rank1_fit_frames": als_rank1_fit_frames,
+    "als_rank2_fit": als_rank2_fit,
+    "als_rank2_factors": als_rank2_factors,
     "jacobi_rank1_fit": jacobi_rank1_fit,
     "cpals_gauss_seidel": cpals_gauss_seidel,
     "cpals_jacobi": cpals_jacobi,
