@@ -39,6 +39,8 @@ from tensorspark.tensor import SparseTensor
 
 # Memory one co-grouped cell may take: its nonzeros plus the factor rows it needs.
 CELL_BYTES = 256 << 20
+# A small tensor does not need as many partitions as the session would give it.
+MIN_PART_NNZ = 1 << 16
 
 
 def default_cell_nnz(num_modes: int, rank: int) -> int:
@@ -57,10 +59,16 @@ class BlockedTensor:
     def build(
         cls, tensor: SparseTensor, rank: int, cell_nnz: int | None = None
     ) -> BlockedTensor:
-        """Lay the tensor out and checkpoint it; the layout serves any number of MTTKRPs."""
+        """Lay the tensor out and checkpoint it; the layout serves any number of MTTKRPs.
+
+        The layout job is planned without AQE.  A tensor whose frame is itself a join
+        should be kept first (``from_frame(.., keep=True)``), so that AQE can split its
+        skewed partitions.
+        """
         tensor = tensor.with_frame(tensor.merged_frame())
         num_modes = tensor.num_modes
-        parts = parallelism(tensor.spark)
+        enough = max(tensor.spark.sparkContext.defaultParallelism, tensor.nnz // MIN_PART_NNZ)
+        parts = min(parallelism(tensor.spark), enough)
         # Coordinates are distinct here, so the curve order is total and a retried task
         # cuts the same cells; the checkpoint then fixes their ids for good.
         packed = _curve_order(tensor, parts).mapInArrow(

@@ -146,12 +146,21 @@ def test_cells_are_bounded_and_cover_everything(spark):
         assert (got == brute(dense_rows(t), arrays, n)).all()
 
 
-def test_blocked_does_not_reshuffle_the_tensor(spark):
+@pytest.mark.parametrize("width", ["4", "64"])
+def test_blocked_does_not_reshuffle_the_tensor(spark, width):
     t = uniform_tensor(spark, (40, 30, 20), 2000)
-    blocked = BlockedTensor.build(t, 2)
-    factors = integer_factors(spark, t.mode_sizes, 2)
-    out = mttkrp_all_blocked(blocked, factors, 2)
-    text = out._jdf.queryExecution().toString()
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", width)
+    try:
+        blocked = BlockedTensor.build(t, 2)
+        factors = integer_factors(spark, t.mode_sizes, 2)
+        out = mttkrp_all_blocked(blocked, factors, 2)
+        text = out._jdf.queryExecution().toString()
+        got = to_dense(out.where("mode = 0"), 40, 2, "y")
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    arrays = [integer_factor_array(s, n, 2) for n, s in enumerate(t.mode_sizes)]
+    assert np.allclose(got, brute(dense_rows(t), arrays, 0))
     physical = text[text.index("== Physical Plan ==") :]
     left = physical[physical.index("FlatMapCoGroupsInArrow") :].split("Scan ExistingRDD")[0]
     assert "Exchange" not in left
