@@ -211,7 +211,7 @@ def mttkrp_2mode(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mttkrp_4mode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = market(spark, sf_dir)
+    t = market(spark, sf_dir, combine=True)
     return mt.mttkrp(t, _arrays(t, RANK), 0, RANK)
 
 
@@ -472,7 +472,7 @@ def tns_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
         " ", *[(F.expr(d) + 1).cast("string") for d in SUPPLY_DIMS], F.col("l_quantity").cast("string")
     )
     lines = _table(spark, sf_dir, "lineitem").select(line.alias("line"))
-    return parse_lines(lines.withColumn("tok", F.split("line", " ")), 3)
+    return parse_lines(lines, 3)
 
 
 def dnb_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -63,6 +63,11 @@ def test_duplicates_are_kept(spark, tmp_path):
     assert (c.nnz, c.norm_sq) == (2, 26.0)
 
 
+def test_number_spellings(spark, tmp_path):
+    t = read(spark, tmp_path, "+1 2 +3.5\n2 1 .5\n3 3 -1E-2\n")
+    assert rows(t) == [(0, 1, 3.5), (1, 0, 0.5), (2, 2, -0.01)]
+
+
 def test_fractional_index_is_truncated(spark, tmp_path):
     assert rows(read(spark, tmp_path, "1.9 2.2 5\n")) == [(0, 1, 5.0)]
 
