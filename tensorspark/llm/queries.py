@@ -6,11 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tensorspark.llm import packing, token_files
+from tensorspark.llm import exact_dedup, packing, site_lines, token_files, warc
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_files": token_files.query,
+    "op4_site_lines": site_lines.query,
     "op5_curve_packing": packing.query,
+    "op6_zstd_warc": warc.query,
+    "op8_hash_index_dedup": exact_dedup.query,
 }
 
-LLM_ORACLES: dict[str, str] = {}
+LLM_ORACLES: dict[str, str] = {
+    "op4_site_lines": site_lines.SQL,
+    "op6_zstd_warc": warc.SQL,
+    "op8_hash_index_dedup": exact_dedup.SQL,
+}

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 from array import array
 
+import numpy as np
 import public_tokenizers
 import tokenizers
 
@@ -16,23 +17,31 @@ _TO_SPACE = bytes(0x20 if b in (0x09, 0x0A, 0x0D) else b for b in range(256))
 _TO_LOWER = bytes(b + 0x20 if 0x41 <= b <= 0x5A else b for b in _TO_SPACE)
 
 
+#: Stands between parts that are encoded together; parts that contain it are encoded alone.
+_BETWEEN = b"\x1f"
+_TOGETHER = 1000
+
+
 class Encoder:
     """Encodes UTF-8 texts to little-endian unsigned 32-bit ids.
 
     A tokenizer that drops blanks and case gives a text the ids of its blank-separated
-    parts, one after the other; parts are then encoded once and kept, up to ``KEPT`` of
-    them.  Other tokenizers see whole texts.
+    parts, one after the other; parts are then encoded once and kept.  Two generations of
+    ``KEPT`` parts are held, and parts still in use move to the newer one.  Other tokenizers
+    see whole texts.
     """
 
-    KEPT = 600_000
+    KEPT = 350_000
     LONGEST = 48
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = tokenizers.Tokenizer.from_file(path)
-        ids = self._ids([b"a  B\n\tc,", b"a", b"b", b"c", b",", b" \n\t\r"])
-        self.by_part = ids[0] == b"".join(ids[1:5]) and not ids[5]
+        ids = self._ids([b"a  B\n\tc,", b"a", b"b", b"c", b",", b" \n\t\r", _BETWEEN])
+        self.by_part = ids[0] == b"".join(ids[1:5]) and not ids[5] and len(ids[6]) == 4
+        self.between = int.from_bytes(ids[6][:4], "little")
         self.kept: dict[bytes, bytes] = {b"": b""}
+        self.older: dict[bytes, bytes] = {}
 
     def _ids(self, texts: list[bytes]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(
@@ -40,23 +49,45 @@ class Encoder:
         )
         return [array("I", e.ids).tobytes() for e in found]
 
+    def _encode_parts(self, parts: list[bytes]) -> dict[bytes, bytes]:
+        alone = [p for p in parts if _BETWEEN in p]
+        parts = [p for p in parts if _BETWEEN not in p]
+        found = dict(zip(alone, self._ids(alone), strict=True))
+        runs = [parts[i : i + _TOGETHER] for i in range(0, len(parts), _TOGETHER)]
+        joined = self._ids([(b" " + _BETWEEN + b" ").join(run) for run in runs])
+        for run, raw in zip(runs, joined, strict=True):
+            cuts = 4 * np.flatnonzero(np.frombuffer(raw, np.uint32) == self.between)
+            begins, ends = [0, *(cuts + 4).tolist()], [*cuts.tolist(), len(raw)]
+            found.update(
+                (p, raw[a:b]) for p, a, b in zip(run, begins, ends, strict=True)
+            )
+        return found
+
     def _learn(self, parts: set[bytes]) -> dict[bytes, bytes]:
-        """Ids of new parts.  A comma or point after letters is a word of its own."""
-        ended = {p for p in parts if p[-1:] in (b",", b".") and p[:-1].isalpha()}
-        whole = (parts - ended) | {p[:-1] for p in ended} | {b",", b"."}
-        whole = [p for p in whole if p not in self.kept]
-        found = dict(zip(whole, self._ids(whole), strict=True))
-        self.kept.update((p, i) for p, i in found.items() if len(p) <= self.LONGEST)
-        both = self.kept | found if any(len(p) > self.LONGEST for p in whole) else self.kept
+        """Ids of all that is known and of new parts.
+
+        A comma or point after nothing but letters is a word of its own.
+        """
+        known, new = self.kept, []
+        for p in parts:
+            if p in self.older:
+                known[p] = self.older[p]
+            else:
+                new.append(p)
+        ended = [p for p in new if p[-1:] in (b",", b".") and _letters(p[:-1])]
+        whole = set(new).difference(ended).union((p[:-1] for p in ended), (b",", b"."))
+        found = self._encode_parts([p for p in whole if p not in known])
         for p in ended:
-            both[p] = both[p[:-1]] + both[p[-1:]]
-        return both
+            stem, mark = p[:-1], p[-1:]
+            found[p] = (found.get(stem) or known[stem]) + (found.get(mark) or known[mark])
+        known.update((p, i) for p, i in found.items() if len(p) <= self.LONGEST)
+        return known | found if any(len(p) > self.LONGEST for p in found) else known
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         if not self.by_part:
             return self._ids(texts)
         if len(self.kept) > self.KEPT:
-            self.kept = {b"": b""}
+            self.older, self.kept = self.kept, {b"": b""}
         # The names of special tokens are found before case is dropped.
         split = [
             t.translate(_TO_SPACE if b"<|" in t else _TO_LOWER).split(b" ") for t in texts
@@ -66,6 +97,11 @@ class Encoder:
         return [b"".join(map(known, parts)) for parts in split]
 
 
+def _letters(part: bytes) -> bool:
+    text = part.decode()
+    return text.isalpha() and max(text) < "\u0250"
+
+
 def encoder(path: str) -> Encoder:
     """One encoder for each tokenizer and worker.
 
