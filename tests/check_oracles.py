@@ -31,16 +31,29 @@ def canonical(df: pd.DataFrame) -> pd.DataFrame:
     return df.sort_values(list(df.columns), ignore_index=True)
 
 
+def nullable(df: pd.DataFrame) -> pd.DataFrame:
+    """Whole-number columns in one type, whether or not the reader saw nulls in them."""
+    whole = {
+        c: "Int64"
+        for c in df.columns
+        if pd.api.types.is_numeric_dtype(df[c])
+        and not pd.api.types.is_bool_dtype(df[c])
+        and df[c].isna().any()
+        and (df[c].dropna() % 1 == 0).all()
+    }
+    return df.astype(whole)
+
+
 def difference(got: pd.DataFrame, want: pd.DataFrame) -> str | None:
     if sorted(got.columns) != sorted(want.columns):
         return f"columns {sorted(got.columns)} vs {sorted(want.columns)}"
     if len(got) != len(want):
         return f"{len(got)} rows vs {len(want)}"
-    got, want = canonical(got), canonical(want)
+    got, want = canonical(nullable(got)), canonical(nullable(want))
     for c in got.columns:
         if str(got[c].dtype) != str(want[c].dtype):
             return f"{c}: {got[c].dtype} vs {want[c].dtype}"
-        same = got[c].to_numpy() == want[c].to_numpy()
+        same = ((got[c] == want[c]) | (got[c].isna() & want[c].isna())).fillna(False).to_numpy()
         if not same.all():
             at = int((~same).argmax())
             return f"{c}: {got[c][at]!r} vs {want[c][at]!r} in row {at}"
