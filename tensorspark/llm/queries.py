@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tensorspark.llm import exact_dedup, packing, site_lines, token_files, warc
+from tensorspark.llm import exact_dedup, near_dedup, packing, site_lines, token_files, warc
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_files": token_files.query,
+    "op3_hamming_near_dedup": near_dedup.query,
     "op4_site_lines": site_lines.query,
     "op5_curve_packing": packing.query,
     "op6_zstd_warc": warc.query,
