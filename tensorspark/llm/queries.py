@@ -6,7 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tensorspark.llm import exact_dedup, near_dedup, packing, site_lines, token_files, warc
+from tensorspark.llm import (
+    decontaminate,
+    exact_dedup,
+    near_dedup,
+    packing,
+    site_lines,
+    token_files,
+    warc,
+)
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_files": token_files.query,
@@ -14,6 +22,7 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_site_lines": site_lines.query,
     "op5_curve_packing": packing.query,
     "op6_zstd_warc": warc.query,
+    "op7_fm_index_leaks": decontaminate.query,
     "op8_hash_index_dedup": exact_dedup.query,
 }
 
