@@ -172,9 +172,9 @@ def pack(
     return ordered.mapInArrow(partial(_pack, length=length), PIECES)
 
 
-def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """op5: all documents packed; a row for each piece."""
-    return pack(spark.read.parquet(f"{sf_dir}/documents.parquet")).select(
+def digests(pieces: DataFrame) -> DataFrame:
+    """The pieces with length and crc32 of their ids in place of the ids."""
+    return pieces.select(
         "doc_id",
         "start",
         (F.length("ids") / 4).cast("long").alias("length"),
@@ -183,3 +183,8 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         "sequence_id",
         "offset",
     )
+
+
+def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op5: all documents packed; a row for each piece."""
+    return digests(pack(spark.read.parquet(f"{sf_dir}/documents.parquet")))

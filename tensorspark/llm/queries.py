@@ -7,16 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tensorspark.llm import (
+    chat,
     decontaminate,
     exact_dedup,
+    langid,
     near_dedup,
     packing,
+    pii,
     site_lines,
     token_files,
     warc,
 )
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_chat_masks": chat.query,
     "op2_token_files": token_files.query,
     "op3_hamming_near_dedup": near_dedup.query,
     "op4_site_lines": site_lines.query,
@@ -24,6 +28,8 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_zstd_warc": warc.query,
     "op7_fm_index_leaks": decontaminate.query,
     "op8_hash_index_dedup": exact_dedup.query,
+    "op9_personal_data": pii.query,
+    "op10_piece_langid": langid.query,
 }
 
 LLM_ORACLES: dict[str, str] = {
