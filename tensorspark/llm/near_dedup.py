@@ -14,7 +14,8 @@ costs about n and not n^2 pairs:
 1. each member of a bucket is tried with the bucket's leader; links are confirmed on the
    full shingle sets, and give components;
 2. in buckets that still hold several components, all pairs of members of different
-   components are tried, but for the pairs inside the leader's component.
+   components are tried, but for the pairs inside the leader's component.  A sketch that
+   bounds the sets' difference from below rules out most without loss.
 
 A pair that is not tried is in one component already, so no component is missed.
 """
@@ -50,7 +51,9 @@ PERCENT = 80
 MISS = 5e-6
 CHUNK = 4
 SEED = 11
-SIGNED = "doc_id long, class binary, n long, chunks array<long>"
+#: Bits of the sketch that bounds from below how many shingles two sets don't share.
+SKETCH_BITS = 1024
+SIGNED = "doc_id long, class binary, n long, chunks array<long>, sketch array<long>"
 
 
 def chunks_for(percent: int, miss: float = MISS) -> int:
@@ -106,6 +109,19 @@ def signatures(values: np.ndarray, bounds: np.ndarray, symbols: int) -> np.ndarr
     return out
 
 
+def sketches(sets: list[np.ndarray]) -> np.ndarray:
+    """Parities of the numbers of shingles in ``SKETCH_BITS`` cells, as rows of 64-bit words.
+
+    A shingle that only one of two sets has changes one bit, so two sketches differ in no
+    more bits than their sets in shingles.
+    """
+    out = np.empty((len(sets), SKETCH_BITS // 8), np.uint8)
+    for row, one in zip(out, sets, strict=True):
+        cells = (mix(one) % np.uint64(SKETCH_BITS)).astype(np.int64)
+        row[:] = np.packbits(np.bincount(cells, minlength=SKETCH_BITS) & 1)
+    return out.view("<i8")
+
+
 def _rows(batch: pa.RecordBatch, words: int) -> tuple[list, list, np.ndarray, np.ndarray]:
     """Classes and sets of distinct shingles of the rows; all shingles and their bounds."""
     data, bounds = utf8(batch.column("text"))
@@ -126,16 +142,13 @@ def _sign(batches: Iterator[pa.RecordBatch], words: int, m: int) -> Iterator[pa.
         sizes = np.array([len(s) for s in sets], np.int64)
         chunks = np.zeros((len(sets), m), np.int64)
         chunks[sizes > 0] = signatures(values, cuts, CHUNK * m).view("<i8")
+        longs = [
+            pa.ListArray.from_arrays(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32), x.ravel())
+            for x in (chunks, sketches(sets))
+        ]
         yield pa.RecordBatch.from_arrays(
-            [
-                batch.column("doc_id"),
-                pa.array(classes, pa.binary()),
-                pa.array(sizes),
-                pa.ListArray.from_arrays(
-                    np.arange(0, m * len(sets) + 1, m, dtype=np.int32), chunks.ravel()
-                ),
-            ],
-            ["doc_id", "class", "n", "chunks"],
+            [batch.column("doc_id"), pa.array(classes, pa.binary()), pa.array(sizes), *longs],
+            ["doc_id", "class", "n", "chunks", "sketch"],
         )
 
 
@@ -189,15 +202,23 @@ def _distance(a: str, b: str, m: int) -> Column:
 
 
 def _near(m: int, percent: int) -> Column:
-    """Within the signature distance, and of sizes that allow the similarity."""
+    """Within the signature distance, and of sizes and sketches that allow the similarity.
+
+    With s shingles in both sets together and x of them in one only, the similarity is
+    (s - x) / (s + x); the sketches differ in at most x bits.
+    """
     sizes = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
-    return sizes & (_distance("chunks_a", "chunks_b", m) <= 2 * m - 1)
+    apart = F.lit(0)
+    for k in range(SKETCH_BITS // 64):
+        apart = apart + F.bit_count(F.get("sketch_a", F.lit(k)).bitwiseXOR(F.get("sketch_b", F.lit(k))))
+    alike = apart * (100 + percent) <= (F.col("n_a") + F.col("n_b")) * (100 - percent)
+    return sizes & (_distance("chunks_a", "chunks_b", m) <= 2 * m - 1) & alike
 
 
-def _signed(classes: DataFrame, side: str) -> DataFrame:
-    return classes.select(
-        F.col("node").alias(side), F.col("n").alias(f"n_{side}"), F.col("chunks").alias(f"chunks_{side}")
-    )
+def _signed(rows: DataFrame, side: str, *more: str) -> DataFrame:
+    """Columns that :func:`_near` needs, and ``more``, named for one side of a join."""
+    names = ["n", "chunks", "sketch", *more]
+    return rows.select(F.col("node").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in names])
 
 
 def _links(
@@ -247,20 +268,27 @@ def find_groups(
     signed = through_files(docs.mapInArrow(partial(_sign, words=words, m=m), SIGNED), "signed")
     with_words = signed.where(F.col("class").isNotNull())
     classes = with_words.groupBy("class").agg(
-        F.min("doc_id").alias("low"), F.first("n").alias("n"), F.first("chunks").alias("chunks")
+        F.min("doc_id").alias("low"), *[F.first(c).alias(c) for c in ("n", "chunks", "sketch")]
     )
     classes = through_files(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
 
     keys = _keys(classes, m)
-    leaders = keys.groupBy("key").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("size"))
-    leaders = leaders.where("size > 1").drop("size")
-    buckets = through_files(keys.join(leaders, "key"), "buckets")
+    sizes = keys.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    shared = through_files(keys.join(sizes, "key"), "shared-keys")
+    # The text that others are copies of shares more keys with them than they do with each
+    # other; as the leader of its buckets it links them all.
+    fame = shared.groupBy("node").agg(F.sum("size").alias("fame"))
+    famed = through_files(shared.select("key", "node").join(fame, "node"), "shared-keys")
+    leader = F.max(F.struct("fame", "node"))["node"].alias("leader")
+    leaders = famed.groupBy("key").agg(leader)
+    buckets = through_files(famed.select("key", "node").join(leaders, "key"), "buckets")
 
     stars = buckets.where("node != leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
     stars = stars.join(_signed(classes, "a"), "a").join(_signed(classes, "b"), "b")
     stars = through_files(stars.where(_near(m, percent)).select("a", "b"), "pairs")
     # One leader for each member first: what that links needs no further confirmation.
-    first = stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    famous = F.max(F.struct("fame", "a"))["a"].alias("a")
+    first = stars.join(fame.withColumnRenamed("node", "a"), "a").groupBy("b").agg(famous).select("a", "b")
     links = _links(first, docs, classes, words, percent)
     rest = _roots(links, stars.join(first, ["a", "b"], "left_anti"), "a", "b")
     rest = through_files(rest.where("root_a != root_b").select("a", "b"), "pairs")
@@ -269,18 +297,14 @@ def find_groups(
     members = _roots(links, buckets, "node", "leader")
     mixed = members.groupBy("key").agg(F.bool_or(F.col("root_node") != F.col("root_leader")).alias("mixed"))
     members = members.join(mixed.where("mixed"), "key").drop("mixed")
-    members = through_files(members.join(classes.select("node", "n", "chunks"), "node"), "members")
-    side = lambda s: members.select(
-        "key",
-        F.col("node").alias(s),
-        F.col("root_node").alias(f"root_{s}"),
-        F.col("root_leader").alias(f"top_{s}"),
-        F.col("n").alias(f"n_{s}"),
-        F.col("chunks").alias(f"chunks_{s}"),
-    )
-    others = side("a").where("root_a != top_a")
-    once = (F.col("root_b") == F.col("top_b")) | (F.col("a") < F.col("b"))
-    pairs = others.join(side("b"), "key").where((F.col("root_a") != F.col("root_b")) & once)
+    signs = classes.select("node", "n", "chunks", "sketch")
+    members = through_files(members.join(signs, "node"), "members")
+    others = _signed(members, "a", "key", "root_node", "root_leader")
+    others = others.where("root_node_a != root_leader_a")
+    every = _signed(members, "b", "key", "root_node", "root_leader")
+    apart = F.col("root_node_a") != F.col("root_node_b")
+    once = (F.col("root_node_b") == F.col("root_leader_b")) | (F.col("a") < F.col("b"))
+    pairs = others.join(every, F.col("key_a") == F.col("key_b")).where(apart & once)
     pairs = pairs.where(_near(m, percent)).select(
         F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
     ).distinct()
