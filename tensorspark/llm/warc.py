@@ -97,7 +97,7 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.Record
             compressor = zstandard.ZstdCompressor(
                 dict_data=trained, write_checksum=True, write_content_size=True
             )
-            stream = filesystem.open_output_stream(f"{path}/{name}")
+            stream = filesystem.open_output_stream(f"{path}/{name}", compression=None)
             stream.write(struct.pack("<II", DICTIONARY_MAGIC, len(content)) + content)
             about = b"software: page archive writer\r\nformat: WARC File Format 1.1\r\n"
             info = [
@@ -269,7 +269,7 @@ def _read(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.RecordB
     for batch in batches:
         for archive in batch.to_pylist():
             rows, seen, size = [], 0, 0
-            with filesystem.open_input_stream(f"{path}/{archive['file']}") as stream:
+            with filesystem.open_input_stream(f"{path}/{archive["file"]}", compression=None) as stream:
                 for record in frames(stream):
                     seen += 1
                     row = _page(record)
