@@ -80,8 +80,7 @@ def _encode(
 ) -> Iterator[pa.RecordBatch]:
     end = np.array([end_id], "<u4").tobytes()
     for batch in blocks(batches):
-        texts = batch.column("text").cast(pa.binary()).fill_null(b"").to_pylist()
-        ids = [i + end for i in encoder(tokenizer).encode(texts)]
+        ids = [i + end for i in encoder(tokenizer).encode(batch.column("text"))]
         keys = curve_keys([np.frombuffer(i, "<u4") for i in ids])
         yield pa.RecordBatch.from_arrays(
             [batch.column("doc_id"), pa.array(keys), pa.array(ids, pa.binary())],

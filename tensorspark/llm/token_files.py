@@ -93,8 +93,7 @@ def _write(
         if writer is None:
             writer = _Writer(filesystem.open_output_stream(f"{path}/{name}"))
         docs = batch.column("doc_id")
-        texts = batch.column("text").cast(pa.binary()).fill_null(b"").to_pylist()
-        ids = [i + end for i in encoder(tokenizer).encode(texts)]
+        ids = [i + end for i in encoder(tokenizer).encode(batch.column("text"))]
         writer.add(
             docs.fill_null(0).to_numpy(zero_copy_only=False),
             docs.is_valid().to_numpy(zero_copy_only=False),

@@ -7,41 +7,75 @@ from array import array
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import tokenizers
 
+from tensorspark.llm.common import SPACES, utf8, word_bounds, word_hashes
+
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 END_ID = 1
 
-_TO_SPACE = bytes(0x20 if b in (0x09, 0x0A, 0x0D) else b for b in range(256))
-_TO_LOWER = bytes(b + 0x20 if 0x41 <= b <= 0x5A else b for b in _TO_SPACE)
-
-
-#: Stands between parts that are encoded together; parts that contain it are encoded alone.
+#: Stands between parts that are encoded together; texts that contain it are encoded alone.
 _BETWEEN = b"\x1f"
 _TOGETHER = 1000
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B), 0xC3]] = True
+_AFTER_C3 = np.zeros(256, bool)
+_AFTER_C3[0x80:0xC0] = True
+_AFTER_C3[[0x97, 0xB7]] = False
+
+
+def _split_marks(
+    data: np.ndarray, starts: np.ndarray, ends: np.ndarray, at: np.ndarray
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Parts with a comma or point after nothing but Latin letters as two parts each.
+
+    A pre-tokenizer that keeps letters apart from marks gives them the same ids.
+    """
+    if not len(starts):
+        return starts, ends, at
+    letter = _LETTER[data]
+    letter[1:] |= (data[:-1] == 0xC3) & _AFTER_C3[data[1:]]
+    count = np.append(0, np.cumsum(letter))
+    last = data[ends - 1]
+    marked = ((last == 0x2C) | (last == 0x2E)) & (ends - starts > 1)
+    marked &= count[ends - 1] - count[starts] == ends - starts - 1
+    cut = ends[marked] - 1
+    before = np.append(0, np.cumsum(marked))
+    place = np.flatnonzero(marked) + 1
+    ends = ends.copy()
+    ends[marked] = cut
+    return np.insert(starts, place, cut), np.insert(ends, place, cut + 1), at + before[at]
 
 
 class Encoder:
-    """Encodes UTF-8 texts to little-endian unsigned 32-bit ids.
+    """Encodes texts to little-endian unsigned 32-bit ids.
 
     A tokenizer that drops blanks and case gives a text the ids of its blank-separated
-    parts, one after the other; parts are then encoded once and kept.  Two generations of
-    ``KEPT`` parts are held, and parts still in use move to the newer one.  Other tokenizers
-    see whole texts.
+    parts, one after the other.  Parts are told apart by 64-bit hashes and lengths, encoded
+    once, and kept as rows of one array, up to ``KEPT``.  Texts with a very long part, or
+    with the beginning of a special token's name, and all texts of other tokenizers, are
+    encoded whole.
     """
 
-    KEPT = 350_000
-    LONGEST = 48
+    KEPT = 1_500_000
+    LONGEST = 500
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = tokenizers.Tokenizer.from_file(path)
-        ids = self._ids([b"a  B\n\tc,", b"a", b"b", b"c", b",", b" \n\t\r", _BETWEEN])
-        self.by_part = ids[0] == b"".join(ids[1:5]) and not ids[5] and len(ids[6]) == 4
-        self.between = int.from_bytes(ids[6][:4], "little")
-        self.kept: dict[bytes, bytes] = {b"": b""}
-        self.older: dict[bytes, bytes] = {}
+        texts = [b"a  B\n\tc,\x0b\x0cd.", b"a", b"b", b"c", b",", b"d", b".", b" \n\t\r", _BETWEEN]
+        ids = self._ids(texts)
+        self.by_part = ids[0] == b"".join(ids[1:7]) and not ids[7] and len(ids[8]) == 4
+        self.between = int.from_bytes(ids[8][:4], "little")
+        self._forget()
+
+    def _forget(self) -> None:
+        self.hashes = np.zeros(0, np.uint64)
+        self.rows = np.zeros(0, np.int64)
+        self.starts = np.zeros(1, np.int64)  # of each row, and the end of the last
+        self.ids = np.zeros(0, np.uint32)
 
     def _ids(self, texts: list[bytes]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(
@@ -49,57 +83,65 @@ class Encoder:
         )
         return [array("I", e.ids).tobytes() for e in found]
 
-    def _encode_parts(self, parts: list[bytes]) -> dict[bytes, bytes]:
-        alone = [p for p in parts if _BETWEEN in p]
-        parts = [p for p in parts if _BETWEEN not in p]
-        found = dict(zip(alone, self._ids(alone), strict=True))
+    def _learn(self, hashes: np.ndarray, parts: list[bytes]) -> None:
+        """Adds rows for new parts, whose hashes are in order."""
         runs = [parts[i : i + _TOGETHER] for i in range(0, len(parts), _TOGETHER)]
-        joined = self._ids([(b" " + _BETWEEN + b" ").join(run) for run in runs])
-        for run, raw in zip(runs, joined, strict=True):
-            cuts = 4 * np.flatnonzero(np.frombuffer(raw, np.uint32) == self.between)
-            begins, ends = [0, *(cuts + 4).tolist()], [*cuts.tolist(), len(raw)]
-            found.update(
-                (p, raw[a:b]) for p, a, b in zip(run, begins, ends, strict=True)
-            )
-        return found
-
-    def _learn(self, parts: set[bytes]) -> dict[bytes, bytes]:
-        """Ids of all that is known and of new parts.
-
-        A comma or point after nothing but letters is a word of its own.
-        """
-        known, new = self.kept, []
-        for p in parts:
-            if p in self.older:
-                known[p] = self.older[p]
-            else:
-                new.append(p)
-        ended = [p for p in new if p[-1:] in (b",", b".") and _letters(p[:-1])]
-        whole = set(new).difference(ended).union((p[:-1] for p in ended), (b",", b"."))
-        found = self._encode_parts([p for p in whole if p not in known])
-        for p in ended:
-            stem, mark = p[:-1], p[-1:]
-            found[p] = (found.get(stem) or known[stem]) + (found.get(mark) or known[mark])
-        known.update((p, i) for p, i in found.items() if len(p) <= self.LONGEST)
-        return known | found if any(len(p) > self.LONGEST for p in found) else known
-
-    def encode(self, texts: list[bytes]) -> list[bytes]:
+        between = b" " + _BETWEEN + b" "
+        joined = self._ids([between.join(run) + between for run in runs])
+        ids = np.frombuffer(b"".join(joined), np.uint32)
+        stops = np.flatnonzero(ids == self.between)
+        sizes = np.diff(np.append(-1, stops)) - 1
+        rows = len(self.starts) - 1 + np.arange(len(parts))
+        self.starts = np.append(self.starts, self.starts[-1] + np.cumsum(sizes))
+        self.ids = np.concatenate((self.ids, ids[ids != self.between]))
+        place = np.searchsorted(self.hashes, hashes)
+        self.hashes = np.insert(self.hashes, place, hashes)
+        self.rows = np.insert(self.rows, place, rows)
+
+    def _find(self, hashes: np.ndarray) -> np.ndarray:
+        """Places of ``hashes`` (in order) among the known ones, or -1."""
+        if not len(self.hashes):
+            return np.full(len(hashes), -1)
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        return np.where(self.hashes[at] == hashes, at, -1)
+
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """Ids of each text; a null text is empty."""
+        data, bounds = utf8(texts)
         if not self.by_part:
-            return self._ids(texts)
-        if len(self.kept) > self.KEPT:
-            self.older, self.kept = self.kept, {b"": b""}
-        # The names of special tokens are found before case is dropped.
-        split = [
-            t.translate(_TO_SPACE if b"<|" in t else _TO_LOWER).split(b" ") for t in texts
-        ]
-        new = set().union(*split).difference(self.kept)
-        known = (self._learn(new) if new else self.kept).__getitem__
-        return [b"".join(map(known, parts)) for parts in split]
-
-
-def _letters(part: bytes) -> bool:
-    text = part.decode()
-    return text.isalpha() and max(text) < "\u0250"
+            return self._ids([data[a:b].tobytes() for a, b in zip(bounds, bounds[1:])])
+        starts, ends, at = word_bounds(data, bounds, SPACES)
+        odd = np.zeros(len(texts), bool)
+        names = np.flatnonzero((data[:-1] == 0x3C) & (data[1:] == 0x7C))
+        between = np.flatnonzero(data == _BETWEEN[0])
+        long = starts[ends - starts > self.LONGEST]
+        odd[np.searchsorted(bounds, np.concatenate((names, between, long)), side="right") - 1] = True
+        if odd.any():
+            keep = ~np.repeat(odd, np.diff(at))
+            starts, ends = starts[keep], ends[keep]
+            at = np.searchsorted(starts, bounds)
+        starts, ends, at = _split_marks(data, starts, ends, at)
+        hashes = word_hashes(data, starts, ends) ^ (ends - starts).astype(np.uint64)
+        distinct, first, which = np.unique(hashes, return_index=True, return_inverse=True)
+        if len(self.hashes) > self.KEPT:
+            self._forget()
+        new = np.flatnonzero(self._find(distinct) < 0)
+        if len(new):
+            a, b = starts[first[new]].tolist(), ends[first[new]].tolist()
+            raw = data.tobytes()
+            self._learn(distinct[new], [raw[x:y] for x, y in zip(a, b, strict=True)])
+        row = self.rows[self._find(distinct)][which] if len(distinct) else which
+        begin, size = self.starts[row], self.starts[row + 1] - self.starts[row]
+        done = np.append(0, np.cumsum(size))
+        ids = self.ids[np.repeat(begin - done[:-1], size) + np.arange(done[-1])]
+        raw, cuts = ids.tobytes(), (4 * done[at]).tolist()
+        out = [raw[a:b] for a, b in zip(cuts, cuts[1:])]
+        if odd.any():
+            whole = np.flatnonzero(odd).tolist()
+            found = self._ids([data[bounds[r] : bounds[r + 1]].tobytes() for r in whole])
+            for r, one in zip(whole, found, strict=True):
+                out[r] = one
+        return out
 
 
 def encoder(path: str) -> Encoder:

@@ -6,6 +6,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -26,18 +27,22 @@ def plain_ids(text):
 def test_encoder_equals_whole_texts(path):
     texts = ["", "  ", "<|ENDOFTEXT|> x <|endoftext|>y", "it's, don't. A'S", "é ́e ́", "İI ΣΑΣ. Σ,"]
     texts += ["a,, b.. c.,", "\x1f x\x1fy Stra\u00dfe. \u00c9t\u00e9,", "\x1c a\x85b c", "x" * 300 + ". y,", "日本 語。", ",", ".", "don't."]
-    raw = [t.encode() for t in texts]
+    texts += ["ab" * 400, "× ÷. á×, Ã. Ã,", "\x0b\x0c a\x0bb", None]
     plain = Tokenizer.from_file(path)
-    want = [np.array(plain.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
-    assert Encoder(path).encode(raw) == want
-    assert Encoder(path).encode(raw[::-1]) == want[::-1]
+    want = [np.array(plain.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    encoder = Encoder(path)
+    assert encoder.encode(pa.array(texts)) == want
+    assert encoder.encode(pa.array(texts[::-1])) == want[::-1]
+    encoder.KEPT = 5
+    assert encoder.encode(pa.array(texts)) == encoder.encode(pa.array(texts)) == want
+    assert encoder.encode(pa.array([], pa.string())) == []
 
 
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.text(max_size=40), max_size=5))
 def test_encoder_equals_whole_texts_random(texts):
     want = [np.array(PLAIN.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
-    assert Encoder(WORD_BPE).encode([t.encode() for t in texts]) == want
+    assert Encoder(WORD_BPE).encode(pa.array(texts, pa.string())) == want
 
 
 @settings(max_examples=60, deadline=None)
