@@ -20,14 +20,14 @@ import tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tensorspark.llm.common import table, through_files, width
+from tensorspark.llm.common import blocks, table, through_files, width
 from tensorspark.llm.tokens import BYTE_BPE
 
 START, SEP, END = "<|im_start|>", "<|im_sep|>", "<|im_end|>"
 LEARNED_ROLES = ("assistant",)
 PART_CHARS = 1 << 20
-#: Rendered text that is encoded at a time.
-BATCH_CHARS = 1 << 20
+#: Rendered text that is encoded, and formatted text that is read, at a time.
+BATCH_CHARS = 1 << 18
 FORMATTED = (
     "conv_id long, part long, formatted string, ids array<int>, starts array<int>, "
     "ends array<int>, loss array<boolean>"
@@ -93,7 +93,7 @@ def _tokenizer(path: str) -> tokenizers.Tokenizer:
 def _conversations(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None, int, list]]:
     """Conversations of rows in order, as parts: id, number of the part, turns."""
     conv, part, turns, size = None, 0, [], 0
-    for batch in batches:
+    for batch in blocks(batches):
         columns = (batch.column(c).to_pylist() for c in ("conv_id", "role", "text"))
         for own, role, text in zip(*columns, strict=True):
             if turns and (own != conv or size >= PART_CHARS):
@@ -167,24 +167,32 @@ def format_conversations(
 # ---- reading back ----------------------------------------------------------
 
 
-def learned_text(formatted: str, starts: list[int], ends: list[int], loss: list[bool]) -> str:
+def learned_text(formatted: str, starts: np.ndarray, ends: np.ndarray, loss: np.ndarray) -> str:
     """The text under the mask, unescaped; tokens that share a character give it once."""
-    out, run, last = [], [], 0
-    for start, end, own in zip(starts, ends, loss, strict=True):
-        if own:
-            run.append(formatted[max(start, last) : end])
-            last = max(last, end)
-        elif run:
-            out.append(unescape("".join(run)))
-            run = []
-    return "".join([*out, unescape("".join(run))])
+    if not loss.any():
+        return ""
+    edges = np.flatnonzero(np.diff(np.concatenate(([False], loss, [False])).astype(np.int8)))
+    out = []
+    for first, last in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
+        begin, stop = starts[first:last], np.maximum.accumulate(ends[first:last])
+        gaps = np.flatnonzero(begin[1:] > stop[:-1])
+        cuts = zip(begin[np.append(0, gaps + 1)], stop[np.append(gaps, -1)], strict=True)
+        out.append(unescape("".join(formatted[a:b] for a, b in cuts)))
+    return "".join(out)
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows = batch.to_pydict()
-        turns = [parse(f) for f in rows["formatted"]]
-        learned = map(learned_text, rows["formatted"], rows["starts"], rows["ends"], rows["loss"])
+    for batch in blocks(batches, "formatted", BATCH_CHARS):
+        formatted = batch.column("formatted").to_pylist()
+        turns = [parse(f) for f in formatted]
+        lists = [batch.column(c) for c in ("starts", "ends", "loss")]
+        at = lists[0].offsets.to_numpy()
+        at = at - at[0]
+        flat = [x.flatten().to_numpy(zero_copy_only=False) for x in lists]
+        learned = [
+            learned_text(f, *(x[a:b] for x in flat))
+            for f, a, b in zip(formatted, at[:-1], at[1:], strict=True)
+        ]
         yield pa.RecordBatch.from_arrays(
             [
                 batch.column("conv_id"),
@@ -192,7 +200,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 pa.array(map(len, turns), pa.int64()),
                 pa.array(["".join(f"{r}\n{t}\n" for r, t in own) for own in turns], pa.string()),
                 pa.array(learned, pa.string()),
-                pa.array(map(len, rows["formatted"]), pa.int64()),
+                pa.array(map(len, formatted), pa.int64()),
             ],
             [field.split()[0] for field in READ.split(", ")],
         )
@@ -216,7 +224,7 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             [pa.array(c, t) for c, t in zip(columns, types, strict=True)], names
         )
 
-    for batch in batches:
+    for batch in blocks(batches, "turns"):
         for row in batch.to_pylist():
             if state is None or state[0] != row["conv_id"]:
                 if state is not None:
@@ -235,7 +243,8 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def digests(formatted: DataFrame) -> DataFrame:
     """For each conversation what its formatted parts hold; see the fields of ``DIGESTS``."""
-    read = formatted.mapInArrow(_read, READ)
+    needed = formatted.select("conv_id", "part", "formatted", "starts", "ends", "loss")
+    read = needed.mapInArrow(_read, READ)
     dealt = read.repartition(width(formatted), "conv_id").sortWithinPartitions("conv_id", "part")
     return dealt.mapInArrow(_digest, DIGESTS)
 
