@@ -82,12 +82,16 @@ def mask(starts: np.ndarray, ends: np.ndarray, spans: list[tuple[int, int]]) ->
 
 
 def _tokenizer(path: str) -> tokenizers.Tokenizer:
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    found = tokenizers.Tokenizer.from_file(path)
-    found.add_special_tokens([START, SEP, END])
-    # Offsets cover blanks too.
-    found.post_processor = tokenizers.processors.ByteLevel(trim_offsets=False)
-    return found
+    """One for each worker, kept with the library's module; see :func:`tokens.encoder`."""
+    kept = vars(tokenizers).setdefault("_chat_tokenizers_by_path", {})
+    if path not in kept:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        found = tokenizers.Tokenizer.from_file(path)
+        found.add_special_tokens([START, SEP, END])
+        # Offsets cover blanks too.
+        found.post_processor = tokenizers.processors.ByteLevel(trim_offsets=False)
+        kept[path] = found
+    return kept[path]
 
 
 def _conversations(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None, int, list]]:
