@@ -3,14 +3,17 @@
 A join per factor would push every nonzero, widened by R doubles, through N-1 shuffles.
 Here the tensor is laid out once and never moves again:
 
-* nonzeros are ordered along a Z-order curve and cut into cells of at most ``cell_nnz``
-  nonzeros, so that a cell touches few distinct rows of each factor;
+* nonzeros are ordered along a Z-order curve (of the leading index bits, where a key can't
+  hold them all) and cut into cells of at most ``cell_nnz`` nonzeros, so that a cell touches
+  few distinct rows of each factor;
 * a demand table per mode lists the (cell, row) pairs that occur;
-* each MTTKRP joins demand with the factor, sends the rows to their cells, and
-  co-groups: only factor rows and per-cell partial sums are shuffled.
+* each MTTKRP broadcasts the factors that fit, smallest first, joins demand with the others,
+  sends their rows to the cells, and co-groups: only rows of large factors and per-cell
+  partial sums are shuffled.
 
 Cells are cut by count, so a hot index or a dense corner becomes more cells, not a
-larger one.  A hot row appears in the demand table at most once per cell.
+larger one.  A hot row appears in the demand table at most once per cell, and is dealt over
+as many salts as its share of the demand asks for.
 """
 
 from __future__ import annotations
@@ -21,6 +24,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,15 +36,18 @@ from tensorspark.functions.chunks import (
     partial_schema,
     unpack,
 )
-from tensorspark.functions.factors import factor_columns, matrix_of
-from tensorspark.functions.morton import MortonPlan
-from tensorspark.session import materialize_partitioned, parallelism
+from tensorspark.functions.factors import factor_bytes, factor_columns, matrix_of, to_dense
+from tensorspark.functions.morton import KEY_BITS, MortonPlan
+from tensorspark.plans.strategy import BROADCAST_BYTES
+from tensorspark.session import materialize, materialize_partitioned, parallelism
 from tensorspark.tensor import SparseTensor
 
 # Memory one co-grouped cell may take: its nonzeros plus the factor rows it needs.
 CELL_BYTES = 256 << 20
-# A small tensor does not need as many partitions as the session would give it.
+# A small tensor does not need as many partitions as the session would give it, and a large
+# one gets more: a partition of the layout holds about this much packed data at most.
 MIN_PART_NNZ = 1 << 16
+PART_BYTES = 128 << 20
 
 
 def default_cell_nnz(num_modes: int, rank: int) -> int:
@@ -48,10 +55,47 @@ def default_cell_nnz(num_modes: int, rank: int) -> int:
     return max(1024, CELL_BYTES // per_nnz)
 
 
+def layout_partitions(nnz: int, num_modes: int, cores: int, session: int) -> int:
+    """Partitions of the layout: by size, and for small tensors by the session's width."""
+    by_size = -(-nnz * (4 * num_modes + 8) // PART_BYTES)
+    return max(by_size, min(session, max(cores, nnz // MIN_PART_NNZ)))
+
+
+@dataclass(frozen=True)
+class Demand:
+    """Which cells need which rows: ``[cell, i, salt]``, hash-partitioned by row and salt.
+
+    ``hot`` lists rows with more than one salt, ``[i, salts]``; as each takes more than a
+    partition's share of the demand, there are fewer of them than partitions.
+    """
+
+    rows: DataFrame
+    hot: DataFrame
+
+    @classmethod
+    def build(cls, wanted: DataFrame, parts: int) -> Demand:
+        wanted = materialize(wanted)
+        share = max(1, wanted.count() // parts)
+        counts = wanted.groupBy("i").count().where(F.col("count") > share)
+        hot = materialize(counts.select("i", F.ceil(F.col("count") / share).cast("int").alias("salts")))
+        salt = F.pmod(F.xxhash64("cell"), F.coalesce("salts", F.lit(1))).cast("int")
+        salted = wanted.join(F.broadcast(hot), "i", "left").select("cell", "i", salt.alias("salt"))
+        dealt = salted.repartition(parts, "i", "salt").sortWithinPartitions("i", "salt")
+        return cls(materialize_partitioned(dealt), hot)
+
+    def rows_of(self, factor: DataFrame, rank: int) -> DataFrame:
+        """The factor's rows addressed to the cells that need them: ``[cell, i, f0 ..]``."""
+        salts = F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)
+        copies = factor.join(F.broadcast(self.hot), "i", "left").select(
+            "i", F.explode(salts).alias("salt"), *factor_columns(rank)
+        )
+        return self.rows.join(copies, ["i", "salt"]).select("cell", "i", *factor_columns(rank))
+
+
 @dataclass(frozen=True)
 class BlockedTensor:
     cells: DataFrame  # [cell, n, i0 .. val]: chunk rows, hash-partitioned by cell
-    demand: tuple[DataFrame, ...]  # per mode [cell, i], hash-partitioned and sorted by i
+    demand: tuple[Demand, ...]
     mode_sizes: tuple[int, ...]
     parts: int
 
@@ -67,8 +111,8 @@ class BlockedTensor:
         """
         tensor = tensor.with_frame(tensor.merged_frame())
         num_modes = tensor.num_modes
-        enough = max(tensor.spark.sparkContext.defaultParallelism, tensor.nnz // MIN_PART_NNZ)
-        parts = min(parallelism(tensor.spark), enough)
+        cores = tensor.spark.sparkContext.defaultParallelism
+        parts = layout_partitions(tensor.nnz, num_modes, cores, parallelism(tensor.spark))
         # Coordinates are distinct here, so the curve order is total and a retried task
         # cuts the same cells; the checkpoint then fixes their ids for good.
         packed = _curve_order(tensor, parts).mapInArrow(
@@ -78,28 +122,19 @@ class BlockedTensor:
         cells = materialize_partitioned(
             packed.repartition(parts, "cell").sortWithinPartitions("cell")
         )
-        demand = tuple(
-            materialize_partitioned(
-                _demand(cells, n, num_modes).repartition(parts, "i").sortWithinPartitions("i")
-            )
-            for n in range(num_modes)
-        )
+        demand = tuple(Demand.build(_demand(cells, n), parts) for n in range(num_modes))
         return cls(cells, demand, tensor.mode_sizes, parts)
 
 
 def _curve_order(tensor: SparseTensor, parts: int) -> DataFrame:
-    """Z-order when the key fits 63 bits, else plain coordinate order."""
     idx = tensor.index_columns
-    plan = MortonPlan.of(tensor.mode_sizes)
-    if plan.total_bits > 63:
-        return (
-            tensor.df.select(*idx, "val").repartitionByRange(parts, *idx).sortWithinPartitions(*idx)
-        )
+    plan = MortonPlan.leading(tensor.mode_sizes, KEY_BITS - 1)
     keyed = tensor.df.select(*idx, "val", plan.encode([F.col(c) for c in idx]).alias("key"))
-    return keyed.repartitionByRange(parts, "key").sortWithinPartitions("key").drop("key")
+    # The indices after the key: the order is total also where the key lacks low bits.
+    return keyed.repartitionByRange(parts, "key", *idx).sortWithinPartitions("key", *idx).drop("key")
 
 
-def _demand(cells: DataFrame, n: int, num_modes: int) -> DataFrame:
+def _demand(cells: DataFrame, n: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
@@ -112,29 +147,39 @@ def _demand(cells: DataFrame, n: int, num_modes: int) -> DataFrame:
     return cells.select("cell", f"i{n}").mapInArrow(run, "cell bigint, i bigint")
 
 
-def _slices(blocked: BlockedTensor, factors: Sequence[DataFrame], modes: Sequence[int], rank: int):
-    """Factor rows addressed to the cells that need them: ``[cell, w, i, f0 ..]``."""
-    parts = [
-        blocked.demand[w]
-        .join(factors[w], "i")
-        .select("cell", F.lit(w).alias("w"), "i", *factor_columns(rank))
-        for w in modes
-    ]
-    return reduce(DataFrame.unionAll, parts)
+def _split_modes(
+    mode_sizes: Sequence[int], needed: Sequence[int], rank: int, limit: int
+) -> tuple[list[int], list[int]]:
+    """Modes whose factors together fit the broadcast limit, smallest first; and the rest."""
+    small, large, total = [], [], 0
+    for w in sorted(needed, key=lambda w: mode_sizes[w]):
+        total += factor_bytes(mode_sizes[w], rank)
+        (small if total <= limit else large).append(w)
+    return small, large
 
 
-def _cell_kernel(num_modes: int, modes: Sequence[int], rank: int):
+def _cell_kernel(num_modes: int, modes: Sequence[int], rank: int, shared: Broadcast):
     columns = factor_columns(rank)
 
-    def run(cell: pa.Table, rows: pa.Table) -> pa.Table:
-        which = rows.column("w").to_numpy()
-        ids = rows.column("i").to_numpy()
-        values = matrix_of(rows, columns)
+    def run(cell: pa.Table, rows: pa.Table | None = None) -> pa.Table:
+        if rows is not None:
+            which = rows.column("w").to_numpy()
+            ids = rows.column("i").to_numpy()
+            values = matrix_of(rows, columns)
+        small = shared.value
         out = [partial_batch(modes[0], np.zeros(0, np.int64), np.zeros((0, rank)))]
         for row in range(cell.num_rows):
             idx, val = unpack(cell, row, num_modes)
             tables, at = [], []
             for w in range(num_modes):
+                if w in small:
+                    tables.append(small[w])
+                    at.append(idx[w])
+                    continue
+                if rows is None:  # the target mode's own factor, which no product reads
+                    tables.append(None)
+                    at.append(idx[w])
+                    continue
                 pick = np.flatnonzero(which == w)
                 pick = pick[np.argsort(ids[pick])]
                 keys = ids[pick]
@@ -151,27 +196,58 @@ def _cell_kernel(num_modes: int, modes: Sequence[int], rank: int):
     return run
 
 
-def _run(blocked: BlockedTensor, factors: Sequence[DataFrame], modes: Sequence[int], rank: int):
+def _run(
+    blocked: BlockedTensor,
+    factors: Sequence[DataFrame],
+    modes: Sequence[int],
+    rank: int,
+    broadcast_bytes: int,
+) -> DataFrame:
     num_modes = len(blocked.mode_sizes)
     needed = [w for w in range(num_modes) if len(modes) > 1 or w != modes[0]]
-    slices = _slices(blocked, factors, needed, rank)
-    partials = (
-        blocked.cells.groupBy("cell")
-        .cogroup(slices.groupBy("cell"))
-        .applyInArrow(_cell_kernel(num_modes, modes, rank), partial_schema(rank))
-    )
-    return partials.groupBy("mode", "i").agg(
-        *[F.sum(c).alias(c) for c in factor_columns(rank, "y")]
-    )
+    small, large = _split_modes(blocked.mode_sizes, needed, rank, broadcast_bytes)
+    dense = {w: to_dense(factors[w], blocked.mode_sizes[w], rank) for w in small}
+    shared = blocked.cells.sparkSession.sparkContext.broadcast(dense)
+    kernel = _cell_kernel(num_modes, modes, rank, shared)
+    if large:
+        slices = reduce(
+            DataFrame.unionAll,
+            [
+                blocked.demand[w]
+                .rows_of(factors[w], rank)
+                .select("cell", F.lit(w).alias("w"), "i", *factor_columns(rank))
+                for w in large
+            ],
+        )
+        cells = blocked.cells.groupBy("cell").cogroup(slices.groupBy("cell"))
+        partials = cells.applyInArrow(kernel, partial_schema(rank))
+    else:
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for row in range(batch.num_rows):
+                    yield from kernel(pa.Table.from_batches([batch.slice(row, 1)])).to_batches()
+
+        partials = blocked.cells.mapInArrow(run, partial_schema(rank))
+    sums = [F.sum(c).alias(c) for c in factor_columns(rank, "y")]
+    return partials.groupBy(*(["i"] if len(modes) == 1 else ["mode", "i"])).agg(*sums)
 
 
 def mttkrp_blocked(
-    blocked: BlockedTensor, factors: Sequence[DataFrame], n: int, rank: int
+    blocked: BlockedTensor,
+    factors: Sequence[DataFrame],
+    n: int,
+    rank: int,
+    broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
-    return _run(blocked, factors, [n], rank).drop("mode")
+    """Mode-``n`` MTTKRP; factors beyond ``broadcast_bytes`` together travel by demand."""
+    return _run(blocked, factors, [n], rank, broadcast_bytes)
 
 
 def mttkrp_all_blocked(
-    blocked: BlockedTensor, factors: Sequence[DataFrame], rank: int
+    blocked: BlockedTensor,
+    factors: Sequence[DataFrame],
+    rank: int,
+    broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
-    return _run(blocked, factors, list(range(len(blocked.mode_sizes))), rank)
+    return _run(blocked, factors, list(range(len(blocked.mode_sizes))), rank, broadcast_bytes)

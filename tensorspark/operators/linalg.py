@@ -14,44 +14,53 @@ from tensorspark.functions import dense
 from tensorspark.functions.factors import factor_batch, factor_columns, matrix_of
 
 
-def products(
-    df: DataFrame, pairs: dict[str, tuple[Sequence[str], Sequence[str]]]
-) -> dict[str, np.ndarray]:
-    """Several matrix products ``A^T B`` of column groups in one pass.
+def product_frame(
+    df: DataFrame,
+    pairs: dict[str, tuple[Sequence[str], Sequence[str]]],
+    by: str | None = None,
+) -> DataFrame:
+    """Products ``A^T B`` of column groups as ``[by, k, r, s, v]``, in one pass.
 
-    Every task sums its rows into R x R matrices and Spark adds those up, so the driver
-    receives R*R numbers per product however many tasks ran.
+    ``k`` numbers the pairs.  ``by`` names an integer column of few values; each gets
+    products of its own rows.  Every task sums its rows into R x R matrices and Spark adds
+    those up.
     """
-    names = list(pairs)
     used = sorted({c for a, b in pairs.values() for c in (*a, *b)})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = {k: np.zeros((len(a), len(b))) for k, (a, b) in pairs.items()}
+        total: dict[tuple[int, int], np.ndarray] = {}
         for batch in batches:
-            for k, (a, b) in pairs.items():
-                total[k] += np.einsum("ir,is->rs", matrix_of(batch, a), matrix_of(batch, b))
-        for k, m in total.items():
+            group = batch.column("by").to_numpy()
+            for value in np.unique(group).tolist():
+                own = batch.filter(pa.array(group == value))
+                for k, (a, b) in enumerate(pairs.values()):
+                    found = np.einsum("ir,is->rs", matrix_of(own, a), matrix_of(own, b))
+                    total[value, k] = total.get((value, k), 0) + found
+        for (value, k), m in total.items():
             r, s = np.indices(m.shape)
+            head = [np.full(m.size, x, np.int32) for x in (value, k)]
+            cells = [r.ravel().astype(np.int32), s.ravel().astype(np.int32), m.ravel()]
             yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.full(m.size, names.index(k), dtype=np.int32)),
-                    pa.array(r.ravel().astype(np.int32)),
-                    pa.array(s.ravel().astype(np.int32)),
-                    pa.array(m.ravel()),
-                ],
-                names=["k", "r", "s", "v"],
+                [pa.array(x) for x in (*head, *cells)], names=["by", "k", "r", "s", "v"]
             )
 
-    rows = (
-        df.select(*used)
-        .mapInArrow(run, "k int, r int, s int, v double")
-        .groupBy("k", "r", "s")
+    group = (F.col(by) if by else F.lit(0)).cast("int").alias("by")
+    return (
+        df.select(group, *used)
+        .mapInArrow(run, "by int, k int, r int, s int, v double")
+        .groupBy("by", "k", "r", "s")
         .agg(F.sum("v").alias("v"))
-        .toArrow()
     )
+
+
+def products(
+    df: DataFrame, pairs: dict[str, tuple[Sequence[str], Sequence[str]]]
+) -> dict[str, np.ndarray]:
+    """The products as arrays: R*R numbers each reach the driver, however many tasks ran."""
+    rows = product_frame(df, pairs).toArrow()
     out = {k: np.zeros((len(a), len(b))) for k, (a, b) in pairs.items()}
     k, r, s, v = (rows.column(c).to_numpy() for c in ("k", "r", "s", "v"))
-    for at, name in enumerate(names):
+    for at, name in enumerate(pairs):
         pick = k == at
         out[name][r[pick], s[pick]] = v[pick]
     return out
@@ -62,23 +71,18 @@ def gram(factor: DataFrame, rank: int) -> np.ndarray:
     return products(factor, {"g": (columns, columns)})["g"]
 
 
-def gram_frame(factor: DataFrame, rank: int) -> DataFrame:
-    """Gram matrix as ``[r, s, g]``, summed on the JVM.
+def gram_frame(factor: DataFrame, rank: int, by: str | None = None) -> DataFrame:
+    """Gram matrix as ``[r, s, g]``, or one for each value of ``by`` as ``[by, r, s, g]``."""
+    columns = factor_columns(rank)
+    rows = product_frame(factor, {"g": (columns, columns)}, by)
+    head = [F.col("by").alias(by)] if by else []
+    return rows.select(*head, "r", "s", F.col("v").alias("g"))
 
-    The R*(R+1)/2 sums form one aggregate row; the mirror half is copied afterwards.
-    """
-    cells = [(r, s) for r in range(rank) for s in range(r, rank)]
-    sums = factor.agg(*[F.sum(F.col(f"f{r}") * F.col(f"f{s}")).alias(f"g{r}_{s}") for r, s in cells])
-    entries = [
-        F.struct(
-            F.lit(r).alias("r"),
-            F.lit(s).alias("s"),
-            F.col(f"g{min(r, s)}_{max(r, s)}").alias("g"),
-        )
-        for r in range(rank)
-        for s in range(rank)
-    ]
-    return sums.select(F.inline(F.array(*entries)))
+
+def hadamard_by_mode(grams: DataFrame, modes: Sequence[int]) -> DataFrame:
+    """Elementwise product of the Gram matrices ``[mode, r, s, g]`` of the given modes."""
+    chosen = grams.where(F.col("mode").isin(list(modes)))
+    return chosen.groupBy("r", "s").agg(F.product("g").alias("g"))
 
 
 def hadamard_frames(grams: Sequence[DataFrame]) -> DataFrame:
@@ -114,16 +118,13 @@ def frob_norm_sq(factor: DataFrame, rank: int) -> DataFrame:
 
 def col_scale_inv(factor: DataFrame, norms: DataFrame, rank: int) -> DataFrame:
     """Divide columns by their norms ``[r, norm]``; an empty column becomes zero."""
-    packed = norms.agg(F.map_from_entries(F.collect_list(F.struct("r", "norm"))).alias("by_r"))
+    by_r = {row["r"]: row["norm"] for row in norms.collect()}
 
     def scaled(r: int, c: str) -> Column:
-        norm = F.col("by_r")[r]
-        return F.when(norm > dense.TINY_NORM, F.col(c) / norm).otherwise(0.0).alias(c)
+        empty = (by_r.get(r) or 0.0) <= dense.TINY_NORM
+        return (F.lit(0.0) if empty else F.col(c) / F.lit(float(by_r[r]))).alias(c)
 
-    # A single broadcast row: R numbers, so not a product of two tables.
-    return factor.join(F.broadcast(packed)).select(
-        "i", *[scaled(r, c) for r, c in enumerate(factor_columns(rank))]
-    )
+    return factor.select("i", *[scaled(r, c) for r, c in enumerate(factor_columns(rank))])
 
 
 def weighted_col_dot(

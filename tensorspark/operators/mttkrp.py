@@ -129,7 +129,8 @@ def mttkrp_long(tensor: SparseTensor, factors: Sequence[Factor], n: int, rank: i
             F.col("r") if k == 0 else F.col("r").alias("r_join"),
             F.col("v").alias(f"v{w}"),
         )
-        if fits_broadcast(tensor, w, rank, len(others)):
+        # A row of the long form takes about five times the eight bytes of its value.
+        if fits_broadcast(tensor, w, rank, 5 * len(others)):
             f = F.broadcast(f)
         if k == 0:
             df = df.join(f, f"i{w}")
@@ -151,11 +152,11 @@ def _sum_products(df: DataFrame, n: int, products: list) -> DataFrame:
 def mttkrp_wide(tensor: SparseTensor, factors: Sequence[Factor], n: int, rank: int) -> DataFrame:
     """Broadcast hash joins and one partial/final aggregate, all in generated code.
 
-    Falls through to the salted shuffle join when a factor is too large to broadcast.
+    Falls through to the blocked form when a factor is too large to broadcast.
     """
     others = [w for w in range(tensor.num_modes) if w != n]
     if not all(fits_broadcast(tensor, w, rank, len(others)) for w in others):
-        return mttkrp_shuffle(tensor, factors, n, rank)
+        return mttkrp(tensor, factors, n, rank, "blocked")
     df = tensor.df
     products = [F.col("val")] * rank
     for w in others:
@@ -169,11 +170,14 @@ def mttkrp_wide(tensor: SparseTensor, factors: Sequence[Factor], n: int, rank: i
     return _sum_products(df, n, products)
 
 
-def hot_indices(tensor: SparseTensor, modes: Sequence[int], shares: int) -> dict[int, list[int]]:
+def hot_indices(
+    tensor: SparseTensor, modes: Sequence[int], shares: int
+) -> dict[int, dict[int, int]]:
     """Per mode, the index values that hold more than ``1/shares`` of all nonzeros.
 
-    One pass for all modes.  At most ``shares`` values per mode can qualify, so the
-    collected lists are bounded whatever the data.
+    With each comes its number of such shares, rounded up.  One pass for all modes.  At most
+    ``shares`` values per mode can qualify, and their numbers add up to at most twice that,
+    so what is collected is bounded whatever the data.
     """
     pairs = F.explode(
         F.array(
@@ -187,29 +191,33 @@ def hot_indices(tensor: SparseTensor, modes: Sequence[int], shares: int) -> dict
         .where(F.col("count") > tensor.nnz / shares)
         .collect()
     )
-    return {w: sorted(r["i"] for r in rows if r["w"] == w) for w in modes}
+    each = tensor.nnz / shares
+    return {w: {r["i"]: -int(-r["count"] // each) for r in rows if r["w"] == w} for w in modes}
 
 
 def salted_join(
-    df: DataFrame, factor: DataFrame, w: int, rank: int, hot: list[int], how: str = "inner"
+    df: DataFrame, factor: DataFrame, w: int, rank: int, hot: dict[int, int], how: str = "inner"
 ) -> DataFrame:
     """Sort-merge join of nonzeros with factor ``w``, whose columns become ``g0 ..``.
 
     ``df`` carries a hash ``h`` of the (distinct) coordinates.  Rows with a hot index are
-    spread over salts by that hash, and the factor row is replicated once per salt.
+    spread over salts by that hash, as many as its share asks for, and the factor row is
+    replicated once per salt.
     """
-    width = parallelism(df.sparkSession)
     f = factor.select(
         F.col("i").cast(df.schema[f"i{w}"].dataType).alias(f"i{w}"),
         *[F.col(c).alias(f"g{r}") for r, c in enumerate(factor_columns(rank))],
     )
     if not hot:
         return df.join(f.hint("merge"), f"i{w}", how)
-    is_hot = F.col(f"i{w}").isin(hot)
-    every = F.sequence(F.lit(0), F.lit(width - 1))
-    f = f.withColumn("salt", F.explode(F.when(is_hot, every).otherwise(F.array(F.lit(0)))))
-    salt = F.when(is_hot, F.pmod("h", F.lit(width)).cast("int")).otherwise(F.lit(0))
-    joined = df.withColumn("salt", salt).join(f.hint("merge"), [f"i{w}", "salt"], how)
+    spread = df.sparkSession.createDataFrame(list(hot.items()), f"i{w} bigint, salts int")
+    spread = F.broadcast(spread.withColumn(f"i{w}", F.col(f"i{w}").cast(df.schema[f"i{w}"].dataType)))
+    salts = F.coalesce("salts", F.lit(1))
+    f = f.join(spread, f"i{w}", "left").withColumn(
+        "salt", F.explode(F.sequence(F.lit(0), salts - 1))
+    )
+    salted = df.join(spread, f"i{w}", "left").withColumn("salt", F.pmod("h", salts).cast("int"))
+    joined = salted.drop("salts").join(f.drop("salts").hint("merge"), [f"i{w}", "salt"], how)
     return joined.drop("salt")
 
 

@@ -6,20 +6,16 @@ mode, and the counts are combined map-side before anything is shuffled.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tensorspark.session import materialize
 from tensorspark.tensor import SparseTensor
 
-# Average nonzeros per row from which a mode counts as dense or medium.
-DENSE_FIBER_LEN = 32
-MEDIUM_FIBER_LEN = 8
-# Bounds on the number of rows per shard, and shards aimed at per worker.
-MIN_SHARD_ROWS = 16
-MAX_SHARD_ROWS = 16384
-SHARDS_PER_WORKER = 4
+# Rows of a mode are counted in at most this many ranges.
+RANGES = 64
+# Rows of a range inside which one task takes running sums.
+RANGE_ROWS = 1 << 14
 
 
 def _pairs(tensor: SparseTensor, index: list[Column] | None = None) -> DataFrame:
@@ -31,39 +27,24 @@ def _pairs(tensor: SparseTensor, index: list[Column] | None = None) -> DataFrame
     return tensor.df.select(F.inline(F.array(*structs)))
 
 
-def _per_mode(tensor: SparseTensor, **columns: Sequence) -> DataFrame:
-    """A frame with one row per mode (at most eight) from driver-side numbers."""
-    names = list(columns)
-    rows = list(zip(range(tensor.num_modes), *columns.values()))
-    kinds = {int: "bigint", float: "double", str: "string"}
-    schema = ", ".join(
-        ["mode int", *[f"{k} {kinds[type(v[0])]}" for k, v in zip(names, columns.values())]]
-    )
-    return tensor.spark.createDataFrame(rows, schema)
-
-
-def fiber_class(avg_len: float) -> str:
-    if avg_len >= DENSE_FIBER_LEN:
-        return "DenseFiber"
-    return "MediumCOO" if avg_len >= MEDIUM_FIBER_LEN else "SparseCOO"
-
-
-def mode_sizes(tensor: SparseTensor) -> DataFrame:
-    return _per_mode(
-        tensor, size=tensor.mode_sizes, nnz=[tensor.nnz] * tensor.num_modes
+def mode_sizes(nonzeros: DataFrame) -> DataFrame:
+    """``[mode, size, nnz]`` of a frame ``i0 .. val``, from one aggregate."""
+    index = [c for c in nonzeros.columns if c != "val"]
+    sums = nonzeros.agg(
+        F.count(F.lit(1)).alias("nnz"),
+        *[(F.max(c).cast("bigint") + 1).alias(c) for c in index],
     )
+    rows = [
+        F.struct(F.lit(n).alias("mode"), F.col(c).alias("size"), F.col("nnz"))
+        for n, c in enumerate(index)
+    ]
+    return sums.select(F.inline(F.array(*rows)))
 
 
-def fiber_stats(tensor: SparseTensor) -> DataFrame:
-    """Average nonzeros per row of each mode, and the class that follows from it."""
-    lens = [tensor.nnz / s for s in tensor.mode_sizes]
-    return _per_mode(
-        tensor,
-        size=tensor.mode_sizes,
-        nnz=[tensor.nnz] * tensor.num_modes,
-        avg_fiber_len=lens,
-        fiber_class=[fiber_class(v) for v in lens],
-    )
+def fiber_stats(nonzeros: DataFrame) -> DataFrame:
+    """Average nonzeros per row of each mode."""
+    length = (F.col("nnz").cast("double") / F.col("size")).alias("avg_fiber_len")
+    return mode_sizes(nonzeros).select("mode", "size", "nnz", length)
 
 
 def row_counts(tensor: SparseTensor) -> DataFrame:
@@ -74,40 +55,32 @@ def row_counts(tensor: SparseTensor) -> DataFrame:
 def touched_rows(tensor: SparseTensor) -> DataFrame:
     """Rows holding at least one nonzero, per mode."""
     touched = _pairs(tensor).distinct().groupBy("mode").agg(F.count(F.lit(1)).alias("touched"))
-    sizes = mode_sizes(tensor).select("mode", "size")
-    return touched.join(F.broadcast(sizes), "mode").select(
+    sizes = F.array(*[F.lit(s).cast("bigint") for s in tensor.mode_sizes])
+    return touched.withColumn("size", F.get(sizes, F.col("mode"))).select(
         "mode", "size", "touched", (F.col("size") - F.col("touched")).alias("untouched")
     )
 
 
-def shard_rows(mode_size: int, workers: int) -> int:
-    """Rows per shard of a mode: a power of two, a few shards per worker."""
-    if mode_size <= workers:
-        return 1
-    rows = mode_size // (workers * SHARDS_PER_WORKER)
-    rows = min(max(rows, MIN_SHARD_ROWS), MAX_SHARD_ROWS, mode_size)
-    return 1 << (rows - 1).bit_length()
+def range_bits(mode_size: int, ranges: int = RANGES) -> int:
+    """Low index bits to drop so that a mode has at most ``ranges`` (a power of two) ranges."""
+    return max(0, (mode_size - 1).bit_length() - (ranges.bit_length() - 1))
 
 
-def shard_counts(tensor: SparseTensor, workers: int) -> DataFrame:
-    """Nonzeros per shard: ``[mode, shard, nnz]``, non-empty shards only."""
-    shards = [
-        F.shiftright(F.col(f"i{n}").cast("bigint"), shard_rows(s, workers).bit_length() - 1)
+def range_counts(tensor: SparseTensor, ranges: int = RANGES) -> DataFrame:
+    """Nonzeros in equal ranges of rows: ``[mode, shard, nnz]``, non-empty ranges only."""
+    place = [
+        F.shiftright(F.col(f"i{n}").cast("bigint"), range_bits(s, ranges))
         for n, s in enumerate(tensor.mode_sizes)
     ]
     return (
-        _pairs(tensor, shards)
+        _pairs(tensor, place)
         .groupBy("mode", F.col("i").alias("shard"))
         .agg(F.count(F.lit(1)).alias("nnz"))
     )
 
 
-def shard_offsets(counts: DataFrame) -> DataFrame:
-    """Positions of each shard in a mode-sorted tensor.
-
-    The window runs over shards, not nonzeros: with unsigned 32-bit indices a mode has
-    at most 2^32 / MAX_SHARD_ROWS = 262,144 of them.
-    """
+def range_offsets(counts: DataFrame) -> DataFrame:
+    """Positions of each range in a mode-sorted tensor; the window runs over ranges."""
     before = Window.partitionBy("mode").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     start = F.coalesce(F.sum("nnz").over(before), F.lit(0).cast("bigint"))
     return counts.select(
@@ -118,21 +91,20 @@ def shard_offsets(counts: DataFrame) -> DataFrame:
     )
 
 
-def csr_rowptr(tensor: SparseTensor, n: int, workers: int) -> DataFrame:
+def csr_rowptr(tensor: SparseTensor, n: int) -> DataFrame:
     """Begin and end of every touched row in a mode-``n``-sorted tensor.
 
-    A running sum over a whole mode would put it into one task.  Offsets are taken per
-    shard first (few rows) and completed by a running sum inside each shard, whose row
-    count is bounded by MAX_SHARD_ROWS.
+    A running sum over a whole mode would put it into one task.  Counts per row are taken
+    once and kept; offsets are taken per range of ``RANGE_ROWS`` rows first (at most 2^18
+    of them, as indices have 32 bits) and completed by a running sum inside each range.
     """
-    shift = shard_rows(tensor.mode_sizes[n], workers).bit_length() - 1
-    rows = (
+    rows = materialize(
         tensor.df.groupBy(F.col(f"i{n}").cast("bigint").alias("i"))
         .agg(F.count(F.lit(1)).alias("nnz"))
-        .withColumn("shard", F.shiftright("i", shift))
+        .withColumn("shard", F.shiftright("i", RANGE_ROWS.bit_length() - 1))
     )
-    per_shard = rows.groupBy("shard").agg(F.sum("nnz").alias("nnz"))
-    starts = shard_offsets(per_shard.withColumn("mode", F.lit(n))).select("shard", "shard_begin")
+    per_range = rows.groupBy("shard").agg(F.sum("nnz").alias("nnz"))
+    starts = range_offsets(per_range.withColumn("mode", F.lit(n))).select("shard", "shard_begin")
     inside = Window.partitionBy("shard").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
     local = F.coalesce(F.sum("nnz").over(inside), F.lit(0).cast("bigint"))
     located = rows.withColumn("local", local).join(starts, "shard")

@@ -24,6 +24,12 @@ from tensorspark.session import parallelism
 from tensorspark.tensor import SparseTensor
 
 
+def check_shapes(got: Sequence[int], want: Sequence[int]) -> None:
+    """Fails where two sets of factors differ in their numbers of rows."""
+    if list(got) != list(want):
+        raise ValueError(f"factors have {list(got)} rows, expected {list(want)}")
+
+
 def compare_factors(got: DataFrame, want: DataFrame, rank: int, prefix: str = "y") -> DataFrame:
     """Frobenius-relative, largest absolute and largest relative difference.
 

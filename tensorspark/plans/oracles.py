@@ -6,33 +6,31 @@ Everything is written in long form (one row per matrix entry), unlike the Spark
 from __future__ import annotations
 
 SUPPLY = """
-  SELECT CAST(l_suppkey AS INTEGER) AS i0, CAST(l_partkey AS INTEGER) AS i1,
-         CAST(year(l_shipdate) * 12 + month(l_shipdate) - 23941 AS INTEGER) AS i2,
+  SELECT CAST(l_suppkey AS BIGINT) AS i0, CAST(l_partkey AS BIGINT) AS i1,
+         CAST(year(l_shipdate) * 12 + month(l_shipdate) - 23941 AS BIGINT) AS i2,
          l_quantity AS val
   FROM lineitem"""
 SUPPLY_KEPT = SUPPLY + " WHERE l_returnflag <> 'R'"
 SUPPLY2 = "SELECT i0, i1, val FROM (" + SUPPLY + ")"
 SUPPLY5 = """
-  SELECT CAST(l_suppkey AS INTEGER) AS i0, CAST(l_partkey AS INTEGER) AS i1,
-         CAST(year(l_shipdate) * 12 + month(l_shipdate) - 23941 AS INTEGER) AS i2,
-         CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS i3,
-         l_linenumber - 1 AS i4, l_quantity AS val
+  SELECT CAST(l_suppkey AS BIGINT) AS i0, CAST(l_partkey AS BIGINT) AS i1,
+         CAST(year(l_shipdate) * 12 + month(l_shipdate) - 23941 AS BIGINT) AS i2,
+         CAST(CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS BIGINT) AS i3,
+         CAST(l_linenumber - 1 AS BIGINT) AS i4, l_quantity AS val
   FROM lineitem"""
 MARKET = """
-  SELECT c_nationkey AS i0, CAST(left(o_orderpriority, 1) AS INTEGER) - 1 AS i1,
-         CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS i2,
-         CAST(l_linenumber - 1 AS INTEGER) AS i3, l_quantity AS val
+  SELECT CAST(c_nationkey AS BIGINT) AS i0, CAST(left(o_orderpriority, 1) AS BIGINT) - 1 AS i1,
+         CAST(CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS BIGINT) AS i2,
+         CAST(l_linenumber - 1 AS BIGINT) AS i3, l_quantity AS val
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey"""
 ACTIVITY = """
-  SELECT CAST(user_id AS INTEGER) AS i0,
-         CASE event_type WHEN 'click' THEN 0 WHEN 'error' THEN 1 WHEN 'purchase' THEN 2
-              WHEN 'signup' THEN 3 ELSE 4 END AS i1,
-         CAST(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS INTEGER) AS i2,
+  SELECT CAST(user_id AS BIGINT) AS i0,
+         CAST(CASE event_type WHEN 'click' THEN 0 WHEN 'error' THEN 1 WHEN 'purchase' THEN 2
+              WHEN 'signup' THEN 3 ELSE 4 END AS BIGINT) AS i1,
+         CAST(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS BIGINT) AS i2,
          CAST(1 AS DOUBLE) AS val
   FROM events"""
 
-WORKERS = 8
-
 
 def _idx(modes: int) -> str:
     return ", ".join(f"i{n}" for n in range(modes))
@@ -119,17 +117,28 @@ def _sizes(modes: int = 3) -> str:
 
 
 def _shards() -> str:
-    """CTEs up to ``s(mode, shard, nnz)``."""
+    """CTEs up to ``s(mode, shard, nnz)``: at most 64 ranges of rows for each mode."""
     return f"""WITH t AS ({SUPPLY}), sizes AS ({_sizes()}),
   rows_per AS (
-    SELECT mode, CASE WHEN size <= {WORKERS} THEN 1 ELSE CAST(pow(2, ceil(log2(
-      least(greatest(size // ({WORKERS} * 4), 16), 16384, size)))) AS BIGINT) END AS m
-    FROM sizes),
+    SELECT mode, CAST(pow(2, greatest(0, ceil(log2(size)) - 6)) AS BIGINT) AS m FROM sizes),
   s AS (
     SELECT p.mode, p.i // m AS shard, count(*) AS nnz
     FROM ({_pairs()}) p JOIN rows_per USING (mode) GROUP BY p.mode, p.i // m)"""
 
 
+def _morton_64() -> str:
+    """Statistics of keys with bits dealt to modes of 2^22, 2^21 and 2^21 rows."""
+    sizes = (1 << 22, 1 << 21, 1 << 21)
+    top = ", ".join(f"{s - 1} - i{n} AS i{n}" for n, s in enumerate(sizes))
+    bits = [(n, b, 3 * b + n) for b in range(21) for n in range(3)] + [(0, 21, 63)]
+    key = " + ".join(f"CAST((i{n} >> {b}) & 1 AS HUGEINT) * {1 << at}" for n, b, at in bits)
+    sums = ", ".join(f"CAST(sum(i{n}) AS BIGINT) AS sum_i{n}" for n in range(3))
+    return f"""WITH t AS ({_summed(SUPPLY, 3)}), u AS (SELECT {top}, val FROM t),
+  k AS (SELECT *, CAST({key} - {1 << 63} AS BIGINT) AS key FROM u)
+  SELECT count(*) AS nnz, {sums}, sum(i0 * val) AS weighted, min(key) AS low, max(key) AS high
+  FROM k"""
+
+
 def _morton() -> str:
     """CTEs up to ``k(i0, i1, i2, val, key)``; bit positions are computed in SQL."""
     return f"""WITH t AS ({_summed(SUPPLY, 3)}), sizes AS ({_sizes()}),
@@ -160,14 +169,36 @@ def _als_rank2() -> str:
   FROM y, g"""
 
 
-def _sweeps(sweeps: int, rank: int) -> list[str]:
-    """Gauss-Seidel sweeps on the market tensor, rank 1 or 2, as a chain of CTEs.
+def _solved(rank: int) -> str:
+    """``y V^-1`` for the symmetric V with entries ``vrs``, by its adjugate."""
+    v = lambda r, s: f"v{min(r, s)}{max(r, s)}"
+    if rank == 1:
+        return "y0 / v00 AS x0"
+    if rank == 2:
+        det = "(v00 * v11 - v01 * v01)"
+        return f"(y0 * v11 - y1 * v01) / {det} AS x0, (y1 * v00 - y0 * v01) / {det} AS x1"
+
+    def adjugate(r: int, s: int) -> str:
+        a, b = [k for k in range(3) if k != r], [k for k in range(3) if k != s]
+        minor = f"({v(a[0], b[0])} * {v(a[1], b[1])} - {v(a[0], b[1])} * {v(a[1], b[0])})"
+        return minor if (r + s) % 2 == 0 else f"(0 - {minor})"
+
+    det = "(" + " + ".join(f"v0{s} * {adjugate(0, s)}" for s in range(3)) + ")"
+    return ", ".join(
+        "(" + " + ".join(f"y{s} * {adjugate(r, s)}" for s in range(3)) + f") / {det} AS x{r}"
+        for r in range(3)
+    )
+
+
+def _sweeps(sweeps: int, rank: int, jacobi: bool = False, tag: str = "") -> list[str]:
+    """Sweeps on the market tensor, up to rank 3, as a chain of CTEs.
 
-    ``c{n}_{k}(i, v0[, v1])`` are the factors after sweep ``k`` and ``l{n}_{k}`` their norms;
-    the rank-2 system is solved with the explicit inverse.
+    ``c{n}_{k}(i, v0 ..)`` are the factors after sweep ``k`` and ``l{n}_{k}`` their norms.  A
+    Gauss-Seidel sweep uses the newest factors, a Jacobi sweep those of the sweep before.
+    Without ``jacobi`` and ``tag`` names are as given; ``tag`` is put before them.
     """
     ranks = range(rank)
-    ctes = [f"t AS MATERIALIZED ({_summed(MARKET, 4)})"]
+    ctes = [] if tag else [f"t AS MATERIALIZED ({_summed(MARKET, 4)})"]
     for n in range(4):
         start = ", ".join(
             f"CAST({'1' if rank == 1 else f'((i * {7 + 2 * n} + {(r + 1) * (13 + n)}) % 11) - 5'} "
@@ -175,46 +206,40 @@ def _sweeps(sweeps: int, rank: int) -> list[str]:
             for r in ranks
         )
         ctes.append(
-            f"c{n}_0 AS MATERIALIZED (SELECT i, {start} FROM (SELECT DISTINCT i{n} AS i FROM t))"
+            f"{tag}c{n}_0 AS MATERIALIZED (SELECT i, {start} FROM (SELECT DISTINCT i{n} AS i FROM t))"
         )
     for k in range(1, sweeps + 1):
         for n in range(4):
-            others = [(w, k if w < n else k - 1) for w in range(4) if w != n]
-            joins = " ".join(f"JOIN c{w}_{p} ON c{w}_{p}.i = t.i{w}" for w, p in others)
+            others = [(w, k if w < n and not jacobi else k - 1) for w in range(4) if w != n]
+            joins = " ".join(f"JOIN {tag}c{w}_{p} ON {tag}c{w}_{p}.i = t.i{w}" for w, p in others)
             sums = ", ".join(
-                f"sum({' * '.join(['val', *[f'c{w}_{p}.v{r}' for w, p in others]])}) AS y{r}"
+                f"sum({' * '.join(['val', *[f'{tag}c{w}_{p}.v{r}' for w, p in others]])}) AS y{r}"
                 for r in ranks
             )
             ctes.append(
-                f"y{n}_{k} AS MATERIALIZED (SELECT i{n} AS i, {sums} FROM t {joins} GROUP BY i{n})"
+                f"{tag}y{n}_{k} AS MATERIALIZED (SELECT i{n} AS i, {sums} FROM t {joins} GROUP BY i{n})"
+            )
+            cells = ", ".join(
+                " * ".join(f"(SELECT sum(v{r} * v{s}) FROM {tag}c{w}_{p})" for w, p in others)
+                + f" AS v{r}{s}"
+                for r in ranks
+                for s in range(r, rank)
+            )
+            ctes.append(f"{tag}g{n}_{k} AS MATERIALIZED (SELECT {cells})")
+            ctes.append(
+                f"{tag}x{n}_{k} AS MATERIALIZED "
+                f"(SELECT i, {_solved(rank)} FROM {tag}y{n}_{k}, {tag}g{n}_{k})"
             )
-
-            def cell(r: int, s: int) -> str:
-                return " * ".join(f"(SELECT sum(v{r} * v{s}) FROM c{w}_{p})" for w, p in others)
-
-            if rank == 1:
-                ctes.append(f"g{n}_{k} AS MATERIALIZED (SELECT {cell(0, 0)} AS a)")
-                solved = "y0 / a AS x0"
-            else:
-                ctes.append(
-                    f"g{n}_{k} AS MATERIALIZED (SELECT {cell(0, 0)} AS a, {cell(0, 1)} AS b, "
-                    f"{cell(1, 1)} AS d)"
-                )
-                solved = (
-                    "(y0 * d - y1 * b) / (a * d - b * b) AS x0, "
-                    "(y1 * a - y0 * b) / (a * d - b * b) AS x1"
-                )
-            ctes.append(f"x{n}_{k} AS MATERIALIZED (SELECT i, {solved} FROM y{n}_{k}, g{n}_{k})")
             norms = ", ".join(f"sqrt(sum(x{r} * x{r})) AS lam{r}" for r in ranks)
-            ctes.append(f"l{n}_{k} AS MATERIALIZED (SELECT {norms} FROM x{n}_{k})")
+            ctes.append(f"{tag}l{n}_{k} AS MATERIALIZED (SELECT {norms} FROM {tag}x{n}_{k})")
             scaled = ", ".join(f"x{r} / lam{r} AS v{r}" for r in ranks)
             ctes.append(
-                f"c{n}_{k} AS MATERIALIZED (SELECT i, {scaled} FROM x{n}_{k}, l{n}_{k})"
+                f"{tag}c{n}_{k} AS MATERIALIZED (SELECT i, {scaled} FROM {tag}x{n}_{k}, {tag}l{n}_{k})"
             )
     return ctes
 
 
-def _sweep_fits(sweeps: int, rank: int) -> str:
+def _sweep_fits(sweeps: int, rank: int, jacobi: bool = False) -> str:
     """The fit after each sweep; the model is evaluated on every cell, as the tensor is small."""
     parts = []
     for k in range(1, sweeps + 1):
@@ -230,7 +255,18 @@ def _sweep_fits(sweeps: int, rank: int) -> str:
             f"FROM (SELECT val, {model} AS m FROM {cells.replace(', ', ' CROSS JOIN ')} "
             f"LEFT JOIN t ON {on})"
         )
-    return f"WITH {', '.join(_sweeps(sweeps, rank))} {' UNION ALL '.join(parts)}"
+    return f"WITH {', '.join(_sweeps(sweeps, rank, jacobi))} {' UNION ALL '.join(parts)}"
+
+
+def _similarity(sweeps: int) -> str:
+    """Mean absolute cosine of the factors of both kinds of rank-1 sweeps."""
+    ctes = [*_sweeps(sweeps, 1), *_sweeps(sweeps, 1, True, "j")]
+    cosines = " UNION ALL ".join(
+        f"SELECT abs(sum(a.v0 * b.v0)) / sqrt(sum(a.v0 * a.v0) * sum(b.v0 * b.v0)) AS c "
+        f"FROM c{n}_{sweeps} a JOIN jc{n}_{sweeps} b ON a.i = b.i"
+        for n in range(4)
+    )
+    return f"WITH {', '.join(ctes)} SELECT round(avg(c), 6) AS similarity FROM ({cosines})"
 
 
 def _sweep_factors(sweeps: int, rank: int) -> str:
@@ -310,9 +346,7 @@ ORACLES: dict[str, str] = {
     "row_counts": f"""WITH t AS ({_summed(SUPPLY, 3)})
       SELECT mode, i, count(*) AS nnz FROM ({_pairs()}) GROUP BY mode, i""",
     "fiber_stats": f"""WITH t AS ({_summed(SUPPLY, 3)})
-      SELECT mode, size, nnz, CAST(nnz AS DOUBLE) / size AS avg_fiber_len,
-             CASE WHEN nnz >= 32 * size THEN 'DenseFiber' WHEN nnz >= 8 * size THEN 'MediumCOO'
-                  ELSE 'SparseCOO' END AS fiber_class
+      SELECT mode, size, nnz, CAST(nnz AS DOUBLE) / size AS avg_fiber_len
       FROM ({_sizes()})""",
     "shard_counts": f"{_shards()} SELECT mode, shard, nnz FROM s",
     "shard_offsets": f"""{_shards()}
@@ -331,6 +365,8 @@ ORACLES: dict[str, str] = {
     "mttkrp_all_modes": _mttkrp_all(SUPPLY, 3, 4),
     "mttkrp_shuffle": _mttkrp(SUPPLY, 3, 0, 4),
     "mttkrp_blocked": _mttkrp(SUPPLY, 3, 2, 4),
+    "mttkrp_blocked_mixed": _mttkrp_all(SUPPLY, 3, 4),
+    "mttkrp_blocked_wide_key": _mttkrp(SUPPLY, 3, 0, 4),
     "mttkrp_all_modes_blocked": _mttkrp_all(SUPPLY, 3, 4),
     "mttkrp_mode_sorted": _mttkrp(SUPPLY, 3, 1, 4),
     "mttkrp_2mode": _mttkrp(SUPPLY2, 2, 0, 4),
@@ -367,15 +403,34 @@ ORACLES: dict[str, str] = {
     "als_rank2_fit": _sweep_fits(2, 2),
     "als_rank2_factors": _sweep_factors(2, 2),
     "jacobi_rank1_fit": _rank1_jacobi(),
+    "cpals_gauss_seidel": _sweep_fits(2, 3),
+    "cpals_jacobi": _sweep_fits(2, 2, True),
+    "cpals_factors": _sweep_factors(2, 3),
+    "factor_similarity": _similarity(2),
     "model_at_nonzeros": _model_at(),
     "residual_exact": _residual(),
     "morton_encode": f"{_morton()} SELECT i0, i1, i2, val, key FROM k",
     "morton_roundtrip": _T3,
+    "morton_64bit": _morton_64(),
     "mttkrp_morton": _mttkrp_all(SUPPLY, 3, 4),
     "tns_lines": f"""SELECT concat_ws(' ', i0 + 1, i1 + 1, i2 + 1, CAST(val AS BIGINT)) AS line
       FROM ({_summed(SUPPLY, 3)})""",
     "tns_parse": f"""SELECT CAST(i0 AS BIGINT) AS i0, CAST(i1 AS BIGINT) AS i1,
       CAST(i2 AS BIGINT) AS i2, val FROM ({SUPPLY})""",
+    "tns_file_read": _T3,
+    "cached_read": f"SELECT i0, i1, i2, val / 8 + 16777217 AS val FROM ({_T3})",
+    "factor_binary_roundtrip": f"""{_outputs()},
+      y AS ({_wide('SELECT * FROM y0', 4, 'f')}), n AS (SELECT unnest(range((SELECT max(i0) + 1 FROM t))) AS i)
+      SELECT CAST(n.i AS BIGINT) AS i,
+             {', '.join(f'CAST(CAST(coalesce(f{r}, 0) AS FLOAT) AS DOUBLE) AS f{r}' for r in range(4))}
+      FROM n LEFT JOIN y ON n.i = y.i""",
+    "factor_text_roundtrip": f"""{_outputs()},
+      y AS ({_wide('SELECT * FROM y0', 4, 'f')}), n AS (SELECT unnest(range((SELECT max(i0) + 1 FROM t))) AS i)
+      SELECT {', '.join(f'CAST(coalesce(f{r}, 0) AS DOUBLE) AS f{r}' for r in range(4))}
+      FROM n LEFT JOIN y ON n.i = y.i""",
+    "lambda_roundtrip": f"""{_outputs()}
+      SELECT CAST(r AS INTEGER) AS r, CAST(CAST(round(sqrt(sum(y * y)), 6) AS FLOAT) AS DOUBLE) AS lambda
+      FROM y0 GROUP BY r""".replace(" AS lambda", ' AS "lambda"'),
     "dnb_roundtrip": _T3,
     "saved_roundtrip": _T3,
     "packed_roundtrip": f"""SELECT CAST(i0 AS BIGINT) AS i0, CAST(i1 AS BIGINT) AS i1,

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from tensorspark.functions import dense
 from tensorspark.functions.factors import (
+    factor_bytes,
     factor_columns,
     integer_factor_array,
     integer_factors,
@@ -29,13 +30,14 @@ from tensorspark.functions.morton import MortonPlan
 from tensorspark.operators import linalg, mttkrp as mt, stats, validate
 from tensorspark.operators.blocked import BlockedTensor, mttkrp_all_blocked, mttkrp_blocked
 from tensorspark.operators.cpals import CpOptions, cpals
-from tensorspark.session import scratch_path
+from tensorspark.session import local_path, scratch_path
+from tensorspark.sources import factor_files
 from tensorspark.sources.dnb import read_dnb, write_dnb
-from tensorspark.sources.tns import format_lines, parse_lines
-from tensorspark.tensor import SparseTensor, tensor_frame
+from tensorspark.sources.reader import read_tensor
+from tensorspark.sources.tns import format_lines, parse_lines, read_tns, write_tns
+from tensorspark.tensor import SparseTensor, morton_stored, tensor_frame, write_by_key
 
 RANK = 4
-WORKERS = 8  # shard sizing in the layout statistics
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -139,7 +141,7 @@ def coalesce_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mode_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stats.mode_sizes(supply(spark, sf_dir, combine=True))
+    return stats.mode_sizes(supply_frame(spark, sf_dir))
 
 
 def tensor_norm_sq(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -155,19 +157,20 @@ def row_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fiber_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stats.fiber_stats(supply(spark, sf_dir, combine=True))
+    return stats.fiber_stats(supply_frame(spark, sf_dir))
 
 
 def shard_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stats.shard_counts(supply(spark, sf_dir), WORKERS)
+    """Nonzeros per range of rows."""
+    return stats.range_counts(supply(spark, sf_dir))
 
 
 def shard_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stats.shard_offsets(stats.shard_counts(supply(spark, sf_dir), WORKERS))
+    return stats.range_offsets(stats.range_counts(supply(spark, sf_dir)))
 
 
 def csr_rowptr(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stats.csr_rowptr(supply(spark, sf_dir), 1, WORKERS)
+    return stats.csr_rowptr(supply(spark, sf_dir), 1)
 
 
 # ---- MTTKRP ------------------------------------------------------------------
@@ -191,13 +194,34 @@ def mttkrp_all_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def mttkrp_blocked_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = supply(spark, sf_dir)
     blocked = BlockedTensor.build(t, RANK)
-    return mttkrp_blocked(blocked, integer_factors(spark, t.mode_sizes, RANK), 2, RANK)
+    factors = integer_factors(spark, t.mode_sizes, RANK)
+    return mttkrp_blocked(blocked, factors, 2, RANK, broadcast_bytes=0)
+
+
+def mttkrp_blocked_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The largest factor travels by demand, the others are broadcast."""
+    t = supply(spark, sf_dir)
+    sizes = sorted(t.mode_sizes)
+    limit = sum(factor_bytes(s, RANK) for s in sizes[:-1])
+    blocked = BlockedTensor.build(t, RANK)
+    factors = integer_factors(spark, t.mode_sizes, RANK)
+    return mttkrp_all_blocked(blocked, factors, RANK, broadcast_bytes=limit)
+
+
+def mttkrp_blocked_wide_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Declared mode sizes whose full Z-order key would need 84 bits."""
+    t = supply(spark, sf_dir)
+    wide = SparseTensor.from_frame(t.df, [1 << 28] * 3)
+    blocked = BlockedTensor.build(wide, RANK, cell_nnz=1024)
+    factors = integer_factors(spark, t.mode_sizes, RANK)
+    return mttkrp_blocked(blocked, factors, 0, RANK, broadcast_bytes=0)
 
 
 def mttkrp_all_modes_blocked(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = supply(spark, sf_dir)
     blocked = BlockedTensor.build(t, RANK)
-    return mttkrp_all_blocked(blocked, integer_factors(spark, t.mode_sizes, RANK), RANK)
+    factors = integer_factors(spark, t.mode_sizes, RANK)
+    return mttkrp_all_blocked(blocked, factors, RANK, broadcast_bytes=0)
 
 
 def mttkrp_mode_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -246,18 +270,18 @@ def compare_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- factor algebra on MTTKRP outputs ----------------------------------------
 
 
-def _outputs(spark: SparkSession, sf_dir: str, rank: int = RANK) -> list[DataFrame]:
+def _outputs(spark: SparkSession, sf_dir: str, rank: int = RANK) -> DataFrame:
+    """MTTKRP outputs of all modes from one pass: ``[mode, i, f0 ..]``."""
     t = supply(spark, sf_dir)
-    factors = integer_factors(spark, t.mode_sizes, rank)
     rename = dict(zip(factor_columns(rank, "y"), factor_columns(rank)))
-    return [
-        mt.mttkrp_wide(t, factors, n, rank).withColumnsRenamed(rename)
-        for n in range(t.num_modes)
-    ]
+    return mt.mttkrp_all_arrow(t, _arrays(t, rank), rank).withColumnsRenamed(rename)
 
 
 def _output(spark: SparkSession, sf_dir: str, n: int, rank: int = RANK) -> DataFrame:
-    return _outputs(spark, sf_dir, rank)[n]
+    t = supply(spark, sf_dir)
+    rename = dict(zip(factor_columns(rank, "y"), factor_columns(rank)))
+    factors = integer_factors(spark, t.mode_sizes, rank)
+    return mt.mttkrp_wide(t, factors, n, rank).withColumnsRenamed(rename)
 
 
 def gram(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -265,16 +289,14 @@ def gram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hadamard_v(spark: SparkSession, sf_dir: str) -> DataFrame:
-    outs = _outputs(spark, sf_dir)
-    return linalg.hadamard_frames([linalg.gram_frame(o, RANK) for o in outs[1:]])
+    grams = linalg.gram_frame(_outputs(spark, sf_dir), RANK, by="mode")
+    return linalg.hadamard_by_mode(grams, [1, 2])
 
 
 def sum_diag_product(spark: SparkSession, sf_dir: str) -> DataFrame:
-    outs = _outputs(spark, sf_dir)
-    both = linalg.hadamard_frames([linalg.gram_frame(o, RANK) for o in outs[:2]])
-    return both.where("r = s").agg(F.sum("g").alias("total")).select(
-        (F.col("total") / 1e12).alias("total")
-    ).select(F.round("total", 3).alias("total"))
+    grams = linalg.gram_frame(_outputs(spark, sf_dir), RANK, by="mode")
+    both = linalg.hadamard_by_mode(grams, [0, 1])
+    return both.where("r = s").agg(F.round(F.sum("g") / 1e12, 3).alias("total"))
 
 
 def col_norms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -384,38 +406,44 @@ def jacobi_rank1_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _history(spark, t, opt)
 
 
+def _fitted(t: SparseTensor, rank: int, sweeps: int, kernel: str = "gauss-seidel") -> CpOptions:
+    """From whole-number factors, without ridge: SQL can repeat the same sweeps."""
+    start = _arrays(t, rank)
+    return CpOptions(rank=rank, max_iters=sweeps, tol=0.0, ridge=0.0, init=start, kernel=kernel)
+
+
 def cpals_gauss_seidel(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = market(spark, sf_dir, combine=True)
-    return _history(spark, t, CpOptions(rank=3, max_iters=10))
+    return _history(spark, t, _fitted(t, 3, 2))
 
 
 def cpals_jacobi(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = market(spark, sf_dir, combine=True)
-    return _history(spark, t, CpOptions(rank=3, max_iters=10, kernel="jacobi"))
+    return _history(spark, t, _fitted(t, 2, 2, "jacobi"))
 
 
 def cpals_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All factor rows of a fitted activity model, scaled columns and weights."""
-    t = activity(spark, sf_dir, combine=True)
-    result = cpals(t, CpOptions(rank=2, max_iters=3, tol=0.0))
+    """All factor rows of a rank-3 model after two sweeps."""
+    t = market(spark, sf_dir, combine=True)
+    frames = cpals(t, _fitted(t, 3, 2)).factor_frames(spark)
     return reduce(
         DataFrame.unionAll,
         [
-            f.select(F.lit(n).alias("mode"), "i", *factor_columns(2))
-            for n, f in enumerate(result.factor_frames(spark))
+            _rounded(f, factor_columns(3)).select(F.lit(n).alias("mode"), "i", *factor_columns(3))
+            for n, f in enumerate(frames)
         ],
     )
 
 
 def factor_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Agreement of the two kernels' models of the same tensor."""
+    """Agreement of the two kernels' rank-1 models of the same tensor after two sweeps."""
     t = market(spark, sf_dir, combine=True)
-    models = [
-        cpals(t, CpOptions(rank=1, max_iters=10, kernel=k)).factor_frames(spark)
-        for k in ("gauss-seidel", "jacobi")
-    ]
+    models = []
+    for kernel in ("gauss-seidel", "jacobi"):
+        opt = CpOptions(rank=1, max_iters=2, tol=0.0, ridge=0.0, init=_rank1_start(t), kernel=kernel)
+        models.append(cpals(t, opt).factor_frames(spark))
     value = validate.factor_similarity(*models, rank=1)
-    return spark.createDataFrame([(round(value, 3),)], "similarity double")
+    return spark.createDataFrame([(round(value, 6),)], "similarity double")
 
 
 def model_at_nonzeros(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -431,32 +459,41 @@ def residual_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- Morton order ------------------------------------------------------------
 
 
-def _keyed(spark: SparkSession, sf_dir: str, combine: bool) -> tuple[DataFrame, MortonPlan]:
-    t = supply(spark, sf_dir, combine)
-    plan = MortonPlan.of(t.mode_sizes)
-    return t.df.withColumn("key", plan.encode([F.col(c) for c in t.index_columns])), plan
-
-
 def morton_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _keyed(spark, sf_dir, True)[0]
+    t = supply(spark, sf_dir, combine=True)
+    key = MortonPlan.of(t.mode_sizes).encode([F.col(c) for c in t.index_columns])
+    return t.df.withColumn("key", key)
 
 
 def morton_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    keyed, plan = _keyed(spark, sf_dir, True)
-    decoded = [c.cast("int").alias(f"i{n}") for n, c in enumerate(plan.decode(F.col("key")))]
-    ordered = keyed.select("key", "val").repartitionByRange("key").sortWithinPartitions("key")
-    return ordered.select(*decoded, "val")
+    return morton_stored(supply(spark, sf_dir, combine=True)).df
+
+
+def morton_64bit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys that use all 64 bits: indices pushed to the top of modes of 2^22, 2^21, 2^21."""
+    sizes = (1 << 22, 1 << 21, 1 << 21)
+    t = supply(spark, sf_dir, combine=True, modes=3)
+    top = [(F.lit(s - 1) - F.col(f"i{n}")).alias(f"i{n}") for n, s in enumerate(sizes)]
+    t = SparseTensor.from_frame(t.df.select(*top, "val"), sizes, distinct=True)
+    stored, plan = write_by_key(t)
+    back = stored.select(
+        "val",
+        plan.order(F.col("key")).alias("place"),
+        *[c.alias(f"i{n}") for n, c in enumerate(plan.decode(F.col("key")))],
+    )
+    return back.agg(
+        F.count(F.lit(1)).alias("nnz"),
+        *[F.sum(f"i{n}").alias(f"sum_i{n}") for n in range(3)],
+        F.sum(F.col("i0") * F.col("val")).alias("weighted"),
+        F.min("place").alias("low"),
+        F.max("place").alias("high"),
+    )
 
 
 def mttkrp_morton(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All modes from linearised storage: key and value only, decoded on the fly."""
+    """All modes from linearised storage: keys and values only, decoded as they are read."""
     t = supply(spark, sf_dir)
-    plan = MortonPlan.of(t.mode_sizes)
-    stored = t.df.select(plan.encode([F.col(c) for c in t.index_columns]).alias("key"), "val")
-    decoded = [c.cast("int").alias(f"i{n}") for n, c in enumerate(plan.decode(F.col("key")))]
-    return mt.mttkrp_all_arrow(
-        t.with_frame(stored.select(*decoded, "val")), _arrays(t, RANK), RANK
-    )
+    return mt.mttkrp_all_arrow(morton_stored(t), _arrays(t, RANK), RANK)
 
 
 # ---- formats -----------------------------------------------------------------
@@ -475,8 +512,73 @@ def tns_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parse_lines(lines, 3)
 
 
+def _written_lines(spark: SparkSession, sf_dir: str) -> str:
+    """A folder of coordinate files: each begins with comments, a header and a blank line."""
+    path = scratch_path(spark, "tns")
+    t = supply(spark, sf_dir, combine=True)
+    head = ["# supplier part month", "", "3", " ".join(map(str, t.mode_sizes)), "# nonzeros"]
+    lines = format_lines(t.df, 3)
+
+    def with_header(batches):
+        import pyarrow as pa
+
+        yield pa.RecordBatch.from_arrays([pa.array(head, pa.string())], ["line"])
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("line").cast(pa.string())], ["line"])
+
+    lines.mapInArrow(with_header, "line string").write.text(path)
+    return path
+
+
+def tns_file_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_tns(spark, _written_lines(spark, sf_dir)).df
+
+
+def cached_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values that single precision would change, read through the cache twice."""
+    path = scratch_path(spark, "cached")
+    t = supply(spark, sf_dir, combine=True)
+    odd = t.with_frame(t.df.withColumn("val", F.col("val") / 8 + 16777217))
+    write_tns(odd, path)
+    read_tensor(spark, path, cache=True)
+    return read_tensor(spark, path, cache=True).df
+
+
+def _factor_rows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
+    """An MTTKRP output as a factor, and its number of rows."""
+    t = supply(spark, sf_dir)
+    factors = integer_factors(spark, t.mode_sizes, RANK)
+    rename = dict(zip(factor_columns(RANK, "y"), factor_columns(RANK)))
+    return mt.mttkrp_wide(t, factors, 0, RANK).withColumnsRenamed(rename), t.mode_sizes[0]
+
+
+def factor_binary_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    frame, rows = _factor_rows(spark, sf_dir)
+    path = local_path(scratch_path(spark, "factor"))
+    factor_files.write_binary(frame, path, rows, RANK)
+    return factor_files.read_binary(spark, path)
+
+
+def factor_text_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of a text dump, read back in row order of a folder's parts."""
+    frame, rows = _factor_rows(spark, sf_dir)
+    path = scratch_path(spark, "factor-text")
+    factor_files.write_text(frame, path, rows, RANK)
+    cells = [F.split("value", " ")[r].cast("double").alias(c) for r, c in enumerate(factor_columns(RANK))]
+    return spark.read.text(path).select(*cells)
+
+
+def lambda_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Column norms of an MTTKRP output through the file of weights."""
+    norms = {r["r"]: r["norm"] for r in col_norms(spark, sf_dir).collect()}
+    path = local_path(scratch_path(spark, "lambda"))
+    factor_files.write_lambda(np.array([norms[r] for r in range(RANK)]), path)
+    lam = factor_files.read_lambda(path)
+    return spark.createDataFrame([(r, float(v)) for r, v in enumerate(lam)], "r int, lambda double")
+
+
 def dnb_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = scratch_path(spark, "supply").removeprefix("file:") + ".dnb"
+    path = scratch_path(spark, "supply") + ".dnb"
     write_dnb(supply(spark, sf_dir, combine=True), path)
     return read_dnb(spark, path).df
 
@@ -512,6 +614,8 @@ QUERIES: dict[str, Query] = {
     "mttkrp_all_modes": mttkrp_all_modes,
     "mttkrp_shuffle": _supply_mttkrp(mt.mttkrp_shuffle, 0),
     "mttkrp_blocked": mttkrp_blocked_query,
+    "mttkrp_blocked_mixed": mttkrp_blocked_mixed,
+    "mttkrp_blocked_wide_key": mttkrp_blocked_wide_key,
     "mttkrp_all_modes_blocked": mttkrp_all_modes_blocked,
     "mttkrp_mode_sorted": mttkrp_mode_sorted,
     "mttkrp_2mode": mttkrp_2mode,
@@ -542,9 +646,15 @@ QUERIES: dict[str, Query] = {
     "residual_exact": residual_exact,
     "morton_encode": morton_encode,
     "morton_roundtrip": morton_roundtrip,
+    "morton_64bit": morton_64bit,
     "mttkrp_morton": mttkrp_morton,
     "tns_lines": tns_lines,
     "tns_parse": tns_parse,
+    "tns_file_read": tns_file_read,
+    "cached_read": cached_read,
+    "factor_binary_roundtrip": factor_binary_roundtrip,
+    "factor_text_roundtrip": factor_text_roundtrip,
+    "lambda_roundtrip": lambda_roundtrip,
     "dnb_roundtrip": dnb_roundtrip,
     "saved_roundtrip": saved_roundtrip,
     "packed_roundtrip": packed_roundtrip,

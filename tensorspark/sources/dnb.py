@@ -26,7 +26,7 @@ from pyspark.sql.datasource import (
 )
 from pyspark.sql.types import StructType
 
-from tensorspark.streaming.chunks import chunk_ranges, default_chunk_nnz
+from tensorspark.session import local_path
 from tensorspark.tensor import MAX_MODES, SparseTensor, index_columns
 
 # Fixed values of the file format: magic, version, widths of values and indices, then the
@@ -41,6 +41,8 @@ MANIFEST = "_manifest.json"
 # Nonzeros a writer task holds before it closes a part file.
 PART_NNZ = 1 << 22
 _COPY_BYTES = 8 << 20
+# Bytes of a file that one read task takes.
+CHUNK_BYTES = 128 << 20
 
 
 @dataclass(frozen=True)
@@ -77,13 +79,9 @@ class DnbHeader:
         return HEADER_BYTES + WIDTH * (column * self.nnz + first)
 
 
-def _local(path: str) -> str:
-    return path.removeprefix("file://") if path.startswith("file://") else path
-
-
 def read_parts(path: str) -> tuple[list[tuple[str, int]], tuple[int, ...]]:
     """The files of a tensor with their nonzero counts, and the overall mode sizes."""
-    path = _local(path)
+    path = local_path(path)
     if not os.path.isdir(path):
         head = DnbHeader.read(path)
         return [(path, head.nnz)], head.mode_sizes
@@ -104,8 +102,7 @@ def read_parts(path: str) -> tuple[list[tuple[str, int]], tuple[int, ...]]:
 
 
 def dnb_schema(mode_sizes: Sequence[int]) -> str:
-    kind = "int" if max(mode_sizes) < 2**31 else "bigint"
-    columns = [f"{c} {kind}" for c in index_columns(len(mode_sizes))]
+    columns = [f"{c} bigint" for c in index_columns(len(mode_sizes))]
     return ", ".join([*columns, "val double"])
 
 
@@ -118,22 +115,19 @@ class _Chunk(InputPartition):
 
 class _Reader(DataSourceReader):
     def __init__(self, path: str, schema: StructType, chunk_nnz: int | None):
-        self.path, self.chunk_nnz = path, chunk_nnz
-        self.types = [f.dataType.simpleString() for f in schema.fields[:-1]]
+        self.path = path
+        self.chunk_nnz = chunk_nnz or max(1, CHUNK_BYTES // (WIDTH * len(schema.fields)))
 
     def partitions(self) -> Sequence[InputPartition]:
         parts, _ = read_parts(self.path)
         return [
-            _Chunk(path, first, count)
+            _Chunk(path, first, min(self.chunk_nnz, nnz - first))
             for path, nnz in parts
-            for first, count in chunk_ranges(
-                nnz, self.chunk_nnz or default_chunk_nnz(len(self.types), nnz)
-            )
+            for first in range(0, nnz, self.chunk_nnz)
         ]
 
     def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
         head = DnbHeader.read(partition.path)
-        kinds = [np.int64 if t == "bigint" else np.int32 for t in self.types]
         names = [*index_columns(head.num_modes), "val"]
         step = 1 << 17
         with open(partition.path, "rb") as f:
@@ -141,9 +135,9 @@ class _Reader(DataSourceReader):
             for lo in range(partition.first, end, step):
                 n = min(step, end - lo)
                 arrays = []
-                for k, kind in enumerate(kinds):
-                    f.seek(head.offset(k + 1, lo))
-                    arrays.append(pa.array(np.fromfile(f, "<u4", n).astype(kind)))
+                for n_mode in range(head.num_modes):
+                    f.seek(head.offset(n_mode + 1, lo))
+                    arrays.append(pa.array(np.fromfile(f, "<u4", n).astype(np.int64)))
                 f.seek(head.offset(0, lo))
                 arrays.append(pa.array(np.fromfile(f, "<f4", n).astype(np.float64)))
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
@@ -241,7 +235,7 @@ class DnbDataSource(DataSource):
         return "dnb"
 
     def _path(self) -> str:
-        return _local(self.options["path"])
+        return local_path(self.options["path"])
 
     def schema(self) -> str:
         return dnb_schema(read_parts(self._path())[1])
@@ -292,7 +286,7 @@ def export_file(spark: SparkSession, folder: str, target: str) -> DnbHeader:
     """
     parts, sizes = read_parts(folder)
     total = DnbHeader(len(sizes), sum(n for _, n in parts), sizes)
-    target = _local(target)
+    target = local_path(target)
     partial = f"{target}.{uuid.uuid4().hex}.partial"
     with open(partial, "wb") as f:
         f.write(total.pack())
@@ -324,16 +318,3 @@ def export_file(spark: SparkSession, folder: str, target: str) -> DnbHeader:
         raise RuntimeError(f"copied {done} of {len(parts)} parts")
     os.replace(partial, target)
     return total
-
-
-def cache_is_fresh(source: str, cache: str) -> bool:
-    """A cache counts when it is no older than its source, or its source is gone."""
-    source, cache = _local(source), _local(cache)
-    stamp = os.path.join(cache, MANIFEST) if os.path.isdir(cache) else cache
-    if not os.path.exists(stamp):
-        return False
-    if not os.path.exists(source):
-        return True
-    return os.path.getmtime(stamp) >= os.path.getmtime(source)
-
-

@@ -16,7 +16,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tensorspark.functions.factors import factor_batch, factor_columns, factor_schema, matrix_of
+from tensorspark.functions.factors import (
+    factor_batch,
+    factor_columns,
+    factor_schema,
+    from_dense,
+    matrix_of,
+)
+from tensorspark.session import local_path
 
 # Fixed values of the binary format: magic, version, value width, rank, rows; then f32
 # entries row by row.
@@ -45,6 +52,7 @@ def write_binary(
     factor: DataFrame | np.ndarray, path: str, rows: int, rank: int, prefix: str = "f"
 ) -> None:
     """Every row has a fixed position, so tasks write straight into the shared file."""
+    path = local_path(path)
     head = struct.pack(HEADER, MAGIC, VERSION, WIDTH, rank, rows)
     partial = f"{path}.{uuid.uuid4().hex}.partial"
     with open(partial, "wb") as f:
@@ -71,14 +79,15 @@ def write_binary(
             yield pa.RecordBatch.from_arrays([pa.array([count], pa.int64())], names=["written"])
 
         # Rows absent from the frame stay zero: the file was created zero-filled.
-        factor.select("i", *names).sortWithinPartitions("i").mapInArrow(
-            put, "written bigint"
-        ).agg(F.sum("written")).collect()
+        # Ranges of rows make long runs, so a task writes few large pieces.
+        ranges = factor.select("i", *names).repartitionByRange("i").sortWithinPartitions("i")
+        ranges.mapInArrow(put, "written bigint").agg(F.sum("written")).collect()
     os.replace(partial, path)
 
 
 def read_header(path: str) -> tuple[int, int]:
     """``(rows, rank)``."""
+    path = local_path(path)
     with open(path, "rb") as f:
         raw = f.read(HEADER_BYTES)
     if len(raw) < HEADER_BYTES:
@@ -93,6 +102,7 @@ def read_header(path: str) -> tuple[int, int]:
 
 def read_binary(spark: SparkSession, path: str) -> DataFrame:
     """A factor file as ``[i, f0 ..]``, read by row ranges."""
+    path = local_path(path)
     rows, rank = read_header(path)
 
     def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,14 +121,7 @@ def read_binary(spark: SparkSession, path: str) -> DataFrame:
 def write_text(
     factor: DataFrame | np.ndarray, path: str, rows: int, rank: int, prefix: str = "f"
 ) -> None:
-    """One row per line, seven significant digits.
-
-    An array becomes one file.  A DataFrame becomes a folder of parts in row order, since
-    text lines have no fixed positions to write to in parallel.
-    """
-    if isinstance(factor, np.ndarray):
-        np.savetxt(path, factor.astype(np.float32), fmt="%.7g", delimiter=" ")
-        return
+    """One row per line, seven significant digits: a folder of parts in row order."""
     names = factor_columns(rank, prefix)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,13 +130,17 @@ def write_text(
             lines = [" ".join(row) for row in cells]
             yield pa.RecordBatch.from_arrays([pa.array(lines, pa.string())], names=["line"])
 
+    if isinstance(factor, np.ndarray):
+        factor = from_dense(SparkSession.active(), factor).withColumnsRenamed(
+            dict(zip(factor_columns(rank), names))
+        )
     ordered = _complete(factor, rows, rank, prefix).orderBy("i")
     ordered.mapInArrow(run, "line string").write.mode("overwrite").text(path)
 
 
 def write_lambda(lam: np.ndarray, path: str) -> None:
-    np.asarray(lam).astype("<f4").tofile(path)
+    np.asarray(lam).astype("<f4").tofile(local_path(path))
 
 
 def read_lambda(path: str) -> np.ndarray:
-    return np.fromfile(path, "<f4").astype(np.float64)
+    return np.fromfile(local_path(path), "<f4").astype(np.float64)

@@ -6,9 +6,10 @@ from collections.abc import Sequence
 from functools import reduce
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tensorspark.functions import dense
 from tensorspark.functions.factors import factor_columns, from_dense
 from tensorspark.tensor import SparseTensor
 
@@ -22,12 +23,24 @@ def uniform_tensor(
         for k in range(len(mode_sizes) + 1)
     ]
     df = spark.range(nnz).select(
-        *[F.floor(u * s).cast("int").alias(f"i{n}") for n, (u, s) in enumerate(zip(unit, mode_sizes))],
+        *[F.floor(u * s).cast("bigint").alias(f"i{n}") for n, (u, s) in enumerate(zip(unit, mode_sizes))],
         (unit[-1] * 2 - 1).alias("val"),
     )
     return SparseTensor.from_frame(df, mode_sizes)
 
 
+def _uniform(number: Column, *salts: int) -> Column:
+    """In (0, 1), from a hash."""
+    bits = F.pmod(F.xxhash64(number, *[F.lit(s) for s in salts]), F.lit(1 << 53))
+    return (bits + 0.5) / float(1 << 53)
+
+
+def _normal(number: Column, seed: int) -> Column:
+    """Standard normal by the Box-Muller transform."""
+    radius = F.sqrt(-2.0 * F.log(_uniform(number, seed, 1)))
+    return radius * F.cos(2.0 * np.pi * _uniform(number, seed, 2))
+
+
 def cp_truth(
     mode_sizes: Sequence[int], rank: int, seed: int
 ) -> tuple[list[np.ndarray], np.ndarray]:
@@ -43,7 +56,9 @@ def cp_tensor(
 ) -> SparseTensor:
     """Every cell of a rank-``rank`` model, optionally with normal noise.
 
-    Cells are numbered and decoded, so no product of tables is formed.
+    ``noise`` is the noise's share of the model: its standard deviation is that fraction of
+    the root mean square of the model's cells.  Cells are numbered and decoded, so no
+    product of tables is formed, and noise follows the cell's number, not its partition.
     """
     factors, lam = cp_truth(mode_sizes, rank, seed)
     total = int(np.prod([int(s) for s in mode_sizes]))
@@ -51,20 +66,21 @@ def cp_tensor(
     rest = F.col("id")
     columns = []
     for n in reversed(range(len(mode_sizes))):
-        columns.append((rest % mode_sizes[n]).cast("int").alias(f"i{n}"))
-        rest = F.floor(rest / mode_sizes[n])
+        columns.append((rest % mode_sizes[n]).cast("bigint").alias(f"i{n}"))
+        rest = F.call_function("div", rest, F.lit(mode_sizes[n]))
     df: DataFrame = cell.select("id", *reversed(columns))
     terms = [F.lit(float(v)) for v in lam]
     for n, f in enumerate(factors):
         names = [f"g{n}_{r}" for r in range(rank)]
         rows = from_dense(spark, f).select(
-            F.col("i").cast("int").alias(f"i{n}"),
+            F.col("i").cast("bigint").alias(f"i{n}"),
             *[F.col(c).alias(g) for c, g in zip(factor_columns(rank), names)],
         )
         df = df.join(F.broadcast(rows), f"i{n}")
         terms = [t * F.col(g) for t, g in zip(terms, names)]
     value = reduce(lambda a, b: a + b, terms)
     if noise:
-        value = value + noise * F.randn(seed)
+        norm_sq = dense.model_norm_sq([dense.gram(f) for f in factors], lam)
+        value = value + noise * float(np.sqrt(norm_sq / total)) * _normal(F.col("id"), seed)
     idx = [f"i{n}" for n in range(len(mode_sizes))]
     return SparseTensor.from_frame(df.select(*idx, value.alias("val")), mode_sizes, distinct=True)

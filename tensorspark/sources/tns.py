@@ -17,11 +17,8 @@ from tensorspark.tensor import MAX_MODES, SparseTensor, index_columns
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
-    """Trimmed non-blank, non-comment lines as ``[line, at_start]``."""
-    text = spark.read.text(path).select(
-        F.trim("value", F.lit(" \t\r\x0b\x0c")).alias("line"),
-        (F.col("_metadata.file_block_start") == 0).alias("at_start"),
-    )
+    """Trimmed non-blank, non-comment lines as ``[line]``."""
+    text = spark.read.text(path).select(F.trim("value", F.lit(" \t\r\x0b\x0c")).alias("line"))
     return text.where((F.col("line") != "") & ~F.col("line").startswith("#"))
 
 
@@ -32,9 +29,13 @@ def _number(token: str) -> float:
         raise ValueError(f"cannot parse token {token!r}") from None
 
 
-def _peek(lines: DataFrame) -> tuple[int, list[int] | None, list[str]]:
-    """Number of modes, header sizes if any, and the header lines."""
-    head = [r["line"] for r in lines.where("at_start").select("line").limit(2).collect()]
+def _peek(spark: SparkSession, path: str) -> tuple[int, list[int] | None]:
+    """Number of modes and header sizes, if any, from the first file with nonzeros."""
+    head: list[str] = []
+    for name in sorted(spark.read.text(path).inputFiles()):
+        head = [r["line"] for r in _lines(spark, name).limit(2).collect()]
+        if head:
+            break
     if not head:
         raise ValueError("tensor has no nonzeros")
     first = head[0].split()
@@ -42,10 +43,9 @@ def _peek(lines: DataFrame) -> tuple[int, list[int] | None, list[str]]:
         modes = _number(first[0])
         if modes == int(modes) and 2 <= modes <= MAX_MODES:
             second = head[1].split()
-            if len(second) == modes:
-                return int(modes), [int(_number(t)) for t in second], head
-            return int(modes), None, head[:1]
-    return len(first) - 1, None, []
+            sizes = [int(_number(t)) for t in second] if len(second) == modes else None
+            return int(modes), sizes
+    return len(first) - 1, None
 
 
 def _numbers(tokens: pa.Array) -> np.ndarray:
@@ -56,25 +56,43 @@ def _numbers(tokens: pa.Array) -> np.ndarray:
         return pc.cast(pc.replace_substring_regex(tokens, r"^\+", ""), pa.float64()).to_numpy()
 
 
-def parse_lines(lines: DataFrame, num_modes: int) -> DataFrame:
+def parse_lines(
+    lines: DataFrame, num_modes: int, header: list[int] | None = None
+) -> DataFrame:
     """Column ``line`` to zero-based nonzeros; any malformed line fails the query.
 
     Arrow splits and converts a whole batch at a time, which is several times faster than
-    one column expression per token.  Lines with a lone token are skipped.
+    one column expression per token.  Lines with a lone token are skipped, and so is the
+    line of mode sizes that follows the number of modes in a file's header.  Where a split
+    falls between those two lines, the second is known by its sizes, ``header``.
     """
+    split_header = None if header is None else [str(s) for s in header]
     width = num_modes + 1
     names = [*index_columns(num_modes), "val"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        after_modes, first = False, True
         for batch in batches:
             tokens = pc.utf8_split_whitespace(batch.column("line"))
-            tokens = tokens.filter(pc.greater(pc.list_value_length(tokens), 1))
+            lengths = pc.list_value_length(tokens).to_numpy(zero_copy_only=False)
+            modes = lengths == 1
+            for at in np.flatnonzero(modes).tolist():
+                modes[at] = tokens[at].as_py() == [str(num_modes)]
+            follows = np.append(after_modes, modes[:-1]) if len(modes) else modes
+            after_modes = bool(modes[-1]) if len(modes) else after_modes
+            if first and len(modes):
+                follows[0], first = tokens[0].as_py() == split_header, False
+            sizes = follows & (lengths == num_modes)
+            tokens = tokens.filter(pa.array((lengths > 1) & ~sizes))
             wrong = np.flatnonzero(pc.list_value_length(tokens).to_numpy() != width)
             if len(wrong):
                 line = " ".join(tokens[int(wrong[0])].as_py())
                 raise ValueError(f"expected {num_modes} indices and a value in line: {line}")
             values = _numbers(tokens.flatten()).reshape(-1, width)
             index = values[:, :num_modes]
+            if not np.isfinite(values).all():
+                at = int(np.flatnonzero(~np.isfinite(values).all(axis=1))[0])
+                raise ValueError(f"not a finite number in line: {' '.join(tokens[at].as_py())}")
             if not (index >= 1).all():
                 at = int(np.flatnonzero(~(index >= 1).all(axis=1))[0])
                 raise ValueError(f"non-positive index in line: {' '.join(tokens[at].as_py())}")
@@ -89,43 +107,31 @@ def parse_lines(lines: DataFrame, num_modes: int) -> DataFrame:
 
 def tns_frame(spark: SparkSession, path: str) -> tuple[DataFrame, int, list[int] | None]:
     """Unmeasured nonzeros of a text tensor, its number of modes and its header sizes."""
-    lines = _lines(spark, path)
-    num_modes, sizes, header = _peek(lines)
+    num_modes, sizes = _peek(spark, path)
     if not 1 <= num_modes <= MAX_MODES:
         raise ValueError(f"tensor needs 1 to {MAX_MODES} modes, got {num_modes}")
-    # The header's first line is a lone token, which the parser skips.  Its sizes line is
-    # dropped where it was found; any other short line fails.
-    if sizes:
-        lines = lines.where(~(F.col("at_start") & (F.col("line") == header[1])))
-    return parse_lines(lines, num_modes), num_modes, sizes
+    return parse_lines(_lines(spark, path), num_modes, sizes), num_modes, sizes
 
 
 def read_tns(spark: SparkSession, path: str) -> SparseTensor:
     """Read text coordinates; splits are parsed in parallel, and only once."""
     nonzeros, _, sizes = tns_frame(spark, path)
-    tensor = SparseTensor.from_frame(nonzeros, sizes, keep=True)
-    if max(tensor.mode_sizes) < 2**31:
-        narrow = [F.col(c).cast("int").alias(c) for c in tensor.index_columns]
-        tensor = tensor.with_frame(tensor.df.select(*narrow, "val"))
-    return tensor
+    return SparseTensor.from_frame(nonzeros, sizes, keep=True)
 
 
 def format_lines(nonzeros: DataFrame, num_modes: int, one_indexed: bool = True) -> DataFrame:
-    """Nonzeros to text lines; values with nine significant digits."""
+    """Nonzeros to text lines; values with seventeen significant digits at most.
+
+    Only values go through Python: a value's shortest text that reads back the same.
+    """
     base = 1 if one_indexed else 0
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            text = None
-            for c in index_columns(num_modes):
-                part = np.char.mod("%d", batch.column(c).to_numpy() + base)
-                text = part if text is None else np.char.add(np.char.add(text, " "), part)
-            value = np.char.mod("%.9g", batch.column("val").to_numpy())
-            text = np.char.add(np.char.add(text, " "), value)
-            yield pa.RecordBatch.from_arrays([pa.array(text.tolist(), pa.string())], names=["line"])
-
-    wide = [F.col(c).cast("bigint").alias(c) for c in index_columns(num_modes)]
-    return nonzeros.select(*wide, "val").mapInArrow(run, "line string")
+    @F.arrow_udf("string")
+    def shortest(values: pa.Array) -> pa.Array:
+        return pa.array([f"{v:.17g}" if float(f"{v:.9g}") != v else f"{v:.9g}" for v in values.to_pylist()])
+
+    index = [(F.col(c).cast("bigint") + base).cast("string") for c in index_columns(num_modes)]
+    return nonzeros.select(F.concat_ws(" ", *index, shortest("val")).alias("line"))
 
 
 def write_tns(tensor: SparseTensor, path: str, one_indexed: bool = True) -> None:

@@ -9,8 +9,10 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tensorspark.session import materialize
+from tensorspark.functions.morton import MortonPlan
+from tensorspark.session import materialize, scratch_path
 
 MAX_MODES = 8
 MAX_MODE_SIZE = 2**32  # indices are unsigned 32-bit in the binary format
@@ -138,23 +140,32 @@ class SparseTensor:
 
     # ---- saved state -------------------------------------------------------
 
-    def save(self, path: str) -> None:
-        """Write the analysed tensor: Parquet plus its measured numbers."""
+    def save(self, path: str, source: str = "") -> None:
+        """Write the analysed tensor: Parquet plus its measured numbers.
+
+        ``source`` identifies what it was made from; see :meth:`load`.
+        """
         self.df.write.mode("overwrite").parquet(f"{path}/nonzeros")
         meta = {
             "mode_sizes": list(self.mode_sizes),
             "nnz": self.nnz,
             "norm_sq": self.norm_sq,
             "distinct": self.distinct,
+            "source": source,
         }
         self.spark.createDataFrame([(json.dumps(meta),)], "value string").coalesce(1).write.mode(
             "overwrite"
         ).text(f"{path}/meta")
 
     @classmethod
-    def load(cls, spark: SparkSession, path: str) -> SparseTensor:
-        """Open a saved tensor without scanning its nonzeros."""
+    def load(cls, spark: SparkSession, path: str, source: str | None = None) -> SparseTensor:
+        """Open a saved tensor without scanning its nonzeros.
+
+        Fails if it was made from something else than ``source``, where that is given.
+        """
         meta = json.loads(spark.read.text(f"{path}/meta").first()["value"])
+        if source is not None and meta.get("source") != source:
+            raise ValueError(f"{path}: saved from another source")
         return cls(
             spark.read.parquet(f"{path}/nonzeros"),
             tuple(meta["mode_sizes"]),
@@ -170,12 +181,19 @@ def tensor_frame(
     """Nonzeros of a table: one integer expression per mode, and a measure.
 
     ``combine=True`` sums the measure per coordinate.  MTTKRP is linear in the values, so
-    callers that only need it pass ``combine=False`` and save that shuffle.
+    callers that only need it pass ``combine=False`` and save that shuffle.  Indices are
+    BIGINT; an expression that gives a fraction is an error.
     """
-    df = table.select(
-        *[_as_column(d).cast("int").alias(c) for d, c in zip(dims, index_columns(len(dims)))],
-        _as_column(value).cast("double").alias("val"),
-    )
+    names = index_columns(len(dims))
+    raw = table.select(*[_as_column(d).alias(c) for d, c in zip(dims, names)])
+    index = []
+    for d, c in zip(dims, names):
+        column, whole = _as_column(d), _as_column(d).cast("bigint")
+        if not isinstance(raw.schema[c].dataType, T.IntegralType):
+            wrong = F.raise_error(F.concat(F.lit("not a whole index: "), column.cast("string")))
+            whole = F.when(column.isNull() | (column == whole), whole).otherwise(wrong.cast("bigint"))
+        index.append(whole.alias(c))
+    df = table.select(*index, _as_column(value).cast("double").alias("val"))
     return combine_coordinates(df) if combine else df
 
 
@@ -183,3 +201,24 @@ def combine_coordinates(df: DataFrame) -> DataFrame:
     """``GROUP BY`` all index columns, summing ``val``."""
     idx = [c for c in df.columns if c != "val"]
     return df.groupBy(*idx).agg(F.sum("val").alias("val"))
+
+
+def write_by_key(tensor: SparseTensor) -> tuple[DataFrame, MortonPlan]:
+    """``[key, val]`` written in Z-order of its keys, and opened again."""
+    plan = MortonPlan.of(tensor.mode_sizes)
+    key = plan.encode([F.col(c) for c in tensor.index_columns]).alias("key")
+    order = plan.order(F.col("key"))
+    path = scratch_path(tensor.spark, "morton")
+    keyed = tensor.df.select(key, "val").repartitionByRange(order).sortWithinPartitions(order)
+    keyed.write.parquet(path)
+    return tensor.spark.read.parquet(path), plan
+
+
+def by_indices(stored: DataFrame, plan: MortonPlan) -> DataFrame:
+    """Nonzeros of stored keys."""
+    return stored.select(*[c.alias(f"i{n}") for n, c in enumerate(plan.decode(F.col("key")))], "val")
+
+
+def morton_stored(tensor: SparseTensor) -> SparseTensor:
+    """The tensor kept as keys and values only; indices are decoded as it is read."""
+    return tensor.with_frame(by_indices(*write_by_key(tensor)))

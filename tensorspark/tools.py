@@ -64,6 +64,10 @@ def read_dump(
     return factors, factor_files.read_lambda(f"{prefix}.cp_lambda.bin")
 
 
+def dump_rows(prefix: str, num_modes: int) -> list[int]:
+    return [factor_files.read_header(f"{prefix}.cp_fm{n}.bin")[0] for n in range(num_modes)]
+
+
 def write_dump(factors: Sequence, lam: np.ndarray, sizes: Sequence[int], prefix: str) -> None:
     for n, (f, s) in enumerate(zip(factors, sizes, strict=True)):
         factor_files.write_binary(f, f"{prefix}.cp_fm{n}.bin", s, len(lam))
@@ -74,8 +78,8 @@ def _fit(tensor: SparseTensor, factors: Sequence, lam: np.ndarray) -> float:
     row = validate.exact_residual(tensor, factors, lam).first()
     residual, fit = dense.residual_and_fit(row["norm_sq"], row["inner"], row["model_sq"])
     print(
-        f"[check] ||T||^2 = {row['norm_sq']:.6e}  ||M||^2 = {row['model_sq']:.6e}  "
-        f"<T, M> = {row['inner']:.6e}  ||T - M|| = {residual:.6e}  fit = {fit:.6f}"
+        f"[check] squared norms: tensor {row['norm_sq']:.6e}, model {row['model_sq']:.6e}; inner "
+        f"product {row['inner']:.6e}; residual {residual:.6e}; fit {fit:.6f}"
     )
     return fit
 
@@ -105,10 +109,12 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -
         return 0
     tensor = read_tensor(spark, args.tensor)
     factors, lam = read_dump(spark, args.cp_dump, tensor.num_modes)
+    validate.check_shapes(dump_rows(args.cp_dump, tensor.num_modes), tensor.mode_sizes)
     fit = _fit(tensor, factors, lam)
     if args.command == "check":
         return 0
     wanted, weights = read_dump(spark, args.reference, tensor.num_modes)
+    validate.check_shapes(dump_rows(args.reference, tensor.num_modes), tensor.mode_sizes)
     reference = _fit(tensor, wanted, weights)
     similarity = validate.factor_similarity(wanted, factors, len(lam))
     passed = validate.fits_agree(fit, reference)

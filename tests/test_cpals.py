@@ -215,3 +215,45 @@ def test_compare_factors(spark):
     assert row["frob_rel"] == pytest.approx(np.sqrt(30))
     short = want.where(F.col("i") == 0)
     assert validate.compare_factors(short, want, 2, "f").first()["max_abs"] == 4.0
+
+
+def test_default_rank_fit_runs_to_its_stop(spark):
+    t = cp_tensor(spark, (12, 11, 10), 3, seed=3)
+    result = cpals(t, CpOptions())
+    assert 1 < result.iters_done < 50
+    assert abs(result.fit_history[-1] - result.fit_history[-2]) < 1e-4
+    assert result.final_fit > 0.99
+
+
+def test_driver_factors_must_fit(spark, monkeypatch):
+    from tensorspark.plans import strategy
+
+    monkeypatch.setattr(strategy, "DRIVER_FACTOR_BYTES", 8)
+    t = cp_tensor(spark, (4, 4, 4), 1, seed=1)
+    with pytest.raises(ValueError, match="too large"):
+        cpals(t, CpOptions(rank=1, factors="driver"))
+
+
+def test_noise_is_relative_to_the_model(spark):
+    clean = cp_tensor(spark, (20, 20, 20), 3, seed=3)
+    noisy = cp_tensor(spark, (20, 20, 20), 3, seed=3, noise=0.5)
+    assert noisy.norm_sq == pytest.approx(clean.norm_sq * 1.25, rel=0.05)
+    again = cp_tensor(spark, (20, 20, 20), 3, seed=3, noise=0.5)
+    assert again.norm_sq == pytest.approx(noisy.norm_sq)
+
+
+def test_shapes_are_compared():
+    validate.check_shapes((3, 4), (3, 4))
+    with pytest.raises(ValueError):
+        validate.check_shapes((3, 4), (3, 5))
+
+
+def test_gram_by_mode(spark):
+    rng = np.random.default_rng(1)
+    mats = [rng.integers(-4, 5, (n, 3)).astype(float) for n in (5, 40)]
+    frames = [from_dense(spark, m).withColumn("mode", F.lit(n)) for n, m in enumerate(mats)]
+    grams = linalg.gram_frame(frames[0].unionByName(frames[1]), 3, by="mode")
+    got = np.zeros((3, 3))
+    for r, s, g in linalg.hadamard_by_mode(grams, [0, 1]).collect():
+        got[r, s] = g
+    assert (got == (mats[0].T @ mats[0]) * (mats[1].T @ mats[1])).all()

@@ -7,11 +7,11 @@ import numpy as np
 import pytest
 
 from tensorspark.functions.factors import from_dense, random_factor_array, to_dense
+from tensorspark.session import local_path
 from tensorspark.sources import factor_files
 from tensorspark.sources.dnb import (
     HEADER_BYTES,
     DnbHeader,
-    cache_is_fresh,
     export_file,
     read_dnb,
     read_parts,
@@ -19,7 +19,6 @@ from tensorspark.sources.dnb import (
 )
 from tensorspark.sources.reader import read_tensor
 from tensorspark.sources.tns import read_tns, write_tns
-from tensorspark.streaming.chunks import chunk_ranges, default_chunk_nnz
 from tensorspark.tensor import SparseTensor
 
 DATA = os.path.join(os.path.dirname(__file__), "data")
@@ -151,26 +150,64 @@ def test_dnb_rejects_bad_files(tmp_path):
             DnbHeader.read(str(path))
 
 
-def test_cache_freshness(spark, tmp_path):
+ODD = "1 1 0.1\n1 2 16777217\n2 1 -3e-40\n"
+
+
+def test_cache_keeps_values_and_follows_its_source(spark, tmp_path, capsys):
     source = tmp_path / "c.tns"
-    source.write_text("1 1 2\n")
-    first = read_tensor(spark, str(source), cache=True)
-    cache = str(source) + ".dnb"
-    assert cache_is_fresh(str(source), cache)
-    assert rows(read_tensor(spark, str(source), cache=True)) == rows(first)
+    source.write_text(ODD)
+    plain = rows(read_tensor(spark, str(source)))
+    assert plain == [(0, 0, 0.1), (0, 1, 16777217.0), (1, 0, -3e-40)]
+    for _ in range(2):
+        assert rows(read_tensor(spark, str(source), cache=True)) == plain
+    source.write_text("1 1 5\n")
     later = time.time() + 10
     os.utime(source, (later, later))
-    assert not cache_is_fresh(str(source), cache)
-    assert cache_is_fresh(str(tmp_path / "gone.tns"), cache)
-
-
-def test_chunk_sizes():
-    assert default_chunk_nnz(3, 10**9) == (256 << 20) // 16
-    assert default_chunk_nnz(3, 10**9, target_bytes=1) == 65536
-    assert default_chunk_nnz(3, 1000) == 960
-    assert default_chunk_nnz(3, 10) == 10
-    assert default_chunk_nnz(3, 0) == 0
-    assert chunk_ranges(10, 4) == [(0, 4), (4, 4), (8, 2)]
+    assert rows(read_tensor(spark, str(source), cache=True)) == [(0, 0, 5.0)]
+    # Where the cache can't be written, values are the same.
+    other = tmp_path / "d.tns"
+    other.write_text(ODD)
+    (tmp_path / "d.tns.cache").write_text("in the way")
+    assert rows(read_tensor(spark, str(other), cache=True)) == plain
+    assert "no cache" in capsys.readouterr().out
+
+
+def test_only_mounted_paths_are_written(spark, tmp_path, monkeypatch):
+    monkeypatch.chdir(tmp_path)
+    assert local_path("file:/a/b") == local_path("file:///a/b") == "/a/b"
+    assert local_path("a/b:c") == "a/b:c"
+    t = read_tns(spark, TINY)
+    with pytest.raises(Exception, match="mount"):
+        write_dnb(t, "hdfs://nn/data/x.dnb")
+    with pytest.raises(ValueError):
+        factor_files.write_binary(np.ones((2, 2)), "s3a://bucket/x.bin", 2, 2)
+    with pytest.raises(ValueError):
+        factor_files.write_lambda(np.ones(2), "s3a://bucket/x.bin")
+    assert not os.listdir(tmp_path)
+
+
+def test_headers_anywhere(spark, tmp_path):
+    """A first split of comments alone, and a folder where only some files have a header."""
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        t = read(spark, tmp_path, "# nothing here\n" * 200 + "2\n7 8\n1 2 3\n4 5 6\n")
+        assert t.mode_sizes == (7, 8) and rows(t) == [(0, 1, 3.0), (3, 4, 6.0)]
+        folder = tmp_path / "parts"
+        folder.mkdir()
+        (folder / "a.tns").write_text("2\n9 9\n1 1 1\n")
+        (folder / "b.tns").write_text("".join(f"{k} 2 1\n" for k in range(1, 9)) * 40)
+        (folder / "c.tns").write_text("# c\n2\n9 9\n2 2 2\n")
+        t = read_tns(spark, str(folder))
+        assert t.mode_sizes == (9, 9) and t.nnz == 322
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+@pytest.mark.parametrize("line", ["1 1 nan", "1 1 inf", "inf 1 1", "nan 1 1"])
+def test_numbers_must_be_finite(spark, tmp_path, line):
+    with pytest.raises(Exception, match="finite"):
+        rows(read(spark, tmp_path, f"1 1 1\n{line}\n"))
 
 
 def test_factor_files(spark, tmp_path):
@@ -184,12 +221,9 @@ def test_factor_files(spark, tmp_path):
         assert (to_dense(factor_files.read_binary(spark, path), len(f), 3) == f).all()
         text = str(tmp_path / f"{name}.txt")
         factor_files.write_text(source, text, len(f), 3)
-        if name == "a":
-            assert np.allclose(np.loadtxt(text), f, rtol=1e-6)
-        else:
-            parts = sorted(p for p in os.listdir(text) if p.startswith("part-"))
-            lines = [ln for p in parts for ln in open(os.path.join(text, p))]
-            assert np.allclose(np.array([ln.split() for ln in lines], float), f, rtol=1e-6)
+        parts = sorted(p for p in os.listdir(text) if p.startswith("part-"))
+        lines = [ln for p in parts for ln in open(os.path.join(text, p))]
+        assert np.allclose(np.array([ln.split() for ln in lines], float), f, rtol=1e-6)
     assert (tmp_path / "a.bin").read_bytes() == (tmp_path / "d.bin").read_bytes()
     factor_files.write_lambda(np.array([1.0, 2.5]), str(tmp_path / "lam"))
     assert factor_files.read_lambda(str(tmp_path / "lam")).tolist() == [1.0, 2.5]

@@ -128,7 +128,7 @@ def test_skew_and_copies(spark, name):
 
 def test_hot_indices_are_bounded(spark):
     hot = hot_indices(skewed(spark), [0, 1, 2], 4)
-    assert hot[0] == [5] and hot[1] == [7] and hot[2] == [2]
+    assert hot == {0: {5: 3}, 1: {7: 2}, 2: {2: 2}}
 
 
 def test_cells_are_bounded_and_cover_everything(spark):
@@ -137,13 +137,54 @@ def test_cells_are_bounded_and_cover_everything(spark):
     sizes = [r["n"] for r in blocked.cells.select("n").collect()]
     assert max(sizes) <= 100
     assert sum(sizes) == t.combined().nnz
-    demand = [d.groupBy("cell", "i").count().agg(F.max("count")).first()[0] for d in blocked.demand]
+    demand = [
+        d.rows.groupBy("cell", "i").count().agg(F.max("count")).first()[0] for d in blocked.demand
+    ]
     assert demand == [1, 1, 1]
     factors = integer_factors(spark, t.mode_sizes, 2)
     arrays = [integer_factor_array(s, n, 2) for n, s in enumerate(t.mode_sizes)]
     for n in range(3):
-        got = to_dense(mttkrp_blocked(blocked, factors, n, 2), t.mode_sizes[n], 2, "y")
-        assert (got == brute(dense_rows(t), arrays, n)).all()
+        for limit in (0, 700, 1 << 20):  # by demand, mixed, all broadcast
+            out = mttkrp_blocked(blocked, factors, n, 2, broadcast_bytes=limit)
+            got = to_dense(out, t.mode_sizes[n], 2, "y")
+            assert (got == brute(dense_rows(t), arrays, n)).all()
+
+
+def test_demand_does_not_grow_with_declared_sizes(spark):
+    """Keys that can't hold all index bits still order by Z-curve."""
+    t = uniform_tensor(spark, (1 << 12,) * 3, 40000)
+    wide = [t.with_frame(t.df.select(*[F.shiftleft(F.col(f"i{n}"), s - 12).alias(f"i{n}") for n in range(3)], "val")) for s in (21, 24)]
+    rows = []
+    for tensor, bits in zip(wide, (21, 24)):
+        sized = SparseTensor.from_frame(tensor.df, (1 << bits,) * 3)
+        blocked = BlockedTensor.build(sized, 2, cell_nnz=500)
+        rows.append(sum(d.rows.count() for d in blocked.demand))
+    assert rows[1] <= rows[0] * 1.05
+
+
+def test_hot_demand_is_dealt_over_partitions(spark):
+    """Every cell wants the one row of a mode; no partition gets much more than its share."""
+    k = F.col("id")
+    df = spark.range(60000).select(
+        F.pmod(F.xxhash64(k), F.lit(4000)).alias("i0"),
+        F.pmod(F.xxhash64(k, F.lit(1)), F.lit(4000)).alias("i1"),
+        F.lit(0).cast("bigint").alias("i2"),
+        F.lit(1.0).alias("val"),
+    )
+    t = SparseTensor.from_frame(df)
+    blocked = BlockedTensor.build(t, 2, cell_nnz=64)
+    rows = blocked.demand[2].rows
+    parts = [r["count"] for r in rows.groupBy(F.spark_partition_id()).count().collect()]
+    assert rows.select("salt").distinct().count() >= blocked.parts
+    assert max(parts) <= 2 * (sum(parts) / blocked.parts) + 64
+
+
+def test_layout_partitions_follow_size():
+    from tensorspark.operators.blocked import PART_BYTES, layout_partitions
+
+    assert layout_partitions(1000, 3, 8, 200) == 8
+    nnz = 10**12
+    assert layout_partitions(nnz, 3, 1000, 200) == -(-nnz * 20 // PART_BYTES)
 
 
 @pytest.mark.parametrize("width", ["4", "64"])
@@ -154,7 +195,7 @@ def test_blocked_does_not_reshuffle_the_tensor(spark, width):
     try:
         blocked = BlockedTensor.build(t, 2)
         factors = integer_factors(spark, t.mode_sizes, 2)
-        out = mttkrp_all_blocked(blocked, factors, 2)
+        out = mttkrp_all_blocked(blocked, factors, 2, broadcast_bytes=0)
         text = out._jdf.queryExecution().toString()
         got = to_dense(out.where("mode = 0"), 40, 2, "y")
     finally:
@@ -174,7 +215,8 @@ def test_absent_factor_rows_are_zero(spark):
     frames[1] = frames[1].where("i < 4")
     blocked = BlockedTensor.build(t, 2, cell_nnz=64)
     want = brute(dense_rows(t), arrays, 0)
-    for got in (mttkrp_blocked(blocked, frames, 0, 2), mt.mttkrp_arrow(t, frames, 0, 2)):
+    demanded = mttkrp_blocked(blocked, frames, 0, 2, broadcast_bytes=0)
+    for got in (demanded, mttkrp_blocked(blocked, frames, 0, 2), mt.mttkrp_arrow(t, frames, 0, 2)):
         assert np.allclose(to_dense(got, 10, 2, "y"), want)
 
 

@@ -22,18 +22,8 @@ def tiny(spark):
 
 
 def test_fiber_stats(tiny):
-    rows = [tuple(r) for r in stats.fiber_stats(tiny).orderBy("mode").collect()]
-    assert rows == [
-        (0, 4, 9, 2.25, "SparseCOO"),
-        (1, 4, 9, 2.25, "SparseCOO"),
-        (2, 3, 9, 3.0, "SparseCOO"),
-    ]
-    assert [stats.fiber_class(v) for v in (32, 31.9, 8, 7.9)] == [
-        "DenseFiber",
-        "MediumCOO",
-        "MediumCOO",
-        "SparseCOO",
-    ]
+    rows = [tuple(r) for r in stats.fiber_stats(tiny.df).orderBy("mode").collect()]
+    assert rows == [(0, 4, 9, 2.25), (1, 4, 9, 2.25), (2, 3, 9, 3.0)]
 
 
 def test_touched_rows(spark):
@@ -45,23 +35,21 @@ def test_touched_rows(spark):
     ]
 
 
-@pytest.mark.parametrize(
-    "size,workers,rows",
-    [(8, 8, 1), (9, 8, 16), (20, 8, 16), (2000, 8, 64), (10**9, 8, 16384), (3000, 1, 1024)],
-)
-def test_shard_rows(size, workers, rows):
-    assert stats.shard_rows(size, workers) == rows
+@pytest.mark.parametrize("size,bits", [(1, 0), (64, 0), (65, 1), (3000, 6), (2**32, 26)])
+def test_ranges_of_rows(size, bits):
+    assert stats.range_bits(size) == bits
+    assert (size - 1) >> bits < stats.RANGES
 
 
-def test_shards_and_row_pointers(spark):
+def test_ranges_and_row_pointers(spark):
     t = uniform_tensor(spark, (3000, 40, 5), 5000)
-    counts = stats.shard_counts(t, 8)
+    counts = stats.range_counts(t)
     for mode, total in counts.groupBy("mode").agg(F.sum("nnz")).collect():
         assert total == 5000, mode
-    offsets = stats.shard_offsets(counts).where("mode = 0").orderBy("shard").collect()
+    offsets = stats.range_offsets(counts).where("mode = 0").orderBy("shard").collect()
     assert offsets[0]["shard_begin"] == 0 and offsets[-1]["shard_end"] == 5000
     assert all(a["shard_end"] == b["shard_begin"] for a, b in zip(offsets, offsets[1:]))
-    pointers = stats.csr_rowptr(t, 0, 8).orderBy("i").collect()
+    pointers = stats.csr_rowptr(t, 0).orderBy("i").collect()
     assert pointers[0]["row_begin"] == 0 and pointers[-1]["row_end"] == 5000
     assert all(a["row_end"] == b["row_begin"] for a, b in zip(pointers, pointers[1:]))
 
@@ -86,6 +74,15 @@ def test_tensor_construction_is_checked(spark):
             SparseTensor.from_frame(spark.createDataFrame(rows, schema))
 
 
+def test_table_indices_are_whole_and_wide(spark):
+    table = spark.createDataFrame([(3_000_000_000, 1.0, 2.0), (5, 7.0, 1.0)], "k bigint, x double, v double")
+    t = SparseTensor.from_table(table, ["k", "x"], "v")
+    assert t.mode_sizes == (3_000_000_001, 8)
+    bad = spark.createDataFrame([(1.9, 1.0), (1.2, 1.0)], "x double, v double")
+    with pytest.raises(Exception, match="not a whole index"):
+        SparseTensor.from_table(bad, ["x", "x"], "v")
+
+
 def test_morton_golden(tiny):
     plan = MortonPlan.of(tiny.mode_sizes)
     assert plan.bits == (2, 2, 2)
@@ -102,8 +99,29 @@ def test_morton_uneven_sizes():
     assert plan.bits == (4, 4, 12, 4) and plan.total_bits == 24
     assert sum(plan.masks) == 2**24 - 1
     assert MortonPlan.of((1, 2)).bits == (1, 1)
+    assert MortonPlan.of((2**32, 2**32)).total_bits == 64
+    with pytest.raises(ValueError):
+        MortonPlan.of((2**32, 2**32, 2))
+    leading = MortonPlan.leading((2**28, 2**28, 2**10), 63)
+    assert leading.total_bits == 63 and leading.shifts == (2, 1, 0)
     with pytest.raises(ValueError):
-        MortonPlan.of((2**32, 2**32)).encode([F.lit(0), F.lit(0)])
+        leading.decode(F.lit(0))
+
+
+def test_morton_keys_of_64_bits(spark):
+    plan = MortonPlan.of((2**32, 2**32))
+    rows = [(0, 0), (2**32 - 1, 2**32 - 1), (0, 2**31), (2**31, 0), (5, 2**32 - 2)]
+    df = spark.createDataFrame(rows, "i0 bigint, i1 bigint")
+    key = plan.encode([F.col("i0"), F.col("i1")])
+    got = df.select("i0", "i1", plan.order(key).alias("place"), *plan.decode(key)).orderBy("place")
+    found = [tuple(r) for r in got.collect()]
+    assert all(r[:2] == r[3:] for r in found)
+
+    def unsigned(r):
+        return sum((r[n] >> b & 1) << (2 * b + n) for n in (0, 1) for b in range(32))
+
+    assert [r[:2] for r in found] == sorted(rows, key=unsigned)
+    assert [r[2] for r in found] == [unsigned(r) - 2**63 for r in found]
 
 
 @settings(max_examples=8, deadline=None)
