@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from tensorspark.session import scratch_path
 
 #: Bytes of text that a kernel handles at a time.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 #: A set of rows up to this many bytes may be broadcast; larger ones are joined by shuffle.
 BROADCAST_BYTES = 32 << 20
 
@@ -87,7 +88,12 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def blocks(
     batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = BLOCK_BYTES
 ) -> Iterator[pa.RecordBatch]:
-    """The batches cut into runs of rows with about ``limit`` bytes of text, or one row."""
+    """The batches cut into runs of rows with about ``limit`` bytes of text, or one row.
+
+    Functions of this package travel to the workers by value; what the last task's copies
+    held, in cycles with their globals, is freed first.
+    """
+    gc.collect()
     for batch in batches:
         if not batch.num_rows:
             continue

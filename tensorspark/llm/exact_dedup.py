@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tensorspark.llm.common import fresh, id_text, small, through_files, width
+from tensorspark.llm.common import blocks, fresh, id_text, small, through_files, width
 from tensorspark.session import scratch_path
 
 KEY_BITS = 60
@@ -103,7 +103,7 @@ def _entries(
             }
         )
 
-    for batch in batches:
+    for batch in blocks(batches, "body"):
         columns = (batch.column(c).to_pylist() for c in ("doc_id", "body", "sha", "key"))
         for doc, body, sha, key in zip(*columns, strict=True):
             entry = held.get(body)
@@ -142,7 +142,7 @@ def _pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
     order = ("bucket", "key", "sha", "body", "low", "n")
-    for batch in batches:
+    for batch in blocks(batches, "body"):
         for row in zip(*(batch.column(c).to_pylist() for c in order), strict=True):
             if chain and chain[0][1] != row[1]:
                 close()
