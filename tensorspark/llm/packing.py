@@ -76,12 +76,15 @@ def curve_keys(ids: list[np.ndarray], dims: int = DIMS, bits: int = BITS) -> np.
 
 
 def _encode(
-    batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: int
+    batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: int, kept: str
 ) -> Iterator[pa.RecordBatch]:
+    """Ids in type ``kept`` until they are packed."""
     end = np.array([end_id], "<u4").tobytes()
     for batch in blocks(batches):
         ids = [i + end for i in encoder(tokenizer).encode(batch.column("text"))]
-        keys = curve_keys([np.frombuffer(i, "<u4") for i in ids])
+        ids = [np.frombuffer(i, "<u4") for i in ids]
+        keys = curve_keys(ids)
+        ids = [i.astype(kept).tobytes() for i in ids]
         yield pa.RecordBatch.from_arrays(
             [batch.column("doc_id"), pa.array(keys), pa.array(ids, pa.binary())],
             ["doc_id", "curve", "ids"],
@@ -130,7 +133,9 @@ class _Packer:
                     lengths.pop(0)
 
 
-def _pack(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+def _pack(
+    batches: Iterator[pa.RecordBatch], length: int, kept: str
+) -> Iterator[pa.RecordBatch]:
     packer = _Packer(length, TaskContext.get().partitionId() * PER_PARTITION)
     names = [field.split()[0] for field in PIECES.split(", ")]
     types = [pa.int64()] * 5 + [pa.binary()]
@@ -145,6 +150,7 @@ def _pack(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordB
         for doc, ids in zip(
             batch.column("doc_id").to_pylist(), batch.column("ids").to_pylist(), strict=True
         ):
+            ids = np.frombuffer(ids, kept).astype("<u4").tobytes()
             packer.add(doc, 0, len(ids) // 4, ids, length)
         yield flush()
     packer.finish()
@@ -164,11 +170,13 @@ def pack(
     """
     if length < 1 or length & (length - 1):
         raise ValueError("the length of a sequence must be a power of two")
-    encode = partial(_encode, tokenizer=tokenizer, end_id=end_id)
+    largest = max(end_id, *encoder(tokenizer).tokenizer.get_vocab().values())
+    kept = "<u2" if largest < 1 << 16 else "<u4"
+    encode = partial(_encode, tokenizer=tokenizer, end_id=end_id, kept=kept)
     encoded = through_files(id_text(docs).mapInArrow(encode, ENCODED), "encoded")
     ranged = encoded.repartitionByRange(width(docs), "curve", "doc_id")
     ordered = ranged.sortWithinPartitions("curve", "doc_id").select("doc_id", "ids")
-    return ordered.mapInArrow(partial(_pack, length=length), PIECES)
+    return ordered.mapInArrow(partial(_pack, length=length, kept=kept), PIECES)
 
 
 def digests(pieces: DataFrame) -> DataFrame:
