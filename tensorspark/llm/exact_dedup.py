@@ -212,12 +212,17 @@ def find_copies(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     index = build_index(docs, light, capacity).select("sha", "low", "n")
     joined = light.drop("key").join(index, "sha")
     is_low = F.col("doc_id").eqNullSafe(F.col("low"))
-    first = joined.where(is_low).groupBy("sha").agg(F.min("row").alias("first"))
-    return joined.join(first, "sha").select(
+    # Rows that share doc_id and text with the one that stays are few, as ids tell rows apart.
+    ties = joined.where(is_low).groupBy("sha").agg(
+        F.min("row").alias("first"), F.count(F.lit(1)).alias("same")
+    )
+    ties = small(through_files(ties.where("same > 1").drop("same"), "ties"), 60)
+    stays = is_low & (F.col("first").isNull() | (F.col("row") == F.col("first")))
+    return joined.join(ties, "sha", "left").select(
         "doc_id",
         F.col("low").alias("keep_id"),
         F.col("n").alias("group_size"),
-        (F.col("row") == F.col("first")).alias("kept"),
+        stays.alias("kept"),
         F.lower(F.hex("sha")).alias("text_sha256"),
     )
 
