@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 from collections.abc import Iterator
 
@@ -85,15 +86,24 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[bounds[0] : bounds[-1]], bounds - bounds[0]
 
 
-def blocks(
-    batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = BLOCK_BYTES
-) -> Iterator[pa.RecordBatch]:
-    """The batches cut into runs of rows with about ``limit`` bytes of text, or one row.
+def free_memory() -> None:
+    """Gives back what the last task of this worker held.
 
-    Functions of this package travel to the workers by value; what the last task's copies
-    held, in cycles with their globals, is freed first.
+    Functions of this package travel to the workers by value, so their globals end in
+    cycles that only the collector frees; then the allocators hand free pages back.
     """
     gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+    if trim is not None:
+        trim(0)
+
+
+def blocks(
+    batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = BLOCK_BYTES
+) -> Iterator[pa.RecordBatch]:
+    """The batches cut into runs of rows with about ``limit`` bytes of text, or one row."""
+    free_memory()
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -104,6 +114,8 @@ def blocks(
             end = min(max(end, at + 1), batch.num_rows)
             yield batch.slice(at, end - at)
             at = end
+    batch = None
+    free_memory()
 
 
 #: Bytes that end a word: blank, tab to carriage return.

@@ -37,7 +37,7 @@ UNSEEN = 1e-8
 #: Longer words are cut; keeps products above the smallest double.
 LONGEST = 30
 #: Words whose probabilities a task keeps.
-KEPT = 300_000
+KEPT = 150_000
 #: The pipeline rejects a text whose best language has a lower posterior.
 LEAST_SCORE = 0.5
 
