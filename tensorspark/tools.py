@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tensorspark.functions import dense
 from tensorspark.operators import validate
+from tensorspark.session import scratch_path
 from tensorspark.sources import factor_files
 from tensorspark.sources.dnb import export_file, write_dnb
 from tensorspark.sources.reader import read_tensor
@@ -90,8 +91,9 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -
     if args.command == "convert":
         tensor = read_tensor(spark, args.source)
         if args.target.endswith(".dnb"):
-            write_dnb(tensor, args.target + ".parts")
-            export_file(spark, args.target + ".parts", args.target)
+            parts = scratch_path(spark, "parts")
+            write_dnb(tensor, parts)
+            export_file(spark, parts, args.target)
         else:
             write_tns(tensor, args.target, args.one_indexed)
         return 0
