@@ -85,21 +85,12 @@ def hadamard_by_mode(grams: DataFrame, modes: Sequence[int]) -> DataFrame:
     return chosen.groupBy("r", "s").agg(F.product("g").alias("g"))
 
 
-def hadamard_frames(grams: Sequence[DataFrame]) -> DataFrame:
-    """Elementwise product of ``[r, s, g]`` frames; each has exactly R*R rows."""
-    named = [g.withColumnRenamed("g", f"g{k}") for k, g in enumerate(grams)]
-    joined = reduce(lambda a, b: a.join(F.broadcast(b), ["r", "s"]), named)
-    product = reduce(lambda a, b: a * b, [F.col(f"g{k}") for k in range(len(grams))])
-    return joined.select("r", "s", product.alias("g"))
-
-
-def model_norm_sq_frame(grams: Sequence[DataFrame], lam: DataFrame) -> DataFrame:
-    """``sum_rs lambda_r lambda_s prod_n G_n[r, s]`` from R*R-row frames."""
+def model_norm_sq_frame(product: DataFrame, lam: DataFrame) -> DataFrame:
+    """``sum_rs lambda_r lambda_s G[r, s]`` of a product of Gram matrices, R*R rows."""
     left = lam.select("r", F.col("lambda").alias("lr"))
     right = lam.select(F.col("r").alias("s"), F.col("lambda").alias("ls"))
     return (
-        hadamard_frames(grams)
-        .join(F.broadcast(left), "r")
+        product.join(F.broadcast(left), "r")
         .join(F.broadcast(right), "s")
         .agg(F.greatest(F.lit(0.0), F.sum(F.col("lr") * F.col("ls") * F.col("g"))).alias("model_sq"))
     )

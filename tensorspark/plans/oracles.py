@@ -390,9 +390,9 @@ ORACLES: dict[str, str] = {
     "frob_norm_sq": f"{_outputs()} SELECT sum(y * y) AS norm_sq FROM y1",
     "weighted_col_dot": f"""{_outputs()}
       SELECT sum((y0.r + 1) * y0.y * f0.v) AS "inner" FROM y0 JOIN f0 ON f0.i = y0.i AND f0.r = y0.r""",
-    "model_norm_sq": f"""WITH t AS ({SUPPLY}), {_factors(3, 4)},
-      {', '.join(f"g{w} AS ({_gram(f'f{w}', 'v')})" for w in range(3))}
-      SELECT sum((r + 1) * (s + 1) * g0.g * g1.g * g2.g) AS model_sq
+    "model_norm_sq": f"""{_outputs()},
+      {', '.join(f"g{w} AS ({_gram(f'y{w}')})" for w in range(3))}
+      SELECT round(log10(sum((r + 1) * (s + 1) * g0.g * g1.g * g2.g)), 9) AS log10_model_sq
       FROM g0 JOIN g1 USING (r, s) JOIN g2 USING (r, s)""",
     "als_rank1_update": f"""WITH t AS ({SUPPLY}), {_factors(3, 1)}, y AS ({_long(0, 3)})
       SELECT i, round(y / ((SELECT sum(v * v) FROM f1) * (SELECT sum(v * v) FROM f2)), 6) + 0.0 AS f0

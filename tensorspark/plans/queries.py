@@ -42,16 +42,24 @@ RANK = 4
 Query = Callable[[SparkSession, str], DataFrame]
 
 SUPPLY_DIMS = ["l_suppkey", "l_partkey", "year(l_shipdate) * 12 + month(l_shipdate) - 23941"]
+
+
+def _code(found: str, column: str) -> str:
+    """A code from 0 for a position found from 1; values not in the list fail the query."""
+    unknown = f"raise_error(concat('unknown {column}: ', coalesce({column}, 'NULL')))"
+    return f"coalesce(nullif({found}, 0), {unknown}) - 1"
+
+
 MARKET_DIMS = [
     "c_nationkey",
     "cast(substring(o_orderpriority, 1, 1) as int) - 1",
-    "instr('ANR', l_returnflag) - 1",
+    _code("instr('ANR', l_returnflag)", "l_returnflag"),
     "l_linenumber - 1",
 ]
 EVENT_TYPES = "array('click', 'error', 'purchase', 'signup', 'view')"
 ACTIVITY_DIMS = [
     "user_id",
-    f"array_position({EVENT_TYPES}, event_type) - 1",
+    _code(f"array_position({EVENT_TYPES}, event_type)", "event_type"),
     "datediff(ts, date'2024-01-01')",
 ]
 
@@ -324,14 +332,13 @@ def weighted_col_dot(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def model_norm_sq(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = supply(spark, sf_dir)
-    grams = [
-        linalg.gram_frame(f, RANK) for f in integer_factors(spark, t.mode_sizes, RANK)
-    ]
+    """Squared norm of the model whose factors are the MTTKRP outputs, weights 1 to R."""
+    grams = linalg.gram_frame(_outputs(spark, sf_dir), RANK, by="mode")
     lam = spark.range(RANK).select(
         F.col("id").cast("int").alias("r"), (F.col("id") + 1).cast("double").alias("lambda")
     )
-    return linalg.model_norm_sq_frame(grams, lam)
+    total = linalg.model_norm_sq_frame(linalg.hadamard_by_mode(grams, [0, 1, 2]), lam)
+    return total.select(F.round(F.log10("model_sq"), 9).alias("log10_model_sq"))
 
 
 def _rounded(df: DataFrame, columns: list[str]) -> DataFrame:
