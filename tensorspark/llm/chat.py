@@ -20,7 +20,7 @@ import tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tensorspark.llm.common import blocks, table, through_files, width
+from tensorspark.llm.common import blocks, bound_batches, table, through_files, width
 from tensorspark.llm.tokens import BYTE_BPE
 
 START, SEP, END = "<|im_start|>", "<|im_sep|>", "<|im_end|>"
@@ -157,6 +157,7 @@ def format_conversations(
     turns.  Other columns are ignored; an empty table gives no rows.  A task streams its
     conversations in order and holds one part.
     """
+    bound_batches(turns.sparkSession)
     rows = turns.select(
         turns["conv_id"].cast("long").alias("conv_id"),
         turns["turn"].alias("turn"),

@@ -20,12 +20,25 @@ BLOCK_BYTES = 2 << 20
 BROADCAST_BYTES = 32 << 20
 
 
+#: Bytes of an Arrow batch, where the session doesn't set its own.  A task holds a batch in
+#: the JVM and in its Python worker, several times over while it is converted.
+BATCH_BYTES = 8 << 20
+_BATCH_SETTING, _DEFAULT_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Limits Arrow batches by bytes: the usual limit, by rows, is no bound for long texts."""
+    if spark.conf.get(_BATCH_SETTING) == _DEFAULT_BATCH:
+        spark.conf.set(_BATCH_SETTING, f"{BATCH_BYTES}b")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only ``doc_id`` and ``text``: other columns can't clash with an operator's own."""
+    bound_batches(docs.sparkSession)
     return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
 
 

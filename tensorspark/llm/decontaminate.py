@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from tensorspark.llm.common import (
     NOT_ALNUM,
     blocks,
+    bound_batches,
     id_text,
     open_fs,
     shared_folder,
@@ -329,6 +330,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> D
 
 def leaks(text: Column, benchmark: DataFrame, window: int = WINDOW) -> Column:
     """Whether any window of the benchmark is in the text."""
+    bound_batches(benchmark.sparkSession)
     windows = Windows(*write_windows(benchmark, window))
 
     @F.arrow_udf("boolean")

@@ -23,7 +23,7 @@ import sentencepiece
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tensorspark.llm.common import blocks, mix, table, through_files
+from tensorspark.llm.common import blocks, bound_batches, mix, table, through_files
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 UNKNOWN = "und"
@@ -239,6 +239,7 @@ def fit(
     all of them, or, if they are more than ``train_docs``, from about so many, chosen by a
     hash of the id.  The driver sees no more than the vocabulary times the languages.
     """
+    bound_batches(docs.sparkSession)
     doc_id, lang, text = docs["doc_id"], docs["lang"], docs["text"]
     usable = docs.where(
         doc_id.isNotNull() & lang.isNotNull() & text.isNotNull() & ~held_out(doc_id)

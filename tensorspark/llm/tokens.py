@@ -59,7 +59,7 @@ class Encoder:
     encoded whole.
     """
 
-    KEPT = 500_000
+    KEPT = 400_000
     LONGEST = 500
 
     def __init__(self, path: str):

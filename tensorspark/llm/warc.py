@@ -19,7 +19,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tensorspark.llm.common import blocks, open_fs, shared_folder, small
+from tensorspark.llm.common import blocks, bound_batches, open_fs, shared_folder, small
 
 #: Smaller payloads are stored each time.
 LEAST_BYTES = 100
@@ -126,6 +126,7 @@ def write_archives(pages: DataFrame, folder: str | None = None, least: int = LEA
     null, and then all are responses.  A null url has no header.  Other columns are ignored;
     an empty table gives no archives.
     """
+    bound_batches(pages.sparkSession)
     folder = folder or shared_folder(pages.sparkSession, "archives")
     rows = pages.select(
         pages["page_id"].cast("long").alias("page_id"),
