@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tensorspark.session import scratch_path
 
 #: Bytes of text that a kernel handles at a time.
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 #: A set of rows up to this many bytes may be broadcast; larger ones are joined by shuffle.
 BROADCAST_BYTES = 32 << 20
 

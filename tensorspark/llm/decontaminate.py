@@ -109,7 +109,7 @@ class FMIndex:
         ranks = text + docs
         ranks[ends] = np.arange(docs)
         order = suffix_array(ranks)
-        self.bwt = text[order - 1]
+        self.bwt = text[order - 1].astype(np.int32)
         self.bwt[order == 0] = 0
         counts = np.bincount(text, minlength=len(self.vocabulary) + 1)
         self.before = np.append(0, np.cumsum(counts)).astype(np.int64)

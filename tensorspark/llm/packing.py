@@ -66,12 +66,12 @@ def curve_keys(ids: list[np.ndarray], dims: int = DIMS, bits: int = BITS) -> np.
     logistic curve spreads each coordinate over the grid.
     """
     matrix = np.random.default_rng(SEED).normal(size=(BUCKETS, dims))
-    vectors = np.empty((len(ids), BUCKETS))
-    for row, one in zip(vectors, ids, strict=True):
+    points = np.empty((len(ids), dims))
+    for point, one in zip(points, ids, strict=True):
         at = mix(one.astype(np.uint64)) % np.uint64(BUCKETS)
-        row[:] = np.sqrt(np.bincount(at.astype(np.int64), minlength=BUCKETS))
-    vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
-    share = 1 / (1 + np.exp(-1.702 * (vectors @ matrix)))
+        vector = np.sqrt(np.bincount(at.astype(np.int64), minlength=BUCKETS))
+        point[:] = vector @ matrix / max(np.linalg.norm(vector), 1e-9)
+    share = 1 / (1 + np.exp(-1.702 * points))
     return hilbert(np.minimum((share * (1 << bits)).astype(np.int64), (1 << bits) - 1), bits)
 
 

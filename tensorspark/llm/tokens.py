@@ -59,7 +59,7 @@ class Encoder:
     encoded whole.
     """
 
-    KEPT = 400_000
+    KEPT = 250_000
     LONGEST = 500
 
     def __init__(self, path: str):
