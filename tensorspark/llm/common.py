@@ -22,7 +22,7 @@ BROADCAST_BYTES = 32 << 20
 
 #: Bytes of an Arrow batch, where the session doesn't set its own.  A task holds a batch in
 #: the JVM and in its Python worker, several times over while it is converted.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 _BATCH_SETTING, _DEFAULT_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
 
 

@@ -208,9 +208,9 @@ def _near(m: int, percent: int) -> Column:
     (s - x) / (s + x); the sketches differ in at most x bits.
     """
     sizes = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
-    apart = F.lit(0)
-    for k in range(SKETCH_BITS // 64):
-        apart = apart + F.bit_count(F.get("sketch_a", F.lit(k)).bitwiseXOR(F.get("sketch_b", F.lit(k))))
+    # Few pairs come this far, so one small expression over the words does.
+    differ = F.zip_with("sketch_a", "sketch_b", lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    apart = F.aggregate(differ, F.lit(0), lambda total, x: total + x)
     alike = apart * (100 + percent) <= (F.col("n_a") + F.col("n_b")) * (100 - percent)
     return sizes & (_distance("chunks_a", "chunks_b", m) <= 2 * m - 1) & alike
 

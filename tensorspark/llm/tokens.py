@@ -69,9 +69,10 @@ class Encoder:
         ids = self._ids(texts)
         self.by_part = ids[0] == b"".join(ids[1:7]) and not ids[7] and len(ids[8]) == 4
         self.between = int.from_bytes(ids[8][:4], "little")
-        self._forget()
+        self.forget()
 
-    def _forget(self) -> None:
+    def forget(self) -> None:
+        """Drops the parts learnt, as a task does at its end."""
         self.hashes = np.zeros(0, np.uint64)
         self.rows = np.zeros(0, np.int64)
         self.starts = np.zeros(1, np.int64)  # of each row, and the end of the last
@@ -124,7 +125,7 @@ class Encoder:
         hashes = word_hashes(data, starts, ends) ^ (ends - starts).astype(np.uint64)
         distinct, first, which = np.unique(hashes, return_index=True, return_inverse=True)
         if len(self.hashes) > self.KEPT:
-            self._forget()
+            self.forget()
         new = np.flatnonzero(self._find(distinct) < 0)
         if len(new):
             a, b = starts[first[new]].tolist(), ends[first[new]].tolist()
