@@ -29,6 +29,8 @@ PIECES = public_tokenizers.path("piece_bpe_32k.model")
 UNKNOWN = "und"
 #: Labelled rows that the model is fitted on, about; their whole texts are used.
 TRAIN_DOCS = 10_000
+#: Labelled rows of a language that are used at least, if it has so many.
+LEAST_DOCS = 100
 ROUNDS = 3
 #: Pseudo-count of each piece.
 SMOOTHING = 0.1
@@ -230,26 +232,45 @@ def _expect(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.Reco
     )
 
 
+def _rows_each(counts: list[int], bound: int) -> float:
+    """Most rows of a language, so that ``bound`` is dealt evenly: small ones give all they have."""
+    level, left = 0.0, float(bound)
+    for k, n in enumerate(sorted(counts)):
+        level = left / (len(counts) - k)
+        if n > level:
+            break
+        left, level = left - n, float(n)
+    return max(level, LEAST_DOCS)
+
+
 def fit(
     docs: DataFrame, train_docs: int = TRAIN_DOCS, rounds: int = ROUNDS, pieces: str = PIECES
 ) -> Model:
     """A model of the languages of ``docs`` (doc_id, text, lang).
 
-    Learns from rows with an id, a language and a text that aren't :func:`held_out`: from
-    all of them, or, if they are more than ``train_docs``, from about so many, chosen by a
-    hash of the id.  The driver sees no more than the vocabulary times the languages.
+    Learns from rows with an id, a language and a text with a letter that aren't
+    :func:`held_out`: from all of them, or, if they are more than ``train_docs``, from about
+    so many.  Rows of all languages are counted; a language gives all its rows up to an even
+    share of ``train_docs`` (what smaller ones leave goes to the others), or up to
+    ``LEAST_DOCS`` if that is more, and of more rows those with the smallest hashes of the id.
+    So the languages don't depend on the size of the table.  The driver sees no more than the
+    vocabulary times the languages.
     """
     bound_batches(docs.sparkSession)
     doc_id, lang, text = docs["doc_id"], docs["lang"], docs["text"]
+    place = F.pmod(F.xxhash64(doc_id.cast("long"), F.lit("sample")), F.lit(1 << 30))
     usable = docs.where(
-        doc_id.isNotNull() & lang.isNotNull() & text.isNotNull() & ~held_out(doc_id)
-    ).select(doc_id.cast("long").alias("doc_id"), lang.alias("lang"), text.alias("text"))
-    share = min(1.0, train_docs / max(1, usable.count()))
-    place = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30))
-    sample = usable.where(place < int(share * (1 << 30)) + 1).select("lang", "text")
+        doc_id.isNotNull() & lang.isNotNull() & text.rlike(r"\p{L}") & ~held_out(doc_id)
+    ).select(place.alias("place"), lang.alias("lang"), text.alias("text"))
+    found = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("first"))
+    counts = sorted(found.collect(), key=lambda r: r.lang)
+    languages = [r.lang for r in counts]
+    most = _rows_each([r.n for r in counts], train_docs)
+    last = [(r.lang, max(int(min(1.0, most / r.n) * (1 << 30)), r.first)) for r in counts]
+    limits = F.broadcast(docs.sparkSession.createDataFrame(last, "lang string, last long"))
+    sample = usable.join(limits, "lang").where(F.col("place") <= F.col("last")).select("lang", "text")
     words = sample.mapInArrow(_count_words, "lang string, word string, n long")
     words = through_files(words.groupBy("lang", "word").agg(F.sum("n").alias("n")), "words")
-    languages = sorted(r.lang for r in words.select("lang").distinct().collect())
     vocabulary = Pieces(pieces)
     shape = (len(vocabulary.names) + 1, len(languages))
     model = Model(languages, vocabulary, _normalized(np.ones(shape)))

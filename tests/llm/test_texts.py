@@ -219,6 +219,26 @@ def test_language_ignores_held_out_labels(make):
     assert model.languages == ["en", "fr"]
 
 
+def test_rare_languages_are_learnt(make):
+    texts = {"en": "the cat and the dog were there", "de": "der hund und die katze sind da"}
+    texts |= {"fr": "le chat et le chien sont ici", "zz": "123 456"}
+    rows = [(i, texts[x], x) for i, x in enumerate(["en"] * 4000 + ["de"] * 400 + ["fr"] * 3 + ["zz"])]
+    docs = make("doc_id long, text string, lang string", rows)
+    model = langid.fit(docs, 50)
+    assert model.languages == ["de", "en", "fr"]
+    found = langid.predict(docs, model).collect()
+    assert {r.doc_id: r.lang_pred for r in found} == {
+        i: x if x != "zz" else "und" for i, _, x in rows
+    }
+
+
+def test_rows_of_a_language():
+    assert langid._rows_each([1, 2, 3], 10_000) >= 3
+    assert langid._rows_each([10**7, 1000, 10**6], 10_000) == 4500
+    assert langid._rows_each([10**6] * 1000, 10_000) == langid.LEAST_DOCS
+    assert langid._rows_each([], 10_000) == langid.LEAST_DOCS
+
+
 def test_language_of_odd_rows(make, odd_docs, no_docs):
     model = langid.fit(odd_docs)
     found = langid.predict(odd_docs, model).collect()
