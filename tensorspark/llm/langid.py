@@ -12,7 +12,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import partial
 from itertools import chain
 
@@ -40,8 +40,16 @@ UNSEEN = 1e-8
 LONGEST = 30
 #: Words whose probabilities a task keeps.
 KEPT = 150_000
-#: The pipeline rejects a text whose best language has a lower posterior.
+#: The pipeline rejects a text whose best language has a lower posterior ...
 LEAST_SCORE = 0.5
+#: ... or gives its characters a lower mean log-probability than this share of the labelled
+#: rows of that language have, less an allowance: ``SLACK``, more if the language has few
+#: rows (twice for ``FEW_DOCS``), and ``SHORT`` over the root of the text's characters.
+LOW_SHARE = 0.01
+SLACK, FEW_DOCS, SHORT = 1.0, 10, 5.0
+#: ... or is so much less probable (logarithm) than if all pieces were equally likely, and
+#: its best language has ``FEW_DOCS`` labelled rows.
+ODDS = -5.0
 
 _MARK = "▁"
 _WORD = re.compile(r"[^\W\d_]+")
@@ -142,11 +150,16 @@ def _by_length(words: list[str]) -> Iterator[list[int]]:
 
 @dataclass
 class Model:
-    """Languages, and the probability of each piece (and of an unseen character, last)."""
+    """Languages, and the probability of each piece (and of an unseen character, last).
+
+    ``floors`` has, for each language, the lowest mean log-probability of a character in a
+    long text (see ``LOW_SHARE``), and the lowest odds against equally likely pieces.
+    """
 
     languages: list[str]
     pieces: Pieces
     table: np.ndarray
+    floors: np.ndarray | None = None
 
     def log_probability(self, words: list[str]) -> np.ndarray:
         """Logarithms of the words' probabilities, a column for each language."""
@@ -232,6 +245,33 @@ def _expect(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.Reco
     )
 
 
+def _labelled_fits(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
+    """How well each labelled row fits its own language."""
+    number = {lang: k for k, lang in enumerate(model.languages)}
+    scorer = Scorer(model)
+    for batch in blocks(batches):
+        lang = batch.column("lang").to_pylist()
+        full, total, chars = scorer.totals(batch.column("text").to_pylist())
+        own = [lang[k] for k in full.tolist()]
+        fit = total[np.arange(len(own)), [number[x] for x in own]] / chars if own else []
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(own, pa.string()), pa.array(fit, pa.float64())], ["lang", "fit"]
+        )
+
+
+def _floors(sample: DataFrame, model: Model) -> np.ndarray:
+    """The model's ``floors`` from labelled rows; none for a language without rows."""
+    fits = sample.mapInArrow(partial(_labelled_fits, model=model), "lang string, fit double")
+    low = fits.groupBy("lang").agg(
+        F.percentile("fit", F.lit(LOW_SHARE)).alias("low"), F.count(F.lit(1)).alias("n")
+    )
+    floors = {
+        r.lang: (r.low - SLACK * (1 + FEW_DOCS / r.n), ODDS if r.n >= FEW_DOCS else -np.inf)
+        for r in low.collect()
+    }
+    return np.array([floors.get(lang, (-np.inf, -np.inf)) for lang in model.languages])
+
+
 def _rows_each(counts: list[int], bound: int) -> float:
     """Most rows of a language, so that ``bound`` is dealt evenly: small ones give all they have."""
     level, left = 0.0, float(bound)
@@ -269,6 +309,7 @@ def fit(
     last = [(r.lang, max(int(min(1.0, most / r.n) * (1 << 30)), r.first)) for r in counts]
     limits = F.broadcast(docs.sparkSession.createDataFrame(last, "lang string, last long"))
     sample = usable.join(limits, "lang").where(F.col("place") <= F.col("last")).select("lang", "text")
+    sample = through_files(sample, "sample")
     words = sample.mapInArrow(_count_words, "lang string, word string, n long")
     words = through_files(words.groupBy("lang", "word").agg(F.sum("n").alias("n")), "words")
     vocabulary = Pieces(pieces)
@@ -280,7 +321,7 @@ def fit(
         rows = found.groupBy("piece", "lang").agg(F.sum("n").alias("n")).toPandas()
         counts[rows["piece"], rows["lang"]] = rows["n"]
         model = Model(languages, vocabulary, _normalized(counts))
-    return model
+    return replace(model, floors=_floors(sample, model)) if languages else model
 
 
 # ---- predicting ------------------------------------------------------------
@@ -292,32 +333,68 @@ class Scorer:
     def __init__(self, model: Model):
         self.model = model
         self.index: dict[str, int] = {}
-        self.rows = np.zeros((0, len(model.languages)))
+        self.rows = np.zeros((0, len(model.languages) + 1))
 
-    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
+    def totals(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places of the texts that have words; their log-probabilities and characters.
+
+        A row of log-probabilities has a column for each language.  A word's mark counts as
+        a character.
+        """
         found = [words_of(t) if t else [] for t in texts]
         new = list(set().union(*found).difference(self.index))
         if len(self.index) + len(new) > KEPT:
             self.index, self.rows = {}, self.rows[:0]
             new = list(set().union(*found))
         self.index.update(zip(new, range(len(self.index), len(self.index) + len(new)), strict=True))
-        self.rows = np.concatenate((self.rows, self.model.log_probability(new)))
+        chars = np.array([len(w) + 1.0 for w in new]).reshape(-1, 1)
+        self.rows = np.concatenate((self.rows, np.hstack((self.model.log_probability(new), chars))))
         sizes = np.array([len(f) for f in found], np.int64)
-        if not self.model.languages or not sizes.any():
-            return [UNKNOWN] * len(texts), np.zeros(len(texts))
-        at = np.fromiter(map(self.index.__getitem__, chain.from_iterable(found)), np.int64)
         full = np.flatnonzero(sizes)
+        if not len(full):
+            return full, np.zeros((0, len(self.model.languages))), np.zeros(0)
+        at = np.fromiter(map(self.index.__getitem__, chain.from_iterable(found)), np.int64)
         starts = (np.cumsum(sizes) - sizes)[full]
         total = np.add.reduceat(self.rows[at], starts, axis=0)
-        best = total.argmax(axis=1)
-        share = 1 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1)
+        return full, total[:, :-1], total[:, -1]
+
+    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         names, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
-        for row, k in zip(full.tolist(), best.tolist(), strict=True):
+        full, total, _ = self.totals(texts)
+        if not self.model.languages or not len(full):
+            return names, scores
+        for row, k in zip(full.tolist(), total.argmax(axis=1).tolist(), strict=True):
             names[row] = self.model.languages[k]
-        scores[full] = np.round(share, 6)
+        scores[full] = np.round(_posterior(total), 6)
         return names, scores
 
 
+def _posterior(total: np.ndarray) -> np.ndarray:
+    """The best languages' posteriors under equal priors."""
+    return 1 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1)
+
+
+def _with_equal_pieces(model: Model) -> Model:
+    """The model with one more language, last, in which all pieces are equally likely."""
+    equal = _normalized(np.ones((len(model.table), 1)))
+    return replace(model, languages=[*model.languages, UNKNOWN], table=np.hstack((model.table, equal)))
+
+
+def _known(scorer: Scorer, texts: list[str | None], least: float) -> np.ndarray:
+    """Whether the texts' language is known, by a scorer :func:`_with_equal_pieces`."""
+    known = np.zeros(len(texts), bool)
+    full, total, chars = scorer.totals(texts)
+    total, equal = total[:, :-1], total[:, -1]
+    if len(full):
+        good = np.round(_posterior(total), 6) >= least
+        if scorer.model.floors is not None:
+            top = total.max(axis=1)
+            floor, odds = scorer.model.floors[total.argmax(axis=1)].T
+            good &= (top / chars >= floor - SHORT / np.sqrt(chars)) & (top - equal >= odds)
+        known[full] = good
+    return known
+
+
 def _predict(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
     scorer = Scorer(model)
     for batch in blocks(batches):
@@ -355,17 +432,18 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 def drop_unknown(docs: DataFrame, model: Model, least: float = LEAST_SCORE) -> DataFrame:
     """The rows of ``docs`` whose language is known, with all their columns.
 
-    Without a learnt language, only texts without letters are unknown.
+    The best language's posterior must be ``least``, and its characters must be about as
+    probable as those of labelled rows of that language; see ``LOW_SHARE``.  Without a learnt language, only texts without letters are unknown.
     """
     if not model.languages:
         return docs.where(F.coalesce(docs["text"].rlike(r"\p{L}"), F.lit(False)))
 
     @F.arrow_udf("boolean")
     def known(column: pa.Array) -> pa.Array:
-        scorer = Scorer(model)
+        scorer = Scorer(_with_equal_pieces(model))
         batch = pa.RecordBatch.from_arrays([column], ["text"])
-        scores = [scorer.predict(b.column("text").to_pylist())[1] for b in blocks(iter([batch]))]
-        return pa.array(np.concatenate([np.zeros(0), *scores]) >= least)
+        found = [_known(scorer, b.column("text").to_pylist(), least) for b in blocks(iter([batch]))]
+        return pa.array(np.concatenate([np.zeros(0, bool), *found]))
 
     return docs.where(known(docs["text"]))
 

@@ -239,6 +239,27 @@ def test_rows_of_a_language():
     assert langid._rows_each([], 10_000) == langid.LEAST_DOCS
 
 
+def test_foreign_and_junk_texts_are_dropped(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
+    rng = random.Random(3)
+    junk = lambda size, n: " ".join(
+        "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(size)) for _ in range(n)
+    )
+    bad = ["日本語の文章です。これは試験です。", "Ελληνικό κείμενο για δοκιμή", "هذا نص عربي للاختبار"]
+    bad += ["Это русский текст, который нужен для проверки модели языка. " * 5, "这是一个中文文本"]
+    bad += ["qxzj vkwq zzxq", junk(60, 1), junk(6, 40), junk(9, 300)]
+    good = ["Von.", "That it.", "the and of", "der und die", "de la et les", "los de la", "Osrañ."]
+    planted = [(-1 - k, t, None) for k, t in enumerate(good + bad)]
+    both = docs.unionByName(spark.createDataFrame(planted, docs.schema))
+    for model in (langid.fit(docs), langid.fit(docs.where("lang = 'en'"))):
+        kept = {r.doc_id for r in langid.drop_unknown(both, model).select("doc_id").collect()}
+        assert not kept.intersection(-1 - k for k in range(len(good), len(planted)))
+        if len(model.languages) > 1:
+            assert kept == {r.doc_id for r in docs.collect()} | {-1 - k for k in range(len(good))}
+    languages = {r.doc_id: r.lang for r in docs.collect()}
+    assert {languages[d] for d in kept if d >= 0} == {"en"}
+
+
 def test_language_of_odd_rows(make, odd_docs, no_docs):
     model = langid.fit(odd_docs)
     found = langid.predict(odd_docs, model).collect()
