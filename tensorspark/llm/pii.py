@@ -24,6 +24,15 @@ LEAST_SCORE = 0.6
 BOOST, PENALTY = 0.35, 0.3
 CONTRARY = r"\b(version|build|example|sample|test|isbn|order|invoice|page|section)\b"
 
+#: Characters of an IBAN after its first four, by country.
+IBAN_REST = {
+    11: "NO", 12: "BE", 14: "DK|FI|FK|FO|GL|NL|SD", 15: "MK|SI", 16: "AT|BA|EE|KZ|LT|LU|MN|XK",
+    17: "CH|HR|LI|LV", 18: "BG|BH|CR|DE|GB|GE|IE|ME|RS|VA", 19: "AE|GI|IL|IQ|OM|SO|TL",
+    20: "AD|CZ|ES|MD|PK|RO|SA|SE|SK|TN|VG", 21: "LY|PT|ST", 22: "IS|TR",
+    23: "BI|DJ|FR|GR|IT|MC|MR|SM", 24: "AL|AZ|BY|CY|DO|GT|HN|HU|LB|NI|PL|SV",
+    25: "BR|EG|PS|QA|UA", 26: "JO|KW|MU|YE", 27: "MT|SC", 28: "LC", 29: "RU",
+}
+
 _DOUBLED = (0, 2, 4, 6, 8, 1, 3, 5, 7, 9)
 
 
@@ -70,13 +79,29 @@ def _iban(match: Column) -> Column:
     return F.when(F.length(plain).between(15, 34), mod97(plain)).otherwise(False)
 
 
+def _iban_pattern() -> str:
+    """A place where an IBAN may start; what it would be is the group.
+
+    Its length is its country's, so that it can't run into the next word; other countries
+    take the longest run.  Proposals may overlap: a wrong one hides none that follows.
+    """
+    sizes = [*((own, n) for n, own in IBAN_REST.items())]
+    known = "|".join(own for own, _ in sizes)
+    all_ = [(own, f"{{{n}}}") for own, n in sizes] + [(f"(?!{known})[A-Z]{{2}}", "{11,30}")]
+    each = "|".join(rf"(?:{own})[0-9]{{2}}(?:[\x20]?[A-Z0-9]){n}" for own, n in all_)
+    return rf"(?<![A-Za-z0-9])(?=((?:{each})(?![A-Za-z0-9])))"
+
+
 def _always(match: Column) -> Column:
     return F.lit(True)
 
 
 @dataclass(frozen=True)
 class Kind:
-    """A kind of personal data; ``needs`` are patterns without which no text can hold it."""
+    """A kind of personal data; ``needs`` are patterns without which no text can hold it.
+
+    With ``ahead`` the pattern matches only places, and its group is what starts there.
+    """
 
     name: str
     pattern: str
@@ -85,6 +110,7 @@ class Kind:
     score: float
     context: str
     base: bool = field(default=True)
+    ahead: bool = field(default=False)
 
 
 KINDS = (
@@ -126,12 +152,13 @@ KINDS = (
     ),
     Kind(
         "iban",
-        r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[\x20]?[A-Z0-9]){11,30}(?![A-Za-z0-9])",
+        _iban_pattern(),
         ("[A-Z]{2}[0-9]{2}",),
         _iban,
         0.9,
         r"\b(iban|account|bank|konto|transfer)\b",
         base=False,
+        ahead=True,
     ),
     Kind(
         "ssn",
@@ -148,8 +175,10 @@ SPAN = "struct<start: int, order: int, stop: int, score: double>"
 
 def _matches(text: Column, kind: Kind, order: int) -> Column:
     """Spans of one kind.  Places come from the lengths of matches and of what lies between."""
-    between = F.split(text, kind.pattern, -1)
-    found = F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0))
+    # With a blank in front, a place is never at the start, where split would leave it out.
+    searched = F.concat(F.lit(" "), text) if kind.ahead else text
+    between = F.split(searched, kind.pattern, -1)
+    found = F.regexp_extract_all(searched, F.lit(kind.pattern), F.lit(int(kind.ahead)))
     both = F.zip_with(
         between, found, lambda gap, match: F.struct(F.char_length(gap).alias("gap"), match.alias("match"))
     )
@@ -165,10 +194,12 @@ def _matches(text: Column, kind: Kind, order: int) -> Column:
             F.lit(kind.score).alias("score"),
         )
         valid = x["match"].isNotNull() & kind.valid(x["match"])
+        if kind.ahead:  # a place inside the last span starts no other
+            valid = valid & (start >= F.coalesce(F.get(state["spans"], F.size(state["spans"]) - 1)["stop"], F.lit(0)))
         spans = F.when(valid, F.array_append(state["spans"], span)).otherwise(state["spans"])
-        return F.struct(stop.alias("at"), spans.alias("spans"))
+        return F.struct((start if kind.ahead else stop).alias("at"), spans.alias("spans"))
 
-    start = F.struct(F.lit(0).alias("at"), none.alias("spans"))
+    start = F.struct(F.lit(-1 if kind.ahead else 0).alias("at"), none.alias("spans"))
     spans = F.aggregate(both, start, step, lambda state: state["spans"])
     needed = F.lit(True)
     for pattern in kind.needs:

@@ -149,6 +149,24 @@ def test_checksums_and_context(make):
     assert not any(pii.find_personal_data(docs, 1.1).collect()[2].spans)
 
 
+def test_ibans_before_other_words(make):
+    de, gb, fr = "DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432", "FR1420041010050500013M02606"
+    mt = "MT84 MALT 0110 0001 2345 MTLC AST0 01S"
+    cases = [
+        (f"IBAN {de} BIC: COBADEFF", [de]),
+        (f"{gb} 2024", [gb]),
+        (f"\U0001f600 konto {de} {gb} {fr} {mt} {gb}", [de, gb, fr, mt, gb]),
+        (f"FR12 {de} BIC, DE12 DE13 {gb} AND MORE", [de, gb]),
+        (f"{de}BIC x{gb} {gb[:-1]} {gb}7 {de[:-1]} 1 {fr}.", [fr]),
+        ("AA11 " * 2000 + de, [de]),
+        ("A1" * 50_000 + f" DE89{'0' * 50_000}", []),
+    ]
+    docs = make("doc_id long, text string", [(i, t) for i, (t, _) in enumerate(cases)])
+    for r in pii.find_personal_data(docs).collect():
+        text, want = cases[r.doc_id]
+        assert [text[s.start : s.stop] for s in r.spans if s.order == 4] == want
+
+
 def test_personal_data_of_odd_rows(spark, sf_dir, odd_docs, no_docs):
     assert pii.find_personal_data(odd_docs).count() == odd_docs.count()
     assert pii.find_personal_data(no_docs).count() == 0
