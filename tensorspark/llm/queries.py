@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tensorspark.llm import (
+    alignment,
     chat,
     decontaminate,
     exact_dedup,
@@ -15,6 +16,7 @@ from tensorspark.llm import (
     packing,
     pii,
     site_lines,
+    token_counts,
     token_files,
     warc,
 )
@@ -30,6 +32,8 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_hash_index_dedup": exact_dedup.query,
     "op9_personal_data": pii.query,
     "op10_piece_langid": langid.query,
+    "op11_whole_token_counts": token_counts.query,
+    "op13_run_skip_alignment": alignment.query,
 }
 
 LLM_ORACLES: dict[str, str] = {
