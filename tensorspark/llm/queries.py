@@ -16,6 +16,7 @@ from tensorspark.llm import (
     packing,
     pii,
     site_lines,
+    source_audit,
     token_counts,
     token_files,
     warc,
@@ -33,6 +34,7 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_personal_data": pii.query,
     "op10_piece_langid": langid.query,
     "op11_whole_token_counts": token_counts.query,
+    "op12_pointer_sort_audit": source_audit.query,
     "op13_run_skip_alignment": alignment.query,
 }
 
@@ -40,4 +42,5 @@ LLM_ORACLES: dict[str, str] = {
     "op4_site_lines": site_lines.SQL,
     "op6_zstd_warc": warc.SQL,
     "op8_hash_index_dedup": exact_dedup.SQL,
+    "op12_pointer_sort_audit": source_audit.SQL,
 }

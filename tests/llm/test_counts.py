@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 from collections import Counter, defaultdict
 from functools import cache
 
@@ -12,7 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from tensorspark.llm import alignment, token_counts
+from tensorspark.llm import alignment, source_audit, token_counts
 from tensorspark.llm.tokens import BYTE_BPE, WORD_BPE
 
 PLAIN = Tokenizer.from_file(WORD_BPE)
@@ -228,3 +229,99 @@ def test_alignment_of_odd_rows(odd_docs, both, limit):
 def test_alignment_of_an_empty_table(no_docs, limit):
     aligned = alignment.through_files(alignment.align(no_docs), "aligned")
     assert alignment.count_links(aligned, limit).count() == 0
+
+
+# ---- source audit -----------------------------------------------------------
+
+TERM = re.compile("[^\x00-\x40\x5b-\x60\x7b-\x7f]+")
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def plain_audit(rows):
+    """Rows of the audit from (text, lang, source)."""
+    docs = [(l or "", s or "", TERM.findall((t or "").translate(LOWER))) for t, l, s in rows]
+    out = []
+    for lang in {d[0] for d in docs}:
+        df = Counter(w for l, _, words in docs if l == lang for w in set(words))
+        kept = sorted(w for w, n in df.items() if n >= 3)
+        counts = {s: Counter() for l, s, _ in docs if l == lang}
+        for l, s, words in docs:
+            if l == lang:
+                counts[s].update(w for w in words if df[w] >= 3)
+        counts[None] = sum(counts.values(), Counter())
+        share = {
+            s: {w: 1 + 10**9 * (c[w] + 1) // (sum(c.values()) + len(kept)) for w in kept}
+            for s, c in counts.items()
+        }
+        for s, p in share.items():
+            if s is None:
+                continue
+            far = lambda q, some, p=p: sum((p[w] - q[w]) ** 2 // q[w] for w in some)
+            pairs = [(far(q, kept), o) for o, q in share.items() if o not in (s, None)]
+            q = share[None]
+            terms = [(far(q, [w]), w) for w in kept if counts[s][w] and p[w] > q[w]]
+            for part, some, top in (("pair", pairs, None), ("term", terms, 200)):
+                some.sort(key=lambda x: (-x[0], x[1].encode()))
+                out += [(lang, s, part, i, v, k) for k, (v, i) in enumerate(some[:top], 1)]
+    return sorted(out)
+
+
+AUDITED = ["lang", "source", "part", "item", "value", "rank"]
+
+
+def as_rows(df):
+    assert df.columns == AUDITED and df.schema["rank"].dataType.simpleString() == "int"
+    return sorted(map(tuple, df.collect()))
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.text(st.sampled_from("abAé -z"), max_size=40), max_size=6))
+def test_words_sort_by_their_bytes(texts):
+    raw = [t.translate(LOWER).encode() for t in texts]
+    data = np.frombuffer(b"".join(raw), np.uint8)
+    bounds = np.append(0, np.cumsum([len(r) for r in raw])).astype(np.int64)
+    starts, ends, _ = source_audit.word_bounds(data, bounds, source_audit.NO_LETTER)
+    padded = np.append(data, np.zeros(7, np.uint8))
+    order, runs = source_audit.sort_words(padded, starts, ends)
+    words = [bytes(data[a:b]) for a, b in zip(starts[order], ends[order])]
+    assert words == sorted(w.encode() for r in raw for w in TERM.findall(r.decode()))
+    assert [words[r] for r in runs] == sorted(set(words))
+
+
+def test_shares_are_exact():
+    rng = np.random.default_rng(1)
+    for _ in range(200):
+        n, more, v = (int(x) for x in rng.integers(0, 10 ** rng.integers(1, 13), 3))
+        want = 1 + 10**9 * (n + 1) // (n + more + v + 1)
+        assert source_audit.shares(np.array([n]), np.array([n + more]), v + 1)[0] == want
+
+
+def test_audit_of_the_table(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("text", "lang", "source")
+    assert as_rows(source_audit.query(spark, sf_dir)) == plain_audit(docs.collect())
+
+
+ODD = [
+    ("the cat the cat", "en", "a"), ("The CAT sat", "en", "b"), ("the cat", "en", "b"),
+    ("the cat", "en", "b"), (None, "en", "c"), ("", "en", None), ("12 -- 34", "en", "d"),
+    ("the " * 3000 + "x" * 9000, "en", "a"), ("x" * 9000 + " " + "x" * 8999, "en", "e"),
+    ("x" * 9000, "en", "e"), ("ça va été", "fr", "a"), ("ça été", "fr", "a"), ("Été ça", "fr", "a"),
+    ("alone", None, None), ("alone again", None, "z"), ("日本 語 alone", None, "z"),
+    ("rare word", "de", "a"), ("other", "de", "b"), ("the cat", "EN", "a"),
+]
+
+
+@pytest.mark.parametrize("size", [source_audit.SHARD_BYTES, 64])
+@pytest.mark.parametrize("cells,tile", [(source_audit.CELLS, source_audit.TILE), (4, 2)])
+def test_audit_of_odd_rows(make, monkeypatch, size, cells, tile):
+    for name, value in (("SHARD_BYTES", size), ("CELLS", cells), ("TILE", tile)):
+        monkeypatch.setattr(source_audit, name, value)
+    docs = make("text string, lang string, source string, term string, n int", [(*r, "z", 1) for r in ODD])
+    assert as_rows(source_audit.audit_sources(docs.repartition(3))) == plain_audit(ODD)
+    assert source_audit.audit_sources(docs.limit(0)).count() == 0
+
+
+def test_audit_joins_without_broadcast(make, monkeypatch):
+    monkeypatch.setattr(source_audit, "small", lambda df, size: df.hint("merge"))
+    docs = make("text string, lang string, source string", ODD)
+    assert as_rows(source_audit.audit_sources(docs)) == plain_audit(ODD)
