@@ -138,12 +138,12 @@ SPACES[[0x20, *range(0x09, 0x0E)]] = True
 NOT_ALNUM = np.zeros(256, bool)
 NOT_ALNUM[:128] = True
 NOT_ALNUM[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B)]] = False
-_LOWER = np.arange(256)
-_LOWER[0x41:0x5B] += 0x20
-_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-_BASE_INVERSE = np.uint64(pow(int(_BASE), -1, 2**64))
-_BYTES = np.random.default_rng(20240607).integers(1, 2**63, 256).astype(np.uint64)[_LOWER]
-_powers: list[np.ndarray] = []
+#: ASCII letters in lower case, all other bytes as they are.
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[0x41:0x5B] += 0x20
+_PRIME = np.uint64(2**61 - 1)
+#: Where word hashes are taken: a fixed number below the prime, drawn at random.
+_POINT = 0x12D5A4B77C0E93F1
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -155,17 +155,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def _tables(n: int) -> list[np.ndarray]:
-    """Powers of the base and of its inverse, at least ``n`` of each."""
-    if not _powers or len(_powers[0]) < n:
-        n = max(n, 1 << 20)
-        _powers[:] = [
-            np.concatenate(([np.uint64(1)], np.cumprod(np.full(n - 1, b, np.uint64))))
-            for b in (_BASE, _BASE_INVERSE)
-        ]
-    return _powers
-
-
 def word_bounds(
     data: np.ndarray, bounds: np.ndarray, separators: np.ndarray
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -182,21 +171,47 @@ def word_bounds(
     return starts, ends, np.searchsorted(starts, bounds)
 
 
+def leading_bytes(data: np.ndarray, at: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """Eight bytes from each place as a number in byte order; bytes after ``left`` are zero.
+
+    ``data`` goes on for seven bytes after the last of them.
+    """
+    windows = np.ndarray((max(len(data) - 7, 0),), ">u8", np.ascontiguousarray(data), strides=(1,))
+    past = np.clip(8 - left, 0, 8).astype(np.uint64) * np.uint64(8)
+    value = windows[np.minimum(at, max(len(windows) - 1, 0))].astype(np.uint64)
+    part = np.minimum(past, np.uint64(63))
+    return np.where(past > 63, np.uint64(0), value >> part << part)
+
+
+def _times_point(x: np.ndarray) -> np.ndarray:
+    """``x`` times the point modulo the prime, by halves of 31 and 30 bits."""
+    low, high = np.uint64(_POINT & (2**31 - 1)), np.uint64(_POINT >> 31)
+    x_low, x_high = x & np.uint64(2**31 - 1), x >> np.uint64(31)
+    middle = x_high * low + x_low * high
+    total = (x_high * high << np.uint64(1)) + (middle >> np.uint64(30)) + x_low * low
+    total += (middle & np.uint64(2**30 - 1)) << np.uint64(31)
+    total = (total & _PRIME) + (total >> np.uint64(61))
+    return np.where(total >= _PRIME, total - _PRIME, total)
+
+
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each word, A-Z taken as a-z.
 
-    Polynomial hashes from one running sum over the bytes, taken over runs of words.
+    The word's bytes, seven at a time, are the coefficients of a polynomial modulo the prime
+    2^61 - 1, after its length; two words of n bytes agree at no more than n / 7 + 1 points.
     """
-    out = np.empty(len(starts), np.uint64)
-    at = 0
-    while at < len(starts):
-        base = starts[at]
-        end = max(at + 1, int(np.searchsorted(ends, base + (1 << 20), side="right")))
-        span = data[base : ends[end - 1]]
-        power, inverse = _tables(len(span))
-        terms = _BYTES[span] * power[: len(span)]
-        sums = np.concatenate(([np.uint64(0)], np.cumsum(terms)))
-        a, b = starts[at:end] - base, ends[at:end] - base
-        out[at:end] = mix((sums[b] - sums[a]) * inverse[a] + (b - a).astype(np.uint64))
-        at = end
-    return out
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    first = starts[0]
+    data = np.append(LOWER[data[first : ends[-1]]], np.zeros(7, np.uint8))
+    at, left = starts - first, ends - starts
+    out = left.astype(np.uint64)
+    live = np.arange(len(starts))
+    while len(live):
+        part = leading_bytes(data, at[live], np.minimum(left[live], 7)) >> np.uint64(8)
+        value = _times_point(out[live]) + part
+        out[live] = np.where(value >= _PRIME, value - _PRIME, value)
+        live = live[left[live] > 7]
+        at[live] += 7
+        left[live] -= 7
+    return mix(out)

@@ -13,11 +13,14 @@ costs about n and not n^2 pairs:
 
 1. each member of a bucket is tried with the bucket's leader; links are confirmed on the
    full shingle sets, and give components;
-2. in buckets that still hold several components, all pairs of members of different
-   components are tried, but for the pairs inside the leader's component.  A sketch that
-   bounds the sets' difference from below rules out most without loss.
-
-A pair that is not tried is in one component already, so no component is missed.
+2. a bucket that still holds several components is brought together with its members' sets,
+   in blocks of bounded size.  There members of different components are compared, ruled out
+   by size and by a sketch that bounds the sets' difference from below, else counted out; a
+   link joins two components, so a block of n members reports less than n links.  Buckets of
+   up to ``FEW`` members give their pairs to the first kind of confirmation instead.
+
+A pair that is not tried is in one component already, so no component is missed.  Texts that
+are alike but not linked are compared, but their pairs are never rows.
 """
 
 from __future__ import annotations
@@ -40,6 +43,7 @@ from tensorspark.llm.common import (
     small,
     through_files,
     utf8,
+    width,
     word_bounds,
     word_hashes,
 )
@@ -51,6 +55,12 @@ PERCENT = 80
 MISS = 5e-6
 CHUNK = 4
 SEED = 11
+#: Members of a bucket whose pairs are rows of a join.
+FEW = 12
+#: Bytes of sets and members of a block of a larger bucket.
+BLOCK_BYTES, BLOCK_NODES = 4 << 20, 1500
+#: Pairs of a node for which its set travels once.
+PAIRS = 500
 #: Bits of the sketch that bounds from below how many shingles two sets don't share.
 SKETCH_BITS = 1024
 SIGNED = "doc_id long, class binary, n long, chunks array<long>, sketch array<long>"
@@ -162,16 +172,99 @@ def _sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBa
 
 
 def _confirm(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    for batch in blocks(batches, "set_a"):
-        first, second = batch.column("set_a").to_pylist(), batch.column("set_b").to_pylist()
+    """Linked pairs of rows in order: the set of ``a`` comes first, with null ``b``."""
+    own, of = np.zeros(0, np.uint64), None
+    for batch in blocks(batches, "set"):
         linked = []
-        for x, y in zip(first, second, strict=True):
-            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            linked.append(100 * both >= percent * (len(x) + len(y) - both))
+        rows = zip(*(batch.column(c).to_pylist() for c in ("a", "salt", "b", "set")))
+        for a, salt, b, one in rows:
+            one = np.frombuffer(one, np.uint64)
+            if b is None:
+                own, of = one, (a, salt)
+                linked.append(False)
+                continue
+            if (a, salt) != of:
+                raise ValueError(f"no set of {a} before its pairs")
+            both = len(np.intersect1d(own, one, assume_unique=True))
+            linked.append(100 * both >= percent * (len(own) + len(one) - both))
         yield batch.select(["a", "b"]).filter(pa.array(linked, pa.bool_()))
 
 
+def forest(
+    roots: np.ndarray, first: np.ndarray, sets: list[np.ndarray], percent: int
+) -> list[tuple[int, int]]:
+    """Pairs of members whose links join all components that links of the block join.
+
+    ``first`` tells the members, at the front, that are compared with the others, or with
+    each other if there are no others; members of one root are joined already.
+    """
+    roots = roots.copy()
+    behind = 0 if first.all() else int(first.sum())
+    sizes = np.array([len(x) for x in sets])
+    bounds = np.append(0, np.cumsum(sizes))
+    values = np.concatenate(sets)
+    order = np.argsort(values)
+    number = np.empty(len(values), np.int64)
+    number[order] = np.cumsum(np.append(False, np.diff(values[order]) != 0))
+    mark = np.zeros(len(values), bool)
+    sketch = sketches(sets).view(np.uint64)
+    found = []
+    for x in np.flatnonzero(first).tolist():
+        start = max(x + 1, behind)
+        others = np.flatnonzero(roots[start:] != roots[x]) + start
+        least, most = np.minimum(sizes[others], sizes[x]), np.maximum(sizes[others], sizes[x])
+        others = others[100 * least >= percent * most]
+        apart = np.bitwise_count(sketch[others] ^ sketch[x]).sum(axis=1, dtype=np.int64)
+        alike = apart * (100 + percent) <= (sizes[others] + sizes[x]) * (100 - percent)
+        others = others[alike]
+        if not len(others):
+            continue
+        own = number[bounds[x] : bounds[x + 1]]
+        mark[own] = True
+        many = sizes[others]
+        runs = np.cumsum(many) - many
+        at = np.repeat(bounds[others] - runs, many) + np.arange(int(many.sum()))
+        both = np.add.reduceat(mark[number[at]].astype(np.int64), runs)
+        mark[own] = False
+        for y in others[100 * both >= percent * (sizes[x] + many - both)].tolist():
+            if roots[x] != roots[y]:
+                found.append((x, y))
+                roots[roots == roots[y]] = roots[x]
+    return found
+
+
+def _join_blocks(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Links of each block of a bucket; rows are in order of key and blocks."""
+    names = ["key", "block_a", "block_b"]
+    held: list[tuple] = []
+    of = None
+
+    def links() -> pa.RecordBatch:
+        block = of[1]
+        rows = sorted(held, key=lambda r: (r[0] != block, r[1]))
+        # Inside one block all are compared, else those of the first with the second's.
+        first = np.array([r[0] == block for r in rows], bool)
+        roots = np.array([r[2] for r in rows], np.int64)
+        sets = [np.frombuffer(r[3], np.uint64) for r in rows]
+        nodes = [r[1] for r in rows]
+        pairs = forest(roots, first, sets, percent)
+        return pa.record_batch(
+            [pa.array([nodes[p[k]] for p in pairs], pa.int64()) for k in (0, 1)], names=["a", "b"]
+        )
+
+    for batch in blocks(batches, "set"):
+        keys = zip(*(batch.column(c).to_pylist() for c in names))
+        rows = zip(*(batch.column(c).to_pylist() for c in ("block", "node", "root", "set")))
+        for key, row in zip(keys, rows):
+            if key != of and held:
+                yield links()
+                held = []
+            of = key
+            held.append(row)
+    if held:
+        yield links()
+
+
 # ---- the join --------------------------------------------------------------
 
 
@@ -221,24 +314,67 @@ def _signed(rows: DataFrame, side: str, *more: str) -> DataFrame:
     return rows.select(F.col("node").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in names])
 
 
-def _links(
-    pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int, percent: int
-) -> DataFrame:
-    """The pairs ``a, b`` that are linked, confirmed on the full sets of shingles."""
-    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    needed = through_files(classes.join(nodes, "node", "left_semi").select("node", "class", "low"), "needed")
+def _sets_of(nodes: DataFrame, docs: DataFrame, classes: DataFrame, words: int) -> DataFrame:
+    """``node, set``: full sets of shingles of the classes, written once."""
+    needed = classes.join(nodes, "node", "left_semi").select("node", "class", "low")
+    needed = through_files(needed, "needed")
     lows = small(needed.select("low").distinct(), 16)
     same = docs["doc_id"].eqNullSafe(lows["low"])
     texts = docs.join(lows, same, "left_semi").select("text")
     sets = texts.mapInArrow(partial(_sets, words=words), "class binary, set binary")
     sets = needed.join(sets, "class").groupBy("node").agg(F.first("set").alias("set"))
-    sets = through_files(sets, "sets")
-    joined = pairs.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b")
+    return through_files(sets, "sets")
+
+
+def _links(
+    pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int, percent: int
+) -> DataFrame:
+    """The pairs ``a, b`` that are linked, confirmed on the full sets of shingles.
+
+    The set of ``a`` travels once for each ``PAIRS`` pairs of it.
+    """
+    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    sets = _sets_of(nodes, docs, classes, words)
+    salts = pairs.groupBy("a").agg(F.ceil(F.count("b") / PAIRS).alias("salts"))
+    own = salts.join(sets.withColumnRenamed("node", "a"), "a")
+    number = F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1))
+    own = own.select("a", number.alias("salt"), F.lit(None).cast("long").alias("b"), "set")
+    others = pairs.join(sets.withColumnRenamed("node", "b"), "b").join(salts, "a")
+    others = others.select("a", F.pmod(F.xxhash64("b"), "salts").alias("salt"), "b", "set")
+    rows = own.union(others).repartition(width(pairs), "a", "salt")
+    rows = rows.sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
+    return through_files(
+        rows.mapInArrow(partial(_confirm, percent=percent), "a long, b long"), "links"
+    )
+
+
+def _block_links(
+    members: DataFrame, docs: DataFrame, classes: DataFrame, words: int, percent: int
+) -> DataFrame:
+    """Links inside buckets, ``members`` being ``key, node, root_node, n``.
+
+    A bucket is cut into blocks by a hash of the node, so that two blocks fit in a task;
+    every pair of its blocks is one piece of work.
+    """
+    bytes_, count = F.sum("n") * 8 / BLOCK_BYTES, F.count("node") / BLOCK_NODES
+    cuts = members.groupBy("key").agg(F.ceil(F.greatest(bytes_, count)).alias("cuts"))
+    rows = members.join(cuts, "key")
+    block, last = F.pmod(F.xxhash64("node"), "cuts"), F.col("cuts") - 1
+    rows = rows.withColumn("block", block)
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+    rows = rows.select(
+        "key",
+        F.least("block", "other").alias("block_a"),
+        F.greatest("block", "other").alias("block_b"),
+        "block",
+        "node",
+        F.col("root_node").alias("root"),
+    )
+    sets = _sets_of(members.select("node").distinct(), docs, classes, words)
+    key = ["key", "block_a", "block_b"]
+    rows = rows.join(sets, "node").repartition(width(members), *key).sortWithinPartitions(*key)
     return through_files(
-        joined.select("a", "b", "set_a", "set_b").mapInArrow(
-            partial(_confirm, percent=percent), "a long, b long"
-        ),
-        "links",
+        rows.mapInArrow(partial(_join_blocks, percent=percent), "a long, b long"), "links"
     )
 
 
@@ -295,13 +431,20 @@ def find_groups(
     links = links.union(_links(rest, docs, classes, words, percent))
 
     members = _roots(links, buckets, "node", "leader")
-    mixed = members.groupBy("key").agg(F.bool_or(F.col("root_node") != F.col("root_leader")).alias("mixed"))
-    members = members.join(mixed.where("mixed"), "key").drop("mixed")
+    mixed = members.groupBy("key").agg(
+        F.bool_or(F.col("root_node") != F.col("root_leader")).alias("mixed"),
+        F.count("node").alias("size"),
+    )
+    members = members.join(mixed.where("mixed"), "key").drop("mixed", "fame")
     signs = classes.select("node", "n", "chunks", "sketch")
     members = through_files(members.join(signs, "node"), "members")
-    others = _signed(members, "a", "key", "root_node", "root_leader")
+    many = members.where(F.col("size") > FEW).select("key", "node", "root_node", "n")
+    links = links.union(_block_links(many, docs, classes, words, percent))
+
+    few = members.where(F.col("size") <= FEW)
+    others = _signed(few, "a", "key", "root_node", "root_leader")
     others = others.where("root_node_a != root_leader_a")
-    every = _signed(members, "b", "key", "root_node", "root_leader")
+    every = _signed(few, "b", "key", "root_node", "root_leader")
     apart = F.col("root_node_a") != F.col("root_node_b")
     once = (F.col("root_node_b") == F.col("root_leader_b")) | (F.col("a") < F.col("b"))
     pairs = others.join(every, F.col("key_a") == F.col("key_b")).where(apart & once)

@@ -20,8 +20,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tensorspark.llm.common import (
+    LOWER,
     bound_batches,
     free_memory,
+    leading_bytes,
     small,
     table,
     through_files,
@@ -43,20 +45,6 @@ COUNTS = "lang string, source string, term string, n long, docs long"
 NO_LETTER = np.zeros(256, bool)
 NO_LETTER[:128] = True
 NO_LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = False
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[0x41:0x5B] += 0x20
-
-
-def _slices(data: np.ndarray, at: np.ndarray, left: np.ndarray) -> np.ndarray:
-    """Eight bytes from each place as a number in byte order; bytes after the word are zero.
-
-    ``data`` has seven bytes more than its words.
-    """
-    windows = np.ndarray((max(len(data) - 7, 0),), ">u8", data, strides=(1,))
-    past = np.clip(8 - left, 0, 8).astype(np.uint64) * np.uint64(8)
-    value = windows[np.minimum(at, max(len(windows) - 1, 0))].astype(np.uint64)
-    part = np.minimum(past, np.uint64(63))
-    return np.where(past > 63, np.uint64(0), value >> part << part)
 
 
 def sort_words(
@@ -64,7 +52,7 @@ def sort_words(
 ) -> tuple[np.ndarray, np.ndarray]:
     """Order of the words by their bytes, and where runs of equal words begin in it."""
     n = len(starts)
-    key = _slices(data, starts, ends - starts)
+    key = leading_bytes(data, starts, ends - starts)
     order = np.argsort(key)
     key = key[order]
     new = np.ones(n, bool)
@@ -82,7 +70,7 @@ def sort_words(
             return order, np.flatnonzero(new)
         words = order[live]
         run = np.cumsum(new[live])
-        key = _slices(data, starts[words] + depth, (ends - starts)[words] - depth)
+        key = leading_bytes(data, starts[words] + depth, (ends - starts)[words] - depth)
         inner = np.lexsort((key, run))
         order[live], key = words[inner], key[inner]
         new[live[1:]] |= key[1:] != key[:-1]
@@ -96,7 +84,7 @@ def shard_counts(
 
     ``group`` is the group of each document.
     """
-    data = np.append(_LOWER[data], np.zeros(7, np.uint8))
+    data = np.append(LOWER[data], np.zeros(7, np.uint8))
     starts, ends, at = word_bounds(data[:-7], bounds, NO_LETTER)
     order, runs = sort_words(data, starts, ends)
     doc = np.repeat(np.arange(len(group)), np.diff(at))[order]

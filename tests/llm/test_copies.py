@@ -161,6 +161,88 @@ def test_chains_and_a_large_group_of_near_copies(make):
     assert kept == wanted
 
 
+def family(n, seed):
+    """Texts with two edits each in the same 120 words, without those themselves."""
+    rng = np.random.default_rng(seed)
+    rows = []
+    for k in range(n):
+        words = [f"w{x}" for x in range(120)]
+        for x in rng.choice(120, 2, replace=False):
+            words[x] = f"r{rng.integers(10**12)}"
+        rows.append((k, " ".join(words)))
+    return rows
+
+
+@pytest.mark.parametrize("blocks", [(8, near_dedup.BLOCK_NODES), (2, 9)])
+def test_families_that_no_leader_links(make, monkeypatch, blocks):
+    monkeypatch.setattr(near_dedup, "FEW", blocks[0])
+    monkeypatch.setattr(near_dedup, "BLOCK_NODES", blocks[1])
+    monkeypatch.setattr(near_dedup, "PAIRS", 7)
+    docs = make("doc_id long, text string", family(90, 3) + [(None, "w1 w2"), (500, "w1 w2")])
+    check_groups(docs, near_dedup.find_groups(docs, 3, 85).collect(), 3, 85)
+
+
+def test_rows_of_pairs_grow_with_the_family(make, monkeypatch):
+    written = []
+    through = near_dedup.through_files
+
+    def counted(df, label):
+        out = through(df, label)
+        if label in ("pairs", "links"):
+            written[-1] += out.count()
+        return out
+
+    monkeypatch.setattr(near_dedup, "through_files", counted)
+    for n in (250, 500):
+        written.append(0)
+        docs = make("doc_id long, text string", family(n, 4))
+        near_dedup.find_groups(docs, 3, 85).count()
+    assert written[1] <= 2.2 * written[0]
+
+
+@pytest.mark.parametrize("percent", [80, 85])
+def test_forest_joins_what_links_join(percent):
+    rng = np.random.default_rng(percent)
+    sets = []
+    for _ in range(60):
+        kind = int(rng.integers(0, 5))
+        base = np.arange(kind * 1000, kind * 1000 + 100, dtype=np.uint64)
+        sets.append(np.sort(rng.choice(base, int(rng.integers(82, 100)), replace=False)))
+    nodes = np.arange(60)
+    given = nodes.copy()
+    given[[7, 9]] = given[8]
+
+    def joined(first, pairs):
+        root = given.copy()
+        for x, y in pairs:
+            root[root == root[y]] = root[x]
+        return {frozenset(nodes[root == r].tolist()) for r in set(root.tolist())}
+
+    def linked(x, y):
+        both = len(np.intersect1d(sets[x], sets[y]))
+        return 100 * both >= percent * (len(sets[x]) + len(sets[y]) - both)
+
+    for first in (np.ones(60, bool), nodes < 25):
+        found = near_dedup.forest(given, first, sets, percent)
+        every = [
+            (x, y) for x in range(60) for y in range(x + 1, 60)
+            if linked(x, y) and (first.all() or (x < 25 <= y))
+        ]
+        assert len(found) < 60 and set(found) <= set(every)
+        assert joined(first, found) == joined(first, every)
+
+
+def test_words_that_a_simple_hash_confuses(make):
+    """Thue-Morse words: any polynomial modulo a power of two gives both one value."""
+    word = "a"
+    while len(word) < 1024:
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    rows = [(1, f"{word} x y z"), (2, f"{other} x y z"), (3, f"{word}  x y z")]
+    docs = make("doc_id long, text string", rows)
+    check_groups(docs, near_dedup.find_groups(docs, 3, 85).collect(), 3, 85)
+
+
 def test_components_of_a_path_and_stars(make):
     rng = np.random.default_rng(2)
     edges = [(i, i + 1) for i in range(60)] + [(100, k) for k in range(101, 130)] + [(200, 200)]
