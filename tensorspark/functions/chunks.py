@@ -21,9 +21,6 @@ VALUE_DTYPE = np.dtype("<f8")
 
 # Bytes of one gathered product block: small enough to stay in a core's cache.
 _BLOCK_BYTES = 256 << 10
-# Largest per-task dense output a kernel keeps before it emits per chunk instead.
-_ACCUMULATOR_BYTES = 64 << 20
-_EMIT_ROWS = 1 << 15
 
 
 def chunk_schema(num_modes: int, with_cell: bool = False) -> str:
@@ -143,58 +140,3 @@ def partial_schema(rank: int) -> str:
     return ", ".join(
         ["mode int", "i bigint", *[f"{c} double" for c in factor_columns(rank, "y")]]
     )
-
-
-def blob_batch(mode: int, i: np.ndarray, sums: np.ndarray) -> pa.RecordBatch:
-    """The same partial rows as two buffers, for sums that go straight to the driver."""
-    return pa.RecordBatch.from_arrays(
-        [
-            pa.array([mode], pa.int32()),
-            pa.array([i.astype(np.int64).tobytes()], pa.binary()),
-            pa.array([np.ascontiguousarray(sums).tobytes()], pa.binary()),
-        ],
-        names=["mode", "i", "y"],
-    )
-
-
-BLOB_SCHEMA = "mode int, i binary, y binary"
-
-
-class PartialSums:
-    """Collects partial output rows of one task.
-
-    A mode whose dense output fits the accumulator budget is summed in place and emitted
-    once; a larger one is emitted piece by piece, so memory never grows with the mode.
-    """
-
-    def __init__(
-        self,
-        mode_sizes: Sequence[int],
-        rank: int,
-        modes: Sequence[int],
-        emit: Callable[[int, np.ndarray, np.ndarray], pa.RecordBatch] = partial_batch,
-    ):
-        self._emit = emit
-        self._sums: dict[int, np.ndarray] = {}
-        self._touched: dict[int, np.ndarray] = {}
-        budget = _ACCUMULATOR_BYTES
-        for n in modes:
-            need = mode_sizes[n] * rank * 8
-            if need <= budget:
-                budget -= need
-                self._sums[n] = np.zeros((mode_sizes[n], rank))
-                self._touched[n] = np.zeros(mode_sizes[n], dtype=bool)
-
-    def add(self, mode: int, i: np.ndarray, sums: np.ndarray) -> Iterator[pa.RecordBatch]:
-        if mode in self._sums:
-            self._sums[mode][i] += sums
-            self._touched[mode][i] = True
-        else:
-            yield self._emit(mode, i, sums)
-
-    def finish(self) -> Iterator[pa.RecordBatch]:
-        for mode, sums in self._sums.items():
-            i = np.flatnonzero(self._touched[mode])
-            for lo in range(0, len(i), _EMIT_ROWS):
-                rows = i[lo : lo + _EMIT_ROWS]
-                yield self._emit(mode, rows, sums[rows])

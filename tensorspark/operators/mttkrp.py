@@ -17,6 +17,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -26,14 +27,8 @@ from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
 from tensorspark.functions.chunks import (
-    BLOB_SCHEMA,
-    PartialSums,
-    blob_batch,
     chunk_schema,
-    mode_partials,
     pack_chunks,
-    partial_batch,
-    partial_schema,
     unpack,
 )
 from tensorspark.functions.factors import (
@@ -43,6 +38,7 @@ from tensorspark.functions.factors import (
     to_dense,
     to_long,
 )
+from tensorspark.functions.products import PIECES, TaskSums, add_pieces, rows_schema
 from tensorspark.plans.strategy import BROADCAST_BYTES, choose_strategy
 from tensorspark.session import parallelism
 from tensorspark.tensor import SparseTensor
@@ -270,47 +266,37 @@ def _dense_factors(
 def share_factors(
     packed: PackedTensor, factors: Sequence[Factor], modes: Sequence[int], rank: int
 ) -> Broadcast:
-    """Broadcast the factors the given target modes read, after checking their size."""
+    """Broadcast the factors the given target modes read, by component, after a check."""
     sizes = packed.mode_sizes
     needed = [w for w in range(len(sizes)) if len(modes) > 1 or w != modes[0]]
     dense = _dense_factors(sizes, factors, rank, needed)
-    return packed.df.sparkSession.sparkContext.broadcast(dense)
+    tables = [None if f is None else np.ascontiguousarray(f.T) for f in dense]
+    return packed.df.sparkSession.sparkContext.broadcast(tables)
 
 
 def arrow_partials(
-    packed: PackedTensor,
-    shared: Broadcast,
-    modes: Sequence[int],
-    rank: int,
-    blobs: bool = False,
+    packed: PackedTensor, shared: Broadcast, modes: Sequence[int], rank: int
 ) -> DataFrame:
-    """Per-task partial sums for one mode or for all of them.
-
-    Rows ``[mode, i, y0 ..]``, or with ``blobs=True`` whole pieces as ``[mode, i, y]``
-    buffers.
-    """
+    """Each task's sums for one mode or for several: pieces ``[mode, piece, i, y]``."""
     sizes = packed.mode_sizes
     num_modes = len(sizes)
     modes = list(modes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = shared.value
-        out = PartialSums(sizes, rank, modes, blob_batch if blobs else partial_batch)
+        out = TaskSums(sizes, rank, modes)
         for batch in batches:
             for row in range(batch.num_rows):
-                idx, val = unpack(batch, row, num_modes)
-                for n in modes:
-                    for i, sums in mode_partials(idx, val, tables, n, rank):
-                        yield from out.add(n, i, sums)
+                yield from out.add(*unpack(batch, row, num_modes), tables)
         yield from out.finish()
 
-    return packed.df.mapInArrow(run, BLOB_SCHEMA if blobs else partial_schema(rank))
+    return packed.df.mapInArrow(run, PIECES)
 
 
 def final_sums(partials: DataFrame, rank: int) -> DataFrame:
-    return partials.groupBy("mode", "i").agg(
-        *[F.sum(c).alias(c) for c in factor_columns(rank, "y")]
-    )
+    """Rows ``[mode, i, y0 ..]``: pieces meet as buffers, so only final rows become rows."""
+    dealt = partials.repartition("mode", "piece").sortWithinPartitions("mode", "piece")
+    return dealt.mapInArrow(partial(add_pieces, rank=rank), rows_schema(rank))
 
 
 def mttkrp_arrow(

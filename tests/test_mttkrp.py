@@ -3,9 +3,11 @@ from __future__ import annotations
 import os
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from tensorspark.functions import products
 from tensorspark.functions.factors import (
     from_dense,
     integer_factor_array,
@@ -267,13 +269,49 @@ def test_chunks_larger_than_one_block(spark):
     assert np.allclose(to_dense(everything.where("mode = 0"), 5000, 64, "y"), want)
 
 
-def test_emitting_without_accumulator(spark, monkeypatch):
-    from tensorspark.functions import chunks
-
-    monkeypatch.setattr(chunks, "_ACCUMULATOR_BYTES", 0)
-    out = chunks.PartialSums((4, 4), 2, [0])
-    batches = list(out.add(0, np.array([1, 3]), np.ones((2, 2))))
-    assert batches[0].num_rows == 2 and list(out.finish()) == []
+@pytest.mark.parametrize("num_modes", [2, 3, 4, 5])
+def test_shared_products(num_modes):
+    rng = np.random.default_rng(num_modes)
+    sizes, rank, nnz = (7, 40, 3, 11, 5)[:num_modes], 3, 20_000
+    idx = [rng.integers(0, s, nnz).astype("<u4") for s in sizes]
+    val = rng.integers(-3, 4, nnz).astype(float)
+    tables = [rng.integers(-2, 3, (rank, s)).astype(float) for s in sizes]
+
+    def want(n):
+        out = np.zeros((rank, sizes[n]))
+        for r in range(rank):
+            term = val.copy()
+            for w in range(num_modes):
+                term *= 1.0 if w == n else tables[w][r][idx[w]]
+            np.add.at(out[r], idx[n], term)
+        return out
+
+    for modes in [[n] for n in range(num_modes)] + [list(range(num_modes)), [0, num_modes - 1]]:
+        given = [None if modes == [w] else t for w, t in enumerate(tables)]
+        sums = {n: np.zeros((rank, sizes[n])) for n in modes}
+        count = products.add_products(idx, val, given, sums)
+        for n in modes:
+            assert (sums[n] == want(n)).all()
+        if len(modes) == num_modes:
+            assert count == max(2, 3 * num_modes - 4)
+
+
+def test_outputs_that_no_task_keeps(spark, monkeypatch):
+    monkeypatch.setattr(products, "SUM_BYTES", 0)
+    monkeypatch.setattr(products, "PIECE_BITS", 1)
+    out = products.TaskSums((4, 4), 2, [0])
+    idx, val = [np.array([1, 3, 1], "<u4"), np.array([0, 1, 2], "<u4")], np.ones(3)
+    batches = list(out.add(idx, val, [None, np.ones((2, 4))]))
+    assert [b.column("piece").to_pylist() for b in batches] == [[0], [1]]
+    assert list(out.finish()) == []
+    rows = pa.Table.from_batches(products.add_pieces(iter([*batches, *batches][::2] + [batches[1]]), 2))
+    assert rows.to_pydict() == {"mode": [0, 0], "i": [1, 3], "y0": [4.0, 1.0], "y1": [4.0, 1.0]}
+    t = uniform_tensor(spark, (50, 10, 8), 500)
+    factors = [integer_factor_array(s, n, 3) for n, s in enumerate(t.mode_sizes)]
+    everything = mt.mttkrp_all_arrow(t, factors, 3)
+    for n, s in enumerate(t.mode_sizes):
+        got = to_dense(everything.where(F.col("mode") == n), s, 3, "y")
+        assert np.allclose(got, brute(dense_rows(t), factors, n))
 
 
 def test_random_factor_same_on_driver_and_executors(spark):
