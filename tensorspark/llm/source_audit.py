@@ -38,7 +38,7 @@ TOP = 200
 #: Bytes of text in a shard; a longer document is handled in windows of that size.
 SHARD_BYTES = 8 << 20
 #: Counts that a task holds when it compares sources, and sources that it compares with all.
-CELLS, TILE = 2 << 20, 128
+CELLS, TILE = 1 << 18, 128
 COUNTS = "lang string, source string, term string, n long, docs long"
 
 #: Bytes outside terms: ASCII without its letters.
