@@ -332,11 +332,11 @@ kept AS (
   SELECT lang, term, count(*) AS n_lang FROM words GROUP BY lang, term
   HAVING count(DISTINCT doc) >= {LEAST_DOCS}),
 langs AS (SELECT lang, count(*) AS v, sum(n_lang) AS total FROM kept GROUP BY lang),
-having AS (SELECT lang, source, term, count(*) AS n FROM words GROUP BY ALL),
+occurs AS (SELECT lang, source, term, count(*) AS n FROM words GROUP BY ALL),
 groups AS (SELECT DISTINCT lang, source FROM docs),
 counts AS (
   SELECT g.lang, g.source, k.term, coalesce(n, 0) AS n, n_lang
-  FROM groups g JOIN kept k USING (lang) LEFT JOIN having h
+  FROM groups g JOIN kept k USING (lang) LEFT JOIN occurs h
     ON h.lang = g.lang AND h.source = g.source AND h.term = k.term),
 sums AS (SELECT lang, source, sum(n) AS all_n FROM counts GROUP BY lang, source),
 p AS (
