@@ -107,15 +107,15 @@ class TaskSums:
                 sums[n] = np.zeros((self.rank, len(ids[n])))
         add_products(idx, val, tables, sums, to)
         for n, i in ids.items():
-            yield from _pieces(n, i, sums[n])
+            yield from pieces_of(n, i, sums[n])
 
     def finish(self) -> Iterator[pa.RecordBatch]:
         for n, sums in self.kept.items():
             i = np.flatnonzero(self.touched[n])
-            yield from _pieces(n, i, sums if len(i) == sums.shape[1] else sums[:, i])
+            yield from pieces_of(n, i, sums if len(i) == sums.shape[1] else sums[:, i])
 
 
-def _pieces(mode: int, i: np.ndarray, sums: np.ndarray) -> Iterator[pa.RecordBatch]:
+def pieces_of(mode: int, i: np.ndarray, sums: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Batches of pieces; ``i`` is ascending and ``sums`` has a column for each."""
     piece = i.astype(np.int64) >> PIECE_BITS
     cuts = np.flatnonzero(np.r_[True, piece[1:] != piece[:-1], True]) if len(i) else [0]

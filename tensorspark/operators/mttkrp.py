@@ -18,6 +18,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from functools import partial
+from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +46,14 @@ from tensorspark.tensor import SparseTensor
 
 Factor = DataFrame | np.ndarray
 
+
+class Stored(Protocol):
+    """Any layout of a tensor as chunk rows."""
+
+    df: DataFrame
+    mode_sizes: tuple[int, ...]
+
+
 CHUNK_NNZ = 1 << 16
 
 
@@ -264,7 +273,7 @@ def _dense_factors(
 
 
 def share_factors(
-    packed: PackedTensor, factors: Sequence[Factor], modes: Sequence[int], rank: int
+    packed: Stored, factors: Sequence[Factor], modes: Sequence[int], rank: int
 ) -> Broadcast:
     """Broadcast the factors the given target modes read, by component, after a check."""
     sizes = packed.mode_sizes

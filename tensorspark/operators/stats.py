@@ -52,15 +52,62 @@ def row_counts(tensor: SparseTensor) -> DataFrame:
     return _pairs(tensor).groupBy("mode", "i").agg(F.count(F.lit(1)).alias("nnz"))
 
 
+def touched_counts(tensor: SparseTensor, modes: list[int]) -> DataFrame:
+    """``[mode, touched]`` by bitmaps: each task sends one for each 2^15 rows that it meets.
+
+    A shuffled bitmap takes 4 kB, whatever the number of its rows.
+    """
+    pairs = _pairs(tensor).where(F.col("mode").isin(modes))
+    place = F.col("i") + 1  # bitmaps start at one
+    bitmaps = pairs.select(
+        "mode",
+        F.bitmap_bucket_number(place).alias("bucket"),
+        F.bitmap_bit_position(place).alias("bit"),
+    )
+    bitmaps = bitmaps.groupBy("mode", "bucket").agg(F.bitmap_construct_agg("bit").alias("rows"))
+    return bitmaps.groupBy("mode").agg(F.sum(F.bitmap_count("rows")).alias("touched"))
+
+
 def touched_rows(tensor: SparseTensor) -> DataFrame:
-    """Rows holding at least one nonzero, per mode."""
-    touched = _pairs(tensor).distinct().groupBy("mode").agg(F.count(F.lit(1)).alias("touched"))
+    """Rows holding at least one nonzero, per mode.
+
+    Modes with fewer nonzeros than rows have bitmaps that are mostly empty; their pairs are
+    made distinct instead.
+    """
+    dense = [n for n, s in enumerate(tensor.mode_sizes) if tensor.nnz >= s]
+    sparse = [n for n in range(tensor.num_modes) if n not in dense]
+    touched = touched_counts(tensor, dense) if dense else None
+    if sparse:
+        pairs = _pairs(tensor).where(F.col("mode").isin(sparse)).distinct()
+        rest = pairs.groupBy("mode").agg(F.count(F.lit(1)).alias("touched"))
+        touched = touched.unionByName(rest) if touched else rest
     sizes = F.array(*[F.lit(s).cast("bigint") for s in tensor.mode_sizes])
     return touched.withColumn("size", F.get(sizes, F.col("mode"))).select(
         "mode", "size", "touched", (F.col("size") - F.col("touched")).alias("untouched")
     )
 
 
+def mode_marginals(nonzeros: DataFrame) -> DataFrame:
+    """Count and sum of the nonzeros of each row of each mode: ``[mode, i, nnz, total]``.
+
+    One statement over all modes: grouping sets of one index each.  The sums are the MTTKRP
+    with factors of ones.
+    """
+    index = [c for c in nonzeros.columns if c != "val"]
+    sets = nonzeros.groupingSets([[c] for c in index], *index).agg(
+        F.grouping_id().alias("set"),
+        F.count(F.lit(1)).alias("nnz"),
+        F.sum("val").alias("total"),
+    )
+    # The bit of each index that is left out of a set is one, from the first index down.
+    every = (1 << len(index)) - 1
+    mode, row = F.lit(None).cast("int"), F.lit(None).cast("bigint")
+    for n, c in enumerate(index):
+        own = F.col("set") == every - (1 << (len(index) - 1 - n))
+        mode, row = F.when(own, n).otherwise(mode), F.when(own, F.col(c).cast("bigint")).otherwise(row)
+    return sets.select(mode.alias("mode"), row.alias("i"), "nnz", "total")
+
+
 def range_bits(mode_size: int, ranges: int = RANGES) -> int:
     """Low index bits to drop so that a mode has at most ``ranges`` (a power of two) ranges."""
     return max(0, (mode_size - 1).bit_length() - (ranges.bit_length() - 1))

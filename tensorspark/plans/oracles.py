@@ -370,6 +370,15 @@ ORACLES: dict[str, str] = {
     "mttkrp_all_modes_blocked": _mttkrp_all(SUPPLY, 3, 4),
     "mttkrp_mode_sorted": _mttkrp(SUPPLY, 3, 1, 4),
     "mttkrp_2mode": _mttkrp(SUPPLY2, 2, 0, 4),
+    "mttkrp_bucketed": _mttkrp(SUPPLY, 3, 1, 4),
+    "mttkrp_bucketed_sweep": _mttkrp_all(SUPPLY, 3, 16),
+    "mttkrp_fiber_tree": _mttkrp(MARKET, 4, 0, 4),
+    "mode_marginals": f"WITH t AS ({SUPPLY}) "
+    + " UNION ALL ".join(
+        f"SELECT CAST({n} AS INTEGER) AS mode, i{n} AS i, count(*) AS nnz, sum(val) AS total "
+        f"FROM t GROUP BY i{n}"
+        for n in range(3)
+    ),
     "mttkrp_4mode": _mttkrp(MARKET, 4, 0, 4),
     "mttkrp_5mode": _mttkrp_all(SUPPLY5, 5, 2),
     "events_mttkrp": _mttkrp(ACTIVITY, 3, 0, 4),

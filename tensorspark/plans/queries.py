@@ -29,7 +29,9 @@ from tensorspark.functions.factors import (
 from tensorspark.functions.morton import MortonPlan
 from tensorspark.operators import linalg, mttkrp as mt, stats, validate
 from tensorspark.operators.blocked import BlockedTensor, mttkrp_all_blocked, mttkrp_blocked
+from tensorspark.operators.copies import FiberTree
 from tensorspark.operators.cpals import CpOptions, cpals
+from tensorspark.operators.keyed import KeyChunks
 from tensorspark.session import local_path, scratch_path
 from tensorspark.sources import factor_files
 from tensorspark.sources.dnb import read_dnb, write_dnb
@@ -237,6 +239,31 @@ def mttkrp_mode_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mt.mttkrp_wide(t, integer_factors(spark, t.mode_sizes, RANK), 1, RANK)
 
 
+def mttkrp_bucketed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = supply(spark, sf_dir)
+    return t.bucketed(1).mttkrp(integer_factors(spark, t.mode_sizes, RANK), RANK)
+
+
+def mttkrp_bucketed_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A copy for each mode, summed by the chunk kernel."""
+    t = supply(spark, sf_dir)
+    arrays = _arrays(t, 16)
+    outs = [
+        t.bucketed(n).mttkrp(arrays, 16).select(F.lit(n).alias("mode"), "*")
+        for n in range(t.num_modes)
+    ]
+    return reduce(DataFrame.unionByName, outs)
+
+
+def mttkrp_fiber_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = market(spark, sf_dir)
+    return FiberTree.build(t, 0).mttkrp(_arrays(t, RANK), RANK)
+
+
+def mode_marginals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.mode_marginals(supply_frame(spark, sf_dir, combine=False))
+
+
 def mttkrp_2mode(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = supply(spark, sf_dir, modes=2)
     return mt.mttkrp(t, integer_factors(spark, t.mode_sizes, RANK), 0, RANK)
@@ -500,7 +527,7 @@ def morton_64bit(spark: SparkSession, sf_dir: str) -> DataFrame:
 def mttkrp_morton(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All modes from linearised storage: keys and values only, decoded as they are read."""
     t = supply(spark, sf_dir)
-    return mt.mttkrp_all_arrow(morton_stored(t), _arrays(t, RANK), RANK)
+    return KeyChunks.build(t).mttkrp_all(_arrays(t, RANK), RANK)
 
 
 # ---- formats -----------------------------------------------------------------
@@ -625,6 +652,10 @@ QUERIES: dict[str, Query] = {
     "mttkrp_blocked_wide_key": mttkrp_blocked_wide_key,
     "mttkrp_all_modes_blocked": mttkrp_all_modes_blocked,
     "mttkrp_mode_sorted": mttkrp_mode_sorted,
+    "mttkrp_bucketed": mttkrp_bucketed,
+    "mttkrp_bucketed_sweep": mttkrp_bucketed_sweep,
+    "mttkrp_fiber_tree": mttkrp_fiber_tree,
+    "mode_marginals": mode_marginals,
     "mttkrp_2mode": mttkrp_2mode,
     "mttkrp_4mode": mttkrp_4mode,
     "mttkrp_5mode": mttkrp_5mode,

@@ -66,6 +66,15 @@ def materialize_partitioned(df: DataFrame) -> DataFrame:
         conf.set("spark.sql.adaptive.enabled", before)
 
 
+def side_session(spark: SparkSession, settings: dict[str, str]) -> SparkSession:
+    """A session on the same context and catalog with the caller's settings but for these."""
+    session = spark.newSession()
+    for key, value in {**spark.conf.getAll, **settings}.items():
+        if session.conf.isModifiable(key):
+            session.conf.set(key, value)
+    return session
+
+
 def parallelism(spark: SparkSession) -> int:
     """Partition count for explicit repartitioning: the session's shuffle width."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

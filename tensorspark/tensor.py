@@ -138,6 +138,12 @@ class SparseTensor:
     def with_frame(self, df: DataFrame) -> SparseTensor:
         return replace(self, df=df)
 
+    def bucketed(self, n: int, buckets: int | None = None):
+        """A copy bucketed and sorted by mode ``n``: its MTTKRP needs no exchange."""
+        from tensorspark.operators.copies import BucketedCopy
+
+        return BucketedCopy.build(self, n, buckets)
+
     # ---- saved state -------------------------------------------------------
 
     def save(self, path: str, source: str = "") -> None:
@@ -203,13 +209,19 @@ def combine_coordinates(df: DataFrame) -> DataFrame:
     return df.groupBy(*idx).agg(F.sum("val").alias("val"))
 
 
-def write_by_key(tensor: SparseTensor) -> tuple[DataFrame, MortonPlan]:
-    """``[key, val]`` written in Z-order of its keys, and opened again."""
+def sorted_by_key(tensor: SparseTensor) -> tuple[DataFrame, MortonPlan]:
+    """``[key, val]`` in Z-order of its keys."""
     plan = MortonPlan.of(tensor.mode_sizes)
     key = plan.encode([F.col(c) for c in tensor.index_columns]).alias("key")
     order = plan.order(F.col("key"))
+    keyed = tensor.df.select(key, "val")
+    return keyed.repartitionByRange(order).sortWithinPartitions(order), plan
+
+
+def write_by_key(tensor: SparseTensor) -> tuple[DataFrame, MortonPlan]:
+    """``[key, val]`` written in Z-order of its keys, and opened again."""
+    keyed, plan = sorted_by_key(tensor)
     path = scratch_path(tensor.spark, "morton")
-    keyed = tensor.df.select(key, "val").repartitionByRange(order).sortWithinPartitions(order)
     keyed.write.parquet(path)
     return tensor.spark.read.parquet(path), plan
 
