@@ -16,8 +16,8 @@ import pyarrow as pa
 
 from tensorspark.functions.factors import factor_columns
 
-# Nonzeros whose products are in cache at a time.
-STEP = 1 << 13
+# Nonzeros that one call handles: buffers of half a megabyte.
+STEP = 1 << 16
 # Bits of an index inside a piece; a piece of an output is summed up by itself.
 PIECE_BITS = 12
 # Sums that a task keeps; an output that doesn't fit leaves the task chunk by chunk.
@@ -45,17 +45,18 @@ def add_products(
     rows = {w: np.empty(size) for w in needed}
     after = {n: np.empty(size) for n in range(first, num_modes - 2)}
     before, term = np.empty(size), np.empty(size)
+    val = val.astype(np.float64)  # a copy: buffers of rows are unaligned
+    places = {w: x.astype(np.intp) for w, x in enumerate(at)}
+    places |= {("to", n): (to or {}).get(n, places[n]) for n in targets}
+    steps = [slice(lo, min(lo + STEP, len(val))) for lo in range(0, len(val), STEP)]
+    cut = [(val[s], {w: x[s] for w, x in places.items()}) for s in steps]
     count = 0
-    for lo in range(0, len(val), STEP):
-        v = val[lo : lo + STEP]
-        k = len(v)
-        read = {w: at[w][lo : lo + k].astype(np.intp) for w in needed}
-        write = {
-            n: (to or {}).get(n, at[n])[lo : lo + k].astype(np.intp) for n in targets
-        }
-        for r in range(rank):
-            part = {w: np.take(tables[w][r], read[w], out=rows[w][:k], mode="clip") for w in needed}
-            count = 0
+    for r in range(rank):  # outside: one component of tables and sums stays in cache
+        for v, place in cut:
+            k, count = len(v), 0
+            part = {
+                w: np.take(tables[w][r], place[w], out=rows[w][:k], mode="clip") for w in needed
+            }
             # Products of the factors after each mode, from the last one down.
             behind = {num_modes - 2: part.get(num_modes - 1)}
             for n in range(num_modes - 3, first - 1, -1):
@@ -68,7 +69,7 @@ def add_products(
                     if n < num_modes - 1:
                         product = np.multiply(ahead, behind[n], out=term[:k])
                         count += 1
-                    np.add.at(sums[n][r], write[n], product)
+                    np.add.at(sums[n][r], place["to", n], product)
                 if n < last:
                     ahead = np.multiply(ahead, part[n], out=before[:k])
                     count += 1
