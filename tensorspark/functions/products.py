@@ -15,13 +15,12 @@ import numpy as np
 import pyarrow as pa
 
 from tensorspark.functions.factors import factor_columns
+from tensorspark.plans.strategy import SUM_BYTES
 
 # Nonzeros that one call handles: buffers of half a megabyte.
 STEP = 1 << 16
 # Bits of an index inside a piece; a piece of an output is summed up by itself.
 PIECE_BITS = 12
-# Sums that a task keeps; an output that doesn't fit leaves the task chunk by chunk.
-SUM_BYTES = 64 << 20
 PIECES = "mode int, piece bigint, i binary, y binary"
 
 

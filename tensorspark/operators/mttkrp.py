@@ -7,6 +7,8 @@ and a GROUP BY sum.  The strategies differ only in how factor rows reach the non
 ``wide``     factor tables joined on the JVM, all R sums in one aggregate
 ``arrow``    factors broadcast as arrays, chunk arithmetic in NumPy; the default
 ``shuffle``  ``wide`` by sort-merge join, hot index values salted
+``compact``  ``arrow`` on numbers of the rows that occur; for modes declared far larger
+             than what they hold (see :mod:`tensorspark.operators.compact`)
 ``blocked``  tensor stays where it is, needed factor rows travel to it; for factors
              too large to broadcast (see :mod:`tensorspark.operators.blocked`)
 
@@ -40,7 +42,7 @@ from tensorspark.functions.factors import (
     to_long,
 )
 from tensorspark.functions.products import PIECES, TaskSums, add_pieces, rows_schema
-from tensorspark.plans.strategy import BROADCAST_BYTES, choose_strategy
+from tensorspark.plans.strategy import BROADCAST_BYTES, CHUNK_NNZ, choose_by_shape, choose_strategy
 from tensorspark.session import parallelism
 from tensorspark.tensor import SparseTensor
 
@@ -54,8 +56,6 @@ class Stored(Protocol):
     mode_sizes: tuple[int, ...]
 
 
-CHUNK_NNZ = 1 << 16
-
 
 # ---- packed tensors ----------------------------------------------------------
 
@@ -329,6 +329,14 @@ def mttkrp_all_arrow(
 # ---- entry points ------------------------------------------------------------
 
 
+def _choose(tensor: SparseTensor, rank: int, n: int | None) -> str:
+    """By declared sizes where those are small, else by the rows that occur."""
+    from tensorspark.operators.compact import measure
+
+    name = choose_strategy(tensor.mode_sizes, rank, n).name
+    return name if name == "arrow" else choose_by_shape(measure(tensor), rank, n).name
+
+
 def mttkrp(
     tensor: SparseTensor,
     factors: Sequence[Factor],
@@ -338,18 +346,21 @@ def mttkrp(
 ) -> DataFrame:
     """Mode-``n`` MTTKRP as ``[i, y0 .. y{R-1}]``."""
     from tensorspark.operators.blocked import BlockedTensor, mttkrp_blocked
+    from tensorspark.operators.compact import CompactTensor
 
     _check(tensor, factors, rank)
     if not 0 <= n < tensor.num_modes:
         raise ValueError(f"mode {n} outside 0..{tensor.num_modes - 1}")
     if strategy == "auto":
-        strategy = choose_strategy(tensor.mode_sizes, rank, n).name
+        strategy = _choose(tensor, rank, n)
     if strategy == "wide":
         return mttkrp_wide(tensor, factors, n, rank)
     if strategy == "arrow":
         return mttkrp_arrow(tensor, factors, n, rank)
     if strategy == "shuffle":
         return mttkrp_shuffle(tensor, factors, n, rank)
+    if strategy == "compact":
+        return CompactTensor.build(tensor).mttkrp(factors, n, rank)
     if strategy == "blocked":
         frames = [factor_frame(tensor, f) for f in factors]
         return mttkrp_blocked(BlockedTensor.build(tensor, rank), frames, n, rank)
@@ -369,12 +380,15 @@ def mttkrp_all(
 ) -> DataFrame:
     """MTTKRP of every mode from one pass: ``[mode, i, y0 .. y{R-1}]``."""
     from tensorspark.operators.blocked import BlockedTensor, mttkrp_all_blocked
+    from tensorspark.operators.compact import CompactTensor
 
     _check(tensor, factors, rank)
     if strategy == "auto":
-        strategy = choose_strategy(tensor.mode_sizes, rank).name
+        strategy = _choose(tensor, rank, None)
     if strategy == "arrow":
         return mttkrp_all_arrow(tensor, factors, rank)
+    if strategy == "compact":
+        return CompactTensor.build(tensor).mttkrp_all(factors, rank)
     if strategy == "blocked":
         frames = [factor_frame(tensor, f) for f in factors]
         return mttkrp_all_blocked(BlockedTensor.build(tensor, rank), frames, rank)

@@ -373,6 +373,8 @@ ORACLES: dict[str, str] = {
     "mttkrp_bucketed": _mttkrp(SUPPLY, 3, 1, 4),
     "mttkrp_bucketed_sweep": _mttkrp_all(SUPPLY, 3, 16),
     "mttkrp_fiber_tree": _mttkrp(MARKET, 4, 0, 4),
+    "mttkrp_compact": _mttkrp(SUPPLY, 3, 0, 4),
+    "mttkrp_compact_all": _mttkrp_all(SUPPLY, 3, 4),
     "mode_marginals": f"WITH t AS ({SUPPLY}) "
     + " UNION ALL ".join(
         f"SELECT CAST({n} AS INTEGER) AS mode, i{n} AS i, count(*) AS nnz, sum(val) AS total "

@@ -260,6 +260,24 @@ def mttkrp_fiber_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return FiberTree.build(t, 0).mttkrp(_arrays(t, RANK), RANK)
 
 
+def _declared_wide(spark: SparkSession, sf_dir: str) -> tuple[SparseTensor, list[DataFrame]]:
+    """Modes declared with 2^28 rows, of which few occur."""
+    t = supply(spark, sf_dir)
+    wide = SparseTensor.from_frame(t.df, [1 << 28] * t.num_modes)
+    return wide, integer_factors(spark, t.mode_sizes, RANK)
+
+
+def mttkrp_compact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The strategy is chosen by the rows that occur."""
+    wide, factors = _declared_wide(spark, sf_dir)
+    return mt.mttkrp(wide, factors, 0, RANK)
+
+
+def mttkrp_compact_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wide, factors = _declared_wide(spark, sf_dir)
+    return mt.mttkrp_all(wide, factors, RANK)
+
+
 def mode_marginals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.mode_marginals(supply_frame(spark, sf_dir, combine=False))
 
@@ -655,6 +673,8 @@ QUERIES: dict[str, Query] = {
     "mttkrp_bucketed": mttkrp_bucketed,
     "mttkrp_bucketed_sweep": mttkrp_bucketed_sweep,
     "mttkrp_fiber_tree": mttkrp_fiber_tree,
+    "mttkrp_compact": mttkrp_compact,
+    "mttkrp_compact_all": mttkrp_compact_all,
     "mode_marginals": mode_marginals,
     "mttkrp_2mode": mttkrp_2mode,
     "mttkrp_4mode": mttkrp_4mode,
