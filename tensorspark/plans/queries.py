@@ -32,7 +32,7 @@ from tensorspark.operators.blocked import BlockedTensor, mttkrp_all_blocked, mtt
 from tensorspark.operators.copies import FiberTree
 from tensorspark.operators.cpals import CpOptions, cpals
 from tensorspark.operators.keyed import KeyChunks
-from tensorspark.session import local_path, scratch_path
+from tensorspark.session import scratch_path
 from tensorspark.sources import factor_files
 from tensorspark.sources.dnb import read_dnb, write_dnb
 from tensorspark.sources.reader import read_tensor
@@ -604,9 +604,15 @@ def _factor_rows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
     return mt.mttkrp_wide(t, factors, 0, RANK).withColumnsRenamed(rename), t.mode_sizes[0]
 
 
+def _uri(spark: SparkSession, label: str) -> str:
+    """A path below the shared folder as a URI, for Arrow's file systems."""
+    path = scratch_path(spark, label)
+    return path if ":" in path.split("/")[0] else f"file:{path}"
+
+
 def factor_binary_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     frame, rows = _factor_rows(spark, sf_dir)
-    path = local_path(scratch_path(spark, "factor"))
+    path = _uri(spark, "factor")
     factor_files.write_binary(frame, path, rows, RANK)
     return factor_files.read_binary(spark, path)
 
@@ -623,14 +629,14 @@ def factor_text_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 def lambda_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Column norms of an MTTKRP output through the file of weights."""
     norms = {r["r"]: r["norm"] for r in col_norms(spark, sf_dir).collect()}
-    path = local_path(scratch_path(spark, "lambda"))
+    path = _uri(spark, "lambda")
     factor_files.write_lambda(np.array([norms[r] for r in range(RANK)]), path)
     lam = factor_files.read_lambda(path)
     return spark.createDataFrame([(r, float(v)) for r, v in enumerate(lam)], "r int, lambda double")
 
 
 def dnb_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = scratch_path(spark, "supply") + ".dnb"
+    path = _uri(spark, "supply") + ".dnb"
     write_dnb(supply(spark, sf_dir, combine=True), path)
     return read_dnb(spark, path).df
 

@@ -34,16 +34,6 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{root}/{label}-{uuid.uuid4().hex}"
 
 
-def local_path(path: str) -> str:
-    """The path on a mounted file system; any other scheme is refused, not written beside."""
-    scheme, colon, rest = path.partition(":")
-    if not colon or "/" in scheme:
-        return path
-    if scheme != "file":
-        raise ValueError(f"{path}: only paths on a file system that all executors mount")
-    return "/" + rest.lstrip("/")
-
-
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` to the reliable checkpoint folder and continue from there."""
     checkpoint_root(df.sparkSession)

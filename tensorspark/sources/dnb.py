@@ -2,13 +2,12 @@
 
 One file: an 88-byte header, then the values as f32 and each index column as u32, all
 little-endian, zero-based.  Spark writes a folder of such files plus a manifest, and reads
-either a single file or a folder.  ``export_file`` joins a folder into one file.
+either a single file or a folder, on any file system that Arrow knows (see
+:mod:`tensorspark.sources.files`).  ``export_file`` joins a folder into one file.
 """
 
 from __future__ import annotations
 
-import json
-import os
 import struct
 import uuid
 from collections.abc import Iterator, Sequence
@@ -26,7 +25,7 @@ from pyspark.sql.datasource import (
 )
 from pyspark.sql.types import StructType
 
-from tensorspark.session import local_path
+from tensorspark.sources import files
 from tensorspark.tensor import MAX_MODES, SparseTensor, index_columns
 
 # Fixed values of the file format: magic, version, widths of values and indices, then the
@@ -37,10 +36,10 @@ MAGIC = b"DNB1"
 VERSION = 1
 WIDTH = 4
 
-MANIFEST = "_manifest.json"
 # Nonzeros a writer task holds before it closes a part file.
 PART_NNZ = 1 << 22
-_COPY_BYTES = 8 << 20
+# Nonzeros of a batch that is read.
+READ_NNZ = 1 << 17
 # Bytes of a file that one read task takes.
 CHUNK_BYTES = 128 << 20
 
@@ -53,8 +52,10 @@ class DnbHeader:
 
     @classmethod
     def read(cls, path: str) -> DnbHeader:
-        with open(path, "rb") as f:
-            raw = f.read(HEADER_BYTES)
+        filesystem, place = files.open_fs(path)
+        size = files.size_of(filesystem, place)
+        with filesystem.open_input_file(place) as f:
+            raw = f.read_at(min(size, HEADER_BYTES), 0)
         if len(raw) < HEADER_BYTES:
             raise ValueError(f"{path}: shorter than a header")
         magic, version, value_bytes, index_bytes, modes, nnz, *rest = struct.unpack(HEADER, raw)
@@ -64,7 +65,7 @@ class DnbHeader:
             raise ValueError(f"{path}: unsupported version or widths")
         if not 1 <= modes <= MAX_MODES or nnz == 0:
             raise ValueError(f"{path}: {modes} modes and {nnz} nonzeros")
-        if os.path.getsize(path) < HEADER_BYTES + nnz * WIDTH * (1 + modes):
+        if size < HEADER_BYTES + nnz * WIDTH * (1 + modes):
             raise ValueError(f"{path}: truncated")
         return cls(modes, nnz, tuple(rest[:modes]))
 
@@ -81,20 +82,17 @@ class DnbHeader:
 
 def read_parts(path: str) -> tuple[list[tuple[str, int]], tuple[int, ...]]:
     """The files of a tensor with their nonzero counts, and the overall mode sizes."""
-    path = local_path(path)
-    if not os.path.isdir(path):
+    filesystem, place = files.open_fs(path)
+    if not files.is_folder(filesystem, place):
         head = DnbHeader.read(path)
         return [(path, head.nnz)], head.mode_sizes
-    manifest = os.path.join(path, MANIFEST)
-    if os.path.exists(manifest):
-        with open(manifest) as f:
-            meta = json.load(f)
-        parts = [(os.path.join(path, name), nnz) for name, nnz in meta["parts"]]
-        return parts, tuple(meta["mode_sizes"])
-    names = sorted(n for n in os.listdir(path) if n.endswith(".dnb"))
+    meta = files.read_manifest(filesystem, place)
+    if meta is not None:
+        return [(files.join(path, p), nnz) for p, nnz in meta["parts"]], tuple(meta["mode_sizes"])
+    names = [n for n in files.names(filesystem, place) if n.endswith(".dnb")]
     if not names:
         raise ValueError(f"{path}: no .dnb files")
-    heads = [(os.path.join(path, n), DnbHeader.read(os.path.join(path, n))) for n in names]
+    heads = [(files.join(path, n), DnbHeader.read(files.join(path, n))) for n in names]
     if len({h.num_modes for _, h in heads}) > 1:
         raise ValueError(f"{path}: files differ in their number of modes")
     sizes = tuple(max(s) for s in zip(*[h.mode_sizes for _, h in heads]))
@@ -127,20 +125,24 @@ class _Reader(DataSourceReader):
         ]
 
     def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
-        head = DnbHeader.read(partition.path)
-        names = [*index_columns(head.num_modes), "val"]
-        step = 1 << 17
-        with open(partition.path, "rb") as f:
-            end = partition.first + partition.count
-            for lo in range(partition.first, end, step):
-                n = min(step, end - lo)
-                arrays = []
-                for n_mode in range(head.num_modes):
-                    f.seek(head.offset(n_mode + 1, lo))
-                    arrays.append(pa.array(np.fromfile(f, "<u4", n).astype(np.int64)))
-                f.seek(head.offset(0, lo))
-                arrays.append(pa.array(np.fromfile(f, "<f4", n).astype(np.float64)))
-                yield pa.RecordBatch.from_arrays(arrays, names=names)
+        return read_chunk(partition.path, partition.first, partition.count)
+
+
+def read_chunk(path: str, first: int, count: int) -> Iterator[pa.RecordBatch]:
+    """A range of nonzeros of one file, in batches."""
+    head = DnbHeader.read(path)
+    names = [*index_columns(head.num_modes), "val"]
+    filesystem, place = files.open_fs(path)
+    with filesystem.open_input_file(place) as f:
+
+        def column(number: int, dtype: str, lo: int, n: int) -> np.ndarray:
+            return np.frombuffer(f.read_at(n * WIDTH, head.offset(number, lo)), dtype)
+
+        for lo in range(first, first + count, READ_NNZ):
+            n = min(READ_NNZ, first + count - lo)
+            arrays = [column(k + 1, "<u4", lo, n).astype(np.int64) for k in range(head.num_modes)]
+            arrays.append(column(0, "<f4", lo, n).astype(np.float64))
+            yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], names=names)
 
 
 @dataclass
@@ -150,33 +152,32 @@ class _Written(WriterCommitMessage):
 
 
 class _Writer(DataSourceArrowWriter):
-    """Each task writes part files into a hidden folder; the commit publishes them."""
+    """Tasks write part files under names of their own; the commit names those that count."""
 
     def __init__(self, path: str, num_modes: int, sizes: list[int], overwrite: bool):
         self.path, self.num_modes, self.sizes = path, num_modes, sizes
-        self.overwrite = overwrite
-        self.staging = os.path.join(path, f"_staging-{uuid.uuid4().hex}")
+        self.overwrite, self.job = overwrite, uuid.uuid4().hex
+        filesystem, place = files.open_fs(path)
+        filesystem.create_dir(place, recursive=True)
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
-        os.makedirs(self.staging, exist_ok=True)
-        files: list[tuple[str, int]] = []
+        filesystem, place = files.open_fs(self.path)
+        written: list[tuple[str, int]] = []
         sizes = [0] * self.num_modes
         held: list[list[np.ndarray]] = []
 
         def flush() -> None:
             columns = [np.concatenate(parts) for parts in zip(*held)]
             held.clear()
-            for n, c in enumerate(columns[1:]):
-                sizes[n] = max(sizes[n], int(c.max()) + 1)
-            head = DnbHeader(
-                self.num_modes, len(columns[0]), tuple(int(c.max()) + 1 for c in columns[1:])
-            )
-            name = f"part-{uuid.uuid4().hex}.dnb"
-            with open(os.path.join(self.staging, name), "wb") as f:
+            own = tuple(int(c.max()) + 1 for c in columns[1:])
+            sizes[:] = map(max, sizes, own)
+            head = DnbHeader(self.num_modes, len(columns[0]), own)
+            name = f"part-{self.job}-{uuid.uuid4().hex}.dnb"
+            with filesystem.open_output_stream(files.join(place, name)) as f:
                 f.write(head.pack())
                 for c in columns:
-                    c.tofile(f)
-            files.append((name, head.nnz))
+                    f.write(c.tobytes())
+            written.append((name, head.nnz))
 
         rows = 0
         for batch in iterator:
@@ -194,61 +195,55 @@ class _Writer(DataSourceArrowWriter):
                 rows = 0
         if held:
             flush()
-        return _Written(files, sizes)
+        return _Written(written, sizes)
 
     def commit(self, messages: list[WriterCommitMessage | None]) -> None:
         done = [m for m in messages if m is not None]
         parts = [p for m in done for p in m.files]
-        if self.overwrite:
-            for name in os.listdir(self.path):
-                if name.endswith(".dnb"):
-                    os.remove(os.path.join(self.path, name))
-        for name, _ in parts:
-            os.rename(os.path.join(self.staging, name), os.path.join(self.path, name))
         sizes = [max(s) for s in zip(self.sizes, *[m.sizes for m in done])]
-        manifest = os.path.join(self.path, MANIFEST)
-        with open(manifest + ".new", "w") as f:
-            json.dump({"parts": parts, "mode_sizes": sizes}, f)
-        os.replace(manifest + ".new", manifest)
-        self._clear()
+        filesystem, place = files.open_fs(self.path)
+        if not self.overwrite:
+            before = files.read_manifest(filesystem, place)
+            if before is not None:
+                parts = [*map(tuple, before["parts"]), *parts]
+                sizes = list(map(max, sizes, before["mode_sizes"]))
+        name = files.write_manifest(filesystem, place, {"parts": parts, "mode_sizes": sizes})
+        # What no manifest names any more: attempts that failed, and what was overwritten.
+        keep = {p for p, _ in parts} | {name}
+        stale = [n for n in files.names(filesystem, place) if n not in keep]
+        own = [n for n in stale if n.startswith((f"part-{self.job}-", files.MANIFEST))]
+        old = [n for n in stale if n.endswith(".dnb")] if self.overwrite else []
+        files.remove(filesystem, place, {*own, *old})
 
     def abort(self, messages: list[WriterCommitMessage | None]) -> None:
-        self._clear()
-
-    def _clear(self) -> None:
-        """Remove what failed or repeated attempts left behind."""
-        if os.path.isdir(self.staging):
-            for name in os.listdir(self.staging):
-                os.remove(os.path.join(self.staging, name))
-            os.rmdir(self.staging)
+        filesystem, place = files.open_fs(self.path)
+        mine = [n for n in files.names(filesystem, place) if n.startswith(f"part-{self.job}-")]
+        files.remove(filesystem, place, mine)
 
 
 class DnbDataSource(DataSource):
     """``spark.read.format("dnb").load(path)`` and ``df.write.format("dnb").save(path)``.
 
     Options: ``chunk_nnz`` (reader), ``mode_sizes`` as comma-separated numbers (writer).
-    Paths are on a file system every executor mounts.
+    Paths are URIs of a file system that Arrow knows, or paths on a mounted one.
     """
 
     @classmethod
     def name(cls) -> str:
         return "dnb"
 
-    def _path(self) -> str:
-        return local_path(self.options["path"])
-
     def schema(self) -> str:
-        return dnb_schema(read_parts(self._path())[1])
+        return dnb_schema(read_parts(self.options["path"])[1])
 
     def reader(self, schema: StructType) -> DataSourceReader:
         chunk = self.options.get("chunk_nnz")
-        return _Reader(self._path(), schema, int(chunk) if chunk else None)
+        return _Reader(self.options["path"], schema, int(chunk) if chunk else None)
 
     def writer(self, schema: StructType, overwrite: bool) -> DataSourceArrowWriter:
         modes = len(schema.fields) - 1
         given = self.options.get("mode_sizes")
         sizes = [int(s) for s in given.split(",")] if given else [0] * modes
-        return _Writer(self._path(), modes, sizes, overwrite)
+        return _Writer(self.options["path"], modes, sizes, overwrite)
 
 
 def register(spark: SparkSession) -> None:
@@ -281,40 +276,28 @@ def write_dnb(tensor: SparseTensor, path: str) -> None:
 def export_file(spark: SparkSession, folder: str, target: str) -> DnbHeader:
     """Join a folder of parts into one file.
 
-    The size of every column is known, so tasks copy their parts straight to the final
-    positions; nothing but names and counts passes through the driver.
+    The format wants each column of all nonzeros in one run, and object stores write a file
+    from front to end, so one task copies the columns of the parts in turn, a bounded piece
+    at a time.  For tensors that are too large for that, the folder is the format to keep.
     """
     parts, sizes = read_parts(folder)
     total = DnbHeader(len(sizes), sum(n for _, n in parts), sizes)
-    target = local_path(target)
-    partial = f"{target}.{uuid.uuid4().hex}.partial"
-    with open(partial, "wb") as f:
-        f.write(total.pack())
-        f.truncate(total.offset(total.num_modes + 1))
-    starts = np.cumsum([0, *[n for _, n in parts]])
-    jobs = spark.createDataFrame(
-        [(p, int(s)) for (p, _), s in zip(parts, starts)], "part string, first bigint"
-    )
+    jobs = spark.createDataFrame([(p, n) for p, n in parts], "part string, nnz bigint")
 
     def copy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for job in batch.to_pylist():
-                head = DnbHeader.read(job["part"])
-                with open(job["part"], "rb") as src, open(partial, "r+b") as dst:
-                    for column in range(total.num_modes + 1):
-                        src.seek(head.offset(column))
-                        dst.seek(total.offset(column, job["first"]))
-                        left = head.nnz * WIDTH
-                        while left:
-                            piece = src.read(min(left, _COPY_BYTES))
-                            dst.write(piece)
-                            left -= len(piece)
-            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], names=["copied"])
-
-    tasks = min(len(parts), max(1, spark.sparkContext.defaultParallelism) * 4)
-    copied = jobs.repartition(tasks).mapInArrow(copy, "copied bigint")
-    done = sum(r["copied"] for r in copied.collect())
-    if done != len(parts):
-        raise RuntimeError(f"copied {done} of {len(parts)} parts")
-    os.replace(partial, target)
+        todo = [row for batch in batches for row in batch.to_pylist()]
+        filesystem, place = files.open_fs(target)
+        with filesystem.open_output_stream(place) as out:
+            out.write(total.pack())
+            for column in range(total.num_modes + 1):
+                for row in todo:
+                    head = DnbHeader.read(row["part"])
+                    source, at = files.open_fs(row["part"])
+                    with source.open_input_file(at) as f:
+                        files.copy_range(f, head.offset(column), row["nnz"] * WIDTH, out)
+        yield pa.RecordBatch.from_arrays([pa.array([len(todo)])], names=["copied"])
+
+    done = jobs.coalesce(1).mapInArrow(copy, "copied bigint").first()
+    if done is None or done["copied"] != len(parts):
+        raise RuntimeError(f"{target}: not all of {len(parts)} parts were copied")
     return total

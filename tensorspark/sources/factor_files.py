@@ -1,12 +1,12 @@
 """Factor matrices on disk: text, binary, and the raw lambda file.
 
-A factor is written by its rows' owners.  Rows must be complete and in order, so a
-DataFrame is first filled up with zero rows for untouched indices.
+A factor is written by its rows' owners, on any file system that Arrow knows.  Rows must be
+complete and in order, so a DataFrame is first filled up with zero rows for untouched
+indices.
 """
 
 from __future__ import annotations
 
-import os
 import struct
 import uuid
 from collections.abc import Iterator
@@ -23,7 +23,7 @@ from tensorspark.functions.factors import (
     from_dense,
     matrix_of,
 )
-from tensorspark.session import local_path
+from tensorspark.sources import files
 
 # Fixed values of the binary format: magic, version, value width, rank, rows; then f32
 # entries row by row.
@@ -51,68 +51,89 @@ def _complete(factor: DataFrame, rows: int, rank: int, prefix: str) -> DataFrame
 def write_binary(
     factor: DataFrame | np.ndarray, path: str, rows: int, rank: int, prefix: str = "f"
 ) -> None:
-    """Every row has a fixed position, so tasks write straight into the shared file."""
-    path = local_path(path)
+    """Tasks write ranges of rows as parts, and one task joins those into the file.
+
+    The parts' folder is beside the file, ``<path>.parts``; it is left empty.
+    """
     head = struct.pack(HEADER, MAGIC, VERSION, WIDTH, rank, rows)
-    partial = f"{path}.{uuid.uuid4().hex}.partial"
-    with open(partial, "wb") as f:
-        f.write(head)
-        if isinstance(factor, np.ndarray):
-            factor.astype("<f4").tofile(f)
-        else:
-            f.truncate(HEADER_BYTES + rows * rank * WIDTH)
-    if isinstance(factor, DataFrame):
-        names = factor_columns(rank, prefix)
-
-        def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            count = 0
-            with open(partial, "r+b") as f:
-                for batch in batches:
-                    i = batch.column("i").to_numpy()
-                    values = matrix_of(batch, names).astype("<f4")
-                    cuts = np.flatnonzero(np.diff(i) != 1) + 1
-                    for rows_i, rows_v in zip(np.split(i, cuts), np.split(values, cuts)):
-                        if len(rows_i):
-                            f.seek(HEADER_BYTES + int(rows_i[0]) * rank * WIDTH)
-                            rows_v.tofile(f)
-                            count += len(rows_i)
-            yield pa.RecordBatch.from_arrays([pa.array([count], pa.int64())], names=["written"])
-
-        # Rows absent from the frame stay zero: the file was created zero-filled.
-        # Ranges of rows make long runs, so a task writes few large pieces.
-        ranges = factor.select("i", *names).repartitionByRange("i").sortWithinPartitions("i")
-        ranges.mapInArrow(put, "written bigint").agg(F.sum("written")).collect()
-    os.replace(partial, path)
+    filesystem, place = files.open_fs(path)
+    if isinstance(factor, np.ndarray):
+        with filesystem.open_output_stream(place) as f:
+            f.write(head + factor.astype("<f4").tobytes())
+        return
+    names, folder, job = factor_columns(rank, prefix), f"{path}.parts", uuid.uuid4().hex
+    filesystem.create_dir(f"{place}.parts", recursive=True)
+
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, at = files.open_fs(folder)
+        name, first, count, out = f"{job}-{uuid.uuid4().hex}", 0, 0, None
+        for batch in batches:
+            if batch.num_rows:
+                if out is None:
+                    out = fs.open_output_stream(files.join(at, name))
+                    first = batch.column("i")[0].as_py()
+                out.write(matrix_of(batch, names).astype("<f4").tobytes())
+                count += batch.num_rows
+        if out is not None:
+            out.close()
+            columns = [[name], [first], [count]]
+            yield pa.record_batch([pa.array(c) for c in columns], names=["name", "first", "n"])
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = sorted((r for b in batches for r in b.to_pylist()), key=lambda r: r["first"])
+        (fs, at), done = files.open_fs(folder), 0
+        target, target_at = files.open_fs(path)
+        with target.open_output_stream(target_at) as out:
+            out.write(head)
+            for part in parts:
+                if part["first"] != done:
+                    raise ValueError(f"{path}: rows {done} to {part['first']} are missing")
+                with fs.open_input_file(files.join(at, part["name"])) as f:
+                    files.copy_range(f, 0, part["n"] * rank * WIDTH, out)
+                done += part["n"]
+        yield pa.record_batch([pa.array([done], pa.int64())], names=["rows"])
+
+    # Which attempts count is settled before the parts are joined.
+    ranges = _complete(factor, rows, rank, prefix).repartitionByRange("i")
+    parts = ranges.sortWithinPartitions("i").mapInArrow(put, "name string, first bigint, n bigint")
+    spark = factor.sparkSession
+    counted = spark.createDataFrame(parts.collect(), parts.schema)
+    done = counted.coalesce(1).mapInArrow(join, "rows bigint").first()
+    stale = [n for n in files.names(filesystem, f"{place}.parts") if n.startswith(job)]
+    files.remove(filesystem, f"{place}.parts", stale)
+    if (done["rows"] if done else 0) != rows:
+        raise RuntimeError(f"{path}: {done} of {rows} rows were written")
 
 
 def read_header(path: str) -> tuple[int, int]:
     """``(rows, rank)``."""
-    path = local_path(path)
-    with open(path, "rb") as f:
-        raw = f.read(HEADER_BYTES)
+    filesystem, place = files.open_fs(path)
+    size = files.size_of(filesystem, place)
+    with filesystem.open_input_file(place) as f:
+        raw = f.read_at(min(size, HEADER_BYTES), 0)
     if len(raw) < HEADER_BYTES:
         raise ValueError(f"{path}: shorter than a header")
     magic, version, width, rank, rows = struct.unpack(HEADER, raw)
     if magic != MAGIC or version != VERSION or width != WIDTH:
         raise ValueError(f"{path}: not a factor file of version {VERSION}")
-    if os.path.getsize(path) != HEADER_BYTES + rows * rank * WIDTH:
+    if size != HEADER_BYTES + rows * rank * WIDTH:
         raise ValueError(f"{path}: wrong size for {rows} x {rank}")
     return rows, rank
 
 
 def read_binary(spark: SparkSession, path: str) -> DataFrame:
     """A factor file as ``[i, f0 ..]``, read by row ranges."""
-    path = local_path(path)
     rows, rank = read_header(path)
 
     def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        with open(path, "rb") as f:
+        filesystem, place = files.open_fs(path)
+        with filesystem.open_input_file(place) as f:
             for batch in batches:
                 for block in batch.column(0).to_pylist():
                     lo = block * _BLOCK_ROWS
                     n = min(_BLOCK_ROWS, rows - lo)
-                    f.seek(HEADER_BYTES + lo * rank * WIDTH)
-                    values = np.fromfile(f, "<f4", n * rank).reshape(n, rank)
+                    raw = f.read_at(n * rank * WIDTH, HEADER_BYTES + lo * rank * WIDTH)
+                    values = np.frombuffer(raw, "<f4").reshape(n, rank)
                     yield factor_batch(np.arange(lo, lo + n), values.astype(np.float64))
 
     return spark.range(-(-rows // _BLOCK_ROWS)).mapInArrow(load, factor_schema(rank))
@@ -139,8 +160,12 @@ def write_text(
 
 
 def write_lambda(lam: np.ndarray, path: str) -> None:
-    np.asarray(lam).astype("<f4").tofile(local_path(path))
+    filesystem, place = files.open_fs(path)
+    with filesystem.open_output_stream(place) as f:
+        f.write(np.asarray(lam).astype("<f4").tobytes())
 
 
 def read_lambda(path: str) -> np.ndarray:
-    return np.fromfile(local_path(path), "<f4").astype(np.float64)
+    filesystem, place = files.open_fs(path)
+    with filesystem.open_input_stream(place) as f:
+        return np.frombuffer(f.read(), "<f4").astype(np.float64)

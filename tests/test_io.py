@@ -4,15 +4,17 @@ import os
 import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyarrow import fs as pafs
 
 from tensorspark.functions.factors import from_dense, random_factor_array, to_dense
-from tensorspark.session import local_path
-from tensorspark.sources import factor_files
+from tensorspark.sources import dnb, factor_files, files
 from tensorspark.sources.dnb import (
     HEADER_BYTES,
     DnbHeader,
     export_file,
+    read_chunk,
     read_dnb,
     read_parts,
     write_dnb,
@@ -172,18 +174,89 @@ def test_cache_keeps_values_and_follows_its_source(spark, tmp_path, capsys):
     assert "no cache" in capsys.readouterr().out
 
 
-def test_only_mounted_paths_are_written(spark, tmp_path, monkeypatch):
-    monkeypatch.chdir(tmp_path)
-    assert local_path("file:/a/b") == local_path("file:///a/b") == "/a/b"
-    assert local_path("a/b:c") == "a/b:c"
-    t = read_tns(spark, TINY)
-    with pytest.raises(Exception, match="mount"):
-        write_dnb(t, "hdfs://nn/data/x.dnb")
-    with pytest.raises(ValueError):
-        factor_files.write_binary(np.ones((2, 2)), "s3a://bucket/x.bin", 2, 2)
+def test_paths_and_uris(tmp_path):
+    local = [files.open_fs(p)[1] for p in ("/a/b", "a/b:c", "file:/a/b", "file:///a/b")]
+    assert local == ["/a/b", "a/b:c", "/a/b", "/a/b"]
+    with pytest.raises(Exception):
+        files.open_fs("nosuch://a/b")
+
+
+def batch(lo, n):
+    columns = [pa.array(range(lo, lo + n)), pa.array([1] * n), pa.array([float(lo)] * n)]
+    return pa.record_batch(columns, names=["i0", "i1", "val"])
+
+
+@pytest.fixture
+def remote(monkeypatch):
+    """A file system that is no disk: only what goes through Arrow can reach it."""
+    store = pafs._MockFileSystem()
+    monkeypatch.setattr(files, "open_fs", lambda uri: (store, uri.removeprefix("mock://")))
+    return store
+
+
+def stored(path):
+    parts, sizes = read_parts(path)
+    found = [b for p, n in parts for lo in range(0, n, 3) for b in read_chunk(p, lo, min(3, n - lo))]
+    return sorted(zip(*(pa.Table.from_batches(found).to_pydict()[c] for c in ("i0", "i1", "val")))), sizes
+
+
+def test_parts_on_a_remote_file_system(remote, monkeypatch):
+    monkeypatch.setattr(dnb, "PART_NNZ", 4)
+    path = "mock://bucket/t.dnb"
+    writer = dnb._Writer(path, 2, [0, 9], True)
+
+    def dies():
+        yield batch(100, 5)
+        raise OSError("executor lost")
+
+    with pytest.raises(OSError):
+        writer.write(dies())
+    done = [writer.write(iter([batch(0, 5), batch(5, 2)])), writer.write(iter([batch(7, 1)])), writer.write(iter([]))]
+    late = writer.write(iter([batch(0, 5)]))  # the same task once more: it doesn't count
+    assert len(late.files) == 1
+    writer.commit([*done, None])
+    want = [(k, 1, float(5 * (k >= 5) if k < 7 else 7)) for k in range(8)]
+    assert stored(path) == (want, (8, 9))
+    # A manifest that its writer didn't finish is passed over; files of no manifest are gone.
+    with remote.open_output_stream("bucket/t.dnb/_manifest-000000002.json") as f:
+        f.write(b"{")
+    assert stored(path) == (want, (8, 9))
+    kept = [n for n in files.names(remote, "bucket/t.dnb") if n.endswith(".dnb")]
+    assert sorted(kept) == sorted(n for m in done for n, _ in m.files)
+    again = dnb._Writer(path, 2, [0, 0], False)
+    again.commit([again.write(iter([batch(20, 1)]))])
+    assert stored(path) == ([*want, (20, 1, 20.0)], (21, 9))
+    gone = dnb._Writer(path, 2, [0, 0], True)
+    gone.abort([gone.write(iter([batch(30, 1)]))])
+    assert len(stored(path)[0]) == 9
+    over = dnb._Writer(path, 2, [0, 0], True)
+    over.commit([over.write(iter([batch(1, 1)]))])
+    assert stored(path) == ([(1, 1, 1.0)], (2, 2))
+    assert len(files.names(remote, "bucket/t.dnb")) == 2
+
+
+def test_factor_files_on_a_remote_file_system(remote):
+    f = np.arange(6.0).reshape(3, 2)
+    remote.create_dir("bucket")
+    factor_files.write_binary(f, "mock://bucket/f.bin", 3, 2)
+    assert factor_files.read_header("mock://bucket/f.bin") == (3, 2)
+    factor_files.write_lambda(np.array([2.0, 0.5]), "mock://bucket/lam")
+    assert factor_files.read_lambda("mock://bucket/lam").tolist() == [2.0, 0.5]
     with pytest.raises(ValueError):
-        factor_files.write_lambda(np.ones(2), "s3a://bucket/x.bin")
-    assert not os.listdir(tmp_path)
+        factor_files.read_header("mock://bucket/lam")
+
+
+def test_uris_through_spark(spark, tmp_path):
+    t, uri = read_tns(spark, TINY), f"file:{tmp_path}"
+    write_dnb(t, f"{uri}/t")
+    assert rows(read_dnb(spark, f"{uri}/t")) == rows(t)
+    export_file(spark, f"{uri}/t", f"{uri}/one.dnb")
+    assert rows(read_dnb(spark, f"{uri}/one.dnb")) == rows(t)
+    frame = from_dense(spark, np.arange(6.0).reshape(3, 2)).where("i <> 1")
+    factor_files.write_binary(frame, f"{uri}/f.bin", 4, 2)
+    back = to_dense(factor_files.read_binary(spark, f"{uri}/f.bin"), 4, 2)
+    assert back.tolist() == [[0, 1], [0, 0], [4, 5], [0, 0]]
+    assert os.listdir(tmp_path / "f.bin.parts") == []
 
 
 def test_headers_anywhere(spark, tmp_path):
