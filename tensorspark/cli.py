@@ -107,7 +107,7 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -
         tensor = read_tensor(
             spark,
             args.tensor,
-            format="saved" if args.runtime else None,
+            format="saved" if args.runtime and not args.tensor.endswith(".dnp") else None,
             cache=not args.no_cache,
             chunk_nnz=args.ooc_chunk or None,
         )

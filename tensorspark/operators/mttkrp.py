@@ -44,7 +44,7 @@ from tensorspark.functions.factors import (
 from tensorspark.functions.products import PIECES, TaskSums, add_pieces, rows_schema
 from tensorspark.plans.strategy import BROADCAST_BYTES, CHUNK_NNZ, choose_by_shape, choose_strategy
 from tensorspark.session import parallelism
-from tensorspark.tensor import SparseTensor
+from tensorspark.tensor import SparseTensor, index_columns
 
 Factor = DataFrame | np.ndarray
 
@@ -70,10 +70,18 @@ class PackedTensor:
     @classmethod
     def of(cls, tensor: SparseTensor, chunk_nnz: int = CHUNK_NNZ) -> PackedTensor:
         """Packs in place: no shuffle, one chunk of memory per task."""
-        df = tensor.df.select(*tensor.index_columns, "val").mapInArrow(
-            pack_chunks(tensor.num_modes, chunk_nnz), chunk_schema(tensor.num_modes)
+        return cls.pack(tensor.df, tensor.mode_sizes, chunk_nnz)
+
+    @classmethod
+    def pack(
+        cls, nonzeros: DataFrame, mode_sizes: Sequence[int], chunk_nnz: int = CHUNK_NNZ
+    ) -> PackedTensor:
+        """The same for rows whose numbers aren't known, such as a batch of a stream."""
+        num_modes = len(mode_sizes)
+        df = nonzeros.select(*index_columns(num_modes), "val").mapInArrow(
+            pack_chunks(num_modes, chunk_nnz), chunk_schema(num_modes)
         )
-        return cls(df, tensor.mode_sizes)
+        return cls(df, tuple(mode_sizes))
 
     @classmethod
     def spread(cls, tensor: SparseTensor) -> PackedTensor:

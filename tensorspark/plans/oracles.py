@@ -424,6 +424,7 @@ ORACLES: dict[str, str] = {
     "morton_roundtrip": _T3,
     "morton_64bit": _morton_64(),
     "mttkrp_morton": _mttkrp_all(SUPPLY, 3, 4),
+    "mttkrp_streamed": _mttkrp_all(SUPPLY, 3, 4),
     "tns_lines": f"""SELECT concat_ws(' ', i0 + 1, i1 + 1, i2 + 1, CAST(val AS BIGINT)) AS line
       FROM ({_summed(SUPPLY, 3)})""",
     "tns_parse": f"""SELECT CAST(i0 AS BIGINT) AS i0, CAST(i1 AS BIGINT) AS i1,

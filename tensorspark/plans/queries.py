@@ -34,9 +34,10 @@ from tensorspark.operators.cpals import CpOptions, cpals
 from tensorspark.operators.keyed import KeyChunks
 from tensorspark.session import scratch_path
 from tensorspark.sources import factor_files
-from tensorspark.sources.dnb import read_dnb, write_dnb
+from tensorspark.sources.dnb import append_frame, read_dnb, write_dnb, write_frame
 from tensorspark.sources.reader import read_tensor
 from tensorspark.sources.tns import format_lines, parse_lines, read_tns, write_tns
+from tensorspark.streaming.chunks import StreamedSums
 from tensorspark.tensor import SparseTensor, morton_stored, tensor_frame, write_by_key
 
 RANK = 4
@@ -641,6 +642,18 @@ def dnb_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_dnb(spark, path).df
 
 
+def mttkrp_streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All modes from a stream of chunks; the second run reads what came after the first."""
+    path, folder = _uri(spark, "streamed") + ".dnb", _uri(spark, "streamed-sums")
+    t = supply(spark, sf_dir)
+    later = F.col("i2") % 3 == 0
+    write_frame(t.df.where(~later), t.num_modes, path, t.mode_sizes)
+    sums = StreamedSums(path, _arrays(t, RANK), RANK, folder)
+    sums.run(spark, chunk_nnz=20_000)
+    append_frame(t.df.where(later), t.num_modes, path)
+    return sums.run(spark, chunk_nnz=7_000)
+
+
 def saved_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "saved")
     supply(spark, sf_dir, combine=True).save(path)
@@ -720,6 +733,7 @@ QUERIES: dict[str, Query] = {
     "factor_text_roundtrip": factor_text_roundtrip,
     "lambda_roundtrip": lambda_roundtrip,
     "dnb_roundtrip": dnb_roundtrip,
+    "mttkrp_streamed": mttkrp_streamed,
     "saved_roundtrip": saved_roundtrip,
     "packed_roundtrip": packed_roundtrip,
 }

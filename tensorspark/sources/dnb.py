@@ -105,7 +105,7 @@ def dnb_schema(mode_sizes: Sequence[int]) -> str:
 
 
 @dataclass
-class _Chunk(InputPartition):
+class Chunk(InputPartition):
     path: str
     first: int
     count: int
@@ -119,7 +119,7 @@ class _Reader(DataSourceReader):
     def partitions(self) -> Sequence[InputPartition]:
         parts, _ = read_parts(self.path)
         return [
-            _Chunk(path, first, min(self.chunk_nnz, nnz - first))
+            Chunk(path, first, min(self.chunk_nnz, nnz - first))
             for path, nnz in parts
             for first in range(0, nnz, self.chunk_nnz)
         ]
@@ -268,6 +268,12 @@ def write_frame(df: DataFrame, num_modes: int, path: str, sizes: Sequence[int] |
     writer.save(path)
 
 
+def append_frame(df: DataFrame, num_modes: int, path: str) -> None:
+    """Add nonzero rows to a folder, as parts after those it has."""
+    register(df.sparkSession)
+    df.select(*index_columns(num_modes), "val").write.format("dnb").mode("append").save(path)
+
+
 def write_dnb(tensor: SparseTensor, path: str) -> None:
     """Write a folder of part files in parallel; values become f32."""
     write_frame(tensor.df, tensor.num_modes, path, tensor.mode_sizes)

@@ -37,6 +37,11 @@ def names(filesystem: pafs.FileSystem, folder: str) -> list[str]:
     return sorted(f.base_name for f in found if f.type == pafs.FileType.File)
 
 
+def folders(filesystem: pafs.FileSystem, folder: str) -> list[str]:
+    found = filesystem.get_file_info(pafs.FileSelector(folder, allow_not_found=True))
+    return sorted(f.base_name for f in found if f.type == pafs.FileType.Directory)
+
+
 def is_folder(filesystem: pafs.FileSystem, path: str) -> bool:
     return filesystem.get_file_info(path).type == pafs.FileType.Directory
 

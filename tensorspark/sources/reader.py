@@ -8,6 +8,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from tensorspark.sources.dnb import read_dnb
+from tensorspark.sources.dnp import read_dnp
 from tensorspark.sources.tns import read_tns
 from tensorspark.tensor import SparseTensor
 
@@ -19,7 +20,7 @@ def read_tensor(
     cache: bool = False,
     chunk_nnz: int | None = None,
 ) -> SparseTensor:
-    """Read ``.tns`` text, ``.dnb`` binary or a saved tensor folder.
+    """Read ``.tns`` text, ``.dnb`` binary, a ``.dnp`` state or a saved tensor folder.
 
     With ``cache=True`` text is read through ``<path>.cache``, a saved tensor that is used
     while the text files are those it was made from, and written after a parse.  It holds
@@ -28,6 +29,8 @@ def read_tensor(
     format = format or _guess(spark, path)
     if format == "dnb":
         return read_dnb(spark, path, chunk_nnz)
+    if format == "dnp":
+        return read_dnp(spark, path, chunk_nnz)
     if format == "saved":
         return SparseTensor.load(spark, path)
     if format != "tns":
@@ -60,6 +63,8 @@ def _guess(spark: SparkSession, path: str) -> str:
     plain = path.rstrip("/")
     if plain.endswith(".dnb"):
         return "dnb"
+    if plain.endswith(".dnp"):
+        return "dnp"
     try:
         spark.read.text(f"{plain}/meta").first()
         return "saved"
