@@ -10,12 +10,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tensorspark.llm.common import BROADCAST_BYTES
+from tensorspark.llm.common import BROADCAST_BYTES, through_files
 
 #: A line on more than this percentage of a host's pages is boilerplate ...
 PERCENT = 30
-#: ... if it is on this many pages at least; on smaller hosts no share is meaningful.
-PAGES = 3
+#: ... if more than one page has it.
+PAGES = 2
 
 _HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)"
 
@@ -41,16 +41,19 @@ def drop_site_lines(
     """page_id, site, n_lines, n_dropped, text (the lines that stay) for each row of ``pages``.
 
     A row counts as one page, also one repeated or without page_id; a line counts once for
-    each page.  A page without lines has empty text and counts for its site.  Other columns
-    are ignored; an empty table gives no rows.  Lines are told apart by 128-bit hashes.
+    each page.  A page without lines has empty text and counts for its site.  A page without
+    site (null or empty) is a site of its own and keeps its lines.  Other columns are
+    ignored; an empty table gives no rows.  Lines are told apart by 128-bit hashes.
     """
     base = pages.select(pages["page_id"].alias("page_id"), site.alias("site"), lines.alias("lines"))
     marks = F.explode(F.transform(F.array_distinct("lines"), _mark)).alias("mark")
-    on_pages = base.select("site", marks).groupBy("site", "mark").agg(F.count(F.lit(1)).alias("n"))
-    totals = base.groupBy("site").agg(F.count(F.lit(1)).alias("pages"))
+    own = base.where(F.col("site") != "")
+    on_pages = own.select("site", marks).groupBy("site", "mark").agg(F.count(F.lit(1)).alias("n"))
+    totals = own.groupBy("site").agg(F.count(F.lit(1)).alias("pages"))
     common = on_pages.where(F.col("n") >= least).join(totals, "site")
     common = common.where(F.col("n") * 100 > F.col("pages") * percent)
     dropped = common.groupBy("site").agg(F.collect_list("mark").alias("marks"))
+    dropped = through_files(dropped, "site-lines")
     bytes_ = dropped.agg(F.sum(64 + 40 * F.size("marks"))).first()[0] or 0
     joined = base.join(F.broadcast(dropped) if bytes_ <= BROADCAST_BYTES else dropped, "site", "left")
     kept = F.when(F.col("marks").isNull(), F.col("lines")).otherwise(
@@ -83,7 +86,7 @@ WITH base AS (
     SELECT page, site, unnest(lines) AS line, generate_subscripts(lines, 1) AS place FROM base
 ), common AS (
     SELECT site, line
-    FROM (SELECT site, line, count(DISTINCT page) AS n FROM found GROUP BY ALL)
+    FROM (SELECT site, line, count(DISTINCT page) AS n FROM found WHERE site <> '' GROUP BY ALL)
     JOIN (SELECT site, count(*) AS pages FROM base GROUP BY ALL) USING (site)
     WHERE n >= {PAGES} AND n * 100 > pages * {PERCENT}
 ), kept AS (

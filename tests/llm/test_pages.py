@@ -112,3 +112,21 @@ def test_site_lines(make):
     assert got == sorted(want)
     empty = pages.limit(0)
     assert site_lines.drop_site_lines(empty, site_lines.host(empty.url), site_lines.html_lines(empty.html)).count() == 0
+
+
+@pytest.mark.parametrize("limit", [site_lines.BROADCAST_BYTES, 0])
+def test_lines_of_small_sites_and_pages_without_site(make, monkeypatch, limit):
+    monkeypatch.setattr(site_lines, "BROADCAST_BYTES", limit)
+    long = "<p>".join(f"word {k}" for k in range(20_000))
+    rows = [(1, "http://two.example/a", "<p>menu<p>one"), (2, "http://two.example/b", "<p>menu<p>two")]
+    rows += [(3, "http://one.example/", "<p>menu"), (4, None, "<p>menu"), (5, "nowhere", "<p>menu"), (6, "", "<p>menu")]
+    rows += [(7, "http://big.example/", f"<p>menu<p>{long}"), (8, "http://big.example/", "<p>menu<p>word 7")]
+    rows += [(9, "http://three.example/", "<p>a<p>b"), (10, "http://three.example/", "<p>a"), (11, "http://three.example/", "<p>c")]
+    pages = make("page_id long, url string, html string", rows)
+    out = site_lines.drop_site_lines(pages, site_lines.host(pages.url), site_lines.html_lines(pages.html))
+    got = {r.page_id: (r.n_dropped, r.text) for r in out.collect()}
+    assert got[1] == (1, "one") and got[2] == (1, "two")  # on both pages of the host
+    assert [got[k] for k in (3, 4, 5, 6)] == [(0, "menu")] * 4
+    assert got[7][0] == 2 and got[7][1].startswith("word 0\nword 1\n") and "word 7\n" not in got[7][1]
+    assert got[8] == (2, "")
+    assert (got[9], got[10], got[11]) == ((1, "b"), (1, ""), (0, "c"))
