@@ -36,8 +36,9 @@ ROUNDS = 3
 SMOOTHING = 0.1
 #: Probability, in every language, of a character that is no piece of its own.
 UNSEEN = 1e-8
-#: Longer words are cut; keeps products above the smallest double.
-LONGEST = 30
+#: Characters of a word, with its mark, up to which products stay above the smallest double;
+#: longer words are summed in logarithms, one by one.
+PLAIN = 36
 #: Words whose probabilities a task keeps.
 KEPT = 150_000
 #: The pipeline rejects a text whose best language has a lower posterior ...
@@ -58,7 +59,11 @@ _SLOTS = 18
 
 
 def words_of(text: str) -> list[str]:
-    return _WORD.findall(text.lower())
+    """Runs of letters (category L alone: no numerals, which a word pattern lets through)."""
+    found = _WORD.findall(text.lower())
+    if all(map(str.isalpha, found)):
+        return found
+    return "".join([c if c.isalpha() else " " for c in " ".join(found)]).split()
 
 
 class Pieces:
@@ -71,7 +76,7 @@ class Pieces:
             for i in range(model.get_piece_size())
             if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i))
         ]
-        self.names = sorted({p for p in normal if len(p) <= LONGEST})
+        self.names = sorted(set(normal))
         self.longest = max(map(len, self.names))
         self.hashes = np.array([self.hash(p) for p in self.names], np.uint64)
         self.table = np.full(1 << _SLOTS, -1, np.int32)
@@ -109,6 +114,27 @@ class Pieces:
         at = np.flatnonzero(ids >= 0)
         return at, ids[at]
 
+    def lattice(self, word: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """From, to and id of all pieces of one word, in order of their ends."""
+        size = len(word)
+        sums, total = np.zeros(size + 1, np.uint64), 0
+        for i, c in enumerate(word):
+            total = (total * int(_BASE) + ord(c)) % 2**64
+            sums[i + 1] = total
+        begins, ends, ids, power = [], [], [], 1
+        for length in range(1, min(self.longest, size) + 1):
+            power = power * int(_BASE) % 2**64
+            at, found = self.find(sums[length:] - sums[:-length] * np.uint64(power))
+            if length == 1:
+                every = np.full(size, -1, np.int32)
+                every[at] = found
+                at, found = np.arange(size), every
+            begins.append(at)
+            ends.append(at + length)
+            ids.append(found)
+        order = np.argsort(np.concatenate(ends), kind="stable")
+        return tuple(np.concatenate(x)[order] for x in (begins, ends, ids))
+
     def edges(self, words: list[str]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         """Pieces inside words of one length: from, to, which words, and the pieces' ids.
 
@@ -133,16 +159,12 @@ class Pieces:
                     yield begin, end, at, ids
 
 
-def _lattice_words(word: str) -> list[str]:
-    """The word with its mark, cut where it is too long."""
-    marked = _MARK + word
-    return [marked[i : i + LONGEST] for i in range(0, len(marked), LONGEST)]
-
-
 def _by_length(words: list[str]) -> Iterator[list[int]]:
+    """Places of words of one length each, without those above ``PLAIN``."""
     groups: dict[int, list[int]] = {}
     for k, word in enumerate(words):
-        groups.setdefault(len(word), []).append(k)
+        if len(word) <= PLAIN:
+            groups.setdefault(len(word), []).append(k)
     for own in groups.values():
         for a in range(0, len(own), 20_000):
             yield own[a : a + 20_000]
@@ -163,28 +185,34 @@ class Model:
 
     def log_probability(self, words: list[str]) -> np.ndarray:
         """Logarithms of the words' probabilities, a column for each language."""
-        cut = [_lattice_words(w) for w in words]
-        parts = list(chain.from_iterable(cut))
-        out = np.zeros((len(parts), len(self.languages)))
-        for own in _by_length(parts):
-            group = [parts[k] for k in own]
+        marked = [_MARK + w for w in words]
+        out = np.zeros((len(words), len(self.languages)))
+        for own in _by_length(marked):
+            group = [marked[k] for k in own]
             forward = np.zeros((len(group[0]) + 1, len(group), len(self.languages)))
             forward[0] = 1
             for begin, end, at, ids in self.pieces.edges(group):
                 forward[end, at] += forward[begin, at] * self.table[ids]
             out[own] = np.log(forward[-1])
-        first = np.cumsum([0] + [len(c) for c in cut[:-1]])
-        return np.add.reduceat(out, first, axis=0) if len(words) else out
+        table = np.log(self.table)
+        for k, word in enumerate(marked):
+            if len(word) > PLAIN:
+                begin, end, ids = self.pieces.lattice(word)
+                out[k] = _log_sums(begin, end, table[ids], len(word))[-1]
+        return out
 
     def expected(self, words: list[str], language: np.ndarray, n: np.ndarray) -> np.ndarray:
         """Expected counts of pieces in words with a language and a frequency each."""
-        cut = [_lattice_words(w) for w in words]
-        parts = list(chain.from_iterable(cut))
-        repeat = [len(c) for c in cut]
-        language, n = np.repeat(language, repeat), np.repeat(n, repeat)
+        marked = [_MARK + w for w in words]
         counts = np.zeros(self.table.size)
-        for own in _by_length(parts):
-            group, lang = [parts[k] for k in own], language[own]
+
+        def add(ids: np.ndarray, lang: np.ndarray, share: np.ndarray) -> None:
+            nonlocal counts
+            place = np.where(ids < 0, len(self.table) - 1, ids) * len(self.languages) + lang
+            counts += np.bincount(place, share, minlength=len(counts))
+
+        for own in _by_length(marked):
+            group, lang = [marked[k] for k in own], language[own]
             edges = list(self.pieces.edges(group))
             forward = np.zeros((len(group[0]) + 1, len(group)))
             backward = np.zeros_like(forward)
@@ -196,11 +224,33 @@ class Model:
             weight = n[own] / forward[-1]
             for begin, end, at, ids in edges:
                 share = forward[begin, at] * self.table[ids, lang[at]] * backward[end, at] * weight[at]
-                place = np.where(ids < 0, len(self.table) - 1, ids) * len(self.languages) + lang[at]
-                counts += np.bincount(place, share, minlength=len(counts))
+                add(ids, lang[at], share)
+        for k, word in enumerate(marked):
+            if len(word) > PLAIN:
+                begin, end, ids = self.pieces.lattice(word)
+                step = np.log(self.table[ids, language[k]])[:, None]
+                ahead = _log_sums(begin, end, step, len(word))[:, 0]
+                # Backwards is forwards along the word turned round.
+                turn = np.argsort(-begin, kind="stable")
+                last = len(word)
+                behind = _log_sums(last - end[turn], last - begin[turn], step[turn], last)[::-1, 0]
+                share = np.exp(ahead[begin] + step[:, 0] + behind[end] - ahead[-1]) * n[k]
+                add(ids, np.full(len(ids), language[k]), share)
         return counts.reshape(self.table.shape)
 
 
+def _log_sums(begin: np.ndarray, end: np.ndarray, steps: np.ndarray, size: int) -> np.ndarray:
+    """Logarithm of the sum over all ways to each place; edges are in order of their ends."""
+    out = np.zeros((size + 1, steps.shape[1]))
+    cuts = np.searchsorted(end, np.arange(1, size + 2)).tolist()
+    for place in range(1, size + 1):
+        own = slice(cuts[place - 1], cuts[place])
+        ways = out[begin[own]] + steps[own]
+        most = ways.max(axis=0)
+        out[place] = most + np.log(np.exp(ways - most).sum(axis=0))
+    return out
+
+
 def _normalized(counts: np.ndarray) -> np.ndarray:
     table = counts[:-1] + SMOOTHING
     table = table / table.sum(axis=0)
@@ -414,7 +464,8 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     """For each row of ``docs``: doc_id, held_out, lang_pred, score.
 
     ``score`` is the posterior of the best language under equal priors.  ``und`` with score
-    0 where the text is null or has no letter, or where no language could be learnt.  A null
+    0 where the text is null or has no letter, or where no language could be learnt.  Of
+    equally probable languages the first in the order of their names is predicted.  A null
     doc_id isn't held out (and never learnt from); repeated rows and ids do no harm; other
     columns are ignored; an empty table gives no rows.
     """
@@ -433,17 +484,22 @@ def drop_unknown(docs: DataFrame, model: Model, least: float = LEAST_SCORE) -> D
     """The rows of ``docs`` whose language is known, with all their columns.
 
     The best language's posterior must be ``least``, and its characters must be about as
-    probable as those of labelled rows of that language; see ``LOW_SHARE``.  Without a learnt language, only texts without letters are unknown.
+    probable as those of labelled rows of that language; see ``LOW_SHARE``.  Null and empty
+    texts, and texts without letters, are unknown; without a learnt language nothing else is.
+    Repeated rows go the same way; of equally probable languages the first in order counts.
+    An empty table stays empty.
     """
     if not model.languages:
         return docs.where(F.coalesce(docs["text"].rlike(r"\p{L}"), F.lit(False)))
 
     @F.arrow_udf("boolean")
-    def known(column: pa.Array) -> pa.Array:
-        scorer = Scorer(_with_equal_pieces(model))
-        batch = pa.RecordBatch.from_arrays([column], ["text"])
-        found = [_known(scorer, b.column("text").to_pylist(), least) for b in blocks(iter([batch]))]
-        return pa.array(np.concatenate([np.zeros(0, bool), *found]))
+    def known(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        scorer = Scorer(_with_equal_pieces(model))  # for the whole task: it remembers words
+        for column in columns:
+            batch = pa.RecordBatch.from_arrays([column], ["text"])
+            parts = blocks(iter([batch]))
+            found = [_known(scorer, b.column("text").to_pylist(), least) for b in parts]
+            yield pa.array(np.concatenate([np.zeros(0, bool), *found]))
 
     return docs.where(known(docs["text"]))
 

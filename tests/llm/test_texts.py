@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import hashlib
 import random
+import re
+from decimal import Decimal
 
 import numpy as np
 import pytest
@@ -218,6 +220,81 @@ def test_forward_sums_all_segmentations():
     assert (length @ counts) == pytest.approx([8, 12])
 
 
+def all_ways(pieces, word):
+    """Segmentations, as tuples of pieces; a character that is no piece stands for itself."""
+    if not word:
+        return [()]
+    sizes = [k for k in range(1, len(word) + 1) if word[:k] in pieces or k == 1]
+    return [(word[:k], *rest) for k in sizes for rest in all_ways(pieces, word[k:])]
+
+
+@pytest.fixture(scope="module")
+def two_languages():
+    pieces = langid.Pieces()
+    table = langid._normalized(np.random.default_rng(1).random((len(pieces.names) + 1, 2)))
+    return langid.Model(["x", "y"], pieces, table), {p: i for i, p in enumerate(pieces.names)}
+
+
+@pytest.mark.parametrize("plain", [langid.PLAIN, 3])
+def test_expected_counts_are_posteriors(two_languages, monkeypatch, plain):
+    monkeypatch.setattr(langid, "PLAIN", plain)
+    model, number = two_languages
+    words, n = ["there", "日x語", "sets", "there"], [2, 3, 1, 4]
+    lang = np.array([0, 1, 0, 1])
+    want = np.zeros(model.table.shape)
+    for word, k, times in zip(words, lang, n):
+        ways = all_ways(number, langid._MARK + word)
+        each = [np.prod([model.table[number.get(p, -1), k] for p in way]) for way in ways]
+        for way, share in zip(ways, each):
+            for p in way:
+                want[number.get(p, -1), k] += times * share / sum(each)
+        assert model.log_probability([word])[0, k] == pytest.approx(np.log(sum(each)), rel=1e-12)
+    assert np.allclose(model.expected(words, lang, np.array(n)), want, rtol=1e-9, atol=1e-12)
+
+
+def test_long_words_sum_all_segmentations(two_languages):
+    """Words of 60 and 3,000 letters, not cut: sums over places that can't underflow."""
+    model, number = two_languages
+    rng = np.random.default_rng(2)
+    for size in (60, 3000):
+        word = "".join(rng.choice(list("thesinga日"), size))
+        marked = langid._MARK + word
+        ways = [Decimal(1)]
+        for end in range(1, len(marked) + 1):
+            total = Decimal(0)
+            for begin in range(max(0, end - model.pieces.longest), end):
+                p = marked[begin:end]
+                if p in number or end - begin == 1:
+                    total += ways[begin] * Decimal(float(model.table[number.get(p, -1), 1]))
+            ways.append(total)
+        assert model.log_probability([word])[0, 1] == pytest.approx(float(ways[-1].ln()), rel=1e-9)
+        counts = model.expected([word], np.array([1]), np.array([2]))
+        length = np.array([*map(len, model.pieces.names), 1])
+        assert (length @ counts)[1] == pytest.approx(2 * len(marked), rel=1e-6)
+
+
+def test_predictions_are_sums_of_words(two_languages):
+    model, _ = two_languages
+    texts = ["The cat, the dog!", None, "5² = 25", "½ ¼", "①②③", "Ⅷ", "x" * 100, "cat dog"]
+    names, scores = langid.Scorer(model).predict(texts)
+    for text, name, score in zip(texts, names, scores):
+        words = re.findall("[^\\W\\d_]+", (text or "").lower())
+        if not any(c.isalpha() for c in text or ""):
+            assert (name, score) == ("und", 0)
+            continue
+        total = sum(model.log_probability([w])[0] for w in words)
+        assert name == model.languages[int(np.argmax(total))]
+        odds = np.exp(total - total.max())
+        assert score == pytest.approx(1 / odds.sum(), abs=1e-6)
+    assert langid.words_of("a²b Ⅷx 5y") == ["a", "b", "x", "y"]
+
+
+def test_ties_go_to_the_first_language(two_languages):
+    model, _ = two_languages
+    same = langid.Model(["x", "y"], model.pieces, np.repeat(model.table[:, :1], 2, axis=1))
+    assert langid.Scorer(same).predict(["the cat"])[0] == ["x"]
+
+
 def test_language_of_the_table(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     found = langid.query(spark, sf_dir).join(docs.select("doc_id", "lang"), "doc_id").toPandas()
