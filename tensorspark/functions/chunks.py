@@ -1,4 +1,4 @@
-"""Nonzeros packed into binary chunk rows, and the NumPy arithmetic on one chunk.
+"""Nonzeros packed into binary chunk rows, and rows of their partial sums.
 
 A chunk row is ``[n INT, i0 BINARY .. i{N-1} BINARY, val BINARY]``: the index and value
 columns of up to ``chunk_nnz`` nonzeros as raw little-endian buffers.  Iterative work
@@ -19,9 +19,6 @@ from tensorspark.tensor import index_columns
 INDEX_DTYPE = np.dtype("<u4")
 VALUE_DTYPE = np.dtype("<f8")
 
-# Bytes of one gathered product block: small enough to stay in a core's cache.
-_BLOCK_BYTES = 256 << 10
-
 
 def chunk_schema(num_modes: int, with_cell: bool = False) -> str:
     head = "cell bigint, n int" if with_cell else "n int"
@@ -88,42 +85,6 @@ def unpack(
     )
 
 
-def _segment_sums(keys: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sum ``rows`` over runs of equal (sorted) ``keys``."""
-    starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-    return keys[starts], np.add.reduceat(rows, starts, axis=0)
-
-
-def mode_partials(
-    idx: Sequence[np.ndarray],
-    val: np.ndarray,
-    tables: Sequence[np.ndarray | None],
-    n: int,
-    rank: int,
-    at: Sequence[np.ndarray] | None = None,
-) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Mode-``n`` MTTKRP of one chunk as ``(row ids, sums)`` pieces, ids unique per piece.
-
-    ``at[w]`` gives the row of ``tables[w]`` for each nonzero; by default its index.
-    Nonzeros are visited in mode-``n`` order, so equal rows meet in one piece, and in
-    blocks whose products stay in cache and reuse two buffers.
-    """
-    order = np.argsort(idx[n])
-    keys, scale = idx[n][order], val[order][:, None]
-    others = [
-        (tables[w], (at or idx)[w][order].astype(np.intp)) for w in range(len(idx)) if w != n
-    ]
-    step = max(256, _BLOCK_BYTES // (8 * rank))
-    product, rows = np.empty((step, rank)), np.empty((step, rank))
-    for lo in range(0, len(val), step):
-        hi = min(lo + step, len(val))
-        p, q = product[: hi - lo], rows[: hi - lo]
-        for k, (table, pos) in enumerate(others):
-            np.take(table, pos[lo:hi], axis=0, out=p if k == 0 else q, mode="clip")
-            p *= scale[lo:hi] if k == 0 else q
-        yield _segment_sums(keys[lo:hi], p)
-
-
 def partial_batch(mode: int, i: np.ndarray, sums: np.ndarray) -> pa.RecordBatch:
     columns = np.ascontiguousarray(sums.T)
     return pa.RecordBatch.from_arrays(

@@ -19,7 +19,7 @@ as many salts as its share of the demand asks for.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import reduce
 
 import numpy as np
@@ -30,7 +30,6 @@ from pyspark.sql import functions as F
 
 from tensorspark.functions.chunks import (
     chunk_schema,
-    mode_partials,
     pack_chunks,
     partial_batch,
     partial_schema,
@@ -38,6 +37,7 @@ from tensorspark.functions.chunks import (
 )
 from tensorspark.functions.factors import factor_bytes, factor_columns, matrix_of, to_dense
 from tensorspark.functions.morton import KEY_BITS, MortonPlan
+from tensorspark.functions.products import add_products
 from tensorspark.plans.strategy import BROADCAST_BYTES
 from tensorspark.session import materialize, materialize_partitioned, parallelism
 from tensorspark.tensor import SparseTensor
@@ -95,9 +95,15 @@ class Demand:
 @dataclass(frozen=True)
 class BlockedTensor:
     cells: DataFrame  # [cell, n, i0 .. val]: chunk rows, hash-partitioned by cell
-    demand: tuple[Demand, ...]
     mode_sizes: tuple[int, ...]
     parts: int
+    built: dict[int, Demand] = field(default_factory=dict)
+
+    def demand(self, n: int) -> Demand:
+        """Which cells need which rows of factor ``n``; laid out when first asked for."""
+        if n not in self.built:
+            self.built[n] = Demand.build(_demand(self.cells, n), self.parts)
+        return self.built[n]
 
     @classmethod
     def build(
@@ -122,8 +128,7 @@ class BlockedTensor:
         cells = materialize_partitioned(
             packed.repartition(parts, "cell").sortWithinPartitions("cell")
         )
-        demand = tuple(Demand.build(_demand(cells, n), parts) for n in range(num_modes))
-        return cls(cells, demand, tensor.mode_sizes, parts)
+        return cls(cells, tensor.mode_sizes, parts)
 
 
 def _curve_order(tensor: SparseTensor, parts: int) -> DataFrame:
@@ -183,14 +188,17 @@ def _cell_kernel(num_modes: int, modes: Sequence[int], rank: int, shared: Broadc
                 pick = np.flatnonzero(which == w)
                 pick = pick[np.argsort(ids[pick])]
                 keys = ids[pick]
-                # A row absent from a factor is zero: it points to the extra last row.
-                tables.append(np.vstack([values[pick], np.zeros((1, rank))]))
+                # A row absent from a factor is zero: it points to the extra last place.
+                tables.append(np.hstack([values[pick].T, np.zeros((rank, 1))]))
                 pos = np.searchsorted(keys, idx[w])
                 hit = np.append(keys, -1)[pos] == idx[w]
                 at.append(np.where(hit, pos, len(keys)))
+            ids, to, sums = {}, {}, {}
             for n in modes:
-                for i, sums in mode_partials(idx, val, tables, n, rank, at):
-                    out.append(partial_batch(n, i, sums))
+                ids[n], to[n] = np.unique(idx[n], return_inverse=True)
+                sums[n] = np.zeros((rank, len(ids[n])))
+            add_products(at, val, tables, sums, to)
+            out += [partial_batch(n, ids[n], sums[n].T) for n in modes]
         return pa.Table.from_batches(out)
 
     return run
@@ -206,14 +214,16 @@ def _run(
     num_modes = len(blocked.mode_sizes)
     needed = [w for w in range(num_modes) if len(modes) > 1 or w != modes[0]]
     small, large = _split_modes(blocked.mode_sizes, needed, rank, broadcast_bytes)
-    dense = {w: to_dense(factors[w], blocked.mode_sizes[w], rank) for w in small}
+    dense = {
+        w: np.ascontiguousarray(to_dense(factors[w], blocked.mode_sizes[w], rank).T) for w in small
+    }
     shared = blocked.cells.sparkSession.sparkContext.broadcast(dense)
     kernel = _cell_kernel(num_modes, modes, rank, shared)
     if large:
         slices = reduce(
             DataFrame.unionAll,
             [
-                blocked.demand[w]
+                blocked.demand(w)
                 .rows_of(factors[w], rank)
                 .select("cell", F.lit(w).alias("w"), "i", *factor_columns(rank))
                 for w in large

@@ -140,7 +140,7 @@ def test_cells_are_bounded_and_cover_everything(spark):
     assert max(sizes) <= 100
     assert sum(sizes) == t.combined().nnz
     demand = [
-        d.rows.groupBy("cell", "i").count().agg(F.max("count")).first()[0] for d in blocked.demand
+        d.rows.groupBy("cell", "i").count().agg(F.max("count")).first()[0] for d in map(blocked.demand, range(3))
     ]
     assert demand == [1, 1, 1]
     factors = integer_factors(spark, t.mode_sizes, 2)
@@ -160,7 +160,7 @@ def test_demand_does_not_grow_with_declared_sizes(spark):
     for tensor, bits in zip(wide, (21, 24)):
         sized = SparseTensor.from_frame(tensor.df, (1 << bits,) * 3)
         blocked = BlockedTensor.build(sized, 2, cell_nnz=500)
-        rows.append(sum(d.rows.count() for d in blocked.demand))
+        rows.append(sum(d.rows.count() for d in map(blocked.demand, range(3))))
     assert rows[1] <= rows[0] * 1.05
 
 
@@ -175,7 +175,7 @@ def test_hot_demand_is_dealt_over_partitions(spark):
     )
     t = SparseTensor.from_frame(df)
     blocked = BlockedTensor.build(t, 2, cell_nnz=64)
-    rows = blocked.demand[2].rows
+    rows = blocked.demand(2).rows
     parts = [r["count"] for r in rows.groupBy(F.spark_partition_id()).count().collect()]
     assert rows.select("salt").distinct().count() >= blocked.parts
     assert max(parts) <= 2 * (sum(parts) / blocked.parts) + 64
