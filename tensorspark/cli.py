@@ -121,8 +121,10 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -
     )
     _print_plan(tensor, args)
     if args.layout == "morton":
-        # Stored by key, in key order, and decoded as it is read.  Only whole passes use it.
-        tensor, args.all_modes, args.cp_kernel = morton_stored(tensor), True, "jacobi"
+        # Only whole passes use keys: all modes at once, and the kernel that sweeps so.
+        args.all_modes, args.cp_kernel = True, "jacobi"
+        if not args.decompose:
+            tensor = morton_stored(tensor)
     if args.save_processed:
         try:
             tensor.save(args.save_processed)
@@ -141,7 +143,9 @@ def _print_plan(tensor: SparseTensor, args: argparse.Namespace) -> None:
     for n, size in enumerate(tensor.mode_sizes):
         length = tensor.nnz / size
         print(f"[plan] mode {n}: {size} rows, {length:.2f} nonzeros a row")
-    if args.layout in ("pingpong", "ncopy", "inplace"):
+    if args.layout == "ncopy":
+        print("[plan] decompositions keep a copy for each mode, bucketed by its index")
+    if args.layout in ("pingpong", "inplace"):
         print(f"[plan] layout {args.layout} has no counterpart here; Spark places the nonzeros")
 
 

@@ -93,6 +93,11 @@ class BucketedCopy:
         """The buckets as chunks; every index of the mode lies in one partition."""
         return PackedTensor.of(self.tensor.with_frame(self.cold))
 
+    def packed_whole(self) -> PackedTensor:
+        """All nonzeros as chunks: only hot indices lie in several partitions."""
+        rows = self.cold if self.hot is None else self.cold.unionByName(self.hot)
+        return PackedTensor.of(self.tensor.with_frame(rows))
+
     def drop(self) -> None:
         """Forgets the table; its files stay in the shared folder."""
         self.cold.sparkSession.sql(f"DROP TABLE IF EXISTS {self.table}")

@@ -14,6 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
@@ -127,13 +128,11 @@ class KeyChunks:
         buffers = F.octet_length("steps") + F.octet_length("val") + 16
         return self.df.agg(F.sum("n").alias("nnz"), F.sum(buffers).alias("bytes"))
 
-    def mttkrp_all(
-        self, factors: Sequence[Factor], rank: int, modes: Sequence[int] | None = None
-    ) -> DataFrame:
-        """``[mode, i, y0 ..]`` of all modes, or of ``modes``, from one pass over the keys."""
-        sizes, tables = self.mode_sizes, KeyTables(self.plan)
-        modes = list(range(len(sizes)) if modes is None else modes)
-        shared = share_factors(self, factors, modes, rank)
+    def unpersist(self) -> None:
+        self.df.unpersist()
+
+    def partials(self, shared: Broadcast, modes: Sequence[int], rank: int) -> DataFrame:
+        sizes, tables, modes = self.mode_sizes, KeyTables(self.plan), list(modes)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             out = TaskSums(sizes, rank, modes)
@@ -144,4 +143,12 @@ class KeyChunks:
                     yield from out.add(tables.indices(keys), val, shared.value)
             yield from out.finish()
 
-        return final_sums(self.df.mapInArrow(run, PIECES), rank)
+        return self.df.mapInArrow(run, PIECES)
+
+    def mttkrp_all(
+        self, factors: Sequence[Factor], rank: int, modes: Sequence[int] | None = None
+    ) -> DataFrame:
+        """``[mode, i, y0 ..]`` of all modes, or of ``modes``, from one pass over the keys."""
+        modes = list(range(len(self.mode_sizes)) if modes is None else modes)
+        shared = share_factors(self, factors, modes, rank)
+        return final_sums(self.partials(shared, modes, rank), rank)

@@ -55,6 +55,9 @@ class Stored(Protocol):
     df: DataFrame
     mode_sizes: tuple[int, ...]
 
+    def partials(self, shared: Broadcast, modes: Sequence[int], rank: int) -> DataFrame:
+        """Each task's sums as pieces."""
+
 
 
 # ---- packed tensors ----------------------------------------------------------
@@ -104,6 +107,9 @@ class PackedTensor:
     def unpersist(self) -> None:
         self.df.unpersist()
 
+    def partials(self, shared: Broadcast, modes: Sequence[int], rank: int) -> DataFrame:
+        return arrow_partials(self, shared, modes, rank)
+
     def unpacked(self) -> DataFrame:
         """Back to nonzero rows."""
         num_modes = len(self.mode_sizes)

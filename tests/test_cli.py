@@ -93,7 +93,7 @@ def test_layouts(spark, capsys):
         spark, TINY, "--no-cache", "--layout", "morton", "--decompose", "cpals", "--rank", 1,
         "--cp-iters", 2,
     ) == 0
-    assert run(spark, TINY, "--no-cache", "--rank", 2, "--layout", "ncopy") == 0
+    assert run(spark, TINY, "--no-cache", "--rank", 2, "--layout", "inplace") == 0
     assert "no counterpart" in capsys.readouterr().out
 
 

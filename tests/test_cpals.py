@@ -257,3 +257,19 @@ def test_gram_by_mode(spark):
     for r, s, g in linalg.hadamard_by_mode(grams, [0, 1]).collect():
         got[r, s] = g
     assert (got == (mats[0].T @ mats[0]) * (mats[1].T @ mats[1])).all()
+
+
+@pytest.mark.parametrize("kernel", ["gauss-seidel", "jacobi"])
+def test_layouts_give_the_same_fit(spark, kernel):
+    rng = np.random.default_rng(8)
+    idx = rng.integers(0, (30, 12, 5), (2000, 3))
+    idx[:700, 0] = 3  # a third of the nonzeros
+    rows = [(*map(int, i), float(v)) for i, v in zip(idx, rng.integers(1, 5, 2000))]
+    t = SparseTensor.from_frame(spark.createDataFrame(rows, "i0 long, i1 long, i2 long, val double"))
+    fits = {}
+    for layout in ("auto", "ncopy", "morton"):
+        opt = CpOptions(rank=3, max_iters=4, tol=0.0, kernel=kernel, layout=layout)
+        fits[layout] = cpals(t, opt).fit_history
+    assert np.allclose(fits["auto"], fits["ncopy"], rtol=1e-9)
+    assert np.allclose(fits["auto"], fits["morton"], rtol=1e-9)
+    assert not [x for x in spark.catalog.listTables() if x.name.startswith("tensorspark_mode")]
