@@ -100,6 +100,17 @@ def test_leaks_of_the_table(spark, sf_dir):
     assert any(w[-1] for w in want)
 
 
+def test_leaks_tell_apart_words_that_a_simple_hash_confuses(make):
+    """Thue-Morse words: any polynomial modulo a power of two gives both one value."""
+    word, turn = "a", str.maketrans("ab", "ba")
+    while len(word) < 1024:
+        word += word.translate(turn)
+    docs = make("doc_id long, text string", [(1, f"{word} x"), (2, f"{word.translate(turn)} x")])
+    items = make("item_id long, text string", [(7, f"{word} x")])
+    got = {r.doc_id: (r.n_hit, r.items) for r in decontaminate.find_leaks(docs, items).collect()}
+    assert got == {1: (2, ["7"]), 2: (0, [])}
+
+
 def test_leaks_of_empty_tables(odd_docs, no_docs, benchmark):
     assert decontaminate.find_leaks(no_docs, benchmark).count() == 0
     none = benchmark.limit(0)
