@@ -49,6 +49,8 @@ STRETCH = 48
 WIDTH = 8
 #: Units that a task remembers, and the longest of them in characters.
 KEPT, LONGEST = 400_000, 100
+#: Characters of a text from which on it is aligned in parts.
+LONG_CHARS = 1 << 20
 #: Bits of the second id in a key of two.
 SHIFT = 15
 ALIGNED = (
@@ -318,31 +320,62 @@ class Pair:
         at = np.append(0, np.cumsum(length + 1))[docs[0] + docs[1]].tolist()
         return [raw[x : max(x, y - 1)] for x, y in zip(at, at[1:])]
 
-    def rows(self, texts: list[str | None]) -> tuple[list[pa.Array], list[pa.Array]]:
-        """Columns of :data:`ALIGNED` from ``n_a`` on."""
+    def aligned(
+        self, texts: list[str | None]
+    ) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, list[bytes]]:
+        """Numbers of each text, its pairs (after ``text << 31``) and their times, its groups."""
         ids, docs, cuts = self.tokens(texts)
         a = np.cumsum(self.size_a[ids[0]])
         b = np.cumsum(self.size_b[ids[1]])
         units = np.unique(np.append(np.arange(0, len(cuts[0]), STRETCH), len(cuts[0]) - 1))
         odd = groups(a, b, cuts[0][units], cuts[1][units])
         x, y = links(a, b, odd)
-        n_docs = len(texts)
         n_a, n_b = np.diff(docs[0]), np.diff(docs[1])
         inner = np.append(0, np.cumsum(odd[:, 1] - odd[:, 0]))
         n_groups = n_a - np.diff(inner[np.searchsorted(odd[:, 0], docs[0])])
-        at = np.searchsorted(x, docs[0])
+        n_links = np.diff(np.searchsorted(x, docs[0]))
         key = (ids[0][x].astype(np.int64) << SHIFT) | ids[1][y]
-        doc = np.repeat(np.arange(n_docs), np.diff(at))
+        doc = np.repeat(np.arange(len(texts)), n_links)
         pairs, times = np.unique((doc << 31) | key, return_counts=True)
-        offsets = np.searchsorted(pairs, np.arange(n_docs + 1) << 31).astype(np.int32)
         found = self.text_of_groups(ids, odd, docs)
-        digests = [hashlib.sha256(g).hexdigest() if g else "" for g in found]
-        numbers = [pa.array(v, pa.int64()) for v in (n_a, n_b, n_groups, np.diff(at))]
+        return [n_a, n_b, n_groups, n_links], pairs, times, found
+
+    def long_text(self, text: str) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, str]:
+        """The same of one long text, in parts that end where a unit ends.
+
+        Each part is a text like any other; if one has no tokens by rule, the text has none.
+        """
+        total, digest = np.zeros(4, np.int64), hashlib.sha256()
+        pairs, times = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        at = 0
+        while at < len(text):
+            cut = _CUT.search(text, at + LONG_CHARS) if self.cuts else None
+            end = cut.start() if cut else len(text)
+            numbers, own, many, found = self.aligned([text[at:end]])
+            if not found[0]:
+                return [np.zeros(1, np.int64)] * 4, pairs[:0], times[:0], ""
+            digest.update(b";" * (at > 0) + found[0])
+            total += np.concatenate(numbers)
+            pairs, place = np.unique(np.concatenate((pairs, own)), return_inverse=True)
+            times = np.bincount(place, np.concatenate((times, many))).astype(np.int64)
+            at = cut.end() if cut else len(text)
+        return [total[k : k + 1] for k in range(4)], pairs, times, digest.hexdigest()
+
+    def rows(self, texts: list[str | None]) -> tuple[list[pa.Array], list[pa.Array]]:
+        """Columns of :data:`ALIGNED` from ``n_a`` on."""
+        if len(texts) == 1 and len(texts[0] or "") > LONG_CHARS:
+            numbers, pairs, times, digest = self.long_text(texts[0])
+            digests = [digest]
+        else:
+            numbers, pairs, times, found = self.aligned(texts)
+            digests = [hashlib.sha256(g).hexdigest() if g else "" for g in found]
+        offsets = np.searchsorted(pairs, np.arange(len(texts) + 1) << 31).astype(np.int32)
         lists = [
             pa.ListArray.from_arrays(offsets, pa.array(v.astype(np.int32)))
             for v in (pairs & (2**31 - 1), times)
         ]
-        return numbers + [pa.array(digests, pa.string())], lists
+        first = [pa.array(v, pa.int64()) for v in numbers]
+        return first + [pa.array(digests, pa.string())], lists
 
 
 def pair(byte_bpe: str, pieces: str) -> Pair:

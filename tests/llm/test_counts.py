@@ -161,6 +161,13 @@ def test_alignment_without_units(both, monkeypatch):
     both.forget()
 
 
+def test_long_texts_are_aligned_in_parts(both, monkeypatch):
+    monkeypatch.setattr(alignment, "LONG_CHARS", 9)
+    texts = [*TEXTS, "word " * 20 + "a▁b and more words after it", "one two  three\n four " * 9]
+    for text in texts:
+        check_rows(both, [text])
+
+
 def test_alignment_forgets(monkeypatch):
     monkeypatch.setattr(alignment, "KEPT", 3)
     both = alignment.Pair(BYTE_BPE, alignment.PIECE_BPE)
