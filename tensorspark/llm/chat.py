@@ -3,7 +3,8 @@
 A whole conversation is rendered, encoded once with offsets, and the sorted spans of its
 turns are intersected with the spans of its tokens by binary search.  Control strings are
 tokens of their own, so no token reaches over the edge of a turn.  Conversations beyond
-``PART_CHARS`` are encoded in parts that begin with a turn, which gives the same tokens.
+``PART_CHARS`` are encoded in parts that begin with a turn, which gives the same tokens; their
+turns are dealt out in order over all tasks, so a hot conversation is nobody's burden alone.
 """
 
 from __future__ import annotations
@@ -17,10 +18,11 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 import tokenizers
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tensorspark.llm.common import blocks, bound_batches, table, through_files, width
+from tensorspark.llm.common import blocks, bound_batches, small, table, through_files, width
 from tensorspark.llm.tokens import BYTE_BPE
 
 START, SEP, END = "<|im_start|>", "<|im_sep|>", "<|im_end|>"
@@ -94,9 +96,14 @@ def _tokenizer(path: str) -> tokenizers.Tokenizer:
     return kept[path]
 
 
-def _conversations(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None, int, list]]:
-    """Conversations of rows in order, as parts: id, number of the part, turns."""
-    conv, part, turns, size = None, 0, [], 0
+def _conversations(
+    batches: Iterator[pa.RecordBatch], first: int = 0
+) -> Iterator[tuple[int | None, int, list]]:
+    """Conversations of rows in order, as parts: id, number of the part, turns.
+
+    Parts of the first conversation are numbered from ``first``.
+    """
+    conv, part, turns, size = None, first, [], 0
     for batch in blocks(batches):
         columns = (batch.column(c).to_pylist() for c in ("conv_id", "role", "text"))
         for own, role, text in zip(*columns, strict=True):
@@ -112,8 +119,10 @@ def _conversations(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | No
 
 
 def _format(
-    batches: Iterator[pa.RecordBatch], tokenizer: str, roles: tuple[str, ...]
+    batches: Iterator[pa.RecordBatch], tokenizer: str, roles: tuple[str, ...], ranged: bool
 ) -> Iterator[pa.RecordBatch]:
+    # The first conversation of a range may go on from the range before.
+    first = TaskContext.get().partitionId() << 32 if ranged else 0
     names = [field.split()[0] for field in FORMATTED.split(", ")]
     held: list[tuple] = []
     size, encoder = 0, None
@@ -132,7 +141,7 @@ def _format(
             [pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], names
         )
 
-    for conv, part, turns in _conversations(batches):
+    for conv, part, turns in _conversations(batches, first):
         encoder = encoder or _tokenizer(tokenizer)
         formatted, spans = render(turns)
         learned = [s for s, (role, _) in zip(spans, turns, strict=True) if role in roles]
@@ -150,8 +159,9 @@ def format_conversations(
 ) -> DataFrame:
     """Formatted conversations of ``turns`` (conv_id, turn, role, text), in parts.
 
-    Columns: conv_id, part (0 but for very long ones), formatted, and for each token ids,
-    starts, ends (code points in ``formatted``) and loss (whether it is to be learned).
+    Columns: conv_id, part (0, or for very long ones numbers in order), formatted, and for
+    each token ids, starts, ends (code points in ``formatted``) and loss (whether it is to be
+    learned).
     Turns are ordered by ``turn``, nulls first, ties by role, then text.  A null role or
     text is empty; rows without conv_id form one conversation.  Repeated rows are repeated
     turns.  Other columns are ignored; an empty table gives no rows.  A task streams its
@@ -164,9 +174,20 @@ def format_conversations(
         turns["role"].alias("role"),
         turns["text"].alias("text"),
     )
-    dealt = rows.repartition(width(turns), "conv_id")
-    ordered = dealt.sortWithinPartitions("conv_id", "turn", "role", "text").drop("turn")
-    return ordered.mapInArrow(partial(_format, tokenizer=tokenizer, roles=roles), FORMATTED)
+    size = F.sum(F.length(F.coalesce("text", F.lit(""))) + 40)
+    sizes = rows.groupBy(F.col("conv_id").alias("long_id")).agg(size.alias("size"))
+    long = sizes.where(F.col("size") > PART_CHARS).select("long_id")
+    long = small(through_files(long, "long-conversations"), 16)
+    is_long = rows["conv_id"].eqNullSafe(long["long_id"])
+    order = ["conv_id", "turn", "role", "text"]
+    short = rows.join(long, is_long, "left_anti").repartition(width(turns), "conv_id")
+    rest = rows.join(long, is_long, "left_semi").repartitionByRange(width(turns), *order)
+    run = partial(_format, tokenizer=tokenizer, roles=roles)
+    out = [
+        part.sortWithinPartitions(*order).drop("turn").mapInArrow(partial(run, ranged=k > 0), FORMATTED)
+        for k, part in enumerate((short, rest))
+    ]
+    return out[0].union(out[1])
 
 
 # ---- reading back ----------------------------------------------------------

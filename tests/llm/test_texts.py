@@ -12,6 +12,7 @@ import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 from plain import leaks, personal, windows
+from pyspark.sql import functions as F
 
 from tensorspark.llm import chat, decontaminate, langid, pii
 from tensorspark.llm.tokens import BYTE_BPE
@@ -437,6 +438,21 @@ def test_odd_conversations(make, monkeypatch):
     assert chat.digests(chat.format_conversations(table.limit(0))).count() == 0
 
 
+def test_a_hot_conversation_is_dealt_over_tasks(make, monkeypatch):
+    monkeypatch.setattr(chat, "PART_CHARS", 4000)
+    rows = [(7, k, ("user", "assistant")[k % 2], f"turn {k} of many") for k in range(1500)]
+    rows += [(None, k, "user", "x" * 50) for k in range(300)]
+    rows += [(k, 0, "assistant", f"alone {k}") for k in range(100, 400)]
+    table = make("conv_id long, turn long, role string, text string", rows)
+    formatted = chat.format_conversations(table).cache()
+    for conv in (7, None):
+        parts = [r.part for r in formatted.where(F.col("conv_id").eqNullSafe(F.lit(conv))).collect()]
+        assert len(set(parts)) == len(parts) > 1
+        assert conv is None or len({p >> 32 for p in parts}) > 1
+    assert {r.part for r in formatted.where("conv_id >= 100").collect()} == {0}
+    assert sorted(map(tuple, chat.digests(formatted).collect()), key=str) == sorted(digest_rows(rows), key=str)
+
+
 def test_parts_have_the_tokens_of_the_whole(make):
     turns = [("user", "a b"), ("assistant", " c\n"), ("user", "\nd")]
     tokenizer = chat._tokenizer(BYTE_BPE)
