@@ -59,6 +59,8 @@ SEED = 11
 FEW = 12
 #: Bytes of sets and members of a block of a larger bucket.
 BLOCK_BYTES, BLOCK_NODES = 4 << 20, 1500
+#: Shingles that a comparison counts at a time.
+COUNTED = 1 << 17
 #: Pairs of a node for which its set travels once.
 PAIRS = 500
 #: Bits of the sketch that bounds from below how many shingles two sets don't share.
@@ -206,7 +208,8 @@ def forest(
     order = np.argsort(values)
     number = np.empty(len(values), np.int64)
     number[order] = np.cumsum(np.append(False, np.diff(values[order]) != 0))
-    mark = np.zeros(len(values), bool)
+    del values, order
+    mark = np.zeros(len(number), bool)
     sketch = sketches(sets).view(np.uint64)
     found = []
     for x in np.flatnonzero(first).tolist():
@@ -221,15 +224,17 @@ def forest(
             continue
         own = number[bounds[x] : bounds[x + 1]]
         mark[own] = True
-        many = sizes[others]
-        runs = np.cumsum(many) - many
-        at = np.repeat(bounds[others] - runs, many) + np.arange(int(many.sum()))
-        both = np.add.reduceat(mark[number[at]].astype(np.int64), runs)
+        ahead = np.cumsum(sizes[others]) // COUNTED
+        for some in np.split(others, np.flatnonzero(np.diff(ahead)) + 1):
+            many = sizes[some]
+            runs = np.cumsum(many) - many
+            at = np.repeat(bounds[some] - runs, many) + np.arange(int(many.sum()))
+            both = np.add.reduceat(mark[number[at]], runs, dtype=np.int64)
+            for y in some[100 * both >= percent * (sizes[x] + many - both)].tolist():
+                if roots[x] != roots[y]:
+                    found.append((x, y))
+                    roots[roots == roots[y]] = roots[x]
         mark[own] = False
-        for y in others[100 * both >= percent * (sizes[x] + many - both)].tolist():
-            if roots[x] != roots[y]:
-                found.append((x, y))
-                roots[roots == roots[y]] = roots[x]
     return found
 
 

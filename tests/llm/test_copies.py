@@ -200,8 +200,9 @@ def test_rows_of_pairs_grow_with_the_family(make, monkeypatch):
     assert written[1] <= 2.2 * written[0]
 
 
-@pytest.mark.parametrize("percent", [80, 85])
-def test_forest_joins_what_links_join(percent):
+@pytest.mark.parametrize("percent,counted", [(80, near_dedup.COUNTED), (85, 150)])
+def test_forest_joins_what_links_join(monkeypatch, percent, counted):
+    monkeypatch.setattr(near_dedup, "COUNTED", counted)
     rng = np.random.default_rng(percent)
     sets = []
     for _ in range(60):
