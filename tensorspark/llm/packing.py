@@ -89,7 +89,6 @@ def _encode(
             [batch.column("doc_id"), pa.array(keys), pa.array(ids, pa.binary())],
             ["doc_id", "curve", "ids"],
         )
-    encoder(tokenizer).forget()
 
 
 class _Packer:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tensorspark.llm.common import blocks, id_text, table, utf8
-from tensorspark.llm.tokens import WORD_BPE
+from tensorspark.llm.tokens import LETTERS, NORMALIZER, SPLIT, WORD_BPE
 
 LIMIT = 2048
 COUNTS = "doc_id long, n_bytes long, n_tokens long"
@@ -42,29 +42,7 @@ _CAPITAL = "A-ZÀ-ÖØ-Þ"
 _SIGNS = "!-/:-@\\[-`{-~¡«»¿–—‘’“”„…€"
 _OTHER = re.compile(f"[^{_BLANKS}{_SMALL}{_CAPITAL}0-9{_SIGNS}]")
 _PARTS = re.compile(f"[^{_BLANKS}]+")
-#: The steps before merging for which the shortcut through Python's engine is written.
-_NORMALIZER = [
-    {"type": "NFC"},
-    {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "},
-    {"type": "Lowercase"},
-]
-_SPLIT = {
-    "type": "Split",
-    "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"},
-    "behavior": "Removed",
-    "invert": True,
-}
 _PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_SMALL}]+|[0-9]|[^{_BLANKS}{_SMALL}0-9]+")
-
-
-def _byte_letters() -> list[str]:
-    """The character that stands for each byte in a byte-level vocabulary."""
-    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    hidden = [b for b in range(256) if b not in set(shown)]
-    return [chr(b) if b not in hidden else chr(256 + hidden.index(b)) for b in range(256)]
-
-
-LETTERS = _byte_letters()
 _BYTE = {c: b for b, c in enumerate(LETTERS)}
 
 
@@ -95,9 +73,9 @@ class Steps:
         self.suffix = spec["model"]["end_of_word_suffix"] or ""
         before = spec["pre_tokenizer"] or {}
         self.plain = (
-            (spec["normalizer"] or {}).get("normalizers") == _NORMALIZER
+            (spec["normalizer"] or {}).get("normalizers") == NORMALIZER
             and [p.get("type") for p in before.get("pretokenizers", [])] == ["Split", "ByteLevel"]
-            and before["pretokenizers"][0] == _SPLIT
+            and before["pretokenizers"][0] == SPLIT
             and not before["pretokenizers"][1]["add_prefix_space"]
             and not any(set(n) & set(_BLANKS) for n in names)
         )

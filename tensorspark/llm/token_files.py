@@ -99,7 +99,6 @@ def _write(
             docs.is_valid().to_numpy(zero_copy_only=False),
             ids,
         )
-    encoder(tokenizer).forget()
     if writer is not None:
         n_docs, n_tokens = writer.close()
         shard = TaskContext.get().partitionId()

@@ -13,7 +13,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from tensorspark.llm import packing, pfor, token_files
-from tensorspark.llm.tokens import BYTE_BPE, END_ID, WORD_BPE, Encoder
+from tensorspark.llm.tokens import BYTE_BPE, END_ID, WORD_BPE, Encoder, encoder
 
 PLAIN = Tokenizer.from_file(WORD_BPE)
 
@@ -45,6 +45,41 @@ def test_encoder_equals_whole_texts_random(texts):
     assert Encoder(WORD_BPE).encode(pa.array(texts, pa.string())) == want
 
 
+LETTERS_AND_SIGNS = st.text("abzÉéßÿ×÷ñ'sS.,#<=!0 \u0301\u00aa", max_size=30)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(LETTERS_AND_SIGNS, max_size=5))
+def test_encoder_equals_whole_texts_of_letters_and_signs(texts):
+    want = [np.array(PLAIN.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert Encoder(WORD_BPE).encode(pa.array(texts, pa.string())) == want
+
+
+def test_words_of_letters_are_merged_once_without_the_steps_before(monkeypatch):
+    """The whole tokenizer gets signs and digits only, and nothing a second time."""
+    encoder = Encoder(WORD_BPE)
+    seen = []
+    whole = encoder._ids
+    monkeypatch.setattr(encoder, "_ids", lambda texts: seen.extend(texts) or whole(texts))
+    texts = pa.array(["Straße élan### zwölf, ABC.", "word'# word 12.", "abc straße***"])
+    want = [np.array(PLAIN.encode(t.as_py(), add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert encoder.encode(texts) == want
+    parts = b"".join(seen).replace(b"\x1f", b" ").split()
+    assert sorted(parts) == sorted([b"###", b"***", b",", b".", b"'#", b"12."])
+    seen.clear()
+    assert encoder.encode(texts) == want and not seen
+    encoder.KEPT_IDS = 3
+    assert encoder.encode(texts) == want and seen
+
+
+def test_tasks_keep_what_a_worker_has_learnt():
+    """A task that follows another in the same worker learns only what is new."""
+    batch = pa.record_batch([pa.array([1]), pa.array(["some words of a first task"])], ["doc_id", "text"])
+    for _ in packing._encode(iter([batch]), WORD_BPE, END_ID, "<u2"):
+        pass
+    assert len(encoder(WORD_BPE).hashes) >= 6
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(0, 2**32 - 1), max_size=600), st.integers(0, 32))
 def test_blocks_round_trip(values, bits):
