@@ -38,12 +38,12 @@ from tensorspark.functions.chunks import (
 from tensorspark.functions.factors import factor_bytes, factor_columns, matrix_of, to_dense
 from tensorspark.functions.morton import KEY_BITS, MortonPlan
 from tensorspark.functions.products import add_products
-from tensorspark.plans.strategy import BROADCAST_BYTES
+from tensorspark.plans.strategy import COLLECT_BYTES
 from tensorspark.session import materialize, materialize_partitioned, parallelism
 from tensorspark.tensor import SparseTensor
 
 # Memory one co-grouped cell may take: its nonzeros plus the factor rows it needs.
-CELL_BYTES = 256 << 20
+CELL_BYTES = 64 << 20
 # A small tensor does not need as many partitions as the session would give it, and a large
 # one gets more: a partition of the layout holds about this much packed data at most.
 MIN_PART_NNZ = 1 << 16
@@ -248,7 +248,7 @@ def mttkrp_blocked(
     factors: Sequence[DataFrame],
     n: int,
     rank: int,
-    broadcast_bytes: int = BROADCAST_BYTES,
+    broadcast_bytes: int = COLLECT_BYTES,
 ) -> DataFrame:
     """Mode-``n`` MTTKRP; factors beyond ``broadcast_bytes`` together travel by demand."""
     return _run(blocked, factors, [n], rank, broadcast_bytes)
@@ -258,6 +258,6 @@ def mttkrp_all_blocked(
     blocked: BlockedTensor,
     factors: Sequence[DataFrame],
     rank: int,
-    broadcast_bytes: int = BROADCAST_BYTES,
+    broadcast_bytes: int = COLLECT_BYTES,
 ) -> DataFrame:
     return _run(blocked, factors, list(range(len(blocked.mode_sizes))), rank, broadcast_bytes)

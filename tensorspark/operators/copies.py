@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
 from tensorspark.functions.chunks import pack_chunks, unpack
-from tensorspark.functions.factors import factor_columns
+from tensorspark.functions.factors import factor_bytes, factor_columns
 from tensorspark.functions.products import PIECES, add_pieces, add_products, pieces_of, rows_schema
 from tensorspark.operators.mttkrp import (
     CHUNK_NNZ,
@@ -36,6 +36,7 @@ from tensorspark.operators.mttkrp import (
     mttkrp,
     share_factors,
 )
+from tensorspark.plans.strategy import COLLECT_BYTES
 from tensorspark.session import parallelism, scratch_path, side_session
 from tensorspark.tensor import SparseTensor
 
@@ -106,11 +107,14 @@ class BucketedCopy:
         """``[i, y0 ..]``: joins with broadcast factors, and sums in the order of the scan.
 
         Ranks above ``SQL_RANK`` are summed by the chunk kernel, also without exchange.
-        Factors too large to send whole call for the blocked layout instead.
+        Factors too large to send whole call for the blocked layout instead; so do those too
+        large to pass the driver, where the chunk kernel would collect them.
         """
         n, tensor = self.mode, self.tensor.with_frame(self.cold)
         others = [w for w in range(tensor.num_modes) if w != n]
-        if not all(fits_broadcast(tensor, w, rank, len(others)) for w in others):
+        sent = sum(factor_bytes(tensor.mode_sizes[w], rank) for w in others)
+        fit = all(fits_broadcast(tensor, w, rank, len(others)) for w in others)
+        if not fit or rank > SQL_RANK and sent > COLLECT_BYTES:
             return mttkrp(self.tensor, factors, n, rank, "blocked")
         out = (self._chunks if rank > SQL_RANK else self._joined)(factors, rank)
         if self.hot is None:

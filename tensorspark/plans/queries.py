@@ -248,9 +248,9 @@ def mttkrp_bucketed(spark: SparkSession, sf_dir: str) -> DataFrame:
 def mttkrp_bucketed_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A copy for each mode, summed by the chunk kernel."""
     t = supply(spark, sf_dir)
-    arrays = _arrays(t, 16)
+    factors = integer_factors(spark, t.mode_sizes, 16)
     outs = [
-        t.bucketed(n).mttkrp(arrays, 16).select(F.lit(n).alias("mode"), "*")
+        t.bucketed(n).mttkrp(factors, 16).select(F.lit(n).alias("mode"), "*")
         for n in range(t.num_modes)
     ]
     return reduce(DataFrame.unionByName, outs)

@@ -12,6 +12,9 @@ from tensorspark.functions.factors import factor_bytes
 # All factor rows one task needs, as float64.  Every Python worker of an executor maps
 # its own copy, so this stays well below executor memory divided by cores.
 BROADCAST_BYTES = 256 << 20
+# Factor rows that are collected and sent whole where another way is open: what passes the
+# driver for one output, and what each Python worker holds besides its sums.
+COLLECT_BYTES = 64 << 20
 # Factors and MTTKRP outputs the ALS driver may hold at once.
 DRIVER_FACTOR_BYTES = 256 << 20
 # Sums that a task keeps until its end (see functions.products).
@@ -57,7 +60,7 @@ def choose_by_shape(shape: Shape, rank: int, mode: int | None = None) -> Strateg
     if declared.name == "arrow":
         return declared
     need = sum(factor_bytes(s, rank) for w, s in enumerate(shape.touched) if w != mode)
-    if need <= BROADCAST_BYTES:
+    if need <= COLLECT_BYTES:
         return Strategy("compact", f"factor rows that occur take {need} bytes, within the limit")
     return Strategy("blocked", f"factor rows that occur take {need} bytes, above the limit")
 

@@ -6,12 +6,14 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tensorspark.functions import factors
 from tensorspark.functions.factors import integer_factor_array, integer_factors, to_dense
 from tensorspark.functions.morton import MortonPlan
-from tensorspark.operators import copies, stats
+from tensorspark.operators import blocked, copies, stats
 from tensorspark.operators import mttkrp as mt
 from tensorspark.operators.copies import BucketedCopy, FiberTree, fiber_runs, fiber_sums
 from tensorspark.operators.keyed import KeyChunks, KeyTables, pack_keys, unpack_keys
+from tensorspark.plans import queries
 from tensorspark.sources.synthetic import uniform_tensor
 from tensorspark.tensor import SparseTensor
 
@@ -95,6 +97,47 @@ def test_large_factors_leave_the_buckets(spark, tensor, monkeypatch):
     assert (rows(got, 25, 2) == rows(want, 25, 2)).all()
 
 
+@pytest.mark.parametrize("limit", [1 << 20, 2500])
+def test_the_sweep_sends_no_large_factor_to_the_driver(spark, tensor, monkeypatch, limit):
+    """Beyond the limit of what is collected, factor rows travel by demand."""
+    monkeypatch.setattr(copies, "COLLECT_BYTES", limit)
+    monkeypatch.setattr(blocked.mttkrp_blocked, "__defaults__", (limit,))
+    got, to_dense = [], factors.to_dense
+
+    def counted(df, rows, rank, *more):
+        got.append(factors.factor_bytes(rows, rank))
+        return to_dense(df, rows, rank, *more)
+
+    for module in (mt, blocked):
+        monkeypatch.setattr(module, "to_dense", counted)
+    frames = integer_factors(spark, tensor.mode_sizes, 12)
+    want = mt.mttkrp(tensor, frames, 1, 12, "shuffle")
+    out = tensor.bucketed(1, 2).mttkrp(frames, 12)
+    assert (rows(out, 25, 12) == rows(want, 25, 12)).all()
+    assert sum(got) == {1 << 20: (60 + 9) * 104, 2500: 9 * 104}[limit]
+
+
+def test_the_sweep_holds_no_factors_on_the_driver(monkeypatch):
+    monkeypatch.setattr(queries, "_arrays", None)  # would grow with the modes
+    kept = []
+
+    class Tensor:
+        mode_sizes, num_modes = (3, 4, 5), 3
+
+        def bucketed(self, n):
+            return self
+
+        def mttkrp(self, factors, rank):
+            kept.append(factors)
+            raise KeyError
+
+    monkeypatch.setattr(queries, "supply", lambda *_: Tensor())
+    monkeypatch.setattr(queries, "integer_factors", lambda spark, sizes, rank: [*sizes, rank])
+    with pytest.raises(KeyError):
+        queries.mttkrp_bucketed_sweep(None, "")
+    assert kept == [[3, 4, 5, 16]]
+
+
 # ---- fibers ------------------------------------------------------------------
 
 
