@@ -111,8 +111,9 @@ class TaskSums:
 
     def finish(self) -> Iterator[pa.RecordBatch]:
         for n, sums in self.kept.items():
-            i = np.flatnonzero(self.touched[n])
-            yield from pieces_of(n, i, sums if len(i) == sums.shape[1] else sums[:, i])
+            for lo in range(0, sums.shape[1], STEP):  # whole pieces, and no second copy of all
+                i = lo + np.flatnonzero(self.touched[n][lo : lo + STEP])
+                yield from pieces_of(n, i, sums[:, i])
 
 
 def pieces_of(mode: int, i: np.ndarray, sums: np.ndarray) -> Iterator[pa.RecordBatch]:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import tracemalloc
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tensorspark.functions.factors import from_dense, to_dense
+from tensorspark.functions.products import TaskSums, read_pieces
 from tensorspark.operators import compact
 from tensorspark.operators import mttkrp as mt
 from tensorspark.operators.compact import CompactTensor, dictionary, measure
@@ -59,6 +62,25 @@ def test_choices():
     assert compact_modes(shape_of((600, 400, 1000), (1000,) * 3)) == [1]
 
 
+def test_workers_hold_little_beside_their_nonzeros():
+    """Factor rows of 96 MB go by demand; sums leave a task without a second copy of them."""
+    assert choose_by_shape(shape_of((1 << 20,) * 3), 3).name == "blocked"
+    rows = 1 << 20
+    sums = TaskSums([rows], 4, [0])
+    sums.kept[0] += np.arange(rows)
+    sums.touched[0][5:] = True
+    next(sums.finish())  # what Arrow imports at its first array doesn't count
+    tracemalloc.start()
+    seen = 0
+    for batch in sums.finish():
+        for mode, piece, i, y in read_pieces([batch], 4):
+            assert (mode, i[0] >> 12, i[-1] >> 12) == (0, piece, piece) and (y == i[:, None]).all()
+            seen += len(i)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert seen == rows - 5 and peak < sums.kept[0].nbytes / 4
+
+
 def test_choice_of_passes():
     small = shape_of((20_000,) * 3, (20_000,) * 3)
     for rank in (16, 32, 64):
