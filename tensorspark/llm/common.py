@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,12 +25,37 @@ BROADCAST_BYTES = 32 << 20
 #: the JVM and in its Python worker, several times over while it is converted.
 BATCH_BYTES = 4 << 20
 _BATCH_SETTING, _DEFAULT_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+#: Rows that a Parquet scan decodes at a time, where the session doesn't set its own.  Texts of
+#: that many rows lie in one array, which doubles as it grows.
+SCAN_ROWS = 512
+_SCAN_SETTING, _DEFAULT_SCAN = "spark.sql.parquet.columnarReaderBatchSize", "4096"
+#: What tasks leave in a worker for its next task: names in a library's module.
+_LEFT = {
+    "tokenizers": ("_encoders_by_path", "_chat_tokenizers_by_path"),
+    "sentencepiece": ("_pairs_by_path",),
+}
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Limits Arrow batches by bytes: the usual limit, by rows, is no bound for long texts."""
-    if spark.conf.get(_BATCH_SETTING) == _DEFAULT_BATCH:
-        spark.conf.set(_BATCH_SETTING, f"{BATCH_BYTES}b")
+    """Limits Arrow batches by bytes: the usual limit, by rows, is no bound for long texts.
+
+    A scan's batches can only be limited by rows.
+    """
+    for setting, default, own in (
+        (_BATCH_SETTING, _DEFAULT_BATCH, f"{BATCH_BYTES}b"),
+        (_SCAN_SETTING, _DEFAULT_SCAN, str(SCAN_ROWS)),
+    ):
+        if spark.conf.get(setting) == default:
+            spark.conf.set(setting, own)
+
+
+def rows_frame(spark: SparkSession, table: pa.Table) -> DataFrame:
+    """A small table of the driver as a DataFrame, by Arrow.
+
+    A list of rows would go through Python workers of its own kind, which stay in the
+    executors' memory beside those of the queries.
+    """
+    return spark.createDataFrame(table)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -99,6 +125,13 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[bounds[0] : bounds[-1]], bounds - bounds[0]
 
 
+def forget_left() -> None:
+    """Drops what tasks that encode left in this worker, at the start of one that doesn't."""
+    for module, names in _LEFT.items():
+        for name in names if module in sys.modules else ():
+            vars(sys.modules[module]).pop(name, None)
+
+
 def free_memory() -> None:
     """Gives back what the last task of this worker held.
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tensorspark.llm.common import blocks, fresh, id_text, small, through_files, width
+from tensorspark.llm.common import blocks, fresh, id_text, rows_frame, small, through_files, width
 from tensorspark.session import scratch_path
 
 KEY_BITS = 60
@@ -184,9 +184,10 @@ def build_index(docs: DataFrame, hashed: DataFrame, capacity: int = CAPACITY) ->
     owned = entries.repartitionById(n, F.col("owner")).sortWithinPartitions("key")
     folder = scratch_path(spark, "hash-index")
     owned.drop("owner").mapInArrow(_pages, PAGES).write.parquet(f"{folder}/pages")
-    spark.createDataFrame(
-        [(b, p, d) for b, (p, d) in enumerate(buckets)], "bucket int, prefix int, depth int"
-    ).write.parquet(f"{folder}/directory")
+    prefixes, depths = zip(*buckets, strict=True)
+    columns = {"bucket": range(len(buckets)), "prefix": prefixes, "depth": depths}
+    rows = pa.table({name: pa.array(values, pa.int32()) for name, values in columns.items()})
+    rows_frame(spark, rows).write.parquet(f"{folder}/directory")
     return spark.read.parquet(f"{folder}/pages")
 
 

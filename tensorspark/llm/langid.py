@@ -23,7 +23,15 @@ import sentencepiece
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tensorspark.llm.common import blocks, bound_batches, mix, table, through_files
+from tensorspark.llm.common import (
+    blocks,
+    bound_batches,
+    forget_left,
+    mix,
+    rows_frame,
+    table,
+    through_files,
+)
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 UNKNOWN = "und"
@@ -266,6 +274,7 @@ def held_out(doc_id: Column) -> Column:
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    forget_left()
     for batch in blocks(batches):
         counts: Counter[tuple[str, str]] = Counter()
         for lang, text in zip(*(batch.column(c).to_pylist() for c in ("lang", "text")), strict=True):
@@ -297,6 +306,7 @@ def _expect(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.Reco
 
 def _labelled_fits(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
     """How well each labelled row fits its own language."""
+    forget_left()
     number = {lang: k for k, lang in enumerate(model.languages)}
     scorer = Scorer(model)
     for batch in blocks(batches):
@@ -356,8 +366,9 @@ def fit(
     counts = sorted(found.collect(), key=lambda r: r.lang)
     languages = [r.lang for r in counts]
     most = _rows_each([r.n for r in counts], train_docs)
-    last = [(r.lang, max(int(min(1.0, most / r.n) * (1 << 30)), r.first)) for r in counts]
-    limits = F.broadcast(docs.sparkSession.createDataFrame(last, "lang string, last long"))
+    last = [max(int(min(1.0, most / r.n) * (1 << 30)), r.first) for r in counts]
+    ends = pa.table({"lang": pa.array(languages, pa.string()), "last": pa.array(last, pa.int64())})
+    limits = F.broadcast(rows_frame(docs.sparkSession, ends))
     sample = usable.join(limits, "lang").where(F.col("place") <= F.col("last")).select("lang", "text")
     sample = through_files(sample, "sample")
     words = sample.mapInArrow(_count_words, "lang string, word string, n long")
@@ -446,6 +457,7 @@ def _known(scorer: Scorer, texts: list[str | None], least: float) -> np.ndarray:
 
 
 def _predict(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
+    forget_left()
     scorer = Scorer(model)
     for batch in blocks(batches):
         names, scores = scorer.predict(batch.column("text").to_pylist())
@@ -494,6 +506,7 @@ def drop_unknown(docs: DataFrame, model: Model, least: float = LEAST_SCORE) -> D
 
     @F.arrow_udf("boolean")
     def known(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        forget_left()
         scorer = Scorer(_with_equal_pieces(model))  # for the whole task: it remembers words
         for column in columns:
             batch = pa.RecordBatch.from_arrays([column], ["text"])

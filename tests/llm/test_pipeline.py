@@ -6,11 +6,12 @@ from collections import Counter
 
 import corpus_pipeline
 import pytest
+import tokenizers
 from plain import leaks, near_groups, windows
 from test_copies import normal
 from test_tokens import check_packing
 
-from tensorspark.llm import packing
+from tensorspark.llm import common, exact_dedup, langid, packing, tokens
 from tensorspark.llm.common import through_files
 
 
@@ -74,3 +75,35 @@ def test_stages_take_odd_rows(spark, sf_dir, odd_docs, no_docs):
         for name, stage in corpus_pipeline.STAGES:
             docs = through_files(stage(spark, docs, sf_dir), name)
         assert (docs.count() > 0) == (start is odd_docs)
+
+
+def test_stages_start_no_second_kind_of_workers(spark, odd_docs, monkeypatch):
+    """A list of rows of the driver would go through Python workers outside of SQL."""
+    docs = through_files(odd_docs, "odd")
+
+    def refuse(*rows):
+        raise AssertionError("rows of the driver go through Python workers")
+
+    monkeypatch.setattr(type(spark.sparkContext), "parallelize", refuse)
+    known = langid.drop_unknown(docs, langid.fit(docs))
+    assert exact_dedup.drop_copies(known).count() > 0
+
+
+def test_language_drops_encoders_of_earlier_tasks():
+    tokens.encoder(tokens.WORD_BPE)
+    assert vars(tokenizers)["_encoders_by_path"]
+    assert list(langid._count_words(iter([]))) == []
+    assert not vars(tokenizers).get("_encoders_by_path")
+
+
+def test_scans_of_texts_are_bounded(spark, odd_docs):
+    usual = spark.conf.get(common._SCAN_SETTING)
+    try:
+        spark.conf.unset(common._SCAN_SETTING)
+        common.id_text(odd_docs)
+        assert int(spark.conf.get(common._SCAN_SETTING)) == common.SCAN_ROWS
+        spark.conf.set(common._SCAN_SETTING, "100")
+        common.id_text(odd_docs)
+        assert spark.conf.get(common._SCAN_SETTING) == "100"
+    finally:
+        spark.conf.set(common._SCAN_SETTING, usual)
