@@ -21,6 +21,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
+from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
@@ -92,17 +93,47 @@ class Demand:
         return self.rows.join(copies, ["i", "salt"]).select("cell", "i", *factor_columns(rank))
 
 
+class CellRows(Protocol):
+    """How the rows of a cell hold its nonzeros."""
+
+    def columns_of(self, n: int) -> list[str]:
+        """The columns that :meth:`index` reads."""
+
+    def index(self, rows: pa.RecordBatch, row: int, n: int) -> np.ndarray:
+        """The indices of mode ``n``."""
+
+    def nonzeros(self, rows: pa.Table, row: int) -> tuple[list[np.ndarray], np.ndarray]:
+        """Indices of all modes, and values."""
+
+
+@dataclass(frozen=True)
+class ChunkRows:
+    """Chunk rows ``[n, i0 .. val]``."""
+
+    num_modes: int
+
+    def columns_of(self, n: int) -> list[str]:
+        return [f"i{n}"]
+
+    def index(self, rows: pa.RecordBatch, row: int, n: int) -> np.ndarray:
+        return np.frombuffer(rows.column(f"i{n}")[row].as_buffer(), "<u4")
+
+    def nonzeros(self, rows: pa.Table, row: int) -> tuple[list[np.ndarray], np.ndarray]:
+        return unpack(rows, row, self.num_modes)
+
+
 @dataclass(frozen=True)
 class BlockedTensor:
-    cells: DataFrame  # [cell, n, i0 .. val]: chunk rows, hash-partitioned by cell
+    cells: DataFrame  # [cell, ..]: rows as ``layout`` reads them, hash-partitioned by cell
     mode_sizes: tuple[int, ...]
     parts: int
+    layout: CellRows
     built: dict[int, Demand] = field(default_factory=dict)
 
     def demand(self, n: int) -> Demand:
         """Which cells need which rows of factor ``n``; laid out when first asked for."""
         if n not in self.built:
-            self.built[n] = Demand.build(_demand(self.cells, n), self.parts)
+            self.built[n] = Demand.build(_demand(self, n), self.parts)
         return self.built[n]
 
     @classmethod
@@ -125,10 +156,15 @@ class BlockedTensor:
             pack_chunks(num_modes, cell_nnz or default_cell_nnz(num_modes, rank), True),
             chunk_schema(num_modes, True),
         )
-        cells = materialize_partitioned(
-            packed.repartition(parts, "cell").sortWithinPartitions("cell")
-        )
-        return cls(cells, tensor.mode_sizes, parts)
+        return cls.deal(packed, tensor.mode_sizes, parts, ChunkRows(num_modes))
+
+    @classmethod
+    def deal(
+        cls, rows: DataFrame, mode_sizes: tuple[int, ...], parts: int, layout: CellRows
+    ) -> BlockedTensor:
+        """Rows with their cells, dealt out by cell and checkpointed."""
+        dealt = rows.repartition(parts, "cell").sortWithinPartitions("cell")
+        return cls(materialize_partitioned(dealt), mode_sizes, parts, layout)
 
 
 def _curve_order(tensor: SparseTensor, parts: int) -> DataFrame:
@@ -139,17 +175,29 @@ def _curve_order(tensor: SparseTensor, parts: int) -> DataFrame:
     return keyed.repartitionByRange(parts, "key", *idx).sortWithinPartitions("key", *idx).drop("key")
 
 
-def _demand(cells: DataFrame, n: int) -> DataFrame:
+def _demand(blocked: BlockedTensor, n: int) -> DataFrame:
+    layout = blocked.layout
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Rows come in order of their cells, so all but the last cell of a batch are whole.
+        of, held = None, []
+
+        def wanted() -> pa.RecordBatch:
+            i = np.unique(np.concatenate(held)).astype(np.int64)
+            cell = np.full(len(i), of, dtype=np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(cell), pa.array(i)], names=["cell", "i"])
+
         for batch in batches:
-            for row in range(batch.num_rows):
-                i = np.unique(np.frombuffer(batch.column(f"i{n}")[row].as_buffer(), "<u4"))
-                cell = np.full(len(i), batch.column("cell")[row].as_py(), dtype=np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(cell), pa.array(i.astype(np.int64))], names=["cell", "i"]
-                )
+            for row, cell in enumerate(batch.column("cell").to_pylist()):
+                if held and cell != of:
+                    yield wanted()
+                    held = []
+                of = cell
+                held.append(layout.index(batch, row, n))
+        if held:
+            yield wanted()
 
-    return cells.select("cell", f"i{n}").mapInArrow(run, "cell bigint, i bigint")
+    return blocked.cells.select("cell", *layout.columns_of(n)).mapInArrow(run, "cell bigint, i bigint")
 
 
 def _split_modes(
@@ -163,9 +211,18 @@ def _split_modes(
     return small, large
 
 
-def _cell_kernel(num_modes: int, modes: Sequence[int], rank: int, shared: Broadcast):
+def _cell_kernel(
+    num_modes: int, layout: CellRows, modes: Sequence[int], rank: int, shared: Broadcast
+):
     columns = factor_columns(rank)
 
+    def nonzeros(cell: pa.Table) -> tuple[list[np.ndarray], np.ndarray]:
+        found = [layout.nonzeros(cell, row) for row in range(cell.num_rows)]
+        if len(found) == 1:
+            return found[0]
+        idx = [np.concatenate(parts) for parts in zip(*[idx for idx, _ in found])]
+        return idx, np.concatenate([val for _, val in found])
+
     def run(cell: pa.Table, rows: pa.Table | None = None) -> pa.Table:
         if rows is not None:
             which = rows.column("w").to_numpy()
@@ -173,8 +230,8 @@ def _cell_kernel(num_modes: int, modes: Sequence[int], rank: int, shared: Broadc
             values = matrix_of(rows, columns)
         small = shared.value
         out = [partial_batch(modes[0], np.zeros(0, np.int64), np.zeros((0, rank)))]
-        for row in range(cell.num_rows):
-            idx, val = unpack(cell, row, num_modes)
+        if cell.num_rows:
+            idx, val = nonzeros(cell)
             tables, at = [], []
             for w in range(num_modes):
                 if w in small:
@@ -218,7 +275,7 @@ def _run(
         w: np.ascontiguousarray(to_dense(factors[w], blocked.mode_sizes[w], rank).T) for w in small
     }
     shared = blocked.cells.sparkSession.sparkContext.broadcast(dense)
-    kernel = _cell_kernel(num_modes, modes, rank, shared)
+    kernel = _cell_kernel(num_modes, blocked.layout, modes, rank, shared)
     if large:
         slices = reduce(
             DataFrame.unionAll,

@@ -546,7 +546,8 @@ def morton_64bit(spark: SparkSession, sf_dir: str) -> DataFrame:
 def mttkrp_morton(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All modes from linearised storage: keys and values only, decoded as they are read."""
     t = supply(spark, sf_dir)
-    return KeyChunks.build(t).mttkrp_all(_arrays(t, RANK), RANK)
+    factors = integer_factors(spark, t.mode_sizes, RANK)
+    return KeyChunks.build(t).mttkrp_all(factors, RANK)
 
 
 # ---- formats -----------------------------------------------------------------

@@ -215,7 +215,8 @@ def sorted_by_key(tensor: SparseTensor) -> tuple[DataFrame, MortonPlan]:
     key = plan.encode([F.col(c) for c in tensor.index_columns]).alias("key")
     order = plan.order(F.col("key"))
     keyed = tensor.df.select(key, "val")
-    return keyed.repartitionByRange(order).sortWithinPartitions(order), plan
+    # The value last: a retried task repeats the order also where a coordinate is repeated.
+    return keyed.repartitionByRange(order).sortWithinPartitions(order, "val"), plan
 
 
 def write_by_key(tensor: SparseTensor) -> tuple[DataFrame, MortonPlan]:

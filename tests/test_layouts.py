@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tensorspark.functions import factors
 from tensorspark.functions.factors import integer_factor_array, integer_factors, to_dense
 from tensorspark.functions.morton import MortonPlan
-from tensorspark.operators import blocked, copies, stats
+from tensorspark.operators import blocked, copies, keyed, stats
 from tensorspark.operators import mttkrp as mt
 from tensorspark.operators.copies import BucketedCopy, FiberTree, fiber_runs, fiber_sums
 from tensorspark.operators.keyed import KeyChunks, KeyTables, pack_keys, unpack_keys
@@ -229,6 +229,32 @@ def test_key_chunks(spark, tensor):
     assert size["nnz"] == tensor.nnz and size["bytes"] <= 12 * tensor.nnz
 
 
+@pytest.mark.parametrize("cell_nnz", [300, 1200])
+def test_large_factors_travel_to_key_chunks(spark, monkeypatch, cell_nnz):
+    """Beyond the limits, chunks become cells; one cell may hold several, or a part of one."""
+    t = skewed(spark)
+    frames = integer_factors(spark, t.mode_sizes, 3)
+    frames[1] = frames[1].where("i % 4 > 0")  # an absent row is zero
+    want = {n: rows(mt.mttkrp(t, frames, n, 3, "wide"), s, 3) for n, s in enumerate(t.mode_sizes)}
+    monkeypatch.setattr(mt, "BROADCAST_BYTES", 8)  # none could be sent whole before
+    monkeypatch.setattr(keyed, "COLLECT_BYTES", 8, raising=False)
+    monkeypatch.setattr(keyed, "default_cell_nnz", lambda *_: cell_nnz, raising=False)
+    for limit in (0, 1500):  # all by demand, or only the largest
+        for f in (blocked.mttkrp_blocked, blocked.mttkrp_all_blocked):
+            monkeypatch.setattr(f, "__defaults__", (limit,))
+        stored = KeyChunks.build(t, chunk_nnz=500)
+        for modes in ([0, 1, 2], [0, 2], [1]):
+            got = stored.mttkrp_all(frames, 3, modes)
+            assert got.columns == ["mode", "i", "y0", "y1", "y2"]
+            assert {r["mode"] for r in got.select("mode").distinct().collect()} == set(modes)
+            for n in modes:
+                out = rows(got.where(F.col("mode") == n), t.mode_sizes[n], 3)
+                assert (out == want[n]).all()
+    cells = stored.cells(3).cells.groupBy("cell").agg(F.sum("n").alias("n")).collect()
+    assert len(cells) > 2 and max(r.n for r in cells) <= cell_nnz
+    assert sum(r.n for r in cells) == t.nnz
+
+
 # ---- statistics --------------------------------------------------------------
 
 
