@@ -649,7 +649,7 @@ def mttkrp_streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = supply(spark, sf_dir)
     later = F.col("i2") % 3 == 0
     write_frame(t.df.where(~later), t.num_modes, path, t.mode_sizes)
-    sums = StreamedSums(path, _arrays(t, RANK), RANK, folder)
+    sums = StreamedSums(path, integer_factors(spark, t.mode_sizes, RANK), RANK, folder)
     sums.run(spark, chunk_nnz=20_000)
     append_frame(t.df.where(later), t.num_modes, path)
     return sums.run(spark, chunk_nnz=7_000)

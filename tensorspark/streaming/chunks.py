@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 from pyspark.sql.types import StructType
 
-from tensorspark.functions.factors import factor_columns
+from tensorspark.functions.factors import factor_bytes, factor_columns, from_dense
+from tensorspark.operators.blocked import BlockedTensor, layout_partitions, mttkrp_all_blocked
 from tensorspark.operators.mttkrp import (
     Factor,
     PackedTensor,
@@ -25,8 +26,11 @@ from tensorspark.operators.mttkrp import (
     final_sums,
     share_factors,
 )
+from tensorspark.plans.strategy import COLLECT_BYTES
+from tensorspark.session import parallelism
 from tensorspark.sources import files
 from tensorspark.sources.dnb import CHUNK_BYTES, WIDTH, Chunk, dnb_schema, read_chunk, read_parts
+from tensorspark.tensor import SparseTensor
 
 _STATE = re.compile(r"batch-(\d{12})\Z")
 
@@ -87,7 +91,8 @@ class StreamedSums:
 
     ``folder/sums/batch-<number>`` holds the sums up to a batch, ``folder/checkpoint`` what
     the stream has read.  Factors must be the same in every run; their number of rows bounds
-    the indices that may come.
+    the indices that may come.  Factors too large to pass the driver are given as DataFrames;
+    their rows travel by demand to the cells of a batch.
     """
 
     def __init__(self, path: str, factors: Sequence[Factor], rank: int, folder: str):
@@ -108,11 +113,14 @@ class StreamedSums:
 
     def add(self, batch: DataFrame, number: int) -> None:
         """Adds one batch; the same number gives the same table, however often it runs."""
-        sizes = read_parts(self.path)[1]
-        modes = list(range(len(sizes)))
-        packed = PackedTensor.pack(batch, sizes)
-        shared = share_factors(packed, self.factors, modes, self.rank)
-        sums = final_sums(arrow_partials(packed, shared, modes, self.rank), self.rank)
+        parts, sizes = read_parts(self.path)
+        modes, shared = list(range(len(sizes))), None
+        if sum(factor_bytes(s, self.rank) for s in sizes) <= COLLECT_BYTES:
+            packed = PackedTensor.pack(batch, sizes)
+            shared = share_factors(packed, self.factors, modes, self.rank)
+            sums = final_sums(arrow_partials(packed, shared, modes, self.rank), self.rank)
+        else:
+            sums = self._by_demand(batch, sizes, sum(n for _, n in parts))
         before = [n for n in self._numbers() if n < number]
         if before:
             known = batch.sparkSession.read.parquet(self._table(before[-1]))
@@ -120,12 +128,23 @@ class StreamedSums:
             both = known.unionByName(sums).groupBy("mode", "i")
             sums = both.agg(*[F.sum(c).alias(c) for c in columns])
         sums.write.mode("overwrite").parquet(self._table(number))
-        shared.destroy()
+        if shared is not None:
+            shared.destroy()
         # The last two stay: the one before is read again if this batch is repeated.
         filesystem, place = files.open_fs(files.join(self.folder, "sums"))
         for old in before[:-1]:
             filesystem.delete_dir(files.join(place, f"batch-{old:012d}"))
 
+    def _by_demand(self, batch: DataFrame, sizes: tuple[int, ...], most: int) -> DataFrame:
+        """Sums of a batch of up to ``most`` nonzeros, laid out for large factors."""
+        spark = batch.sparkSession
+        cores = spark.sparkContext.defaultParallelism
+        # One task reads many chunks: a shuffle has a block for each pair of tasks.
+        tasks = layout_partitions(most, len(sizes), cores, parallelism(spark))
+        tensor = SparseTensor(batch.coalesce(tasks), sizes, most, norm_sq=0.0)
+        frames = [f if isinstance(f, DataFrame) else from_dense(spark, f) for f in self.factors]
+        return mttkrp_all_blocked(BlockedTensor.build(tensor, self.rank), frames, self.rank)
+
     def run(self, spark: SparkSession, chunk_nnz: int | None = None) -> DataFrame | None:
         """Reads what is new, then stops; ``[mode, i, y0 ..]`` of all read so far."""
         stream = stream_chunks(spark, self.path, chunk_nnz).writeStream

@@ -7,12 +7,15 @@ import struct
 import numpy as np
 import pytest
 
-from tensorspark.functions.factors import integer_factor_array
+from tensorspark.functions.factors import from_dense, integer_factor_array
 from tensorspark.functions.morton import MortonPlan
+from tensorspark.operators import blocked
+from tensorspark.operators import mttkrp as mt
 from tensorspark.operators.mttkrp import mttkrp_all_arrow
 from tensorspark.sources import dnp
 from tensorspark.sources.dnb import append_frame, write_frame
 from tensorspark.sources.reader import read_tensor
+from tensorspark.streaming import chunks
 from tensorspark.streaming.chunks import StreamedSums, _StreamReader, stream_chunks
 from tensorspark.tensor import SparseTensor
 
@@ -78,6 +81,23 @@ def test_a_batch_that_dies_before_its_sums_is_read_again(spark, tmp_path):
     assert got(StreamedSums(path, arrays(), 3, folder).run(spark)) == want(nonzeros(spark, 4))
 
 
+@pytest.mark.parametrize("limit", [0, 1000])
+@pytest.mark.parametrize("frames", [True, False])
+def test_large_factors_travel_to_batches(spark, tmp_path, monkeypatch, limit, frames):
+    """Factors beyond the limits, all by demand or only the largest; a batch adds to the last."""
+    path, folder = str(tmp_path / "t.dnb"), str(tmp_path / "state")
+    first, second = nonzeros(spark, 7), nonzeros(spark, 8)
+    wanted = want(first), want(first.union(second))
+    monkeypatch.setattr(mt, "BROADCAST_BYTES", 8)  # none could be sent whole before
+    monkeypatch.setattr(chunks, "COLLECT_BYTES", limit, raising=False)
+    monkeypatch.setattr(blocked.mttkrp_all_blocked, "__defaults__", (limit,))
+    factors = [from_dense(spark, a) for a in arrays()] if frames else arrays()
+    write_frame(first, 3, path, SIZES)
+    assert got(StreamedSums(path, factors, 3, folder).run(spark, 64)) == wanted[0]
+    append_frame(second, 3, path)
+    assert got(StreamedSums(path, factors, 3, folder).run(spark, 30)) == wanted[1]
+
+
 def test_offsets_count_nonzeros(spark, tmp_path):
     path = str(tmp_path / "t.dnb")
     write_frame(nonzeros(spark, 5).coalesce(1), 3, path, SIZES)
