@@ -32,13 +32,16 @@ from tensorspark.sources import files
 from tensorspark.sources.dnb import CHUNK_BYTES, WIDTH, Chunk, dnb_schema, read_chunk, read_parts
 from tensorspark.tensor import SparseTensor
 
+# Tasks that read a batch; where it has more chunks, a task reads several in turn.
+TASKS = 256
 _STATE = re.compile(r"batch-(\d{12})\Z")
 
 
 class _StreamReader(DataSourceStreamReader):
     def __init__(self, path: str, schema: StructType, chunk_nnz: int | None):
         self.path = path
-        self.chunk_nnz = chunk_nnz or max(1, CHUNK_BYTES // (WIDTH * len(schema.fields)))
+        self.most = max(1, CHUNK_BYTES // (WIDTH * len(schema.fields)))
+        self.chunk_nnz = chunk_nnz or self.most
 
     def initialOffset(self) -> dict:
         return {"nnz": 0}
@@ -47,19 +50,26 @@ class _StreamReader(DataSourceStreamReader):
         return {"nnz": sum(n for _, n in read_parts(self.path)[0])}
 
     def partitions(self, start: dict, end: dict) -> Sequence[InputPartition]:
-        """Chunks of the nonzeros from ``start`` to ``end``; parts keep their order."""
+        """Chunks of the nonzeros from ``start`` to ``end``; parts keep their order.
+
+        A partition costs a task some 80 ms, so many small chunks of a part share one.
+        """
         out, at = [], 0
+        chunks = -(-(end["nnz"] - start["nnz"]) // self.chunk_nnz)
+        each = self.chunk_nnz * max(1, min(-(-chunks // TASKS), self.most // self.chunk_nnz))
         for path, nnz in read_parts(self.path)[0]:
             lo, hi = max(start["nnz"], at) - at, min(end["nnz"], at + nnz) - at
-            for first in range(lo, hi, self.chunk_nnz):
-                out.append(Chunk(path, first, min(self.chunk_nnz, hi - first)))
+            for first in range(lo, hi, each):
+                out.append(Chunk(path, first, min(each, hi - first)))
             at += nnz
         if at < end["nnz"]:
             raise ValueError(f"{self.path}: holds {at} nonzeros, not the {end['nnz']} seen before")
         return out
 
     def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
-        return read_chunk(partition.path, partition.first, partition.count)
+        end = partition.first + partition.count
+        for first in range(partition.first, end, self.chunk_nnz):
+            yield from read_chunk(partition.path, first, min(self.chunk_nnz, end - first))
 
 
 class DnbStream(DataSource):

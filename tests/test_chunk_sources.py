@@ -111,6 +111,21 @@ def test_offsets_count_nonzeros(spark, tmp_path):
         reader.partitions({"nnz": 0}, {"nnz": 700})
 
 
+def test_small_chunks_share_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(chunks, "TASKS", 10, raising=False)
+    path = str(tmp_path / "t.dnb")
+    write_frame(nonzeros(spark, 5).coalesce(1), 3, path, SIZES)
+    reader = _StreamReader(path, stream_chunks(spark, path).schema, 7)
+    tasks = reader.partitions({"nnz": 3}, {"nnz": 500})
+    assert len(tasks) <= 10 and tasks[0].first == 3
+    batches = [b for t in tasks for b in reader.read(t)]
+    assert {b.num_rows for b in batches[:-1]} == {7} and batches[-1].num_rows <= 7
+    whole = _StreamReader(path, stream_chunks(spark, path).schema, None)
+    (one,) = whole.partitions({"nnz": 0}, {"nnz": 500})
+    rows = [r for b in whole.read(one) for r in b.to_pylist()]
+    assert [r for b in batches for r in b.to_pylist()] == rows[3:]
+
+
 # ---- saved states ------------------------------------------------------------
 
 
